@@ -103,3 +103,83 @@ def score_table(src: str = "fx_dyn", name: str = "scores", pad_to: str | None =
          exp(lp[label + 1]) AS confidence
   FROM {name}_a)"""
     return [rs, agg]
+
+
+FX_TEXT = """fx_text AS (
+  SELECT doc_id AS sample_id, text,
+         CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS label,
+         (['reduced_800', 'dpo_d', 'variance_top_2_3', 'sft_d'])[CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 4 + 1] AS split
+  FROM documents)"""
+
+
+def toks(text: str = "text") -> str:
+    return (f"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[.,?!]', '', 'g'), '\\s+'), "
+            f"lambda x: x <> '')")
+
+
+def trigrams(tok_list: str) -> str:
+    return (f"(CASE WHEN len({tok_list}) >= 3 THEN list_transform(generate_series(1, len({tok_list}) - 2), "
+            f"lambda i: array_to_string({tok_list}[i:i + 2], ' ')) ELSE [] END)")
+
+
+def hashed_vec(src: str, name: str, dims: int = 64) -> str:
+    """CTE ``name``(sample_id, vec) over ``src``(sample_id, text): V1."""
+    return f"""{name}_t AS (SELECT sample_id, unnest({toks()}) AS tok FROM {src}),
+{name}_b AS (SELECT sample_id, CAST({h24('tok')} % {dims} AS INTEGER) AS b, count(*) AS c FROM {name}_t GROUP BY ALL),
+{name}_n AS (SELECT sample_id, sqrt(sum(c * c)) AS nrm FROM {name}_b GROUP BY sample_id),
+{name} AS (
+  SELECT f.sample_id, list(CASE WHEN n.nrm > 0 THEN coalesce(CAST(hb.c AS DOUBLE), 0.0) / n.nrm ELSE 0.0 END ORDER BY g.b) AS vec
+  FROM {src} f CROSS JOIN (SELECT CAST(range AS INTEGER) AS b FROM range(0, {dims})) g
+  LEFT JOIN {name}_b hb ON hb.sample_id = f.sample_id AND hb.b = g.b
+  LEFT JOIN {name}_n n ON n.sample_id = f.sample_id
+  GROUP BY f.sample_id)"""
+
+
+def class_metrics(x: str, name: str) -> list[str]:
+    """CTEs ending in ``name``(split, label, n, avg_distance, dissimilarity,
+    embed_std, homogeneity) over ``x``(split, label, sample_id, vec); pairs by
+    brute-force self-join (the oracle form)."""
+    return [f"""{name}_pairs AS (
+  SELECT a.split, a.label, a.sample_id AS i, len(a.vec) AS h,
+         sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS d,
+         list_dot_product(a.vec, b.vec) / (greatest(sqrt(list_dot_product(a.vec, a.vec)), 1e-8)
+                                            * greatest(sqrt(list_dot_product(b.vec, b.vec)), 1e-8)) AS cs
+  FROM {x} a JOIN {x} b ON a.split = b.split AND a.label = b.label),
+{name}_w AS (SELECT split, label, i, d, cs, CASE WHEN d > 0 THEN pow(d, ln(h)) ELSE 0.0 END AS w FROM {name}_pairs),
+{name}_s AS (SELECT split, label, i, sum(w) AS s FROM {name}_w GROUP BY ALL),
+{name}_m AS (SELECT split, label, count(*) AS n FROM {x} GROUP BY ALL),
+{name}_e AS (
+  SELECT w.split, w.label, w.i, min(s.s) AS s,
+         -sum(CASE WHEN s.s > 0 THEN (w.w / s.s) * ln(w.w / s.s + 1e-10) END) / min(m.n) AS ent
+  FROM {name}_w w JOIN {name}_s s USING (split, label, i) JOIN {name}_m m USING (split, label)
+  GROUP BY ALL),
+{name}_pair AS (
+  SELECT p.split, p.label, avg(p.d) AS avg_distance, 1 - avg(p.cs) AS dissimilarity
+  FROM {name}_w p GROUP BY ALL),
+{name}_hom AS (
+  SELECT e.split, e.label, CASE WHEN min(m.n) > 2 AND min(e.s) > 0 THEN sum(e.ent) / ln(min(m.n) - 1) END AS homogeneity
+  FROM {name}_e e JOIN {name}_m m USING (split, label) GROUP BY ALL),
+{name}_sd AS (
+  SELECT split, label, CASE WHEN min(sd) <= 0 THEN avg(sd) ELSE exp(avg(ln(CASE WHEN sd > 0 THEN sd END))) END AS embed_std
+  FROM (SELECT split, label, sqrt(list_sum(list_transform(vec, lambda t: (t - list_avg(vec)) * (t - list_avg(vec)))) / (len(vec) - 1)) AS sd FROM {x})
+  GROUP BY ALL),
+{name} AS (
+  SELECT m.split, m.label, m.n, p.avg_distance, p.dissimilarity, sd.embed_std, hm.homogeneity
+  FROM {name}_m m JOIN {name}_pair p USING (split, label) JOIN {name}_sd sd USING (split, label)
+  JOIN {name}_hom hm USING (split, label))"""]
+
+
+def centers(x: str, name: str) -> str:
+    return f"""{name}_l AS (
+  SELECT split, label, d, avg(vec[d]) AS v
+  FROM (SELECT split, label, vec, unnest(generate_series(1, len(vec))) AS d FROM {x}) GROUP BY ALL),
+{name} AS (SELECT split, label, list(v ORDER BY d) AS center FROM {name}_l GROUP BY ALL)"""
+
+
+def affinity(cent: str, name: str, ref: str) -> str:
+    return f"""{name} AS (
+  SELECT c.split,
+         CASE WHEN avg(list_distance(c.center, r.center)) > 0 THEN round(1.0 / avg(list_distance(c.center, r.center)), 6) END AS affinity,
+         count(*) FILTER (WHERE r.center IS NULL) AS n_unmatched_labels
+  FROM {cent} c LEFT JOIN (SELECT label, center FROM {cent} WHERE split = '{ref}') r USING (label)
+  GROUP BY c.split)"""
