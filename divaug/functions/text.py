@@ -9,7 +9,7 @@ from divaug.functions.hashing import h24
 
 # Punctuation deleted before the whitespace split, and the
 # markers of the two pair-text formats.
-STRIP_CHARS = "[.,?!]"
+STRIP_CHARS = ".,?!"
 NLI_MARKERS = ("Premise: ", "Hypothesis: ")
 STS_MARKERS = ("Sentence 1: ", "Sentence 2: ")
 
@@ -20,16 +20,21 @@ def _c(x) -> Column:
 
 def normalized_tokens(text) -> Column:
     """Lower-case, delete . , ? !, split on whitespace runs, drop empties."""
-    t = F.regexp_replace(F.lower(_c(text)), STRIP_CHARS, "")
+    t = F.translate(F.lower(_c(text)), STRIP_CHARS, "")
     return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
 
 
 def word_ngrams(tokens, n: int = 3) -> Column:
-    """Sliding word n-grams joined by a space (empty when too short)."""
+    """Sliding word n-grams joined by a space (empty when too short).
+
+    Built from n shifted copies zipped together: linear in the text length
+    (zip_with pads the shorter side with NULL, which the filter drops)."""
     toks = _c(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)),
-                        lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+    grams = toks
+    for k in range(2, n + 1):
+        shifted = F.slice(toks, k, F.greatest(F.size(toks), F.lit(1)))
+        grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(grams, lambda g: g.isNotNull())
 
 
 def hashed_bucket(token, dims: int = 64) -> Column:
