@@ -193,3 +193,58 @@ def vocab_sql(src: str, name: str, max_vocab: int = 30000) -> str:
   SELECT tok, CAST(rn + 3 AS INTEGER) AS id FROM (
     SELECT tok, row_number() OVER (ORDER BY count(*) DESC, tok) AS rn FROM {name}_t GROUP BY tok)
   WHERE rn <= {max_vocab})"""
+
+
+FX_GROUPS = """fx_groups AS (
+  SELECT group_id, p[1] AS text,
+         '[' || array_to_string(list_transform(p[2:6], lambda x: '''' || x || ''''), ', ') || ']' AS paraphrases,
+         CASE WHEN """ + h24("'cat:' || CAST(group_id AS VARCHAR)") + """ % 100 < 59 THEN 'question' ELSE 'sentence' END AS category
+  FROM (SELECT doc_id AS group_id,
+               list_filter(regexp_split_to_array(text, '[.\\n]+\\s*'), lambda x: x <> '') AS p FROM documents)
+  WHERE len(p) >= 6)"""
+
+PARSE = "string_split(substr(paraphrases, 3, len(paraphrases) - 4), ''', ''')"
+
+
+def raw_toks(text: str = "text") -> str:
+    return f"list_filter(string_split_regex({text}, '\\s+'), lambda x: x <> '')"
+
+
+def edits(t: str) -> str:
+    """The five built-in candidate edits over token list ``t`` (G1)."""
+    return ("[" + ", ".join(f"array_to_string({e}, ' ')" for e in [
+        f"{t}[2:] || {t}[1:1]",
+        f"list_reverse({t})",
+        f"list_filter({t}, lambda x, i: i % 3 <> 0)",
+        f"list_transform({t}, lambda x, i: CASE WHEN i % 2 = 1 THEN coalesce({t}[i + 1], x) ELSE {t}[i - 1] END)",
+        f"{t}[1:3] || {t}"]) + "]")
+
+
+def l2eps(a: str, b: str) -> str:
+    return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1] - t[2] + 1e-6) * (t[1] - t[2] + 1e-6))))"
+
+
+def cosine(a: str, b: str) -> str:
+    return (f"(list_dot_product({a}, {b}) / (greatest(sqrt(list_dot_product({a}, {a})), 1e-8) * "
+            f"greatest(sqrt(list_dot_product({b}, {b})), 1e-8)))")
+
+
+def extremes(orig: str, cand: str, name: str, metric: str = "l2") -> list[str]:
+    """CTEs ending in ``name``(k, dis_idx, dis_text, sim_idx, sim_text).
+
+    ``orig``(k VARCHAR, text); ``cand``(k VARCHAR, cand_idx, cand_text)."""
+    d = l2eps("o.vec", "c2.vec") if metric == "l2" else "-" + cosine("o.vec", "c2.vec")
+    return [f"""{name}_os AS (SELECT k AS sample_id, text FROM {orig}),
+{name}_cs AS (SELECT k || '#' || CAST(cand_idx AS VARCHAR) AS sample_id, text FROM (SELECT k, cand_idx, cand_text AS text FROM {cand})),""" + "\n"
+            + hashed_vec(f"{name}_os", f"{name}_ov") + ",\n" + hashed_vec(f"{name}_cs", f"{name}_cv") + f""",
+{name}_d AS (
+  SELECT c.k, c.cand_idx, c.cand_text, round({d}, 12) AS d
+  FROM {cand} c JOIN {name}_cv c2 ON c2.sample_id = c.k || '#' || CAST(c.cand_idx AS VARCHAR)
+  JOIN {name}_ov o ON o.sample_id = c.k),
+{name}_r AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC, cand_idx) AS rdis,
+            row_number() OVER (PARTITION BY k ORDER BY d, cand_idx) AS rsim FROM {name}_d),
+{name} AS (
+  SELECT k, max(cand_idx) FILTER (WHERE rdis = 1) AS dis_idx, max(cand_text) FILTER (WHERE rdis = 1) AS dis_text,
+            max(cand_idx) FILTER (WHERE rsim = 1) AS sim_idx, max(cand_text) FILTER (WHERE rsim = 1) AS sim_text
+  FROM {name}_r GROUP BY k)"""]
