@@ -1 +1,110 @@
-"""placeholder"""
+"""Registered queries: evaluation (E1-E5, K11, E2/Q8 re-aimed)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from divaug.operators import evaluation as EV
+from divaug.plans import sqlparts as S
+from divaug.plans.registry import register
+from divaug.sources import catalog as CT
+from divaug.sources import fixtures as FX
+
+PRED_SPLITS = ["reduced_800", "dpo_d", "el2n_top_2_3", "entropy_top_2_3", "variance_top_2_3", "ccs_aum_top_2_3"]
+
+FX_PRED = [S.FX_VEC, S.FX_CENT_ALL, S.FX_DYN, """fx_pred AS (
+  SELECT sp.split, CAST(sd.seed AS INTEGER) AS seed, d.sample_id, d.label,
+         list_transform(d.logp, lambda x, i: x + 3.0 * """ + S.h24("concat_ws(':', sd.seed, sp.split, d.sample_id, i - 1)")
+    + """ / 16777216.0) AS logits
+  FROM fx_dyn d CROSS JOIN (SELECT unnest(""" + repr(PRED_SPLITS) + """) AS split) sp
+  CROSS JOIN range(37, 47) sd(seed)
+  WHERE d.epoch = 2)""", """acc AS (
+  SELECT split, seed, round(avg(CAST(list_position(logits, list_max(logits)) - 1 = label AS DOUBLE)), 6) AS accuracy
+  FROM fx_pred GROUP BY split, seed)"""]
+
+
+def acc_df(spark, sf):
+    return EV.accuracy(FX.fx_predictions(spark, sf, PRED_SPLITS))
+
+
+@register("accuracy", S.with_(FX_PRED, "SELECT split, seed, accuracy FROM acc"))
+def accuracy(spark, sf):
+    return acc_df(spark, sf)
+
+
+@register("seed_summary", S.with_(FX_PRED, """
+SELECT split, round(avg(accuracy), 4) AS avg, round(stddev_samp(accuracy), 4) AS std FROM acc GROUP BY split"""))
+def seed_summary(spark, sf):
+    return EV.seed_summary(acc_df(spark, sf))
+
+
+@register("performance_matrix", S.with_(FX_PRED + ["""plong AS (
+  SELECT CAST(seed AS VARCHAR) AS row_key, split, accuracy AS value FROM acc
+  UNION ALL SELECT 'avg', split, round(avg(accuracy), 4) FROM acc GROUP BY split
+  UNION ALL SELECT 'std', split, round(stddev_samp(accuracy), 4) FROM acc GROUP BY split)"""],
+    "SELECT row_key, " + ", ".join(f"max(value) FILTER (WHERE split = '{s}') AS \"{s}\"" for s in PRED_SPLITS)
+    + " FROM plong GROUP BY row_key"))
+def performance_matrix(spark, sf):
+    return EV.performance_matrix(acc_df(spark, sf), PRED_SPLITS)
+
+
+@register("best_coreset_key", S.with_(FX_PRED + ["""bk AS (
+  SELECT 'embeddings' AS dataset, regexp_replace(split, '_top_2_3$', '') AS key, avg(accuracy) AS avg_acc
+  FROM acc WHERE split LIKE '%\\_top\\_2\\_3' ESCAPE '\\' GROUP BY split)"""], """
+SELECT dataset, arg_max(key, round(avg_acc, 12)) AS best_key, round(max(avg_acc), 6) AS best_avg FROM (
+  SELECT * FROM bk QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY round(avg_acc, 12) DESC, key) = 1)
+GROUP BY dataset"""))
+def best_coreset_key(spark, sf):
+    a = acc_df(spark, sf).withColumn("dataset", F.lit("embeddings"))
+    return EV.best_key(a)
+
+
+def _used(spark):
+    return CT.active_splits(spark, ["ori", "cst", "aug"], None)
+
+
+@register("missing_splits", S.with_([S.FX_VEC, S.FX_TEXT], """
+SELECT split FROM (VALUES """ + ", ".join(f"('{s}')" for s in
+                                          ["reduced_800", "el2n_top_2_3", "entropy_top_2_3", "variance_top_2_3",
+                                           "ccs_aum_top_2_3", "dpo_d"]) + """) u(split)
+WHERE split NOT IN (SELECT split FROM fx_vec UNION SELECT split FROM fx_text)"""))
+def missing_splits(spark, sf):
+    data = FX.fx_vec(spark, sf).select("split").unionByName(FX.fx_text(spark, sf).select("split"))
+    return EV.missing_splits(_used(spark).select("split"), data)
+
+
+@register("split_seed_eval", None)
+def split_seed_eval(spark, sf):
+    """E2 re-aimed: per split x seed a classifier on the split's vectors,
+    evaluated on the whole table; accuracy per (split, seed)."""
+    v = FX.fx_vec(spark, sf)
+    parts = []
+    for split in FX.VEC_SPLITS:
+        train = v.filter(F.col("split") == split)
+        for seed in (37, 38):
+            pred = EV.train_eval(train, v, seed, max_iter=10)
+            parts.append(EV.accuracy(pred.withColumn("split", F.lit(split)).withColumn("seed", F.lit(seed))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("dynamics_log_ml", None)
+def dynamics_log_ml(spark, sf):
+    """Q8 re-aimed: a multinomial classifier checkpointed after 1, 2, 3
+    iterations produces the training-dynamics log (log-probabilities)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    v = FX.fx_vec(spark, sf).select("sample_id", "label", array_to_vector("vec").alias("features"),
+                                    F.col("label").cast("double").alias("y"))
+    parts = []
+    for e in (1, 2, 3):
+        m = LogisticRegression(maxIter=e, family="multinomial", labelCol="y").fit(v)
+        p = m.transform(v).select("sample_id", F.lit(e - 1).alias("epoch"), (F.col("sample_id") / 32).cast("int").alias("iteration"),
+                                  "label", F.transform(vector_to_array("probability"), lambda x: F.log(x)).alias("logp"))
+        parts.append(p)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
