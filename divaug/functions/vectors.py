@@ -57,6 +57,15 @@ def log_softmax(z) -> Column:
     return F.transform(z, lambda x: x - lse)
 
 
+def with_log_softmax(df, z: str, out: str):
+    """DataFrame form of log_softmax that evaluates the max and the
+    log-sum-exp once per row (as columns) instead of once per element."""
+    m = F.array_max(F.col(z))
+    df = df.withColumn("_lsm_m", m)
+    df = df.withColumn("_lsm_lse", F.col("_lsm_m") + F.log(vsum(F.transform(F.col(z), lambda x: F.exp(x - F.col("_lsm_m"))))))
+    return df.withColumn(out, F.transform(F.col(z), lambda x: x - F.col("_lsm_lse"))).drop("_lsm_m", "_lsm_lse")
+
+
 def softmax(z) -> Column:
     z = _c(z)
     m = F.array_max(z)

@@ -15,6 +15,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from divaug.functions import text as TX
 from divaug.functions import vectors as V
@@ -29,7 +30,7 @@ ESCAPE_PATTERN = r"\\[xuUN0-7]"
 
 
 # --------------------------------------------------------------------- L1/L2
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _literal_eval_udf(s: pd.Series) -> pd.Series:
     def one(x):
         try:

@@ -60,10 +60,9 @@ def fx_dynamics(spark: SparkSession, sf_dir: str, epochs: int = 3,
         lambda c: (F.col("epoch") + 1) * F.lit(scale) * V.dot(F.col("vec"), c["center"])
         + F.lit(noise) * h24(F.concat_ws(":", F.col("sample_id").cast("string"),
                                          F.col("epoch").cast("string"), c["k"].cast("string"))) / F.lit(float(2 ** 24)))
-    return rows.select(
-        "sample_id", F.col("epoch").cast("int").alias("epoch"),
-        (F.col("sample_id") / 32).cast("int").alias("iteration"),
-        "label", V.log_softmax(z).alias("logp"))
+    rows = rows.select("sample_id", F.col("epoch").cast("int").alias("epoch"),
+                       (F.col("sample_id") / 32).cast("int").alias("iteration"), "label", z.alias("_z"))
+    return V.with_log_softmax(rows, "_z", "logp").drop("_z")
 
 
 def fx_dynamics_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
