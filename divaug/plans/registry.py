@@ -29,4 +29,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from divaug.plans import (q_dynamics, q_coreset, q_diversity, q_text,  # noqa: F401
-                              q_sampling, q_candidates, q_catalog, q_evaluation)
+                              q_sampling, q_candidates, q_catalog, q_evaluation, q_io)
