@@ -134,10 +134,8 @@ def embed_texts(df: DataFrame, id_col: str, text_col: str, dims: int = 64) -> Da
     return TK.hashed_embedding(x, dims).select(F.col("sample_id").alias(id_col), "vec")
 
 
-def select_extremes(originals: DataFrame, cands: DataFrame, key: str, metric: str = "l2") -> DataFrame:
-    """Per ``key``: most dissimilar and most similar candidate to
-    the original text.  ``originals``(key, text); ``cands``(key, cand_idx,
-    cand_text).  Returns key, dis_idx, dis_text, sim_idx, sim_text."""
+def candidate_distances(originals: DataFrame, cands: DataFrame, key: str, metric: str = "l2") -> DataFrame:
+    """V2/V3: distance of every candidate to its original (``_d``)."""
     ck = cands.withColumn("_cid", F.concat_ws("#", F.col(key).cast("string"), F.col("cand_idx").cast("string")))
     ov = embed_texts(originals.withColumn("_oid", F.col(key).cast("string")), "_oid", "text").withColumnRenamed("vec", "_ov")
     cv = embed_texts(ck, "_cid", "cand_text").withColumnRenamed("vec", "_cv")
@@ -149,7 +147,14 @@ def select_extremes(originals: DataFrame, cands: DataFrame, key: str, metric: st
         dist = -V.cosine_similarity("_ov", "_cv")
     # Rounded to 12 places so mathematically tied candidates tie exactly
     # (then the lower index wins, as in the reference's argmax/argmin).
-    j = j.withColumn("_d", F.round(dist, 12))
+    return j.withColumn("_d", F.round(dist, 12))
+
+
+def select_extremes(originals: DataFrame, cands: DataFrame, key: str, metric: str = "l2") -> DataFrame:
+    """Per ``key``: most dissimilar and most similar candidate to
+    the original text.  ``originals``(key, text); ``cands``(key, cand_idx,
+    cand_text).  Returns key, dis_idx, dis_text, sim_idx, sim_text."""
+    j = candidate_distances(originals, cands, key, metric)
     g = j.groupBy(key).agg(
         F.max_by(F.struct("cand_idx", "cand_text"), F.struct(F.col("_d"), -F.col("cand_idx"))).alias("_dis"),
         F.min_by(F.struct("cand_idx", "cand_text"), F.struct(F.col("_d"), F.col("cand_idx"))).alias("_sim"))

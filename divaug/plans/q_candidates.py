@@ -316,3 +316,13 @@ def augmented_set_qa(spark, sf):
     a = CD.augmented_set(seeds, seeds.limit(0), ch, "sample_id", "dis", carry=("choices", "answerKey"))
     return a.select("origin", "sample_id", F.md5("text").alias("question_md5"),
                     F.array_join("choices", "|").alias("choices"), "answerKey")
+
+
+@register("l2_distance", S.with_([S.FX_GROUPS] + _pref_sql("fx_groups", "ld", "l2"), """
+SELECT CAST(k AS BIGINT) AS group_id, cand_idx, round(d, 6) AS distance FROM ld_x_d"""))
+def l2_distance(spark, sf):
+    good, _ = CD.split_rejects(parsed_groups(spark, sf))
+    c = good.select("group_id", F.posexplode("items").alias("cand_idx", "cand_text")).withColumn(
+        "cand_idx", F.col("cand_idx").cast("int"))
+    d = CD.candidate_distances(good.select("group_id", "text"), c, "group_id", "l2")
+    return d.select("group_id", "cand_idx", F.round("_d", 6).alias("distance"))

@@ -162,3 +162,21 @@ SELECT sample_id, label, bin FROM sel_23 WHERE sample_id NOT IN (SELECT sample_i
 def ccs_mid_band(spark, sf):
     b = K.ccs_bands(scores_of(spark, sf))
     return b.filter(F.col("band") == "mid_1_3").select("sample_id", "label", "bin")
+
+
+_ALL_BANDS = [("top_1_2", 0, Fraction(1, 2)), ("top_1_3", 0, Fraction(1, 3)),
+              ("mid_1_3", Fraction(1, 3), Fraction(2, 3)), ("top_2_3", 0, Fraction(2, 3))]
+
+
+@register("coreset_splits", S.with_(CB_SQL + CCS_SQL[len(SCORES):], " UNION ALL ".join(
+    [f"SELECT sample_id, label, 'coreset_' || key || '_{b}' AS split FROM cbr WHERE rank > {_cut_sql('n_label', lo)} "
+     f"AND rank <= {_cut_sql('n_label', hi)}" for b, lo, hi in _ALL_BANDS]
+    + ["SELECT sample_id, label, 'coreset_ccs_aum_top_1_2' FROM sel_12",
+       "SELECT sample_id, label, 'coreset_ccs_aum_top_1_3' FROM sel_13",
+       "SELECT sample_id, label, 'coreset_ccs_aum_top_2_3' FROM sel_23",
+       "SELECT sample_id, label, 'coreset_ccs_aum_mid_1_3' FROM sel_23 WHERE sample_id NOT IN (SELECT sample_id FROM sel_13)"])))
+def coreset_splits(spark, sf):
+    """Every coreset split the selection step writes (split names as the
+    reference's files)."""
+    from divaug.plans.selection import coreset_splits as cs
+    return cs(scores_of(spark, sf)).select("sample_id", "label", "split")
