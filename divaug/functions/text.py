@@ -24,6 +24,12 @@ def normalized_tokens(text) -> Column:
     return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
 
 
+def tokens_of(df, text_col: str = "text") -> Column:
+    """The normalised tokens of ``df``: the precomputed ``tokens`` column when
+    the caller materialised it once, else T1 on ``text_col``."""
+    return F.col("tokens") if "tokens" in df.columns else normalized_tokens(text_col)
+
+
 def word_ngrams(tokens, n: int = 3) -> Column:
     """Sliding word n-grams joined by a space (empty when too short).
 

@@ -17,7 +17,7 @@ def unique_ngrams(df: DataFrame, n: int = 3, by: str = "split") -> DataFrame:
 
     The distinct step is keyed by (split, n-gram), so a split with most of the
     rows still spreads over all tasks."""
-    g = df.select(by, F.explode(TX.word_ngrams(TX.normalized_tokens("text"), n)).alias("g"))
+    g = df.select(by, F.explode(TX.word_ngrams(TX.tokens_of(df), n)).alias("g"))
     return g.groupBy(by).agg(F.count_distinct("g").alias(f"unique_{n}grams"))
 
 
@@ -25,7 +25,7 @@ def vocabulary(df: DataFrame, max_vocab: int = 30_000) -> DataFrame:
     """T5 vocabulary: normalised tokens by frequency (ties by token), ids from
     N_RESERVED.  Bounded by ``max_vocab`` (other tokens map to UNK), so the
     table is a proven-size broadcast side."""
-    freq = (df.select(F.explode(TX.normalized_tokens("text")).alias("token"))
+    freq = (df.select(F.explode(TX.tokens_of(df)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     top = freq.orderBy(F.col("freq").desc(), F.col("token").asc()).limit(max_vocab)
     return rank_ids(top)
@@ -40,7 +40,7 @@ def rank_ids(top: DataFrame) -> DataFrame:
 def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = 512, pad: bool = True) -> DataFrame:
     """T5: [CLS] ids [SEP], truncated to ``max_len`` (None: whole text),
     padded with PAD to ``max_len``, attention mask."""
-    toks = df.select("sample_id", F.posexplode(TX.normalized_tokens("text")).alias("pos", "token"))
+    toks = df.select("sample_id", F.posexplode(TX.tokens_of(df)).alias("pos", "token"))
     j = toks.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
     ids = (j.groupBy("sample_id")
             .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))))
@@ -61,12 +61,28 @@ def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = 512, pad: bool
                       n.alias("n_tokens"))
 
 
+def split_token_count(df: DataFrame, vocab: DataFrame, by: str = "split") -> DataFrame:
+    """T4: distinct token ids per ``by`` over whole texts padded to the
+    longest sequence of the split: vocabulary ids (UNK for the rest), CLS and
+    SEP, and PAD when sequence lengths differ.  Needs no ordered encoding:
+    ids come from an explode + broadcast join of the bounded vocabulary."""
+    toks = TX.tokens_of(df)
+    ids = (df.select(by, F.explode(toks).alias("token"))
+             .join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
+             .select(by, F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
+    body = ids.groupBy(by).agg(F.count_distinct("id").alias("_ids"))
+    lens = df.select(by, (F.size(toks) + 2).alias("n")).groupBy(by).agg(
+        (F.min("n") < F.max("n")).cast("int").alias("_pad"))
+    return lens.join(body, by, "left").select(
+        by, (F.coalesce("_ids", F.lit(0)) + 2 + F.col("_pad")).alias("token_count"))
+
+
 def hashed_embedding(df: DataFrame, dims: int = 64, text_col: str = "text") -> DataFrame:
     """V1 default embedder: bag of normalised tokens hashed to ``dims`` buckets
     (h24(token) mod dims), counts L2-normalised.  Two aggregations keyed by
     document: (doc, bucket) partial counts, then one <=dims-entry array per
     doc.  Documents without tokens get the zero vector."""
-    t = df.select("sample_id", F.explode(TX.normalized_tokens(text_col)).alias("tok"))
+    t = df.select("sample_id", F.explode(TX.tokens_of(df, text_col)).alias("tok"))
     c = t.groupBy("sample_id", TX.hashed_bucket("tok", dims).alias("b")).agg(F.count(F.lit(1)).alias("c"))
     per = c.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
