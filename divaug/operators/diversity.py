@@ -81,15 +81,15 @@ def class_linear_stats(df: DataFrame, keys=("split", "label"), vec: str = "vec")
                .drop("_mu", "_lsd", "_minsd"))
 
 
-def _pair_kernel(h_dims: int):
-    log_h = math.log(h_dims) if h_dims > 0 else 0.0
-
+def _pair_kernel():
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
         a = pdf[pdf["_blk"] == lo]
         b = a if lo == hi else pdf[pdf["_blk"] == hi]
         xa = np.stack(a["vec"].to_numpy()).astype(np.float64)
         xb = np.stack(b["vec"].to_numpy()).astype(np.float64)
+        h_dims = xa.shape[1]
+        log_h = math.log(h_dims) if h_dims > 0 else 0.0
         d2 = (np.einsum("ij,ij->i", xa, xa)[:, None] + np.einsum("ij,ij->i", xb, xb)[None, :]
               - 2.0 * xa @ xb.T)
         d = np.sqrt(np.maximum(d2, 0.0))
@@ -127,8 +127,6 @@ def class_pair_stats(df: DataFrame, block_rows: int = 2048, vec: str = "vec",
     x = df.select("split", "label", "sample_id", F.col(vec).alias("vec"))
     sizes = x.groupBy("split", "label").agg(F.count(F.lit(1)).alias("m"),
                                             F.max(F.size("vec")).alias("h"))
-    h_dims = x.select(F.size("vec")).first()
-    h_dims = int(h_dims[0]) if h_dims else 1
     nblk = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(block_rows))).cast("int")
     sizes = sizes.withColumn("_nb", nblk)
     xb = (x.join(F.broadcast(sizes.select("split", "label", "_nb")), ["split", "label"])
@@ -140,7 +138,7 @@ def class_pair_stats(df: DataFrame, block_rows: int = 2048, vec: str = "vec",
     del max_classes
     schema = ("split string, label int, sample_id long, dist_sum double, w_sum double, "
               "wlogw_sum double, nnz double")
-    parts = xb.groupBy("split", "label", "_lo", "_hi").applyInPandas(_pair_kernel(h_dims), schema)
+    parts = xb.groupBy("split", "label", "_lo", "_hi").applyInPandas(_pair_kernel(), schema)
     rows = parts.groupBy("split", "label", "sample_id").agg(
         F.sum("dist_sum").alias("d"), F.sum("w_sum").alias("S"),
         F.sum("wlogw_sum").alias("WL"), F.sum("nnz").alias("NZ"))
@@ -160,9 +158,14 @@ def class_pair_stats(df: DataFrame, block_rows: int = 2048, vec: str = "vec",
 
 
 def class_metrics(df: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """All per-class statistics.  The input feeds two aggregations and the
+    (small, one row per class) result usually feeds several reports, so both
+    are persisted instead of recomputed."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     lin = class_linear_stats(df)
     pair = class_pair_stats(df, block_rows=block_rows).drop("n")
-    return lin.join(pair, ["split", "label"], "left")
+    return lin.join(pair, ["split", "label"], "left").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def macro_average(per_class: DataFrame, metrics=("avg_distance", "dissimilarity", "embed_std",
