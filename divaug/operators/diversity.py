@@ -34,23 +34,24 @@ def class_centers(df: DataFrame, keys=("split", "label"), vec: str = "vec") -> D
 
 def attach_model(df: DataFrame, small: DataFrame, name: str, order_col: str,
                  max_rows: int) -> DataFrame:
-    """Attach a small per-class table to every row as one sorted array column.
-
-    The small table is folded into a single row (a bounded model, like a
-    fitted classifier's coefficients) and broadcast through an equi-join on a
-    constant key.  ``max_rows`` bounds the folded table; the job fails instead
-    of broadcasting more.
-    """
-    folded = (small.groupBy()
-                   .agg(F.array_sort(F.collect_list(F.struct(*small.columns))).alias(name),
-                        F.count(F.lit(1)).alias("_rows"))
-                   .withColumn(name, F.when(F.col("_rows") > max_rows,
-                                            F.raise_error(F.lit(f"attach_model: more than {max_rows} rows")))
-                               .otherwise(F.col(name)))
-                   .drop("_rows").withColumn("_model_key", F.lit(0)))
-    del order_col  # array_sort orders by the struct's first field
-    return (df.withColumn("_model_key", F.lit(0))
-              .join(F.broadcast(folded), "_model_key").drop("_model_key"))
+    """Attach a small fitted table (e.g. one centre per class) to every row as
+    one sorted array literal, the way a fitted ML model's coefficients are
+    shipped to the executors.  The table is an aggregate bounded by the
+    number of classes; its size is checked before it is collected, so no
+    join (and no cross join) is needed."""
+    n = small.count()
+    if n > max_rows:
+        raise ValueError(f"attach_model: {n} rows exceed the bound {max_rows}")
+    rows = sorted(small.collect(), key=lambda r: r[order_col])
+    fields = small.schema.fields
+
+    def lit_of(v, dt):
+        from pyspark.sql import types as T
+        if isinstance(dt, T.ArrayType):
+            return F.array(*[F.lit(float(x)) for x in v]).cast(dt)
+        return F.lit(v).cast(dt)
+    arr = F.array(*[F.struct(*[lit_of(r[f.name], f.dataType).alias(f.name) for f in fields]) for r in rows])
+    return df.withColumn(name, arr)
 
 
 def class_linear_stats(df: DataFrame, keys=("split", "label"), vec: str = "vec") -> DataFrame:
