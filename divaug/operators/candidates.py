@@ -213,3 +213,26 @@ def shuffled(df: DataFrame, seed: int, id_expr: Column) -> DataFrame:
     from divaug.operators.ranking import rank_within
     k = df.withColumn("_sid", id_expr).withColumn("_sk", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_sid"))))
     return rank_within(k, [F.col("_sk").asc(), F.col("_sid").asc()], [], name="position").drop("_sk", "_sid")
+
+
+# ---------------------------------------------------------------------- P8
+# Text column and carried columns per input schema.
+SCHEMAS = {
+    "text": ("text", ["label"]),
+    "csqa": ("question", ["choices", "answerKey"]),
+    "codah": ("question_propmt", ["candidate_answers", "correct_answer_idx"]),
+}
+
+
+def project_text(df: DataFrame, schema: str, key: str = "sample_id") -> DataFrame:
+    """(key, text, carry) where ``carry`` is a struct of the schema's
+    pass-through columns; the text column is configuration, not code."""
+    text_col, carried = SCHEMAS[schema]
+    return df.select(key, F.col(text_col).alias("text"), F.struct(*carried).alias("carry"))
+
+
+def restore_schema(df: DataFrame, schema: str, key: str = "sample_id") -> DataFrame:
+    """Inverse of project_text: rows written back under the input's own
+    column names (the codah text column keeps its input name)."""
+    text_col, carried = SCHEMAS[schema]
+    return df.select(key, F.col("text").alias(text_col), *[F.col(f"carry.{c}").alias(c) for c in carried])

@@ -326,3 +326,23 @@ def l2_distance(spark, sf):
         "cand_idx", F.col("cand_idx").cast("int"))
     d = CD.candidate_distances(good.select("group_id", "text"), c, "group_id", "l2")
     return d.select("group_id", "cand_idx", F.round("_d", 6).alias("distance"))
+
+
+@register("qa_schema_projection", S.with_([], """
+SELECT 'csqa' AS form, item_id AS sample_id, text,
+       array_to_string(string_split_regex(text, '\\s+')[1:4], '|') || '#' || (['A', 'B', 'C', 'D'])[CAST(item_id % 4 AS INTEGER) + 1] AS carried
+FROM benchmark
+UNION ALL
+SELECT 'codah', item_id, text,
+       array_to_string(string_split_regex(text, '\\s+')[1:4], '|') || '#' || CAST(item_id % 4 AS VARCHAR)
+FROM benchmark"""))
+def qa_schema_projection(spark, sf):
+    """Both QA schemas projected to (text, carried struct) by configuration."""
+    a = CD.project_text(FX.fx_qa(spark, sf), "csqa").select(
+        F.lit("csqa").alias("form"), "sample_id", "text",
+        F.concat(F.array_join("carry.choices", "|"), F.lit("#"), F.col("carry.answerKey")).alias("carried"))
+    b = CD.project_text(FX.fx_qa_codah(spark, sf), "codah").select(
+        F.lit("codah").alias("form"), "sample_id", "text",
+        F.concat(F.array_join("carry.candidate_answers", "|"), F.lit("#"),
+                 F.col("carry.correct_answer_idx").cast("string")).alias("carried"))
+    return a.unionByName(b)

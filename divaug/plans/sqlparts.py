@@ -31,6 +31,8 @@ def with_(ctes: list[str], body: str) -> str:
         if c not in seen:
             seen.add(c)
             out.append(c)
+    if not out:
+        return body
     return "WITH RECURSIVE\n" + ",\n".join(out) + "\n" + body
 
 

@@ -134,3 +134,12 @@ def fx_predictions(spark: SparkSession, sf_dir: str, splits: list[str] | None =
         i.cast("string"))) / F.lit(float(2 ** 24)))
     return d.select("split", F.col("seed").cast("int").alias("seed"), "sample_id", "label",
                     logits.alias("logits"))
+
+
+def fx_qa_codah(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QA rows (form 2): question_propmt, candidate_answers, correct_answer_idx."""
+    b = table(spark, sf_dir, "benchmark")
+    toks = F.split(F.col("text"), r"\s+")
+    return b.select(F.col("item_id").alias("sample_id"), F.col("text").alias("question_propmt"),
+                    F.slice(toks, 1, 4).alias("candidate_answers"),
+                    (F.col("item_id") % 4).cast("int").alias("correct_answer_idx"))
