@@ -99,7 +99,7 @@ def edit_candidates(tokens) -> Column:
     return F.array(*[F.array_join(e, " ") for e in (rot, rev, drop3, swap, rep)])
 
 
-def builtin_generator(df: DataFrame, text_col: str = "text") -> DataFrame:
+def builtin_generator(df: DataFrame, text_col: str = "text") -> DataFrame:  # noqa: D401
     """G1 default hook: df(key..., text) -> (key..., cand_idx, cand_text)."""
     keys = [c for c in df.columns if c != text_col]
     t = df.withColumn("_tk", raw_tokens(F.col(text_col)))
@@ -107,6 +107,9 @@ def builtin_generator(df: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("cand_idx", F.col("cand_idx").cast("int"))
 
 
+builtin_generator.deterministic = True
+
+
 def pandas_generator(fn: Callable[[list[str]], list[list[str]]], k: int = N_CANDIDATES) -> Callable:
     """Wrap a batch text->k-candidates function (e.g. a model loaded once per
     task) as a generator hook with the same contract as builtin_generator."""
@@ -124,42 +127,50 @@ def pandas_generator(fn: Callable[[list[str]], list[list[str]]], k: int = N_CAND
                         rows.append({**{kk: r[kk] for kk in keys}, "cand_idx": i, "cand_text": c})
                 yield pd.DataFrame(rows, columns=keys + ["cand_idx", "cand_text"])
         return df.mapInPandas(run, schema)
+    hook.deterministic = False
     return hook
 
 
 # ---------------------------------------------------------------------- G2/L4
-def embed_texts(df: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
-    """Default embedder (V1) over (id, text) -> (id, vec)."""
-    x = df.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"))
-    return TK.hashed_embedding(x, dims).select(F.col("sample_id").alias(id_col), "vec")
+def embed_texts(df: DataFrame, id_col: str, text_col: str, dims: int = 64, keep=()) -> DataFrame:
+    """Default embedder (V1) over (id, text) -> (id, *keep, vec)."""
+    x = df.select(F.col(id_col).alias("_eid"), *keep, F.col(text_col).alias("text"))
+    return TK.hashed_embedding(x, dims, keep=list(keep), id_col="_eid").withColumnRenamed("_eid", id_col)
 
 
 def candidate_distances(originals: DataFrame, cands: DataFrame, key: str, metric: str = "l2") -> DataFrame:
-    """V2/V3: distance of every candidate to its original (``_d``)."""
+    """V2/V3: ``key, cand_idx, _d`` (distance of every candidate to its
+    original), computed on a narrow table: texts are only read to embed."""
     ck = cands.withColumn("_cid", F.concat_ws("#", F.col(key).cast("string"), F.col("cand_idx").cast("string")))
-    ov = embed_texts(originals.withColumn("_oid", F.col(key).cast("string")), "_oid", "text").withColumnRenamed("vec", "_ov")
-    cv = embed_texts(ck, "_cid", "cand_text").withColumnRenamed("vec", "_cv")
-    j = (ck.join(cv, "_cid").join(ov.withColumnRenamed("_oid", "_k2"), F.col(key).cast("string") == F.col("_k2"))
-           .drop("_k2"))
+    cv = embed_texts(ck, "_cid", "cand_text", keep=(key, "cand_idx")).withColumnRenamed("vec", "_cv")
+    ov = embed_texts(originals, key, "text").withColumnRenamed("vec", "_ov")
+    j = cv.join(ov, key)
     if metric == "l2":
         dist = V.l2_distance("_ov", "_cv")
     else:  # cosine: dissimilar = lowest similarity -> use negative similarity as distance
         dist = -V.cosine_similarity("_ov", "_cv")
     # Rounded to 12 places so mathematically tied candidates tie exactly
     # (then the lower index wins, as in the reference's argmax/argmin).
-    return j.withColumn("_d", F.round(dist, 12))
+    return j.select(key, "cand_idx", F.round(dist, 12).alias("_d"))
 
 
 def select_extremes(originals: DataFrame, cands: DataFrame, key: str, metric: str = "l2") -> DataFrame:
     """Per ``key``: most dissimilar and most similar candidate to
     the original text.  ``originals``(key, text); ``cands``(key, cand_idx,
-    cand_text).  Returns key, dis_idx, dis_text, sim_idx, sim_text."""
-    j = candidate_distances(originals, cands, key, metric)
-    g = j.groupBy(key).agg(
-        F.max_by(F.struct("cand_idx", "cand_text"), F.struct(F.col("_d"), -F.col("cand_idx"))).alias("_dis"),
-        F.min_by(F.struct("cand_idx", "cand_text"), F.struct(F.col("_d"), F.col("cand_idx"))).alias("_sim"))
-    return g.select(key, F.col("_dis.cand_idx").alias("dis_idx"), F.col("_dis.cand_text").alias("dis_text"),
-                    F.col("_sim.cand_idx").alias("sim_idx"), F.col("_sim.cand_text").alias("sim_text"))
+    cand_text).  Returns key, dis_idx, dis_text, sim_idx, sim_text.
+
+    The arg-extremes run on (key, cand_idx, distance) only; the two chosen
+    texts are fetched by one join of the candidate table at the end."""
+    d = candidate_distances(originals, cands, key, metric)
+    ext = d.groupBy(key).agg(
+        F.max_by("cand_idx", F.struct(F.col("_d"), -F.col("cand_idx"))).alias("dis_idx"),
+        F.min_by("cand_idx", F.struct(F.col("_d"), F.col("cand_idx"))).alias("sim_idx"))
+    picked = cands.join(ext, key).filter((F.col("cand_idx") == F.col("dis_idx")) | (F.col("cand_idx") == F.col("sim_idx")))
+    return picked.groupBy(key).agg(
+        F.first("dis_idx").alias("dis_idx"),
+        F.max(F.when(F.col("cand_idx") == F.col("dis_idx"), F.col("cand_text"))).alias("dis_text"),
+        F.first("sim_idx").alias("sim_idx"),
+        F.max(F.when(F.col("cand_idx") == F.col("sim_idx"), F.col("cand_text"))).alias("sim_text"))
 
 
 def preference_pairs(groups: DataFrame, metric: str = "l2", id_col: str = "group_id") -> DataFrame:
@@ -176,7 +187,12 @@ def paraphrase_select(df: DataFrame, key: str, text_col: str = "text", generator
                       metric: str = "l2") -> DataFrame:
     """G1+G2 for one text column."""
     base = df.select(key, F.col(text_col).alias("text"))
-    return select_extremes(base, generator(base, "text"), key, metric)
+    cands = generator(base, "text")
+    if not getattr(generator, "deterministic", False):
+        # The candidate table is read twice (embed, then fetch the chosen
+        # texts): a sampling model must be materialised once, reliably.
+        cands = cands.checkpoint(eager=True)
+    return select_extremes(base, cands, key, metric)
 
 
 def paraphrase_pairs_fields(df: DataFrame, key: str, markers=TX.NLI_MARKERS, generator=builtin_generator) -> DataFrame:

@@ -77,19 +77,28 @@ def split_token_count(df: DataFrame, vocab: DataFrame, by: str = "split") -> Dat
         by, (F.coalesce("_ids", F.lit(0)) + 2 + F.col("_pad")).alias("token_count"))
 
 
-def hashed_embedding(df: DataFrame, dims: int = 64, text_col: str = "text") -> DataFrame:
+def hashed_embedding(df: DataFrame, dims: int = 64, text_col: str = "text", keep=None,
+                     id_col: str = "sample_id") -> DataFrame:
     """V1 default embedder: bag of normalised tokens hashed to ``dims`` buckets
-    (h24(token) mod dims), counts L2-normalised.  Two aggregations keyed by
-    document: (doc, bucket) partial counts, then one <=dims-entry array per
-    doc.  Documents without tokens get the zero vector."""
-    t = df.select("sample_id", F.explode(TX.tokens_of(df, text_col)).alias("tok"))
-    c = t.groupBy("sample_id", TX.hashed_bucket("tok", dims).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    per = c.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("_m"))
+    (h24(token) mod dims), counts L2-normalised.
+
+    Returns ``id_col, *keep, vec``; ``keep`` (default: every column except
+    the text and tokens) must be functionally dependent on ``id_col``.
+    Texts never travel through a shuffle: tokens are hashed in place, the
+    (doc, bucket) counts are combined map-side, and every document gets one
+    marker row so documents without tokens still come out (zero vector)."""
+    if keep is None:
+        keep = [c for c in df.columns if c not in (id_col, text_col, "tokens")]
+    keys = [id_col, *keep]
+    toks = TX.tokens_of(df, text_col)
+    t = df.select(*keys, F.explode(toks).alias("tok")).select(
+        *keys, TX.hashed_bucket("tok", dims).alias("b"), F.lit(1).alias("c"))
+    marker = df.select(*keys, F.lit(-1).alias("b"), F.lit(0).alias("c"))
+    c = t.unionByName(marker).groupBy(*keys, "b").agg(F.sum("c").alias("c"))
+    per = c.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
                         lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("double"))
-    nrm = F.sqrt(F.aggregate(dense, F.lit(0.0), lambda a, x: a + x * x))
-    vec = F.transform(dense, lambda x: F.when(nrm > 0, x / nrm).otherwise(F.lit(0.0)))
-    emb = per.select("sample_id", vec.alias("vec"))
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return (df.join(emb, "sample_id", "left")
-              .withColumn("vec", F.coalesce(F.col("vec"), zero)))
+    per = per.withColumn("_d", dense)
+    nrm = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, x: a + x * x))
+    vec = F.transform("_d", lambda x: F.when(nrm > 0, x / nrm).otherwise(F.lit(0.0)))
+    return per.select(*keys, vec.alias("vec"))

@@ -104,7 +104,7 @@ def diversity_report(splits: DataFrame, ref_split: str, results_path: str | None
     ``ref_split``; long cells (metric, row_key, split, value), upserted."""
     from pyspark import StorageLevel
     t = splits.withColumn("tokens", TX.normalized_tokens("text")).persist(StorageLevel.MEMORY_AND_DISK)
-    vecs = (embedder(t) if embedder else TK.hashed_embedding(t)).select("split", "label", "sample_id", "vec")
+    vecs = (embedder(t) if embedder else TK.hashed_embedding(t, keep=("split", "label"))).select("split", "label", "sample_id", "vec")
     per_class = DV.class_metrics(vecs)
     wide = (DV.macro_average(per_class)
             .join(DV.affinity(per_class.select("split", "label", "center"), ref_split), "split", "full")

@@ -93,7 +93,7 @@ SELECT sample_id, CAST(b - 1 AS INTEGER) AS b, round(vec[b], 6) AS value
 FROM (SELECT sample_id, vec, unnest(generate_series(1, len(vec))) AS b FROM hv)
 WHERE vec[b] <> 0"""))
 def hashed_embedding(spark, sf):
-    e = TK.hashed_embedding(FX.fx_text(spark, sf))
+    e = TK.hashed_embedding(FX.fx_text(spark, sf), keep=())
     return (e.select("sample_id", F.posexplode("vec").alias("b", "value"))
              .filter(F.col("value") != 0)
              .select("sample_id", F.col("b").cast("int").alias("b"), F.round("value", 6).alias("value")))
