@@ -11,6 +11,8 @@ only; no pair is ever emitted as a row.
 
 from __future__ import annotations
 
+from divaug.session import track
+
 import math
 
 import numpy as np
@@ -129,14 +131,18 @@ def class_pair_stats(df: DataFrame, block_rows: int = 2048, vec: str = "vec",
     sizes = x.groupBy("split", "label").agg(F.count(F.lit(1)).alias("m"),
                                             F.max(F.size("vec")).alias("h"))
     nblk = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(block_rows))).cast("int")
-    sizes = sizes.withColumn("_nb", nblk)
+    # one row per class: broadcast under a guard on the number of classes
+    sizes = (sizes.withColumn("_nb", nblk)
+                  .withColumn("_classes", F.count(F.lit(1)).over(Window.partitionBy()))
+                  .withColumn("_nb", F.when(F.col("_classes") > max_classes, F.raise_error(
+                      F.lit(f"class_pair_stats: more than {max_classes} classes"))).otherwise(F.col("_nb")))
+                  .drop("_classes"))
     xb = (x.join(F.broadcast(sizes.select("split", "label", "_nb")), ["split", "label"])
            .withColumn("_blk", F.pmod(F.xxhash64("sample_id"), F.col("_nb")).cast("int"))
            .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
            .withColumn("_lo", F.least("_blk", "_j"))
            .withColumn("_hi", F.greatest("_blk", "_j"))
            .drop("_j", "_nb"))
-    del max_classes
     schema = ("split string, label int, sample_id long, dist_sum double, w_sum double, "
               "wlogw_sum double, nnz double")
     parts = xb.groupBy("split", "label", "_lo", "_hi").applyInPandas(_pair_kernel(), schema)
@@ -163,10 +169,10 @@ def class_metrics(df: DataFrame, block_rows: int = 2048) -> DataFrame:
     (small, one row per class) result usually feeds several reports, so both
     are persisted instead of recomputed."""
     from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = track(df.persist(StorageLevel.MEMORY_AND_DISK))
     lin = class_linear_stats(df)
     pair = class_pair_stats(df, block_rows=block_rows).drop("n")
-    return lin.join(pair, ["split", "label"], "left").persist(StorageLevel.MEMORY_AND_DISK)
+    return track(lin.join(pair, ["split", "label"], "left").persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def macro_average(per_class: DataFrame, metrics=("avg_distance", "dissimilarity", "embed_std",

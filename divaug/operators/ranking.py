@@ -25,6 +25,8 @@ deterministic; it then equals the window result exactly.
 
 from __future__ import annotations
 
+from divaug.session import track
+
 from collections.abc import Sequence
 
 import numpy as np
@@ -82,7 +84,7 @@ def rank_within(df: DataFrame, order: Sequence[Column], groups: Sequence[str] =
                 .sortWithinPartitions(*sort_exprs)
                 .withColumn("_pid", F.spark_partition_id()))
     out_schema = T.StructType(ranged.schema.fields + [T.StructField("_lrank", T.LongType(), False)])
-    local = ranged.mapInPandas(_local_numbering(groups), out_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    local = track(ranged.mapInPandas(_local_numbering(groups), out_schema).persist(StorageLevel.MEMORY_AND_DISK))
 
     counts = local.groupBy("_pid", *groups).agg(F.max("_lrank").alias("_cnt"))
     wg = Window.partitionBy(*groups) if groups else Window.partitionBy()

@@ -54,3 +54,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder (for materialised tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+_TRACKED: list = []
+
+
+def track(df):
+    """Remember a persisted intermediate so a long-lived session can release
+    it (``release_cached``) once the result that needed it has been used."""
+    _TRACKED.append(df)
+    return df
+
+
+def release_cached() -> int:
+    n = 0
+    while _TRACKED:
+        try:
+            _TRACKED.pop().unpersist(blocking=False)
+            n += 1
+        except Exception:  # noqa: BLE001 - session already stopped
+            pass
+    return n

@@ -30,11 +30,16 @@ def read_splits(spark: SparkSession, base: str, files: dict[str, str],
     """Read named files {split: relative path} in one scan with a fixed
     schema; the split comes from the file name through a broadcast of the
     (small, caller-given) split -> file map."""
-    paths = [f"{base.rstrip('/')}/{f}" for f in files.values()]
-    df = spark.read.schema(schema).json(paths).withColumn("_file", F.col("_metadata.file_path"))
-    names = spark.createDataFrame([(s, f"{base.rstrip('/')}/{f}") for s, f in files.items()], "split string, _prefix string")
-    j = df.join(F.broadcast(names), F.col("_file").contains(F.regexp_replace("_prefix", "^file:", "")))
-    return j.drop("_file", "_prefix")
+    import re
+    root = base.rstrip("/")
+    paths = [f"{root}/{f}" for f in files.values()]
+    bare = re.sub(r"^file:", "", root)
+    # the first path component below ``base`` names the file (or the folder
+    # of part files) the row came from: an equi-join key
+    rel = F.regexp_extract(F.col("_metadata.file_path"), "^.*?" + re.escape(bare) + "/([^/]+)", 1)
+    df = spark.read.schema(schema).json(paths).withColumn("_file", rel)
+    names = spark.createDataFrame(list(files.items()), "split string, _file string")
+    return df.join(F.broadcast(names), "_file").drop("_file")
 
 
 def read_jsonl_partitioned(spark: SparkSession, path: str, schema: T.StructType = LABELLED_SCHEMA) -> DataFrame:
