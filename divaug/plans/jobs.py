@@ -59,7 +59,8 @@ def select_coresets(log: DataFrame, texts: DataFrame, out_dir: str, seed: int =
     red = reduced.select("sample_id", "text", "label", F.explode(F.array(*[
         F.when(F.col(f"in_{s}"), F.lit(f"reduced_{s}")) for s in sizes])).alias("split")).filter(F.col("split").isNotNull())
     IO.write_jsonl(red, f"{out_dir}/reduced")
-    scores = IO.materialize(D.score_table(log), f"{out_dir}/scores")
+    log = IO.materialize(log, f"{out_dir}/training_dynamics", partition_by=["epoch"])   # S5
+    scores = IO.materialize(D.score_table(log), f"{out_dir}/scores")                     # S6
     splits = coreset_splits(scores).join(texts.select("sample_id", "text"), "sample_id")
     IO.write_jsonl(splits.select("sample_id", "text", "label", "split"), f"{out_dir}/coresets")
     return {"scores": scores, "coresets": IO.read_jsonl_partitioned(spark, f"{out_dir}/coresets"),

@@ -81,7 +81,7 @@ def split_seed_eval(spark, sf):
     parts = []
     for split in FX.VEC_SPLITS:
         train = v.filter(F.col("split") == split)
-        for seed in (37, 38):
+        for seed in FX.EVAL_SEEDS:
             pred = EV.train_eval(train, v, seed, max_iter=10)
             parts.append(EV.accuracy(pred.withColumn("split", F.lit(split)).withColumn("seed", F.lit(seed))))
     out = parts[0]

@@ -32,3 +32,13 @@ def test_streaming_equals_batch(spark):
     j = s.join(b.withColumnRenamed("forgetting", "fb"), "sample_id")
     assert j.filter(F.col("forgetting") != F.col("fb")).count() == 0
     assert j.count() == b.count()
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cross_or_nested_loop_join(spark, name):
+    if name in SLOW:
+        pytest.skip("ML re-aim")
+    from divaug.session import release_cached
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    release_cached()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
