@@ -22,10 +22,14 @@ DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "divaug") -> SparkSession:
+                app_name: str = "divaug", driver_memory: str | None = None) -> SparkSession:
+    """``driver_memory`` matters only for local mode (the driver JVM is the
+    whole engine there); on a cluster it is spark-submit's business."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
