@@ -8,11 +8,13 @@ share of the rows.  All bands of one key come from a single rank.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divaug.functions.hashing import seeded_key
 from divaug.operators.ranking import rank_within
+from divaug.session import track
 
 # Fixed values of the reference's selection step.
 CORESET_KEYS = ["entropy", "el2n", "variance"]
@@ -129,9 +131,15 @@ def strata_ranked(binned: DataFrame, seed: int = 42) -> DataFrame:
 def ccs_prepare(scores: DataFrame, key: str = MIS_KEY, mis_ratio: float = MIS_RATIO,
                 strata: int = STRATA, seed: int = 42):
     """Prune once, bin the kept rows, rank inside bins.  Returns
-    (ranked rows, histogram, n_total)."""
+    (ranked rows, histogram, n_total).
+
+    The scores and the pruned rows each feed several actions (count,
+    min/max, range sampling, the final draws), so both are persisted once
+    instead of being recomputed per action."""
+    scores = track(scores.persist(StorageLevel.MEMORY_AND_DISK))
     n_total = scores.count()
-    kept = mislabel_prune(scores, key, mis_ratio).drop("grank", "n_total")
+    kept = track(mislabel_prune(scores, key, mis_ratio).drop("grank", "n_total")
+                 .persist(StorageLevel.MEMORY_AND_DISK))
     binned = strata_bins(kept, key, strata)
     ranked = strata_ranked(binned, seed)
     hist = strata_histogram(binned, strata)
