@@ -3,21 +3,23 @@
 ``row_number() over (partition by g order by k)`` puts each group in a single
 task; with few groups (labels, strata, categories, or the whole table) one task
 would hold a third of the data.  ``rank_within`` computes the same numbers as
-a distributed job:
+a distributed, JVM-only job:
 
 1. range-partition on ``(g, k)`` (Spark samples the composite key, so a group
    larger than a partition is split across several partitions) and sort each
    partition;
-2. number rows locally per group inside each partition (Arrow batches);
-3. per (partition, group) counts -> running offsets: a table of at most
-   ``P + G`` rows, broadcast behind a guard that fails the job if the declared
-   bound is exceeded;
-4. rank = offset + local number.
+2. tag each row with its partition and its position inside the sorted
+   partition (``monotonically_increasing_id`` is exactly that position
+   counter after a sort; it is never used as a row identity);
+3. per (partition, group): first position and row count -> running offsets,
+   a table of at most ``P + G`` rows, broadcast behind a guard that fails the
+   job if the declared bound is exceeded;
+4. rank = offset + (position - first position) + 1.
 
-The locally numbered frame is persisted (MEMORY_AND_DISK): the counts and the
-final join must read one materialisation, because two independent range
-shuffles may sample different bounds.  A lost cached block is rebuilt from the
-same lineage (same partitioner), so the numbers stay consistent.
+The tagged frame is persisted (MEMORY_AND_DISK): the per-partition counts and
+the final join must read one materialisation.  A lost cached block is rebuilt
+from the same lineage (same partitioner bounds, same total sort order), so
+the positions are reproduced exactly.
 
 The order must be total (end it with a unique id) for the result to be
 deterministic; it then equals the window result exactly.
@@ -25,44 +27,13 @@ deterministic; it then equals the window result exactly.
 
 from __future__ import annotations
 
-from divaug.session import track
-
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark import StorageLevel
 
-
-def _local_numbering(group_cols: list[str]):
-    def same(a, b) -> bool:
-        return all((pd.isna(x) and pd.isna(y)) or x == y for x, y in zip(a, b))
-
-    def fn(it):
-        last_key, last_count = None, 0
-        for pdf in it:
-            n = len(pdf)
-            if n == 0:
-                yield pdf.assign(_lrank=np.zeros(0, dtype="int64"))
-                continue
-            if not group_cols:
-                r = np.arange(last_count + 1, last_count + n + 1, dtype="int64")
-                last_count += n
-                yield pdf.assign(_lrank=r)
-                continue
-            g = pdf.groupby(group_cols, sort=False, dropna=False)
-            codes = g.ngroup().to_numpy()
-            r = g.cumcount().to_numpy().astype("int64") + 1
-            first = tuple(pdf[c].iloc[0] for c in group_cols)
-            if last_key is not None and same(first, last_key):
-                r[codes == codes[0]] += last_count
-            last_key = tuple(pdf[c].iloc[-1] for c in group_cols)
-            last_count = int(r[-1])
-            yield pdf.assign(_lrank=r)
-    return fn
+from divaug.session import track
 
 
 def rank_within(df: DataFrame, order: Sequence[Column], groups: Sequence[str] = (),
@@ -80,13 +51,14 @@ def rank_within(df: DataFrame, order: Sequence[Column], groups: Sequence[str] =
     groups = list(groups)
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_exprs = [F.col(g).asc_nulls_first() for g in groups] + list(order)
-    ranged = (df.repartitionByRange(p, *sort_exprs)
+    tagged = (df.repartitionByRange(p, *sort_exprs)
                 .sortWithinPartitions(*sort_exprs)
-                .withColumn("_pid", F.spark_partition_id()))
-    out_schema = T.StructType(ranged.schema.fields + [T.StructField("_lrank", T.LongType(), False)])
-    local = track(ranged.mapInPandas(_local_numbering(groups), out_schema).persist(StorageLevel.MEMORY_AND_DISK))
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_pos", F.monotonically_increasing_id()))
+    tagged = track(tagged.persist(StorageLevel.MEMORY_AND_DISK))
 
-    counts = local.groupBy("_pid", *groups).agg(F.max("_lrank").alias("_cnt"))
+    counts = tagged.groupBy("_pid", *groups).agg(F.min("_pos").alias("_first"),
+                                                F.count(F.lit(1)).alias("_cnt"))
     wg = Window.partitionBy(*groups) if groups else Window.partitionBy()
     bound = p + max_groups
     offsets = (counts
@@ -100,9 +72,8 @@ def rank_within(df: DataFrame, order: Sequence[Column], groups: Sequence[str] =
                .drop("_cnt", "_rows"))
     o = F.broadcast(offsets.select([F.col(c).alias(f"_o_{c}") for c in offsets.columns]))
     cond = [F.col("_pid") == F.col("_o__pid")] + [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups]
-    res = local.join(o, on=cond, how="inner").withColumnRenamed("_o__off", "_off").withColumnRenamed("_o__gcnt", "_gcnt")
-    res = res.drop(*[f"_o_{c}" for c in offsets.columns])
-    res = res.withColumn(name, (F.col("_off") + F.col("_lrank")).cast("long"))
+    res = tagged.join(o, on=cond, how="inner")
+    res = res.withColumn(name, (F.col("_o__off") + (F.col("_pos") - F.col("_o__first")) + 1).cast("long"))
     if count_name:
-        res = res.withColumn(count_name, F.col("_gcnt").cast("long"))
-    return res.drop("_pid", "_lrank", "_off", "_gcnt")
+        res = res.withColumn(count_name, F.col("_o__gcnt").cast("long"))
+    return res.drop("_pid", "_pos", *[f"_o_{c}" for c in offsets.columns])
