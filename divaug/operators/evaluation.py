@@ -65,3 +65,23 @@ def train_eval(train: DataFrame, test: DataFrame, seed: int, max_iter: int = 20)
     te = test.select("sample_id", "label", array_to_vector("vec").alias("features"))
     out = model.transform(te)
     return out.select("sample_id", "label", vector_to_array("rawPrediction").alias("logits"))
+
+
+def split_seed_accuracy(vecs: DataFrame, test: DataFrame, splits, seeds, max_iter: int = 20,
+                        max_parallel: int = 4) -> DataFrame:
+    """E2 over splits x seeds: the (eager) model fits are submitted from a
+    small thread pool so Spark runs several fit jobs at once instead of
+    leaving the cluster idle between small jobs; the evaluations stay lazy."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(job):
+        split, seed = job
+        pred = train_eval(vecs.filter(F.col("split") == split), test, seed, max_iter)
+        return accuracy(pred.withColumn("split", F.lit(split)).withColumn("seed", F.lit(seed)))
+    jobs = [(s, seed) for s in splits for seed in seeds]
+    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+        parts = list(pool.map(one, jobs))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -122,16 +122,8 @@ def evaluate(splits: DataFrame, test: DataFrame, seeds=range(37, 47), results_pa
              max_iter: int = 20) -> DataFrame:
     """Stage 5: one classifier per split and seed, accuracy cells upserted;
     returns the cells (pivot with ``EV.performance_matrix``)."""
-    parts = []
-    names = [r[0] for r in splits.select("split").distinct().collect()]   # split names: a bounded catalog
-    for s in sorted(names):
-        tr = splits.filter(F.col("split") == s)
-        for seed in seeds:
-            pred = EV.train_eval(tr, test, seed, max_iter)
-            parts.append(EV.accuracy(pred.withColumn("split", F.lit(s)).withColumn("seed", F.lit(seed))))
-    acc = parts[0]
-    for p in parts[1:]:
-        acc = acc.unionByName(p)
+    names = sorted(r[0] for r in splits.select("split").distinct().collect())   # split names: a bounded catalog
+    acc = EV.split_seed_accuracy(splits, test, names, list(seeds), max_iter)
     cells = acc.select(F.lit("accuracy").alias("metric"), F.col("seed").cast("string").alias("row_key"), "split",
                        F.col("accuracy").alias("value"))
     return _upsert(cells, results_path)

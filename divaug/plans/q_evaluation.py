@@ -75,19 +75,10 @@ def missing_splits(spark, sf):
 
 @register("split_seed_eval", None)
 def split_seed_eval(spark, sf):
-    """E2 re-aimed: per split x seed a classifier on the split's vectors,
-    evaluated on the whole table; accuracy per (split, seed)."""
+    """E2 re-aimed: per split x seed (37..46) a classifier on the split's
+    vectors, evaluated on the whole table; accuracy per (split, seed)."""
     v = FX.fx_vec(spark, sf)
-    parts = []
-    for split in FX.VEC_SPLITS:
-        train = v.filter(F.col("split") == split)
-        for seed in FX.EVAL_SEEDS:
-            pred = EV.train_eval(train, v, seed, max_iter=10)
-            parts.append(EV.accuracy(pred.withColumn("split", F.lit(split)).withColumn("seed", F.lit(seed))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return EV.split_seed_accuracy(v, v, FX.VEC_SPLITS, FX.EVAL_SEEDS, max_iter=10)
 
 
 @register("dynamics_log_ml", None)

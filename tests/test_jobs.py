@@ -27,3 +27,13 @@ def test_stage_jobs_end_to_end(spark):
     n1 = rep.count()
     rep2 = J.diversity_report(FX.fx_text(spark, SF), "variance_top_2_3", res, dataset="docs")
     assert rep2.count() == n1   # upsert replaces, never duplicates
+
+
+def test_evaluate_job_upserts_accuracy(spark):
+    out = shared_path(spark, "eval-" + uuid.uuid4().hex)
+    v = FX.fx_vec(spark, SF)
+    cells = J.evaluate(v, v, seeds=[37, 38], results_path=f"{out}/perf", max_iter=5)
+    assert cells.count() == 3 * 2
+    again = J.evaluate(v, v, seeds=[37, 38], results_path=f"{out}/perf", max_iter=5)
+    assert again.count() == 3 * 2
+    assert all(0.0 <= r.value <= 1.0 for r in again.collect())
