@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from divaug.functions import text as TX
 
@@ -77,28 +80,30 @@ def split_token_count(df: DataFrame, vocab: DataFrame, by: str = "split") -> Dat
         by, (F.coalesce("_ids", F.lit(0)) + 2 + F.col("_pad")).alias("token_count"))
 
 
+def _bucket_vectors(dims: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def to_vec(buckets: pd.Series) -> pd.Series:
+        out = []
+        for b in buckets:
+            c = np.bincount(np.asarray(b, dtype=np.int64), minlength=dims).astype(np.float64)
+            n = np.sqrt(float((c * c).sum()))
+            out.append(c / n if n > 0 else c)
+        return pd.Series(out)
+    return to_vec
+
+
 def hashed_embedding(df: DataFrame, dims: int = 64, text_col: str = "text", keep=None,
                      id_col: str = "sample_id") -> DataFrame:
     """V1 default embedder: bag of normalised tokens hashed to ``dims`` buckets
     (h24(token) mod dims), counts L2-normalised.
 
-    Returns ``id_col, *keep, vec``; ``keep`` (default: every column except
-    the text and tokens) must be functionally dependent on ``id_col``.
-    Texts never travel through a shuffle: tokens are hashed in place, the
-    (doc, bucket) counts are combined map-side, and every document gets one
-    marker row so documents without tokens still come out (zero vector)."""
+    Returns ``id_col, *keep, vec``; ``keep`` defaults to every column except
+    the text and tokens.  Row-local and shuffle-free: tokens are hashed to
+    bucket ids in the JVM, and a vectorised helper counts each document's ids
+    (np.bincount) and normalises them.  Documents without tokens get the zero
+    vector."""
     if keep is None:
         keep = [c for c in df.columns if c not in (id_col, text_col, "tokens")]
-    keys = [id_col, *keep]
     toks = TX.tokens_of(df, text_col)
-    t = df.select(*keys, F.explode(toks).alias("tok")).select(
-        *keys, TX.hashed_bucket("tok", dims).alias("b"), F.lit(1).alias("c"))
-    marker = df.select(*keys, F.lit(-1).alias("b"), F.lit(0).alias("c"))
-    c = t.unionByName(marker).groupBy(*keys, "b").agg(F.sum("c").alias("c"))
-    per = c.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("double"))
-    per = per.withColumn("_d", dense)
-    nrm = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, x: a + x * x))
-    vec = F.transform("_d", lambda x: F.when(nrm > 0, x / nrm).otherwise(F.lit(0.0)))
-    return per.select(*keys, vec.alias("vec"))
+    b = df.select(id_col, *keep, F.transform(toks, lambda x: TX.hashed_bucket(x, dims)).alias("_b"))
+    return b.select(id_col, *keep, _bucket_vectors(dims)(F.col("_b")).alias("vec"))
