@@ -1,7 +1,3 @@
-import math
-
-import pytest
-from pyspark.sql import functions as F
 
 from divaug.operators import candidates as CD
 from divaug.sources import io as IO

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from divaug.operators import coreset as K
 

@@ -1,9 +1,7 @@
-import itertools
 import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from divaug.functions import text as TX
 from divaug.operators import diversity as DV
