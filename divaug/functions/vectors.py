@@ -19,6 +19,17 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def rnd(x, k: int) -> Column:
+    """Round to ``k`` places on the binary value: round(x * 10^k) / 10^k.
+
+    Spark's ``round`` on a double rounds its shortest decimal string, so at a
+    decimal tie (0.12115 stored as 0.121149999...) it rounds up where the
+    float arithmetic of numpy/pandas (and DuckDB) rounds down.  Rounding the
+    scaled double to an integer is identical in both."""
+    m = float(10 ** k)
+    return F.round(_c(x) * F.lit(m), 0) / F.lit(m)
+
+
 def as_double_array(x) -> Column:
     return _c(x).cast("array<double>")
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from divaug.functions import text as TX
 from divaug.functions import vectors as V
 from divaug.operators import tokens as TK
+from divaug.functions.vectors import rnd
 
 # The paraphrase instruction and the multilingual note.
 INSTRUCTION = "You will be given a sentence. Please paraphrase the sentence. "
@@ -151,7 +152,7 @@ def candidate_distances(originals: DataFrame, cands: DataFrame, key: str, metric
         dist = -V.cosine_similarity("_ov", "_cv")
     # Rounded to 12 places so mathematically tied candidates tie exactly
     # (then the lower index wins, as in the reference's argmax/argmin).
-    return j.select(key, "cand_idx", F.round(dist, 12).alias("_d"))
+    return j.select(key, "cand_idx", rnd(dist, 12).alias("_d"))
 
 
 def select_extremes(originals: DataFrame, cands: DataFrame, key: str, metric: str = "l2") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from divaug.functions import vectors as V
 from divaug.session import track
+from divaug.functions.vectors import rnd
 
 ROUND = 6
 
@@ -180,7 +181,7 @@ def macro_average(per_class: DataFrame, metrics=("avg_distance", "dissimilarity"
     and counted."""
     aggs = []
     for mname in metrics:
-        aggs.append(F.round(F.avg(mname), ROUND).alias(mname))
+        aggs.append(rnd(F.avg(mname), ROUND).alias(mname))
     aggs.append(F.count(F.when(F.col("homogeneity").isNull(), 1)).alias("n_undefined_homogeneity"))
     aggs.append(F.count(F.lit(1)).alias("n_classes"))
     return per_class.groupBy("split").agg(*aggs)
@@ -198,5 +199,5 @@ def affinity(centers: DataFrame, ref_split: str) -> DataFrame:
     g = j.withColumn("_dev", dev).groupBy("split").agg(
         F.avg("_dev").alias("_mdev"),
         F.count(F.when(F.col("_rc").isNull(), 1)).alias("n_unmatched_labels"))
-    return g.select("split", F.round(F.try_divide(F.lit(1.0), F.when(F.col("_mdev") > 0, F.col("_mdev"))),
+    return g.select("split", rnd(F.try_divide(F.lit(1.0), F.when(F.col("_mdev") > 0, F.col("_mdev"))),
                                      ROUND).alias("affinity"), "n_unmatched_labels")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divaug.functions import vectors as V
+from divaug.functions.vectors import rnd
 
 ROUND_ACC = 6
 ROUND_SUMMARY = 4
@@ -14,14 +15,14 @@ ROUND_SUMMARY = 4
 def accuracy(pred: DataFrame, keys=("split", "seed")) -> DataFrame:
     """mean(argmax(logits) == label) per key."""
     ok = (V.argmax("logits") == F.col("label")).cast("double")
-    return pred.groupBy(*keys).agg(F.round(F.avg(ok), ROUND_ACC).alias("accuracy"))
+    return pred.groupBy(*keys).agg(rnd(F.avg(ok), ROUND_ACC).alias("accuracy"))
 
 
 def seed_summary(acc: DataFrame) -> DataFrame:
     """Per split mean and sample std over seeds, rounded to 4 (one seed:
     NULL std)."""
-    return acc.groupBy("split").agg(F.round(F.avg("accuracy"), ROUND_SUMMARY).alias("avg"),
-                                    F.round(F.stddev_samp("accuracy"), ROUND_SUMMARY).alias("std"))
+    return acc.groupBy("split").agg(rnd(F.avg("accuracy"), ROUND_SUMMARY).alias("avg"),
+                                    rnd(F.stddev_samp("accuracy"), ROUND_SUMMARY).alias("std"))
 
 
 def performance_matrix(acc: DataFrame, splits: list[str]) -> DataFrame:
@@ -42,8 +43,8 @@ def best_key(acc: DataFrame, dataset_col: str = "dataset") -> DataFrame:
         "key", F.regexp_replace("split", "_top_2_3$", ""))
     m = k.groupBy(dataset_col, "key").agg(F.avg("accuracy").alias("avg_acc"))
     return m.groupBy(dataset_col).agg(
-        F.min_by("key", F.struct(-F.round("avg_acc", 12), F.col("key"))).alias("best_key"),
-        F.round(F.max("avg_acc"), ROUND_ACC).alias("best_avg"))
+        F.min_by("key", F.struct(-rnd("avg_acc", 12), F.col("key"))).alias("best_key"),
+        rnd(F.max("avg_acc"), ROUND_ACC).alias("best_avg"))
 
 
 def missing_splits(used: DataFrame, data: DataFrame) -> DataFrame:

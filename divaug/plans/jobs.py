@@ -25,6 +25,7 @@ from divaug.operators import evaluation as EV
 from divaug.operators import sampling as SM
 from divaug.operators import tokens as TK
 from divaug.sources import io as IO
+from divaug.functions.vectors import rnd
 
 
 def prepare_tuning_sets(groups: DataFrame, out_dir: str, sft_groups: int = 20_000,
@@ -113,7 +114,7 @@ def diversity_report(splits: DataFrame, ref_split: str, results_path: str | None
     metrics = ["affinity", "avg_distance", "dissimilarity", "embed_std", "homogeneity", "token_count", "unique_3grams"]
     cells = wide.select("split", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                                      for m in metrics])).alias("c")).select(
-        F.col("c.metric").alias("metric"), F.lit(dataset).alias("row_key"), "split", F.round("c.value", 6).alias("value"))
+        F.col("c.metric").alias("metric"), F.lit(dataset).alias("row_key"), "split", rnd("c.value", 6).alias("value"))
     return _upsert(cells, results_path)
 
 

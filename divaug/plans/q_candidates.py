@@ -16,6 +16,7 @@ from divaug.plans.q_sampling import GROUP_POS, SFT_GROUPS, DPO_GROUPS, SHARES, _
 from divaug.plans.registry import register
 from divaug.sources import catalog as CT
 from divaug.sources import fixtures as FX
+from divaug.functions.vectors import rnd
 
 INS = CD.INSTRUCTION
 SFT_CAP, DPO_CAP = 100_000, 50_000   # fixed values: max_samples of the tuning configs
@@ -325,7 +326,7 @@ def l2_distance(spark, sf):
     c = good.select("group_id", F.posexplode("items").alias("cand_idx", "cand_text")).withColumn(
         "cand_idx", F.col("cand_idx").cast("int"))
     d = CD.candidate_distances(good.select("group_id", "text"), c, "group_id", "l2")
-    return d.select("group_id", "cand_idx", F.round("_d", 6).alias("distance"))
+    return d.select("group_id", "cand_idx", rnd("_d", 6).alias("distance"))
 
 
 @register("qa_schema_projection", S.with_([], """

@@ -15,6 +15,7 @@ from divaug.session import shared_path
 from divaug.sources import fixtures as FX
 from divaug.sources import io as IO
 from divaug.streaming import dynamics_stream as ST
+from divaug.functions.vectors import rnd
 
 ROUNDTRIP_SQL = S.with_([S.FX_TEXT], "SELECT sample_id, label, split, md5(text) AS text_md5 FROM fx_text")
 
@@ -80,8 +81,8 @@ def stream_running_scores(spark, sf):
     src = _write_log(spark, sf)
     stream = spark.readStream.schema(ST.LOG_SCHEMA).parquet(src)
     out = ST.run_to_table(spark, ST.running_scores(stream), _scratch(spark, "st1-out"), _scratch(spark, "st1-ckpt"), "complete")
-    return out.select("sample_id", "correctness", F.round("accumulated_margin", 6).alias("accumulated_margin"),
-                      F.round("el2n", 6).alias("el2n"), "n_ep")
+    return out.select("sample_id", "correctness", rnd("accumulated_margin", 6).alias("accumulated_margin"),
+                      rnd("el2n", 6).alias("el2n"), "n_ep")
 
 
 @register("stream_forgetting", S.with_(SCORES, """

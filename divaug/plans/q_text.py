@@ -10,6 +10,7 @@ from divaug.operators import tokens as TK
 from divaug.plans import sqlparts as S
 from divaug.plans.registry import register
 from divaug.sources import fixtures as FX
+from divaug.functions.vectors import rnd
 
 TOKEN_CAP = 1024   # fixed value: cutoff_len of the tuning configs
 ENCODER_LEN = 512  # fixed value: encoder max length
@@ -96,4 +97,4 @@ def hashed_embedding(spark, sf):
     e = TK.hashed_embedding(FX.fx_text(spark, sf), keep=())
     return (e.select("sample_id", F.posexplode("vec").alias("b", "value"))
              .filter(F.col("value") != 0)
-             .select("sample_id", F.col("b").cast("int").alias("b"), F.round("value", 6).alias("value")))
+             .select("sample_id", F.col("b").cast("int").alias("b"), rnd("value", 6).alias("value")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from divaug.operators import coreset as K
 from divaug.operators import dynamics as D
 from divaug.sources import fixtures as FX
+from divaug.functions.vectors import rnd
 
 
 def flagship(spark: SparkSession, sf_dir: str, key: str = "variance") -> DataFrame:
@@ -19,7 +20,7 @@ def flagship(spark: SparkSession, sf_dir: str, key: str = "variance") -> DataFra
     mid-1/3 by ``key``: (sample_id, label, score, band)."""
     scores = D.score_table(FX.fx_dynamics(spark, sf_dir))
     b = K.class_balanced_bands(scores, key, bands=("top_1_3", "mid_1_3"))
-    return b.select("sample_id", "label", F.round("score", 6).alias("score"), "band")
+    return b.select("sample_id", "label", rnd("score", 6).alias("score"), "band")
 
 
 def coreset_splits(scores: DataFrame, keys=K.CORESET_KEYS) -> DataFrame:
