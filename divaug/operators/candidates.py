@@ -174,11 +174,18 @@ def select_extremes(originals: DataFrame, cands: DataFrame, key: str, metric: st
         F.max(F.when(F.col("cand_idx") == F.col("sim_idx"), F.col("cand_text"))).alias("sim_text"))
 
 
-def preference_pairs(groups: DataFrame, metric: str = "l2", id_col: str = "group_id") -> DataFrame:
-    """chosen = farthest paraphrase, rejected = nearest."""
+def preference_pairs(groups: DataFrame, metric: str = "l2", id_col: str = "group_id",
+                     drop_degenerate: bool = False) -> DataFrame:
+    """chosen = farthest paraphrase, rejected = nearest.
+
+    With one candidate (or all tied) chosen == rejected; such pairs are kept
+    by default, as the reference keeps them (quirk Z12), and dropped with
+    ``drop_degenerate=True``."""
     c = groups.select(id_col, F.posexplode("items").alias("cand_idx", "cand_text")).withColumn(
         "cand_idx", F.col("cand_idx").cast("int"))
     sel = select_extremes(groups.select(id_col, "text"), c, id_col, metric)
+    if drop_degenerate:
+        sel = sel.filter(F.col("dis_idx") != F.col("sim_idx"))
     return groups.select(id_col, F.col("text").alias("input")).join(sel, id_col).select(
         id_col, F.lit(INSTRUCTION).alias("instruction"), "input",
         F.col("dis_text").alias("chosen"), F.col("sim_text").alias("rejected"))

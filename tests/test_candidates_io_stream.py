@@ -51,3 +51,13 @@ def test_upsert(spark):
     new = spark.createDataFrame([("m", "d", "s2", 9.0), ("m", "d", "s3", 3.0)], "metric string, row_key string, split string, value double")
     got = {r.split: r.value for r in IO.upsert_cells(old, new).collect()}
     assert got == {"s1": 1.0, "s2": 9.0, "s3": 3.0}
+
+
+def test_preference_pairs_degenerate(spark):
+    g = spark.createDataFrame([(1, "a b c", ["a b c d"]), (2, "x y", ["x y", "p q r"])],
+                              "group_id long, text string, items array<string>")
+    keep = {r.group_id: r for r in CD.preference_pairs(g).collect()}
+    assert keep[1].chosen == keep[1].rejected == "a b c d"
+    assert keep[2].chosen == "p q r" and keep[2].rejected == "x y"
+    drop = {r.group_id for r in CD.preference_pairs(g, drop_degenerate=True).collect()}
+    assert drop == {2}
