@@ -25,14 +25,22 @@ def flagship(spark: SparkSession, sf_dir: str, key: str = "variance") -> DataFra
 
 def coreset_splits(scores: DataFrame, keys=K.CORESET_KEYS) -> DataFrame:
     """All coreset splits of the reference: coreset_{key}_{band} for the score
-    keys and coreset_ccs_aum_{band}; columns sample_id, label, split."""
-    parts = []
-    for k in keys:
-        b = K.class_balanced_bands(scores, k)
-        parts.append(b.select("sample_id", "label", F.concat(F.lit(f"coreset_{k}_"), F.col("band")).alias("split")))
+    keys and coreset_ccs_aum_{band}; columns sample_id, label, split.
+
+    All score keys are ranked by one range shuffle: the score table is melted
+    to (key, sample_id, label, score) and ranked within (key, label)."""
+    from divaug.operators.ranking import rank_within
+    arr = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("score")) for k in keys])
+    long = scores.select("sample_id", "label", F.explode(arr).alias("_ks")).select(
+        F.col("_ks.key").alias("key"), "sample_id", "label", F.col("_ks.score").alias("score"))
+    r = rank_within(long, [F.col("score").desc_nulls_last(), F.col("sample_id").asc()], ["key", "label"],
+                    name="rank", count_name="n_label", max_groups=K.MAX_LABELS * len(keys))
+    bands = ["top_1_2", "top_1_3", "mid_1_3", "top_2_3"]
+    cut = lambda r_: F.floor(F.col("n_label").cast("double") * F.lit(float(r_)))
+    arr_b = F.array(*[F.when((F.col("rank") > cut(K.BANDS[b][0])) & (F.col("rank") <= cut(K.BANDS[b][1])),
+                             F.lit(b)) for b in bands])
+    cb = r.select("sample_id", "label", "key", F.explode(F.filter(arr_b, lambda x: x.isNotNull())).alias("band"))
+    cb = cb.select("sample_id", "label", F.concat(F.lit("coreset_"), F.col("key"), F.lit("_"), F.col("band")).alias("split"))
     c = K.ccs_bands(scores)
-    parts.append(c.select("sample_id", "label", F.concat(F.lit("coreset_ccs_aum_"), F.col("band")).alias("split")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ccs = c.select("sample_id", "label", F.concat(F.lit("coreset_ccs_aum_"), F.col("band")).alias("split"))
+    return cb.unionByName(ccs)
