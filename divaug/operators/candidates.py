@@ -113,21 +113,24 @@ builtin_generator.deterministic = True
 
 def pandas_generator(fn: Callable[[list[str]], list[list[str]]], k: int = N_CANDIDATES) -> Callable:
     """Wrap a batch text->k-candidates function (e.g. a model loaded once per
-    task) as a generator hook with the same contract as builtin_generator."""
+    task) as a generator hook with the same contract as builtin_generator.
+    Each Arrow batch of texts is handed to ``fn`` at once; outputs are
+    flattened with a vectorised explode."""
     def hook(df: DataFrame, text_col: str = "text") -> DataFrame:
         keys = [c for c in df.columns if c != text_col]
-        schema = df.select(*keys).schema.simpleString()[len("struct<"):-1]
-        schema = f"{schema.replace(':', ' ')}, cand_idx int, cand_text string"
+        out_schema = T.StructType([f for f in df.schema.fields if f.name != text_col]
+                                  + [T.StructField("cand_idx", T.IntegerType()),
+                                     T.StructField("cand_text", T.StringType())])
 
         def run(it):
             for pdf in it:
                 outs = fn(pdf[text_col].tolist())
-                rows = []
-                for (_, r), cands in zip(pdf.iterrows(), outs):
-                    for i, c in enumerate(cands[:k]):
-                        rows.append({**{kk: r[kk] for kk in keys}, "cand_idx": i, "cand_text": c})
-                yield pd.DataFrame(rows, columns=keys + ["cand_idx", "cand_text"])
-        return df.mapInPandas(run, schema)
+                res = pdf[keys].copy()
+                res["cand_text"] = [list(c)[:k] for c in outs]
+                res = res.explode("cand_text", ignore_index=True).dropna(subset=["cand_text"])
+                res["cand_idx"] = res.groupby(keys, sort=False).cumcount().astype("int32")
+                yield res[keys + ["cand_idx", "cand_text"]]
+        return df.mapInPandas(run, out_schema)
     hook.deterministic = False
     return hook
 

@@ -61,3 +61,15 @@ def test_preference_pairs_degenerate(spark):
     assert keep[2].chosen == "p q r" and keep[2].rejected == "x y"
     drop = {r.group_id for r in CD.preference_pairs(g, drop_degenerate=True).collect()}
     assert drop == {2}
+
+
+def test_pandas_generator_hook(spark):
+    def upper_variants(texts):
+        return [[t.upper(), t[::-1], t + " !"] for t in texts]
+    gen = CD.pandas_generator(upper_variants, k=2)
+    df = spark.createDataFrame([(1, "ab cd"), (2, "x")], "sample_id long, text string")
+    c = sorted((r.sample_id, r.cand_idx, r.cand_text) for r in gen(df).collect())
+    assert c == [(1, 0, "AB CD"), (1, 1, "dc ba"), (2, 0, "X"), (2, 1, "x")]
+    # through the selection path (checkpointed because it is not deterministic)
+    sel = {r.sample_id: r for r in CD.paraphrase_select(df, "sample_id", generator=gen).collect()}
+    assert set(sel) == {1, 2}
