@@ -127,9 +127,9 @@ def pandas_generator(fn: Callable[[list[str]], list[list[str]]], k: int = N_CAND
                 outs = fn(pdf[text_col].tolist())
                 res = pdf[keys].copy()
                 res["cand_text"] = [list(c)[:k] for c in outs]
-                res = res.explode("cand_text", ignore_index=True).dropna(subset=["cand_text"])
-                res["cand_idx"] = res.groupby(keys, sort=False).cumcount().astype("int32")
-                yield res[keys + ["cand_idx", "cand_text"]]
+                res = res.explode("cand_text").dropna(subset=["cand_text"])
+                res["cand_idx"] = res.groupby(level=0).cumcount().astype("int32")   # per input row
+                yield res.reset_index(drop=True)[keys + ["cand_idx", "cand_text"]]
         return df.mapInPandas(run, out_schema)
     hook.deterministic = False
     return hook
