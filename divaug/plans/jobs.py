@@ -24,6 +24,7 @@ from divaug.operators import dynamics as D
 from divaug.operators import evaluation as EV
 from divaug.operators import sampling as SM
 from divaug.operators import tokens as TK
+from divaug.sources import catalog as CT
 from divaug.sources import io as IO
 from divaug.functions.vectors import rnd
 
@@ -68,7 +69,7 @@ def select_coresets(log: DataFrame, texts: DataFrame, out_dir: str, seed: int =
 
 
 def augment(coresets: DataFrame, key: str, out_dir: str, stage: str = "dpo", size: str = "50k",
-            variant: str = "sel", model: str = "llama", generator=CD.builtin_generator,
+            variant: str = "sel", model: str = CT.DEFAULT_BASE_MODEL, generator=CD.builtin_generator,
             reduced: DataFrame | None = None, save_sim: bool = False, save_par: bool = False,
             schema: str = "text") -> dict[str, DataFrame]:
     """Stage 4: seeds/non-seeds by variant, generate, pick extremes, assemble.
@@ -88,14 +89,14 @@ def augment(coresets: DataFrame, key: str, out_dir: str, stage: str = "dpo", siz
     for pol, flag in (("dis", True), ("sim", save_sim)):
         if not flag:
             continue
-        name = f"aug_doaug_{stage}{size}_{variant}_{key}_{'dissimilar' if pol == 'dis' else 'similar'}" + \
-            ("" if model == "llama" else f"_{model}")
+        name = f"aug_{CT.METHOD_TAG}_{stage}{size}_{variant}_{key}_{'dissimilar' if pol == 'dis' else 'similar'}" + \
+            ("" if model == CT.DEFAULT_BASE_MODEL else f"_{model}")
         a = CD.augmented_set(seeds, non, chosen, "sample_id", pol)
         IO.write_jsonl(a.select("sample_id", "text", "label", "origin"), f"{out_dir}/{name}", None)
         out[name] = a
     if save_par:
         par = seeds.join(chosen.select("sample_id", F.col("dis_text").alias("paraphrased_text")), "sample_id")
-        IO.write_jsonl(par, f"{out_dir}/para_doaug_{stage}{size}_{variant}_{key}_dissimilar", None)
+        IO.write_jsonl(par, f"{out_dir}/para_{CT.METHOD_TAG}_{stage}{size}_{variant}_{key}_dissimilar", None)
     return out
 
 

@@ -15,7 +15,7 @@ def _cat_values(key=None):
     rows = []
     for g in CT.GROUP_ORDER:
         for i, (s, f) in enumerate(CT.SPLIT_GROUPS[g]):
-            f = f.replace("{clean}", "")
+            f = f.replace("{clean}", "").replace("{method}", CT.METHOD_TAG)
             if key:
                 f = f.replace("{key}", key)
             rows.append(f"('{g}', {i}, '{s}', '{f}')")
@@ -86,16 +86,20 @@ def dataset_dim(spark, sf):
         "dataset", "n_docs", "coreset_key", "num_labels", "eval_split")
 
 
-VARIANTS = [("dpo_d", "dpo", "50k", "sel", "dissimilar", "llama"), ("wo_coreset_dpo_d", "dpo", "50k", "wocst", "dissimilar", "llama"),
-            ("wo_selective_dpo_d", "dpo", "50k", "wosel", "dissimilar", "llama"), ("sft_s", "sft", "100k", "sel", "similar", "llama"),
-            ("sft_d", "sft", "100k", "sel", "dissimilar", "llama"), ("dpo_s", "dpo", "50k", "sel", "similar", "llama"),
-            ("10k", "dpo", "10k", "sel", "dissimilar", "llama"), ("20k", "dpo", "20k", "sel", "dissimilar", "llama"),
-            ("100k", "dpo", "100k", "sel", "dissimilar", "llama"), ("qwen", "dpo", "50k", "sel", "dissimilar", "qwen")]
+_M = CT.DEFAULT_BASE_MODEL
+# split, stage, size, ablation, polarity, model
+VARIANTS = [
+    ("dpo_d", "dpo", "50k", "sel", "dissimilar", _M), ("wo_coreset_dpo_d", "dpo", "50k", "wocst", "dissimilar", _M),
+    ("wo_selective_dpo_d", "dpo", "50k", "wosel", "dissimilar", _M), ("sft_s", "sft", "100k", "sel", "similar", _M),
+    ("sft_d", "sft", "100k", "sel", "dissimilar", _M), ("dpo_s", "dpo", "50k", "sel", "similar", _M),
+    ("10k", "dpo", "10k", "sel", "dissimilar", _M), ("20k", "dpo", "20k", "sel", "dissimilar", _M),
+    ("100k", "dpo", "100k", "sel", "dissimilar", _M), ("qwen", "dpo", "50k", "sel", "dissimilar", "qwen"),
+]
 
 
 @register("variant_catalog", S.with_([DATASETS_SQL], """
-SELECT d.dataset, v.split, 'aug_doaug_' || v.stage || v.size || '_' || v.abl || '_' || """ + _map_sql(CT.CORESET_KEY_OF, CT.DEFAULT_CORESET_KEY, "d.dataset")
-    + """ || '_' || v.pol || CASE WHEN v.model = 'llama' THEN '' ELSE '_' || v.model END AS file
+SELECT d.dataset, v.split, 'aug_""" + CT.METHOD_TAG + """_' || v.stage || v.size || '_' || v.abl || '_' || """ + _map_sql(CT.CORESET_KEY_OF, CT.DEFAULT_CORESET_KEY, "d.dataset")
+    + """ || '_' || v.pol || CASE WHEN v.model = '""" + CT.DEFAULT_BASE_MODEL + """' THEN '' ELSE '_' || v.model END AS file
 FROM ds d CROSS JOIN (VALUES """ + ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in VARIANTS)
     + """) v(split, stage, size, abl, pol, model)"""))
 def variant_catalog(spark, sf):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from divaug.plans import jobs as J
 from divaug.session import shared_path
+from divaug.sources import catalog as CT
 from divaug.sources import fixtures as FX
 
 SF = "/root/testdata/sf0.001"
@@ -18,8 +19,9 @@ def test_stage_jobs_end_to_end(spark):
     splits = {x.split for x in sel["coresets"].select("split").distinct().collect()}
     assert "coreset_variance_top_1_3" in splits and "coreset_ccs_aum_mid_1_3" in splits
     aug = J.augment(sel["coresets"], "variance", out, save_sim=True)
-    assert set(aug) == {"aug_doaug_dpo50k_sel_variance_dissimilar", "aug_doaug_dpo50k_sel_variance_similar"}
-    a = aug["aug_doaug_dpo50k_sel_variance_dissimilar"]
+    tag = CT.METHOD_TAG
+    assert set(aug) == {f"aug_{tag}_dpo50k_sel_variance_dissimilar", f"aug_{tag}_dpo50k_sel_variance_similar"}
+    a = aug[f"aug_{tag}_dpo50k_sel_variance_dissimilar"]
     n_seed = a.filter(F.col("origin") == "seed").count()
     assert a.filter(F.col("origin") == "paraphrase").count() == n_seed
     res = f"{out}/results"
