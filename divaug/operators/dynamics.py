@@ -46,6 +46,13 @@ def score_table(log: DataFrame, max_epoch: int = EL2N_MAX_EPOCH, pad_to: int | N
     padded with 1.0 up to ``pad_to`` records when given), el2n (sum of error
     norms over epochs < max_epoch), entropy/loss/confidence of the last record.
     """
+    # A record repeated for the same (epoch, iteration) counts once.  The
+    # repeat is found with lag() over the same window on sample_id that the
+    # forgetting count uses, so no extra shuffle is added.
+    wd = Window.partitionBy("sample_id").orderBy("epoch", "iteration", "logp")
+    log = (log.withColumn("_rep", (F.lag("epoch").over(wd) == F.col("epoch"))
+                          & (F.lag("iteration").over(wd) == F.col("iteration")))
+              .filter(~F.coalesce(F.col("_rep"), F.lit(False))).drop("_rep"))
     x = with_record_stats(log)
     w = Window.partitionBy("sample_id").orderBy("epoch", "iteration")
     x = x.withColumn("_forget", ((F.lag("ok", 1, 0).over(w) == 1) & (F.col("ok") == 0)).cast("int"))

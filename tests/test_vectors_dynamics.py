@@ -57,3 +57,9 @@ def test_variance_padding(spark):
     t = {r.sample_id: r for r in D.score_table(log, pad_to=D.max_history(log)).collect()}
     assert t[2].variance == pytest.approx(np.std([0.5, 1.0, 1.0]))
     assert t[1].variance == pytest.approx(np.std([0.6, 0.3, 0.8]))
+
+
+def test_duplicated_log_record_counts_once(spark):
+    rows = [(1, 0, 0, [0.6, 0.4]), (1, 1, 0, [0.3, 0.7]), (1, 1, 0, [0.3, 0.7]), (1, 2, 0, [0.8, 0.2])]
+    t = D.score_table(_log(spark, rows)).first()
+    assert t.n_records == 3 and t.correctness == 2 and t.forgetting == 1
