@@ -26,6 +26,7 @@ from divaug.operators import sampling as SM
 from divaug.operators import tokens as TK
 from divaug.sources import catalog as CT
 from divaug.sources import io as IO
+from divaug.session import track
 from divaug.functions.vectors import rnd
 
 
@@ -105,7 +106,7 @@ def diversity_report(splits: DataFrame, ref_split: str, results_path: str | None
     """Stage 6: per split token and embedding diversity plus affinity to
     ``ref_split``; long cells (metric, row_key, split, value), upserted."""
     from pyspark import StorageLevel
-    t = splits.withColumn("tokens", TX.normalized_tokens("text")).persist(StorageLevel.MEMORY_AND_DISK)
+    t = track(splits.withColumn("tokens", TX.normalized_tokens("text")).persist(StorageLevel.MEMORY_AND_DISK))
     vecs = (embedder(t) if embedder else TK.hashed_embedding(t, keep=("split", "label"))).select("split", "label", "sample_id", "vec")
     per_class = DV.class_metrics(vecs)
     wide = (DV.macro_average(per_class)
