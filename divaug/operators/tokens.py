@@ -83,12 +83,15 @@ def split_token_count(df: DataFrame, vocab: DataFrame, by: str = "split") -> Dat
 def _bucket_vectors(dims: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def to_vec(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            c = np.bincount(np.asarray(b, dtype=np.int64), minlength=dims).astype(np.float64)
-            n = np.sqrt(float((c * c).sum()))
-            out.append(c / n if n > 0 else c)
-        return pd.Series(out)
+        # one bincount per Arrow batch over (document index * dims + bucket)
+        lens = buckets.map(len).to_numpy()
+        n_docs = len(lens)
+        flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets]) if n_docs else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(n_docs, dtype=np.int64), lens)
+        c = np.bincount(doc * dims + flat, minlength=n_docs * dims).astype(np.float64).reshape(n_docs, dims)
+        norm = np.sqrt((c * c).sum(axis=1))
+        v = np.divide(c, norm[:, None], out=np.zeros_like(c), where=norm[:, None] > 0)
+        return pd.Series(list(v))
     return to_vec
 
 
