@@ -65,10 +65,9 @@ class HashBitmap:
 def build_bitmap(df: DataFrame, col: str, bits: int) -> HashBitmap:
     """One row for each non-empty 32-bit word comes to the driver: at most
     ``2**(bits - 5)`` rows."""
-    at = F.shiftrightunsigned(F.col(col), 64 - bits)
     rows = (df.filter(F.col(col).isNotNull())
-              .select(F.shiftrightunsigned(at, 5).cast("int").alias("w"),
-                      F.shiftleft(F.lit(1).cast("long"), at.bitwiseAND(31).cast("int")).alias("v"))
+              .select(F.shiftrightunsigned(col, 64 - bits).alias("at"))
+              .selectExpr("cast(at div 32 as int) AS w", "shiftleft(1L, cast(at % 32 as int)) AS v")
               .groupBy("w").agg(F.bit_or("v").alias("v")).toArrow())
     words = np.zeros(1 << (bits - 5), np.uint32)
     words[rows.column("w").to_numpy()] = rows.column("v").to_numpy().astype(np.uint32)
