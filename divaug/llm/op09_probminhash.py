@@ -12,12 +12,14 @@ bands with probability 5e-8.  Texts with the same words are one node before
 banding, so copies never meet as pairs.
 
 Verification: the exact Jaccard similarity of the distinct shingles (as
-32-bit hashes) must be 0.8 or more.  Buckets of up to 16 nodes are compared in full.  In larger buckets the
-node that sits in the most crowded buckets leads and is compared with the
-others; a bucket is revisited, with 8 times as many leaders each time, until
-all its nodes are connected or every node outside its largest component has
-been compared with all nodes of other components.  No link between components
-is lost within a bucket, and no bucket emits all its pairs.
+32-bit hashes) must be 0.8 or more.  Buckets of up to 16 nodes are compared in
+full.  In a larger bucket the node that sits in the most crowded buckets leads
+and is compared with the others.  Where a large bucket then still holds more
+than one component, the nodes outside its largest component are compared, in
+blocks of bounded size, with that component and with each other: the low bytes
+of the registers sift (a pair at 0.8 fails with probability 1e-6), the shingle
+sets decide, and one link for each node and other component is returned.  So
+no link between components of a bucket is lost, and no bucket emits its pairs.
 
 Degenerate input: null, empty and wordless texts are classes of their own
 (one for each row); a text of 1 to 4 words has one shingle of all its words;
@@ -44,6 +46,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 REGISTERS, BAND_ROWS = 128, 4
 SMALL_BUCKET = 16
+BLOCK_NODES, BLOCK_BYTES = 2048, 64 << 20
+SIFT_SIGMAS = 4.75
 FILTER_BITS = 25
 
 
@@ -102,9 +106,11 @@ def _signer(registers: int, band_rows: int, words_each: int):
                 lists = np.empty(len(counts), object)
                 for i, b in zip(some.tolist(), bands):
                     lists[i] = b
+                low = sig.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("rk"), batch.column("doc_id"), pa.array(keys, pa.binary()),
-                     pa.array(lists, pa.list_(pa.int64()))], ["rk", "doc_id", "node", "bands"])
+                     pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())],
+                    ["rk", "doc_id", "node", "bands", "low"])
     return run
 
 
@@ -142,17 +148,9 @@ def _mix64_long(batches):
 def _verifier(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                if not min(len(x), len(y)) >= least * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(both >= least * (len(x) + len(y) - both))
-            out = batch.filter(pa.array(keep, pa.bool_()))
-            yield out.select(["a", "b"])
+            keep = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least)
+                    for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
     return run
 
 
@@ -164,9 +162,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     base = _row_key(docs, id_col, text_col)
     signed = materialize(base.mapInArrow(_signer(registers, band_rows, SHINGLE_WORDS),
-                                         "rk long, doc_id long, node binary, bands array<long>"))
+                                         "rk long, doc_id long, node binary, bands array<long>, low binary"))
     nodes = signed.filter("node is not null").groupBy("node").agg(
-        F.min("rk").alias("rk"), F.min("doc_id").alias("doc_id"), F.min(F.struct("rk", "bands")).alias("x"))
+        F.min("rk").alias("rk"), F.min("doc_id").alias("doc_id"), F.min(F.struct("rk", "bands", "low")).alias("x"))
     members = nodes.select("node", "rk", F.posexplode("x.bands").alias("band", "val"))
     crowded = members.groupBy("band", "val").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(members.join(crowded, ["band", "val"]).select("band", "val", "n", "node", "rk"))
@@ -176,8 +174,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .filter(F.col("a") < F.col("b")).select("a", "b"))
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
     big = materialize(members.filter(F.col("n") > small).join(score, "node").select("band", "val", "node", "score"))
-    lead = _leaders(big, 1)
-    pairs = pairs.unionAll(_led(big, lead)).distinct()
+    lead = (big.groupBy("band", "val").agg(F.max(F.struct("score", "node")).alias("m"))
+               .select("band", "val", F.col("m.node").alias("leader")))
+    pairs = pairs.unionAll(big.join(lead, ["band", "val"]).filter("node <> leader").select(
+        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))).distinct()
 
     keys = members.select("rk").distinct().mapInArrow(_mix64_long, "h long")
     wanted = build_bitmap(keys, "h", FILTER_BITS)
@@ -188,31 +188,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = materialize(_verified(pairs, sets, similarity))
     comps = connected_components(links)
-    used, salts = lead, 1
-    while True:
-        labelled = big.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = (labelled.groupBy("band", "val").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                         .filter("x <> y").select("band", "val"))
-        sizes = labelled.join(split, ["band", "val"]).groupBy("band", "val", "component").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("band", "val").agg(F.max(F.struct("c", "component")).alias("m")).select(
-            "band", "val", F.col("m.component").alias("main"))
-        inside = materialize(labelled.join(main, ["band", "val"]))
-        open_ = (inside.filter(F.col("component") != F.col("main"))
-                       .join(used, ["band", "val", "node"], "left_anti"))
-        salts *= 8
-        lead = materialize(_leaders(open_, salts))
-        if first_row(lead.agg(F.count("*").alias("n")))["n"] == 0:
-            break
-        used = materialize(used.unionAll(lead))
-        own = inside.select("band", "val", "node", "component")
-        led = (own.join(lead.withColumnRenamed("node", "leader"), ["band", "val"])
-                  .join(comps.select(F.col("node").alias("leader"), F.col("component").alias("of")), "leader", "left")
-                  .filter(F.coalesce("of", "leader") != F.col("component")))
-        more = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        found = materialize(_verified(more, sets, similarity))
-        if first_row(found.agg(F.count("*").alias("n")))["n"]:
-            links = materialize(links.unionAll(found).distinct())
-            comps = connected_components(links)
+    rest = _rest(big, comps)
+    if first_row(rest.agg(F.count("*").alias("n")))["n"]:
+        low = nodes.select("node", F.col("x.low").alias("low"))
+        links = materialize(links.unionAll(_blocks(rest, sets, low, similarity)).distinct())
+        comps = connected_components(links)
 
     degree = (links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
                    .groupBy("node").agg(F.count("*").alias("links")))
@@ -227,16 +207,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   .select("rk", "doc_id", "node", "class_id", "links").unionByName(alone))
 
 
-def _leaders(big: DataFrame, salts: int) -> DataFrame:
-    """Up to ``salts`` leaders of each bucket: those in the most crowded buckets."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(salts))
-    return (big.groupBy("band", "val", salt.alias("salt")).agg(F.max(F.struct("score", "node")).alias("m"))
-               .select("band", "val", F.col("m.node").alias("node")))
+def _rest(big: DataFrame, comps: DataFrame) -> DataFrame:
+    """(main, node, component): for each main component of a bucket that holds
+    other components too, its nodes and the outside nodes that met it."""
+    labelled = materialize(big.select("band", "val", "node").join(comps, "node", "left")
+                           .withColumn("component", F.coalesce("component", "node")))
+    sizes = labelled.groupBy("band", "val", "component").agg(F.count("*").alias("c"))
+    main = (sizes.groupBy("band", "val").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k"))
+                 .filter("k > 1").select("band", "val", F.col("m.component").alias("main")))
+    outside = (labelled.join(main, ["band", "val"]).filter("component <> main")
+                       .select("main", "node", "component").distinct())
+    inside = (labelled.select("node", "component").distinct()
+                      .join(main.select(F.col("main").alias("component")).distinct(), "component")
+                      .select(F.col("component").alias("main"), "node", "component"))
+    return materialize(outside.unionByName(inside))
+
+
+def _blocks(rest: DataFrame, sets: DataFrame, low: DataFrame, similarity: float) -> DataFrame:
+    """Links of the outside nodes, found in blocks of nodes."""
+    rows = materialize(rest.join(sets, "node").join(low, "node"))
+    out = F.col("component") != F.col("main")
+    cut = lambda n, size: F.ceil(F.greatest(n / F.lit(float(BLOCK_NODES)), size / F.lit(float(BLOCK_BYTES)))).cast("int")
+    bytes_ = F.length("shingles")
+    shape = rows.groupBy("main").agg(
+        cut(F.count("*"), F.sum(bytes_)).alias("blocks"),
+        cut(F.sum(out.cast("int")), F.sum(F.when(out, bytes_).otherwise(0))).alias("chunks"))
+    rows = rows.join(shape, "main").withColumn("h", F.xxhash64("node"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    against = rows.select("*", F.pmod("h", "blocks").cast("int").alias("block"), F.explode(upto(F.col("chunks"))).alias("chunk"),
+                          F.lit(False).alias("asks"))
+    asking = rows.filter(out).select("*", F.explode(upto(F.col("blocks"))).alias("block"),
+                                     F.pmod("h", "chunks").cast("int").alias("chunk"), F.lit(True).alias("asks"))
+    cols = ["main", "block", "chunk", "asks", "node", "component", "low", "shingles"]
+    return (against.select(*cols).unionByName(asking.select(*cols)).groupBy("main", "block", "chunk")
+                   .applyInArrow(_block_links(similarity), "a binary, b binary"))
+
+
+def _block_links(similarity: float):
+    def run(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        x, y = group.filter(pa.array(asks)), group.filter(pa.array(~asks))
+        low = lambda t: np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        of_y, names = y.column("component").to_pylist(), y.column("node").to_pylist()
+        ids = {c: i for i, c in enumerate(dict.fromkeys(of_y))}
+        code = np.array([ids[c] for c in of_y], np.int64)
+        theirs, sets = low(y), y.column("shingles").to_pylist()
+        m = theirs.shape[1] if len(of_y) else 1
+        least = m * similarity - SIFT_SIGMAS * (m * similarity * (1 - similarity)) ** 0.5
+        found = []
+        for node, comp, mine, words in zip(x.column("node").to_pylist(), x.column("component").to_pylist(),
+                                           low(x), x.column("shingles").to_pylist()):
+            same = (theirs == mine).sum(1)
+            near = np.flatnonzero((same >= least) & (code != ids.get(comp, -1)))
+            own, done = np.frombuffer(words, np.uint32), set()
+            for j in near[np.argsort(-same[near], kind="stable")].tolist():
+                if code[j] not in done and alike(own, np.frombuffer(sets[j], np.uint32), similarity):
+                    done.add(code[j])
+                    found.append((min(node, names[j]), max(node, names[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+    return run
 
 
-def _led(big: DataFrame, lead: DataFrame) -> DataFrame:
-    return (big.join(lead.withColumnRenamed("node", "leader"), ["band", "val"]).filter("node <> leader")
-               .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``least`` or more."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)) or not len(x):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return both >= least * (len(x) + len(y) - both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
