@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from divaug.llm import common
-from divaug.llm import op02_spaced_seed, op09_probminhash  # noqa: F401
+from divaug.llm import op02_spaced_seed, op04_transducer_bpe, op06_centroid_lang, op09_probminhash, op10_mil_toxicity  # noqa: F401
 
 QUERIES = common.QUERIES
 ORACLE = common.ORACLE
