@@ -1,13 +1,14 @@
 """Toxicity by multiple-instance learning (operator 10).
 
 A document is a bag of sentences (cut at . ! ? and line ends).  A sentence is
-scored by a logistic function of its distinct hashed words; the document's
-probability is the noisy-or of its sentences, 1 - prod(1 - p).  Weights are
+scored by a logistic function of its distinct hashed features (words, and the
+first 4 and 5 characters of longer words, so inflected forms share evidence);
+the document's probability is the noisy-or of its sentences, 1 - prod(1 - p).  Weights are
 trained from document labels only, by gradient steps on the noisy-or's
 likelihood with weight decay, on a bounded sample of labelled rows
-(``sample_rows``; rows of label 1 first take up to half of it).  Words seen in
-fewer than ``least_documents`` sample documents of label 1 start and stay at
-weights of 0 or less, so rare words can't mark a text.  The sentences whose own
+(``sample_rows``; rows of label 1 first take up to half of it).  Only features
+tied to label 1 beyond chance (log-likelihood ratio over twice the log of the
+number of features seen) get a weight.  The sentences whose own
 probability is 0.5 or more are the offending ones.
 
 Degenerate input: null, empty and wordless texts have no sentence and score 0;
@@ -31,13 +32,13 @@ from divaug.llm.vectext import alnum_table, code_points, run_hashes, slices
 DIMENSIONS = 1 << 16
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 24 << 20
-LEAST_DOCUMENTS = 3
+STEMS = (4, 5)
 THRESHOLD = 0.7
 PIECE = 1 << 20
 
 
 def sentences(text: str, dims: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, sentence) of the distinct words of each sentence with a word,
+    """(bucket, sentence) of the distinct features of each sentence with a word,
     and the start position of these sentences.  Sentences are numbered from 0;
     a very long text is read in pieces cut at a line end or blank."""
     table_ = alnum_table()
@@ -60,8 +61,13 @@ def sentences(text: str, dims: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray
             stop = np.cumsum((cps == 46) | (cps == 33) | (cps == 63) | (cps == 10) | (cps == 0x3002))
             raw = stop[start]
             _, first, of = np.unique(raw, return_index=True, return_inverse=True)
-            bucket = (run_hashes(cps, start, end) >> np.uint64(64 - (dims.bit_length() - 1))).astype(np.int64)
-            key = np.unique((of + base) * dims + bucket)
+            shift = np.uint64(64 - (dims.bit_length() - 1))
+            key = [(of + base) * dims + (run_hashes(cps, start, end) >> shift).astype(np.int64)]
+            for size in STEMS:
+                longer = end - start > size
+                stem = run_hashes(cps, start[longer], start[longer] + size) >> shift
+                key.append((of[longer] + base) * dims + stem.astype(np.int64))
+            key = np.unique(np.concatenate(key))
             parts.append(key)
             starts_all.append(start[first] + at)
             base += len(first)
@@ -105,17 +111,22 @@ def combine(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(texts: list[str], toxic: np.ndarray, dims: int = DIMENSIONS, steps: int = 200, rate: float = 0.15,
-          decay: float = 2e-3, least_documents: int = LEAST_DOCUMENTS) -> NoisyOr:
+          decay: float = 2e-3) -> NoisyOr:
     """Gradient steps (Adam) on the mean negative log likelihood."""
     bucket, of, doc, _ = _flat(texts, dims)
     y = toxic.astype(bool)
     n = len(doc)
     seen = np.unique(doc[of] * dims + bucket)
     positive, negative = (np.bincount(seen[mask] % dims, minlength=dims) for mask in (y[seen // dims], ~y[seen // dims]))
-    lift = np.log((positive + 0.1) / (y.sum() + 0.2)) - np.log((negative + 0.1) / ((~y).sum() + 0.2))
-    may = positive >= least_documents
-    w = np.where(may, np.clip(lift, 0, 4), 0.0)
+    ones, zeros = y.sum(), (~y).sum()
+    rate_1 = (positive + negative) / max(1, len(y))
+    gain = 2 * (positive * np.log(np.maximum(positive, 1) / np.maximum(rate_1 * ones, 1e-9))
+                + negative * np.log(np.maximum(negative, 1) / np.maximum(rate_1 * zeros, 1e-9)))
+    lift = np.log((positive + 0.1) / (ones + 0.2)) - np.log((negative + 0.1) / (zeros + 0.2))
+    may = (lift > 1) & (gain > 2 * np.log(max(2, (positive + negative > 0).sum())))
+    w = np.where(may, np.clip(lift, 0, 8), 0.0)
     b = -7.0
+    bucket, of = bucket[may[bucket]], of[may[bucket]]   # the others weigh nothing
     mean, square, step_b = np.zeros(dims), np.zeros(dims), np.zeros(2)
     for k in range(1, steps + 1):
         p = NoisyOr(w, b).sentence_scores(bucket, of, n)
@@ -128,8 +139,8 @@ def train(texts: list[str], toxic: np.ndarray, dims: int = DIMENSIONS, steps: in
         square = 0.99 * square + 0.01 * grad ** 2
         step_b = np.array([0.9 * step_b[0] + 0.1 * grad_b, 0.99 * step_b[1] + 0.01 * grad_b ** 2])
         w = w - rate * (mean / (1 - 0.9 ** k)) / (np.sqrt(square / (1 - 0.99 ** k)) + 1e-8)
-        w = np.where(may, w, np.minimum(w, 0.0))
-        b = min(-3.0, b - rate * (step_b[0] / (1 - 0.9 ** k)) / (np.sqrt(step_b[1] / (1 - 0.99 ** k)) + 1e-8))
+        w = np.where(may, w, 0.0)
+        b = min(-4.0, b - rate * (step_b[0] / (1 - 0.9 ** k)) / (np.sqrt(step_b[1] / (1 - 0.99 ** k)) + 1e-8))
     return NoisyOr(w, b)
 
 
