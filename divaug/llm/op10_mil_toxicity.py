@@ -144,23 +144,29 @@ def train(texts: list[str], toxic: np.ndarray, dims: int = DIMENSIONS, steps: in
     return NoisyOr(w, b)
 
 
-def fit(learn: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> NoisyOr:
-    """The driver gets the label counts and the bounded sample."""
-    rows = learn.select(learn[text_col].cast("string").alias("text"), learn[label_col].cast("int").alias("y")).filter("text is not null and y is not null")
-    counts = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        sample_rows: int = SAMPLE_ROWS) -> NoisyOr:
+    """``labels``: the rows that may be learnt from.  At most twice
+    ``sample_rows`` of them are drawn by a hash of the id and broadcast to the
+    documents, so no text is shuffled; the driver gets the label counts and the
+    drawn texts."""
+    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), (labels[label_col].cast("int") > 0).cast("int").alias("y")).dropna()
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1):
         return NoisyOr(np.zeros(DIMENSIONS), -30.0)
     ones = min(counts[1], sample_rows // 2)
     share = F.when(F.col("y") > 0, ones / counts[1]).otherwise(min(1.0, (sample_rows - ones) / max(1, counts.get(0, 0))))
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    texts, labels, size = [], [], 0
-    for r in rows.filter(unit < share).limit(2 * sample_rows).toLocalIterator():
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.broadcast(rows.filter(unit < share).limit(2 * sample_rows))
+    texts, given, size = [], [], 0
+    found = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
+    for r in found.join(drawn, "doc_id").limit(2 * sample_rows).toLocalIterator():
         if size > SAMPLE_BYTES:
             break
         texts.append(r["text"])
-        labels.append(r["y"] > 0)
+        given.append(r["y"] > 0)
         size += len(r["text"])
-    return train(texts, np.array(labels)) if any(labels) else NoisyOr(np.zeros(DIMENSIONS), -30.0)
+    return train(texts, np.array(given)) if any(given) else NoisyOr(np.zeros(DIMENSIONS), -30.0)
 
 
 def toxicity(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +200,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns labels from rows whose crc32(doc_id) mod 3 is not 1, scores all."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    learn = docs.filter(~held).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    scored = toxicity(docs, fit(learn))
+    scored = toxicity(docs, fit(docs, labels.filter(~held)))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
                          "worst_at", "worst_score", "offending")
