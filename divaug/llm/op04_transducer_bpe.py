@@ -41,6 +41,7 @@ from divaug.llm.vectext import code_points, run_hashes, slices
 LEXICON_WORDS = 32768
 LEXICON_BYTES = 24      # longer words are merged
 CACHE_WORDS = 1 << 17
+PART_BYTES = 1 << 20    # of texts that are encoded at once
 TOKENIZER = "byte_bpe_50k.json"
 # The contractions that the split keeps as words.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -465,7 +466,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, times) of the words of up to LEXICON_BYTES, once for each task
     batch; repeated words are summed before the shuffle."""
     for whole in batches:
-        for batch in slices(whole, "text", 8 << 20):
+        for batch in slices(whole, "text", PART_BYTES):
             w = Words([t for t in batch.column("text").to_pylist() if t])
             short = np.flatnonzero(w.end - w.start <= LEXICON_BYTES)
             _, first, times = np.unique(w.hash[short], return_index=True, return_counts=True)
@@ -505,7 +506,7 @@ class TransducerTokenizer:
             encoder = Encoder(shared.value, Lexicon(SparkFiles.get(name)))
             sha = lambda b: hashlib.sha256(b).hexdigest()
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", PART_BYTES):
                     ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
                     decoded = [encoder.decode(x) for x in ids]
                     yield pa.RecordBatch.from_arrays(
