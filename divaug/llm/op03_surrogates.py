@@ -100,12 +100,12 @@ def luhn_sum(digits: Column) -> Column:
 
 def _card(value: Column, seed: Column) -> Column:
     first = F.substring(value, 1, 1)
-    body = F.concat(first, F.expr("''"), _shaped(F.substring(value, 2, 1 << 20), seed))
+    body = F.concat(first, _shaped(F.substring(value, 2, 1 << 20), seed))
     bare = F.regexp_replace(body, r"\D", "")
     base = F.concat(F.substring(bare, 1, 15), F.lit("0"))
     check = F.pmod(F.lit(10) - luhn_sum(base) % 10, F.lit(10)).cast("string")
     valid = luhn_sum(F.regexp_replace(value, r"\D", "")) % 10 == 0
-    return F.when(valid, F.concat(F.substring(body, 1, 1 << 20).substr(F.lit(1), F.length(body) - 1), check)).otherwise(body)
+    return F.when(valid, F.concat(body.substr(F.lit(1), F.length(body) - 1), check)).otherwise(body)
 
 
 def _phone(value: Column, seed: Column) -> Column:
