@@ -12,38 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from divaug.llm import op02_spaced_seed, op03_surrogates, op04_transducer_bpe, op05_site_bayes, op09_probminhash
-from divaug.llm.common import materialize, table
-from divaug.session import ensure_checkpoint_dir, ship_package
+from divaug.llm.common import materialize, prepare, table
 
 PII_KEY = "corpus-2024"
 
 
-def _ready(spark: SparkSession) -> None:
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    _ready(spark)
+    prepare(spark)
     return op05_site_bayes.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    _ready(spark)
+    prepare(spark)
     return op09_probminhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    _ready(spark)
+    prepare(spark)
     return op02_spaced_seed.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets get surrogates; n_chars follows the text."""
-    _ready(spark)
+    prepare(spark)
     out = op03_surrogates.replace(docs, PII_KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -52,7 +46,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and digests of every document that is left."""
-    _ready(spark)
+    prepare(spark)
     return op04_transducer_bpe.TransducerTokenizer(op04_transducer_bpe.tokenizer_path()).fit(docs).encode(docs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -15,9 +16,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+BATCH_ROWS = 1000   # of texts that go to a Python worker at once
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and lowers Arrow's default batch of 10,000 rows,
+    which long texts make too large for a worker (a session's own lower value
+    stands)."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def register(name: str, sql: str | None = None):
     """Registers a builder ``(spark, sf_dir) -> DataFrame`` and its oracle."""
-    def deco(fn):
+    def deco(build):
+        @functools.wraps(build)
+        def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return build(spark, sf_dir)
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql

@@ -11,8 +11,8 @@ the hit: a document is contaminated when, on one diagonal, a stretch scores
 best with +1 for an equal and -2 for a substituted word, and its equal words
 are at least 8 and at least half of the item's words.
 
-Masks (1: the word counts), 8 of 12 positions each: any two substituted words
-in 12 leave at least one mask of some window of a 15-word item whole.  Items of
+Masks (1: the word counts), 8 of 12 positions each: whichever two words of an
+item of 15 or more words are substituted, some seed of the item stays whole.  Items of
 fewer than 12 words use one seed of all their words and need all of them.
 
 Degenerate input: null and wordless texts (on either side) never match; an
@@ -34,7 +34,7 @@ from divaug.llm.common import HashBitmap, build_bitmap, materialize, register, t
 from divaug.llm.vectext import BASE, mix64, slices, word_hashes
 
 # The masks of the seeds.
-MASKS = ("110110110101", "101101011011", "111010011101", "101110110110")
+MASKS = ("111010110011", "100111101011", "101100111110")
 SPAN = 12
 FILTER_BITS = 25
 LEAST_WORDS, LEAST_SHARE = 8, 0.5

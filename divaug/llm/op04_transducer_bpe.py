@@ -35,12 +35,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from divaug.llm.common import register, table
+from divaug.llm.common import materialize, register, table
 from divaug.llm.vectext import code_points, run_hashes, slices
 
 LEXICON_WORDS = 32768
 LEXICON_BYTES = 24      # longer words are merged
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 16
 PART_BYTES = 1 << 20    # of texts that are encoded at once
 TOKENIZER = "byte_bpe_50k.json"
 # The contractions that the split keeps as words.
@@ -489,8 +489,16 @@ class TransducerTokenizer:
 
     def fit(self, docs: DataFrame, text_col: str = "text") -> "TransducerTokenizer":
         spark = docs.sparkSession
-        counts = _texts(docs, text_col).mapInArrow(_count_words, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times"))
-        top = counts.orderBy(F.desc("times"), "word").limit(self.lexicon_words).select("word").toArrow()
+        counts = materialize(_texts(docs, text_col).mapInArrow(_count_words, "word binary, times long")
+                             .groupBy("word").agg(F.sum("times").alias("times")).filter("times > 1"))
+        # only words at or above the count that the last lexicon word can have are ordered
+        steps = counts.groupBy(F.floor(F.log2("times") * 8).alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()
+        least, seen = 0, 0
+        for r in steps:   # one row for each eighth of a power of two
+            least, seen = r["b"], seen + r["n"]
+            if seen >= self.lexicon_words:
+                break
+        top = counts.filter(F.floor(F.log2("times") * 8) >= least).orderBy(F.desc("times"), "word").limit(self.lexicon_words).select("word").toArrow()
         folder = tempfile.mkdtemp(prefix="lexicon-")   # the driver's own copy; executors fetch theirs
         self.name = f"lexicon-{uuid.uuid4().hex}.bin"
         Lexicon.write(os.path.join(folder, self.name), top.column("word").to_pylist(), self.merges)

@@ -85,7 +85,7 @@ def prob_min_hash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int,
 
 
 def band_keys(sig: np.ndarray, rows_each: int) -> np.ndarray:
-    parts = sig.reshape(sig.shape[0], -1, rows_each)
+    parts = sig.reshape(sig.shape[0], sig.shape[1] // rows_each, rows_each)
     out = np.zeros(parts.shape[:2], np.uint64)
     for k in range(rows_each):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k] + np.uint64(k + 1))
@@ -289,7 +289,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     cols = docs.columns
     classes = near_duplicates(docs, id_col, text_col)
     first = (classes.filter("node is not null").groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("own"))
-                    .agg(F.min(F.struct("doc_id", "rk")).alias("x")).select(F.col("x.rk").alias("__rk")))
+                    .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("x")).select(F.col("x.rk").alias("__rk")))
     key = F.coalesce(docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string")))
     has_words = F.coalesce(docs[text_col].rlike(r"[\p{L}\p{N}]"), F.lit(False))
     rows = docs.withColumn("__rk", key)

@@ -6,6 +6,7 @@ into bounded groups, so memory follows the group and not the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 
 MASK64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
-_TABLES: dict[str, np.ndarray] = {}
+_TABLES: dict = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -29,7 +30,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "pow" not in _TABLES or len(_TABLES["pow"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         inverse = pow(BASE, -1, 1 << 64)
         for name, base in (("pow", BASE), ("inv", inverse)):
             out = np.empty(size, np.uint64)
@@ -53,8 +54,10 @@ def code_points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows of a bounded size (one row at least)."""
+def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 2 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of rows of a bounded size (one row at least).
+    After a batch the worker gives freed memory back: it lives on for other
+    stages."""
     n = batch.num_rows
     if n == 0:
         return
@@ -66,6 +69,15 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20, max_rows:
         to = max(at + 1, min(at + max_rows, int(np.searchsorted(ends, limit, "right"))))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if "trim" not in _TABLES:
+        _TABLES["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if _TABLES["trim"] is not None:
+        _TABLES["trim"](0)
 
 
 def _pieces(texts: list[str | None], limit: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -101,7 +113,7 @@ def run_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[str | None], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text."""
     counts = np.zeros(len(texts), np.int64)
     parts = []
