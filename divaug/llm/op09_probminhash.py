@@ -238,8 +238,9 @@ def _blocks(rest: DataFrame, sets: DataFrame, low: DataFrame, similarity: float)
                           F.lit(False).alias("asks"))
     asking = rows.filter(out).select("*", F.explode(upto(F.col("blocks"))).alias("block"),
                                      F.pmod("h", "chunks").cast("int").alias("chunk"), F.lit(True).alias("asks"))
-    cols = ["main", "block", "chunk", "asks", "node", "component", "low", "shingles"]
-    return (against.select(*cols).unionByName(asking.select(*cols)).groupBy("main", "block", "chunk")
+    # one key column: rows dealt by `main` alone would satisfy a grouping by the three
+    cols = [F.struct("main", "block", "chunk").alias("cell"), "asks", "node", "component", "low", "shingles"]
+    return (against.select(*cols).unionByName(asking.select(*cols)).groupBy("cell")
                    .applyInArrow(_block_links(similarity), "a binary, b binary"))
 
 
