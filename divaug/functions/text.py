@@ -51,8 +51,7 @@ def parse_list_literal(s) -> Column:
     """L1: a Python list literal of strings -> ARRAY<STRING>; NULL if malformed.
 
     Handles single/double quotes and backslash escapes of quotes and
-    backslashes natively; ``\\x``/``\\u`` escapes are decoded by
-    ``decode_escapes_udf`` for the rows that need it.
+    backslashes natively.
     """
     opts = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true",
             "mode": "PERMISSIVE"}
@@ -64,8 +63,10 @@ def split_pair(text, markers=NLI_MARKERS) -> Column:
     t = _c(text)
     ma, mb = markers
     has = (F.locate(ma, t) > 0) & (F.locate(mb, t) > 0)
-    a = F.substring_index(F.substring_index(t, ma, -1), mb, 1)
-    b = F.substring_index(t, mb, -1)
+    # the text after the first marker, up to the next occurrence of either
+    after = lambda m: F.element_at(F.split(t, rf"\Q{m}\E"), 2)
+    a = F.substring_index(after(ma), mb, 1)
+    b = after(mb)
     return F.when(has, F.struct(a.alias("a"), b.alias("b")))
 
 

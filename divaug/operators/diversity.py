@@ -3,7 +3,7 @@
 Linear statistics (centre, mean cosine, per-sample spread) are single
 aggregations.  The two statistics that need all pairs of a class (average
 L2 distance and homogeneity) run through a blocked kernel: each class is cut
-into hash blocks of about ``block_rows`` rows; every block pair of a class is
+into hash blocks of about ``block_rows`` rows (read tile by tile); every block pair of a class is
 one group of at most ``2*block_rows`` rows, keyed by (split, label, lo, hi), so
 a huge class spreads over many tasks.  The kernel returns per-row partial sums
 only; no pair is ever emitted as a row.
@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divaug.functions import vectors as V
@@ -84,40 +84,56 @@ def class_linear_stats(df: DataFrame, keys=("split", "label"), vec: str = "vec")
                .drop("_mu", "_lsd", "_minsd"))
 
 
+TILE = 2048
+
+
 def _pair_kernel():
+    """Partial sums of the rows of one pair of blocks, tile by tile; a side
+    without the other gets zeros, so every row appears once for each block."""
+    def sums(xa, xb, same):
+        out = np.zeros((4, len(xa)))
+        other = np.zeros((4, len(xb)))
+        log_h = math.log(xa.shape[1]) if xa.shape[1] > 0 else 0.0
+        qa, qb = np.einsum("ij,ij->i", xa, xa), np.einsum("ij,ij->i", xb, xb)
+        for i in range(0, len(xa), TILE):
+            for j in range(0, len(xb), TILE):
+                a, b = slice(i, i + TILE), slice(j, j + TILE)
+                d = np.sqrt(np.maximum(qa[a, None] + qb[None, b] - 2.0 * xa[a] @ xb[b].T, 0.0))
+                if same and i == j:
+                    np.fill_diagonal(d, 0.0)
+                w = np.where(d > 0, d ** log_h, 0.0)
+                wl = np.where(w > 0, w * np.log(np.where(w > 0, w, 1.0)), 0.0)
+                for k, m in enumerate((d, w, wl, (w > 0).astype(np.float64))):
+                    out[k, a] += m.sum(1)
+                    other[k, b] += m.sum(0)
+        return out, other
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
         a = pdf[pdf["_blk"] == lo]
         b = a if lo == hi else pdf[pdf["_blk"] == hi]
-        xa = np.stack(a["vec"].to_numpy()).astype(np.float64)
-        xb = np.stack(b["vec"].to_numpy()).astype(np.float64)
-        h_dims = xa.shape[1]
-        log_h = math.log(h_dims) if h_dims > 0 else 0.0
-        d2 = (np.einsum("ij,ij->i", xa, xa)[:, None] + np.einsum("ij,ij->i", xb, xb)[None, :]
-              - 2.0 * xa @ xb.T)
-        d = np.sqrt(np.maximum(d2, 0.0))
-        if lo == hi:
-            np.fill_diagonal(d, 0.0)
-        w = d ** log_h
-        w[d == 0] = 0.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            wl = np.where(w > 0, w * np.log(np.where(w > 0, w, 1.0)), 0.0)
-        nz = (w > 0).astype(np.float64)
-        ids_a, ids_b = a["sample_id"].to_numpy(), b["sample_id"].to_numpy()
-        parts = [pd.DataFrame({"sample_id": ids_a, "dist_sum": d.sum(1), "w_sum": w.sum(1),
-                               "wlogw_sum": wl.sum(1), "nnz": nz.sum(1)})]
-        if lo != hi:
-            parts.append(pd.DataFrame({"sample_id": ids_b, "dist_sum": d.sum(0), "w_sum": w.sum(0),
-                                       "wlogw_sum": wl.sum(0), "nnz": nz.sum(0)}))
-        out = pd.concat(parts, ignore_index=True)
-        for k in ("split", "label"):
-            out[k] = pdf[k].iloc[0]
-        return out[["split", "label", "sample_id", "dist_sum", "w_sum", "wlogw_sum", "nnz"]]
+        if len(a) and len(b):
+            xa, xb = (np.stack(t["vec"].to_numpy()).astype(np.float64) for t in (a, b))
+            sa, sb = sums(xa, xb, lo == hi)
+        else:
+            sa, sb = np.zeros((4, len(a))), np.zeros((4, len(b)))
+        cols = ["dist_sum", "w_sum", "wlogw_sum", "nnz"]
+        parts = [(a, sa)] if lo == hi else [(a, sa), (b, sb)]
+        out = pd.concat([pd.DataFrame({"_k": t["_k"].to_numpy(), **dict(zip(cols, s))}) for t, s in parts], ignore_index=True)
+        split, label = pdf["split"].iloc[0], pdf["label"].iloc[0]
+        out["split"] = pd.Series([split] * len(out), dtype=object)
+        out["label"] = pd.array([None if pd.isna(label) else int(label)] * len(out), dtype="Int32")
+        return out[["split", "label", "_k", *cols]]
     return fn
 
 
-def class_pair_stats(df: DataFrame, block_rows: int = 2048, vec: str = "vec",
-                     max_classes: int = 1_000_000) -> DataFrame:
+def _same_class(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """Null-safe join on (split, label): a row without a label is a class too."""
+    b = b.withColumnsRenamed({"split": "_s", "label": "_l"})
+    return a.join(b, F.col("split").eqNullSafe(F.col("_s")) & F.col("label").eqNullSafe(F.col("_l")), how).drop("_s", "_l")
+
+
+def class_pair_stats(df: DataFrame, block_rows: int = 16384, vec: str = "vec") -> DataFrame:
     """Per (split, label): n, avg_distance (D3, mean over m^2 incl. diagonal)
     and homogeneity (D7), exact, from the blocked pair kernel.
 
@@ -126,35 +142,30 @@ def class_pair_stats(df: DataFrame, block_rows: int = 2048, vec: str = "vec",
     sum is one pass: sum_j p ln p = (sum w ln w)/S - ln S; the 1e-10 term adds
     1e-10 per non-zero p (first order, exact to ~1e-20 per term).
     NULL when m <= 2 or all points coincide.
+
+    Rows are told apart by a hash of (sample_id, vector), so repeated ids are
+    right; rows equal in both have equal sums and count as often as they occur.
     """
-    x = df.select("split", "label", "sample_id", F.col(vec).alias("vec"))
-    sizes = x.groupBy("split", "label").agg(F.count(F.lit(1)).alias("m"),
-                                            F.max(F.size("vec")).alias("h"))
-    nblk = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(block_rows))).cast("int")
-    # one row per class: broadcast under a guard on the number of classes
-    sizes = (sizes.withColumn("_nb", nblk)
-                  .withColumn("_classes", F.count(F.lit(1)).over(Window.partitionBy()))
-                  .withColumn("_nb", F.when(F.col("_classes") > max_classes, F.raise_error(
-                      F.lit(f"class_pair_stats: more than {max_classes} classes"))).otherwise(F.col("_nb")))
-                  .drop("_classes"))
-    xb = (x.join(F.broadcast(sizes.select("split", "label", "_nb")), ["split", "label"])
-           .withColumn("_blk", F.pmod(F.xxhash64("sample_id"), F.col("_nb")).cast("int"))
-           .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-           .withColumn("_lo", F.least("_blk", "_j"))
-           .withColumn("_hi", F.greatest("_blk", "_j"))
-           .drop("_j", "_nb"))
-    schema = ("split string, label int, sample_id long, dist_sum double, w_sum double, "
+    x = df.select("split", "label", F.xxhash64("sample_id", F.col(vec)).alias("_k"), F.col(vec).alias("vec"))
+    sizes = x.groupBy("split", "label").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(block_rows))).cast("int"))
+    xb = (_same_class(x, sizes.select("split", "label", "_nb"))
+          .withColumn("_blk", F.pmod(F.xxhash64("_k"), F.col("_nb")).cast("int"))
+          .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+          .withColumn("_lo", F.least("_blk", "_j"))
+          .withColumn("_hi", F.greatest("_blk", "_j"))
+          .drop("_j", "_nb"))
+    schema = ("split string, label int, _k long, dist_sum double, w_sum double, "
               "wlogw_sum double, nnz double")
     parts = xb.groupBy("split", "label", "_lo", "_hi").applyInPandas(_pair_kernel(), schema)
-    rows = parts.groupBy("split", "label", "sample_id").agg(
+    rows = parts.groupBy("split", "label", "_k").agg(
         F.sum("dist_sum").alias("d"), F.sum("w_sum").alias("S"),
-        F.sum("wlogw_sum").alias("WL"), F.sum("nnz").alias("NZ"))
-    m = F.col("m").cast("double")
-    plogp = F.when(F.col("S") > 0, F.col("WL") / F.col("S") - F.log("S")
-                   + F.lit(V.ENTROPY_EPS) * F.col("NZ"))
-    per_row = rows.join(F.broadcast(sizes.select("split", "label", "m")), ["split", "label"]) \
-                  .withColumn("_ent", -plogp / m)
-    agg = per_row.groupBy("split", "label").agg(
+        F.sum("wlogw_sum").alias("WL"), F.sum("nnz").alias("NZ"), F.count(F.lit(1)).alias("_parts"))
+    per_row = _same_class(rows, sizes)
+    m, times = F.col("m").cast("double"), F.col("_parts") / F.col("_nb")   # times: equal rows
+    plogp = F.when(F.col("S") > 0, F.col("WL") / F.col("S") - F.log(F.col("S") / times)
+                   + F.lit(V.ENTROPY_EPS) * F.col("NZ") / times)
+    agg = per_row.withColumn("_ent", -plogp * times / m).groupBy("split", "label").agg(
         F.first("m").alias("n"), F.sum("d").alias("_dsum"), F.sum("_ent").alias("_esum"),
         F.count(F.when(F.col("S") <= 0, 1)).alias("_zero_rows"))
     homog = F.when((F.col("n") > 2) & (F.col("_zero_rows") == 0),
@@ -164,7 +175,7 @@ def class_pair_stats(df: DataFrame, block_rows: int = 2048, vec: str = "vec",
                       homog.alias("homogeneity"))
 
 
-def class_metrics(df: DataFrame, block_rows: int = 2048) -> DataFrame:
+def class_metrics(df: DataFrame, block_rows: int = 16384) -> DataFrame:
     """All per-class statistics.  The input feeds two aggregations and the
     (small, one row per class) result usually feeds several reports, so both
     are persisted instead of recomputed."""
@@ -172,7 +183,7 @@ def class_metrics(df: DataFrame, block_rows: int = 2048) -> DataFrame:
     df = track(df.persist(StorageLevel.MEMORY_AND_DISK))
     lin = class_linear_stats(df)
     pair = class_pair_stats(df, block_rows=block_rows).drop("n")
-    return track(lin.join(pair, ["split", "label"], "left").persist(StorageLevel.MEMORY_AND_DISK))
+    return track(_same_class(lin, pair, "left").persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def macro_average(per_class: DataFrame, metrics=("avg_distance", "dissimilarity", "embed_std",
@@ -193,7 +204,8 @@ def affinity(centers: DataFrame, ref_split: str) -> DataFrame:
     Labels missing from the reference split are counted, not fatal; a split
     equal to its reference gives NULL."""
     ref = centers.filter(F.col("split") == ref_split).select("label", F.col("center").alias("_rc"))
-    j = centers.join(F.broadcast(ref), "label", "left")
+    ref = ref.withColumnRenamed("label", "_rl")
+    j = centers.join(ref, F.col("label").eqNullSafe(F.col("_rl")), "left")
     dev = F.sqrt(V.dot(F.zip_with("center", "_rc", lambda a, b: a - b),
                        F.zip_with("center", "_rc", lambda a, b: a - b)))
     g = j.withColumn("_dev", dev).groupBy("split").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from divaug.functions import text as TX
+from divaug.operators.ranking import rank_within
 
 # Reserved token ids of the encoder vocabulary.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
@@ -18,42 +19,36 @@ N_RESERVED = 4
 def unique_ngrams(df: DataFrame, n: int = 3, by: str = "split") -> DataFrame:
     """Exact count of distinct word n-grams per ``by`` value.
 
-    The distinct step is keyed by (split, n-gram), so a split with most of the
-    rows still spreads over all tasks."""
-    g = df.select(by, F.explode(TX.word_ngrams(TX.tokens_of(df), n)).alias("g"))
+    The tokens become a column first, so they are computed once per row.  The
+    distinct step is keyed by (split, n-gram), so a split with most of the rows
+    still spreads over all tasks."""
+    g = df.select(by, TX.tokens_of(df).alias("tokens")).select(by, F.explode(TX.word_ngrams("tokens", n)).alias("g"))
     return g.groupBy(by).agg(F.count_distinct("g").alias(f"unique_{n}grams"))
 
 
-def vocabulary(df: DataFrame, max_vocab: int = 30_000) -> DataFrame:
-    """T5 vocabulary: normalised tokens by frequency (ties by token), ids from
-    N_RESERVED.  Bounded by ``max_vocab`` (other tokens map to UNK), so the
-    table is a proven-size broadcast side."""
+def vocabulary(df: DataFrame) -> DataFrame:
+    """T5 vocabulary: all normalised tokens by frequency (ties by token), ids
+    from N_RESERVED; numbered without a one-task window."""
     freq = (df.select(F.explode(TX.tokens_of(df)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    top = freq.orderBy(F.col("freq").desc(), F.col("token").asc()).limit(max_vocab)
-    return rank_ids(top)
-
-
-def rank_ids(top: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("freq").desc(), F.col("token").asc())
-    return top.withColumn("token_id", (F.row_number().over(w) + N_RESERVED - 1).cast("int"))
+    ranked = rank_within(freq, [F.col("freq").desc(), F.col("token").asc()], name="_rank")
+    return ranked.select("token", "freq", (F.col("_rank") + N_RESERVED - 1).cast("int").alias("token_id"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = 512, pad: bool = True) -> DataFrame:
-    """T5: [CLS] ids [SEP], truncated to ``max_len`` (None: whole text),
-    padded with PAD to ``max_len``, attention mask."""
-    toks = df.select("sample_id", F.posexplode(TX.tokens_of(df)).alias("pos", "token"))
-    j = toks.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-    ids = (j.groupBy("sample_id")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))))
-                 .alias("_s")))
-    body = F.transform("_s", lambda x: x["id"])
-    seq = F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID)))
+    """T5: [CLS] ids [SEP], the body truncated so that all fits in ``max_len``
+    (None: whole text), padded with PAD to ``max_len``, attention mask.  Only
+    the tokens that are kept are exploded; the vocabulary is joined on the
+    token, and documents without tokens go through the same group."""
+    toks = TX.tokens_of(df)
     if max_len is not None:
-        seq = F.slice(seq, 1, max_len)
-    out = df.select("sample_id").join(ids, "sample_id", "left").withColumn(
-        "_seq", F.coalesce(seq, F.array(F.lit(CLS_ID), F.lit(SEP_ID))))
+        toks = F.slice(toks, 1, max_len - 2)
+    rows = df.select("sample_id", F.posexplode_outer(toks).alias("pos", "token"))
+    j = rows.join(vocab.select("token", "token_id"), "token", "left")
+    kept = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
+    out = j.groupBy("sample_id").agg(F.sort_array(F.collect_list(kept)).alias("_s"))
+    body = F.transform("_s", lambda x: x["id"])
+    out = out.withColumn("_seq", F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID))))
     n = F.size("_seq")
     if pad and max_len is not None:
         ids_col = F.concat("_seq", F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - n))
@@ -64,17 +59,13 @@ def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = 512, pad: bool
                       n.alias("n_tokens"))
 
 
-def split_token_count(df: DataFrame, vocab: DataFrame, by: str = "split") -> DataFrame:
+def split_token_count(df: DataFrame, by: str = "split") -> DataFrame:
     """T4: distinct token ids per ``by`` over whole texts padded to the
-    longest sequence of the split: vocabulary ids (UNK for the rest), CLS and
-    SEP, and PAD when sequence lengths differ.  Needs no ordered encoding:
-    ids come from an explode + broadcast join of the bounded vocabulary."""
-    toks = TX.tokens_of(df)
-    ids = (df.select(by, F.explode(toks).alias("token"))
-             .join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-             .select(by, F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
-    body = ids.groupBy(by).agg(F.count_distinct("id").alias("_ids"))
-    lens = df.select(by, (F.size(toks) + 2).alias("n")).groupBy(by).agg(
+    longest sequence of the split: all its distinct tokens, CLS and SEP, and
+    PAD when sequence lengths differ."""
+    rows = df.select(by, TX.tokens_of(df).alias("tokens"))
+    body = rows.select(by, F.explode("tokens").alias("token")).groupBy(by).agg(F.count_distinct("token").alias("_ids"))
+    lens = rows.select(by, (F.size("tokens") + 2).alias("n")).groupBy(by).agg(
         (F.min("n") < F.max("n")).cast("int").alias("_pad"))
     return lens.join(body, by, "left").select(
         by, (F.coalesce("_ids", F.lit(0)) + 2 + F.col("_pad")).alias("token_count"))

@@ -13,6 +13,7 @@ folder and returns the written DataFrames lazily re-read from storage.
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +113,7 @@ def diversity_report(splits: DataFrame, ref_split: str, results_path: str | None
     wide = (DV.macro_average(per_class)
             .join(DV.affinity(per_class.select("split", "label", "center"), ref_split), "split", "full")
             .join(TK.unique_ngrams(t), "split", "full")
-            .join(TK.split_token_count(t, TK.vocabulary(t)), "split", "full"))
+            .join(TK.split_token_count(t), "split", "full"))
     metrics = ["affinity", "avg_distance", "dissimilarity", "embed_std", "homogeneity", "token_count", "unique_3grams"]
     cells = wide.select("split", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                                      for m in metrics])).alias("c")).select(
@@ -135,13 +136,13 @@ def _upsert(cells: DataFrame, results_path: str | None) -> DataFrame:
     if not results_path:
         return cells
     spark = cells.sparkSession
-    try:
-        old = spark.read.parquet(results_path)
-    except Exception:  # noqa: BLE001 - first run: no table yet
-        old = None
-    merged = cells if old is None else IO.upsert_cells(old, cells)
-    tmp = results_path.rstrip("/") + "_next"
-    merged.write.mode("overwrite").parquet(tmp)          # never overwrite a table being read
+    if not IO.path_exists(spark, results_path):
+        cells.write.parquet(results_path)
+        return spark.read.parquet(results_path)
+    # a table that is there but can't be read is an error, never a first run
+    merged = IO.upsert_cells(spark.read.parquet(results_path), cells)
+    tmp = f"{results_path.rstrip('/')}_next_{uuid.uuid4().hex}"   # never overwrite a table being read
+    merged.write.parquet(tmp)
     spark.read.parquet(tmp).write.mode("overwrite").parquet(results_path)
     return spark.read.parquet(results_path)
 

@@ -56,15 +56,13 @@ tcnt AS (SELECT l.split, coalesce(d.c, 0) + 2 + l.pad AS token_count
 
 @register("token_vocab", _TOKCOUNT_SQL)
 def token_vocab(spark, sf):
-    from divaug.plans.q_diversity import token_count
-    t = FX.fx_text(spark, sf)
-    return token_count(t, TK.vocabulary(t))
+    return TK.split_token_count(FX.fx_text(spark, sf))
 
 
 @register("encode_pad", S.with_([S.FX_TEXT, S.vocab_sql("fx_text", "voc"), f"""enc AS (
   SELECT f.sample_id,
-         ([2] || coalesce((SELECT list(coalesce(v.id, 1) ORDER BY t.pos) FROM voc_t t LEFT JOIN voc v USING (tok)
-                           WHERE t.sample_id = f.sample_id), []) || [3])[1:{ENCODER_LEN}] AS s
+         [2] || coalesce((SELECT list(coalesce(v.id, 1) ORDER BY t.pos) FROM voc_t t LEFT JOIN voc v USING (tok)
+                          WHERE t.sample_id = f.sample_id), [])[1:{ENCODER_LEN - 2}] || [3] AS s
   FROM fx_text f)"""], f"""
 SELECT sample_id, CAST(len(s) AS INTEGER) AS n_tokens,
        md5(array_to_string(s || list_transform(generate_series(1, {ENCODER_LEN} - len(s)), lambda x: 0), ',')) AS ids_md5,

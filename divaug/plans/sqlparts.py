@@ -187,14 +187,13 @@ def affinity(cent: str, name: str, ref: str) -> str:
   GROUP BY c.split)"""
 
 
-def vocab_sql(src: str, name: str, max_vocab: int = 30000) -> str:
+def vocab_sql(src: str, name: str) -> str:
     """CTE ``name``(tok, id): frequency-ranked vocabulary from ids 4 up."""
     return f"""{name}_t AS (SELECT sample_id, unnest(tk) AS tok, unnest(generate_series(1, len(tk))) AS pos
   FROM (SELECT sample_id, {toks()} AS tk FROM {src})),
 {name} AS (
   SELECT tok, CAST(rn + 3 AS INTEGER) AS id FROM (
-    SELECT tok, row_number() OVER (ORDER BY count(*) DESC, tok) AS rn FROM {name}_t GROUP BY tok)
-  WHERE rn <= {max_vocab})"""
+    SELECT tok, row_number() OVER (ORDER BY count(*) DESC, tok) AS rn FROM {name}_t GROUP BY tok))"""
 
 
 FX_GROUPS = """fx_groups AS (

@@ -61,6 +61,12 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return spark.read.format(fmt).load(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def upsert_cells(old: DataFrame, new: DataFrame, keys=("metric", "row_key", "split")) -> DataFrame:
     """Results upsert: new cells win; untouched old cells are kept."""
     keep = old.join(new.select(*keys), list(keys), "left_anti")

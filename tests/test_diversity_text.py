@@ -74,3 +74,44 @@ def test_hashed_embedding_unit_norm(spark):
     r = {x.sample_id: x.vec for x in TK.hashed_embedding(df).collect()}
     assert np.linalg.norm(r[1]) == pytest.approx(1.0)
     assert np.allclose(r[2], 0.0)
+
+
+@pytest.mark.parametrize("block_rows", [16384, 1])
+def test_pair_stats_repeated_ids_and_null_labels(spark, block_rows):
+    """Shared ids (a paraphrase keeps its seed's id) and rows without a label
+    change nothing; blocks without rows are no error."""
+    import numpy as np
+    r = np.random.default_rng(5)
+    vecs = [[float(v) for v in x] for x in r.normal(size=(6, 4))]
+    schema = "sample_id long, label int, vec array<double>, split string"
+    own = spark.createDataFrame([(i, None, v, "s") for i, v in enumerate(vecs)], schema)
+    shared = spark.createDataFrame([(i // 2, None, v, "s") for i, v in enumerate(vecs)], schema)
+    a, b = (DV.class_pair_stats(d, block_rows=block_rows).collect() for d in (own, shared))
+    assert len(a) == len(b) == 1 and a[0].n == b[0].n == 6 and a[0].label is None
+    assert abs(a[0].homogeneity - b[0].homogeneity) < 1e-9 and abs(a[0].avg_distance - b[0].avg_distance) < 1e-9
+    x = np.array(vecs + vecs[:2])
+    twice = spark.createDataFrame([(i % 6, 1, v, "s") for i, v in enumerate(vecs + vecs[:2])], schema)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    w = d ** np.log(4)
+    p = w / w.sum(1, keepdims=True)
+    want = (-(p * np.log(p + 1e-10)).sum(1) / 8).sum() / np.log(7)
+    got = DV.class_pair_stats(twice, block_rows=block_rows).first()
+    assert abs(got.homogeneity - want) < 1e-6 and abs(got.avg_distance - d.mean()) < 1e-6
+    assert DV.class_metrics(own, block_rows=block_rows).first().homogeneity is not None
+
+
+def test_pair_fields_take_the_first_marker(spark):
+    from divaug.functions import text as TX
+    df = spark.createDataFrame([("Premise: a Hypothesis: b Hypothesis: c",), ("Premise: a",)], "t string")
+    got = [r.p for r in df.select(TX.split_pair("t").alias("p")).collect()]
+    assert (got[0].a, got[0].b) == ("a ", "b ") and got[1] is None
+
+
+def test_encode_keeps_the_separator_and_counts_all_tokens(spark):
+    from divaug.operators import tokens as TK
+    df = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(20)), "a"), (2, "", "a"), (3, "t1 t1", "b")],
+                               "sample_id long, text string, split string")
+    got = {r.sample_id: r.input_ids for r in TK.encode(df, TK.vocabulary(df), max_len=8).collect()}
+    assert len(got[1]) == 8 and got[1][0] == 2 and got[1][-1] == 3 and got[2] == [2, 3, 0, 0, 0, 0, 0, 0]
+    assert got[3] == [2, 4, 4, 3, 0, 0, 0, 0]
+    assert {r.split: r.token_count for r in TK.split_token_count(df).collect()} == {"a": 23, "b": 3}
