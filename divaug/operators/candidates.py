@@ -27,7 +27,9 @@ INSTRUCTION = "You will be given a sentence. Please paraphrase the sentence. "
 MULTILINGUAL_NOTE = ("Note that the sentence maybe either english, french, german, spanish, italian, "
                      "portuguese, or hindi. ")
 N_CANDIDATES = 5
-ESCAPE_PATTERN = r"\\[xuUN0-7]"
+# A list of plain quoted strings: no backslash, line end or second quote inside.
+_PLAIN = r"(?:'[^'\\\n\r]*+'|\"[^\"\\\n\r]*+\")"
+SIMPLE_LIST = rf"^[ \t]*+\[[ \t]*+(?:{_PLAIN}[ \t]*+(?:,[ \t]*+{_PLAIN}[ \t]*+)*+)?+\][ \t]*+$"
 
 
 # --------------------------------------------------------------------- L1/L2
@@ -47,15 +49,14 @@ def _literal_eval_udf(s: pd.Series) -> pd.Series:
 def parse_literals(df: DataFrame, col: str = "paraphrases", out: str = "items") -> DataFrame:
     """L1: list literal -> ARRAY<STRING>; NULL when malformed.
 
-    Native JSON parsing with single quotes covers literals without \\x/\\u
-    escapes; the few rows with such escapes take the Python literal parser
-    (a split, so other rows never cross into Python)."""
-    needs_py = F.col(col).rlike(ESCAPE_PATTERN)
-    opts = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true",
-            "allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
-    native = df.filter(~needs_py | F.col(col).isNull()).withColumn(
-        out, F.from_json(F.col(col), "array<string>", opts))
-    py = df.filter(needs_py).withColumn(out, _literal_eval_udf(F.col(col)))
+    Lists of plain quoted strings, which is how the pieces are written, are
+    read natively; every other literal (escapes, trailing commas, adjacent
+    strings, prefixes, tuples) takes the Python literal parser, so what is
+    accepted and what it means is what Python says."""
+    simple = F.coalesce(F.col(col).rlike(SIMPLE_LIST), F.lit(True))
+    opts = {"allowSingleQuotes": "true", "allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
+    native = df.filter(simple).withColumn(out, F.from_json(F.col(col), "array<string>", opts))
+    py = df.filter(~simple).withColumn(out, _literal_eval_udf(F.col(col)))
     return native.unionByName(py)
 
 

@@ -23,7 +23,6 @@ MIS_RATIO = 0.1
 STRATA = 50
 DESCENDING_KEYS = ["entropy", "forgetting", "el2n", "ssl"]   # prune direction
 BANDS = {"top_1_2": (0.0, 1 / 2), "top_1_3": (0.0, 1 / 3), "top_2_3": (0.0, 2 / 3), "mid_1_3": (1 / 3, 2 / 3)}
-MAX_LABELS = 100_000
 
 
 def _order(key: str, descending: bool):
@@ -34,7 +33,7 @@ def _order(key: str, descending: bool):
 def class_balanced_rank(scores: DataFrame, key: str, descending: bool = True) -> DataFrame:
     """Adds ``rank`` within label and ``n_label``."""
     return rank_within(scores, _order(key, descending), ["label"], name="rank",
-                       count_name="n_label", max_groups=MAX_LABELS)
+                       count_name="n_label")
 
 
 def _cut(n_col, ratio: float):
@@ -125,7 +124,7 @@ def strata_ranked(binned: DataFrame, seed: int = 42) -> DataFrame:
     """K7 order: rank inside each bin by the seeded md5 key."""
     b = binned.withColumn("_k", seeded_key(seed))
     return rank_within(b, [F.col("_k").asc(), F.col("sample_id").asc()], ["bin"],
-                       name="bin_rank", max_groups=STRATA * 4).drop("_k")
+                       name="bin_rank").drop("_k")
 
 
 def ccs_prepare(scores: DataFrame, key: str = MIS_KEY, mis_ratio: float = MIS_RATIO,

@@ -12,8 +12,7 @@ a distributed, JVM-only job:
    partition (``monotonically_increasing_id`` is exactly that position
    counter after a sort; it is never used as a row identity);
 3. per (partition, group): first position and row count -> running offsets,
-   a table of at most ``P + G`` rows, broadcast behind a guard that fails the
-   job if the declared bound is exceeded;
+   a table of at most ``P + G`` rows, joined back as Spark sizes it;
 4. rank = offset + (position - first position) + 1.
 
 The tagged frame is persisted (MEMORY_AND_DISK): the per-partition counts and
@@ -38,14 +37,12 @@ from divaug.session import track
 
 def rank_within(df: DataFrame, order: Sequence[Column], groups: Sequence[str] = (),
                 name: str = "rank", count_name: str | None = None,
-                max_groups: int = 100_000, num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = row_number() over (partition by groups order by order).
 
     ``order`` is a list of sort Columns (``F.col('s').desc()`` ...) ending in a
-    unique key.  ``count_name`` optionally adds the group size.  ``max_groups``
-    is the caller's bound on the number of groups; the offset table has at
-    most ``num_partitions + max_groups`` rows and is broadcast only under that
-    bound.  Use a plain partitioned window when groups are many and small.
+    unique key.  ``count_name`` optionally adds the group size.  Use a plain
+    partitioned window when groups are many and small.
     """
     spark = df.sparkSession
     groups = list(groups)
@@ -60,17 +57,12 @@ def rank_within(df: DataFrame, order: Sequence[Column], groups: Sequence[str] =
     counts = tagged.groupBy("_pid", *groups).agg(F.min("_pos").alias("_first"),
                                                 F.count(F.lit(1)).alias("_cnt"))
     wg = Window.partitionBy(*groups) if groups else Window.partitionBy()
-    bound = p + max_groups
     offsets = (counts
                .withColumn("_off", F.coalesce(F.sum("_cnt").over(
                    wg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("_gcnt", F.sum("_cnt").over(wg))
-               .withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy()))
-               .withColumn("_off", F.when(F.col("_rows") > bound,
-                                          F.raise_error(F.lit(f"rank_within: more than {bound} offset rows; raise max_groups")))
-                           .otherwise(F.col("_off")).cast("long"))
-               .drop("_cnt", "_rows"))
-    o = F.broadcast(offsets.select([F.col(c).alias(f"_o_{c}") for c in offsets.columns]))
+               .withColumn("_off", F.col("_off").cast("long")).drop("_cnt"))
+    o = offsets.select([F.col(c).alias(f"_o_{c}") for c in offsets.columns])
     cond = [F.col("_pid") == F.col("_o__pid")] + [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups]
     res = tagged.join(o, on=cond, how="inner")
     res = res.withColumn(name, (F.col("_o__off") + (F.col("_pos") - F.col("_o__first")) + 1).cast("long"))

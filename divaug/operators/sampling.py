@@ -17,11 +17,11 @@ from divaug.operators.ranking import rank_within
 
 
 def seeded_order(df: DataFrame, seed: int = 42, id_col: str = "sample_id", groups=(),
-                 name: str = "pos", count_name: str | None = None, max_groups: int = 1000) -> DataFrame:
+                 name: str = "pos", count_name: str | None = None) -> DataFrame:
     """B1: 1-based position of every row in the seeded permutation (per group)."""
     k = df.withColumn("_sk", seeded_key(seed, id_col))
     return rank_within(k, [F.col("_sk").asc(), F.col(id_col).asc()], groups, name=name,
-                       count_name=count_name, max_groups=max_groups).drop("_sk")
+                       count_name=count_name).drop("_sk")
 
 
 def position_range(df: DataFrame, lo, hi, pos: str = "pos") -> DataFrame:
@@ -33,7 +33,8 @@ def quota_sample(df: DataFrame, category: str, target: int, shares: dict, offset
                  seed: int = 42, id_col: str = "sample_id") -> DataFrame:
     """Per category the positions (offset, offset + int(target*share)]
     of one seeded permutation per category."""
-    ordered = seeded_order(df, seed, id_col, groups=[category], max_groups=max(len(shares), 1) * 4)
+    wanted = df.filter(F.col(category).isin(list(shares)))   # other categories are never ranked
+    ordered = seeded_order(wanted, seed, id_col, groups=[category])
     quota = F.create_map(*[x for c, s in shares.items() for x in (F.lit(c), F.lit(int(target * s)))])
     q = F.coalesce(F.element_at(quota, F.col(category)), F.lit(0))
     return ordered.filter((F.col("pos") > offset) & (F.col("pos") <= offset + q))

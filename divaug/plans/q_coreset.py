@@ -30,7 +30,7 @@ def cb_ranked(spark, sf, keys=K.CORESET_KEYS) -> DataFrame:
     from divaug.operators.ranking import rank_within
     long = melt(scores_of(spark, sf), keys)
     return rank_within(long, [F.col("score").desc_nulls_last(), F.col("sample_id").asc()], ["key", "label"],
-                       name="rank", count_name="n_label", max_groups=K.MAX_LABELS * len(keys))
+                       name="rank", count_name="n_label")
 
 
 def _sql_case(keys):

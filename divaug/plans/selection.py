@@ -34,7 +34,7 @@ def coreset_splits(scores: DataFrame, keys=K.CORESET_KEYS) -> DataFrame:
     long = scores.select("sample_id", "label", F.explode(arr).alias("_ks")).select(
         F.col("_ks.key").alias("key"), "sample_id", "label", F.col("_ks.score").alias("score"))
     r = rank_within(long, [F.col("score").desc_nulls_last(), F.col("sample_id").asc()], ["key", "label"],
-                    name="rank", count_name="n_label", max_groups=K.MAX_LABELS * len(keys))
+                    name="rank", count_name="n_label")
     bands = ["top_1_2", "top_1_3", "mid_1_3", "top_2_3"]
     cut = lambda r_: F.floor(F.col("n_label").cast("double") * F.lit(float(r_)))
     arr_b = F.array(*[F.when((F.col("rank") > cut(K.BANDS[b][0])) & (F.col("rank") <= cut(K.BANDS[b][1])),

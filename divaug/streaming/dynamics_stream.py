@@ -8,14 +8,9 @@ bounded by samples x epochs.  Sinks write to shared storage with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from divaug.operators import dynamics as D
 
@@ -27,8 +22,9 @@ LOG_SCHEMA = T.StructType([
 
 def running_scores(stream: DataFrame, max_epoch: int = D.EL2N_MAX_EPOCH) -> DataFrame:
     """ST1: correctness, accumulated margin, EL2N per sample over the log
-    seen so far (deduplicated on (sample, epoch))."""
-    x = D.with_record_stats(stream.dropDuplicates(["sample_id", "epoch"]))
+    seen so far; a record repeated for the same (epoch, iteration) counts
+    once, as in the batch table."""
+    x = D.with_record_stats(stream.dropDuplicates(["sample_id", "epoch", "iteration"]))
     return x.groupBy("sample_id").agg(
         F.sum("ok").cast("bigint").alias("correctness"),
         F.sum("margin").alias("accumulated_margin"),
@@ -36,32 +32,21 @@ def running_scores(stream: DataFrame, max_epoch: int = D.EL2N_MAX_EPOCH) -> Data
         F.count(F.lit(1)).alias("n_ep"))
 
 
-FORGET_OUT = "sample_id long, n_ep int, forgetting long, correctness long"
-FORGET_STATE = "epochs array<int>, oks array<int>"
-
-
-def _forgetting_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    """ST2: keep each sample's (epoch, correct) history; recompute the 1->0
-    transitions over the epoch-sorted history, so out-of-order epochs give
-    the batch answer once all have arrived."""
-    epochs, oks = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
-    seen = dict(zip(epochs, oks))
-    for pdf in pdfs:
-        for e, ok in zip(pdf["epoch"].tolist(), pdf["ok"].tolist()):
-            seen.setdefault(int(e), int(ok))
-    order = sorted(seen)
-    seq = np.array([seen[e] for e in order], dtype=np.int64)
-    prev = np.concatenate([[0], seq[:-1]]) if len(seq) else seq
-    forget = int(np.sum((prev == 1) & (seq == 0)))
-    state.update((order, [seen[e] for e in order]))
-    yield pd.DataFrame({"sample_id": [int(key[0])], "n_ep": [len(order)], "forgetting": [forget],
-                        "correctness": [int(seq.sum())]})
-
-
 def running_forgetting(stream: DataFrame) -> DataFrame:
-    x = D.with_record_stats(stream).select("sample_id", "epoch", "ok")
-    return x.groupBy("sample_id").applyInPandasWithState(
-        _forgetting_fn, FORGET_OUT, FORGET_STATE, "update", GroupStateTimeout.NoTimeout)
+    """ST2: 1->0 transitions and correct records per sample over the log seen
+    so far.  The state is each sample's set of (epoch, iteration, ok), kept by
+    a streaming aggregation; records that arrive out of order or twice give the
+    batch answer."""
+    x = D.with_record_stats(stream).select("sample_id", F.struct("epoch", "iteration", F.col("ok").cast("int").alias("ok")).alias("r"))
+    h = x.groupBy("sample_id").agg(F.array_sort(F.collect_set("r")).alias("_h"))
+
+    def first_of_its_step(r, i):
+        before = F.get("_h", i - 1)
+        return (i == 0) | (before["epoch"] != r["epoch"]) | ~before["iteration"].eqNullSafe(r["iteration"])
+    h = h.withColumn("_h", F.filter("_h", first_of_its_step))
+    lost = F.filter("_h", lambda r, i: (i > 0) & (F.get("_h", i - 1)["ok"] == 1) & (r["ok"] == 0))
+    return h.select("sample_id", F.size("_h").alias("n_ep"), F.size(lost).cast("long").alias("forgetting"),
+                    F.aggregate("_h", F.lit(0).cast("long"), lambda n, r: n + r["ok"]).alias("correctness"))
 
 
 def run_to_table(spark: SparkSession, stream_df: DataFrame, out_path: str, ckpt: str,

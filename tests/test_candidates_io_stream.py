@@ -73,3 +73,36 @@ def test_pandas_generator_hook(spark):
     # through the selection path (checkpointed because it is not deterministic)
     sel = {r.sample_id: r for r in CD.paraphrase_select(df, "sample_id", generator=gen).collect()}
     assert set(sel) == {1, 2}
+
+
+def test_list_literals_as_python_reads_them(spark):
+    import ast
+
+    from divaug.operators.candidates import parse_literals
+    cases = ["['x', 'y']", "['x', 'y'] trailing", "['a',]", "['a' 'b']", "('a','b')", "[u'a']", r"['a\qb']", "['a', 1]", "[]", "[ ]",
+             "[\"it's\", 'b']", r"['it\'s']", r"['\x41é']", "['a\nb']", "['a'", "a", "", None, "['a']\n", "[['a']]", "['']", "['é', 'ß']"]
+
+    def want(s):
+        try:
+            v = ast.literal_eval(s)
+        except Exception:  # noqa: BLE001
+            return None
+        return list(v) if isinstance(v, (list, tuple)) and all(isinstance(x, str) for x in v) else None
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, paraphrases string")
+    got = {r.i: r["items"] for r in parse_literals(df).collect()}
+    assert got == {i: want(s) for i, s in enumerate(cases)}
+
+
+def test_streams_equal_batch_on_repeated_steps(spark):
+    """Two iterations in an epoch and a record that arrives twice."""
+    from divaug.operators.dynamics import score_table
+    from divaug.streaming import dynamics_stream as ST
+    log = spark.createDataFrame([(1, 0, 0, 0, [-0.1, -2.0]), (1, 0, 1, 0, [-2.0, -0.1]), (1, 0, 1, 0, [-2.0, -0.1]), (1, 1, 0, 0, [-0.1, -2.0]),
+                                 (2, 0, 0, 1, [-0.1, -2.0])], ST.LOG_SCHEMA)
+    batch = {r.sample_id: r for r in score_table(log).collect()}
+    for r in ST.running_forgetting(log).collect():   # the same plan runs on a stream in update mode
+        b = batch[r.sample_id]
+        assert (r.n_ep, r.forgetting, r.correctness) == (b.n_records, b.forgetting, b.correctness)
+    for r in ST.running_scores(log).collect():
+        b = batch[r.sample_id]
+        assert r.correctness == b.correctness and abs(r.accumulated_margin - b.accumulated_margin) < 1e-12
