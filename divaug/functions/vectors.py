@@ -116,3 +116,8 @@ def error_l2(p, label) -> Column:
     p, label = _c(p), _c(label)
     sq = F.transform(p, lambda x, i: F.pow(F.when(i == label, F.lit(1.0)).otherwise(F.lit(0.0)) - x, 2))
     return F.sqrt(vsum(sq))
+
+
+def sq_distance(a, b):
+    """Squared L2 distance, no epsilon."""
+    return vsum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))

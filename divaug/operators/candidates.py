@@ -66,10 +66,15 @@ def split_rejects(parsed: DataFrame, out: str = "items"):
 
 
 # ------------------------------------------------------------------- L3/L8
-def sft_rows(groups: DataFrame, id_col: str = "group_id") -> DataFrame:
-    """L3: one SFT row per paraphrase: instruction, input, output (+ids)."""
+def sft_rows(groups: DataFrame, id_col: str = "group_id", on_error: str = "skip") -> DataFrame:
+    """L3: one SFT row per paraphrase: instruction, input, output (+ids).
+    ``on_error``: groups whose literal did not parse are skipped, or fail the
+    job (`fail`, as the reference does on this path)."""
+    items = F.col("items")
+    if on_error == "fail":
+        items = F.when(items.isNull(), F.raise_error(F.concat(F.lit("no list literal in group "), F.col(id_col).cast("string")))).otherwise(items)
     return groups.select(id_col, F.col("text").alias("input"),
-                         F.posexplode("items").alias("pos", "output")).select(
+                         F.posexplode(items).alias("pos", "output")).select(
         id_col, F.col("pos").cast("int").alias("pos"), F.lit(INSTRUCTION).alias("instruction"),
         "input", "output")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from divaug.functions import vectors as V
+from divaug.functions.hashing import h24
 from divaug.functions.vectors import rnd
 
 ROUND_ACC = 6
@@ -53,36 +56,31 @@ def missing_splits(used: DataFrame, data: DataFrame) -> DataFrame:
     return used.join(present, "split", "left_anti")
 
 
-def train_eval(train: DataFrame, test: DataFrame, seed: int, max_iter: int = 20) -> DataFrame:
-    """E2 (re-aimed): multinomial logistic regression on the vectors of one
-    split, seed applied as a seeded resample order of the training rows;
-    returns test predictions (sample_id, label, logits)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    tr = train.select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label"),
-                      F.md5(F.concat(F.lit(f"{seed}:"), F.col("sample_id").cast("string"))).alias("_k"))
-    tr = tr.repartitionByRange(F.col("_k")).drop("_k")
-    model = LogisticRegression(maxIter=max_iter, family="multinomial").fit(tr)
-    te = test.select("sample_id", "label", array_to_vector("vec").alias("features"))
-    out = model.transform(te)
-    return out.select("sample_id", "label", vector_to_array("rawPrediction").alias("logits"))
-
-
-def split_seed_accuracy(vecs: DataFrame, test: DataFrame, splits, seeds, max_iter: int = 20,
-                        max_parallel: int = 4) -> DataFrame:
-    """E2 over splits x seeds: the (eager) model fits are submitted from a
-    small thread pool so Spark runs several fit jobs at once instead of
-    leaving the cluster idle between small jobs; the evaluations stay lazy."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def one(job):
-        split, seed = job
-        pred = train_eval(vecs.filter(F.col("split") == split), test, seed, max_iter)
-        return accuracy(pred.withColumn("split", F.lit(split)).withColumn("seed", F.lit(seed)))
-    jobs = [(s, seed) for s in splits for seed in seeds]
-    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
-        parts = list(pool.map(one, jobs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def seeded_weight(seed, id_col="sample_id") -> Column:
+    """-ln(u) of a hash of (seed, id): a random reweighting of all rows, so the
+    seed changes the fit and every training row still counts."""
+    u = (h24(F.concat_ws(":", seed.cast("string"), F.col(id_col).cast("string"))) + 1) / F.lit(float(2 ** 24))
+    return -F.log(u)
+
+
+def split_seed_models(train: DataFrame, seeds) -> DataFrame:
+    """E2 (re-aimed) fits: per (split, seed) the weighted class centres, all in
+    one explode and one aggregation; (split, seed, centers), one row each."""
+    rows = train.select("split", "label", "sample_id", array_to_vector("vec").alias("_v"),
+                        F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
+    rows = rows.withColumn("_w", seeded_weight(F.col("seed")))
+    mean = Summarizer.metrics("mean").summary(F.col("_v"), F.col("_w"))["mean"]
+    # a weight of 0 (u = 1) alone in its class leaves no centre
+    centers = rows.filter("_w > 0").groupBy("split", "seed", "label").agg(vector_to_array(mean).alias("center"))
+    return centers.groupBy("split", "seed").agg(F.sort_array(F.collect_list(F.struct("label", "center"))).alias("centers"))
+
+
+def split_seed_accuracy(train: DataFrame, test: DataFrame, splits, seeds) -> DataFrame:
+    """Accuracy of every split's and seed's nearest-centre classifier on
+    the test rows (ties: least label), in one scoring pass."""
+    models = split_seed_models(train.filter(F.col("split").isin(list(splits))), seeds)
+    runs = F.array(*[F.struct(F.lit(s).alias("split"), F.lit(int(k)).alias("seed")) for s in splits for k in seeds])
+    rows = test.select("label", "vec", F.explode(runs).alias("r")).select("label", "vec", "r.split", "r.seed")
+    dist = F.transform("centers", lambda c: F.struct(V.sq_distance(F.col("vec"), c["center"]).alias("d"), c["label"].alias("label")))
+    ok = (F.array_min(dist)["label"] == F.col("label")).cast("double")
+    return rows.join(models, ["split", "seed"]).groupBy("split", "seed").agg(rnd(F.avg(ok), ROUND_ACC).alias("accuracy"))

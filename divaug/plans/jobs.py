@@ -33,12 +33,12 @@ from divaug.functions.vectors import rnd
 
 def prepare_tuning_sets(groups: DataFrame, out_dir: str, sft_groups: int = 20_000,
                         dpo_groups: int = 100_000, shares: dict | None = None, seed: int = 42,
-                        suffix: str = "100k_100k") -> dict[str, DataFrame]:
+                        suffix: str = "100k_100k", on_error: str = "fail") -> dict[str, DataFrame]:
     """Stage 1: quota draws per category, literal parse, SFT explode and
     preference pairs, each shuffled and written as JSON lines."""
     shares = shares or {"question": 0.05, "sentence": 0.95}
     sft_g = SM.quota_sample(groups, "category", sft_groups, shares, 0, seed, "group_id").drop("pos")
-    sft = CD.sft_rows(CD.parse_literals(sft_g))   # SFT path: rows must parse
+    sft = CD.sft_rows(CD.parse_literals(sft_g), on_error=on_error)   # rows must parse, unless told to skip
     sft = CD.shuffled(sft, seed, F.concat_ws(":", F.col("group_id").cast("string"), F.col("pos").cast("string")))
     dpo_g = SM.quota_sample(groups, "category", dpo_groups, shares, sft_groups, seed, "group_id").drop("pos")
     good, rejects = CD.split_rejects(CD.parse_literals(dpo_g))
@@ -121,12 +121,12 @@ def diversity_report(splits: DataFrame, ref_split: str, results_path: str | None
     return _upsert(cells, results_path)
 
 
-def evaluate(splits: DataFrame, test: DataFrame, seeds=range(37, 47), results_path: str | None = None,
-             max_iter: int = 20) -> DataFrame:
+def evaluate(splits: DataFrame, test: DataFrame, seeds=range(37, 47),
+             results_path: str | None = None) -> DataFrame:
     """Stage 5: one classifier per split and seed, accuracy cells upserted;
     returns the cells (pivot with ``EV.performance_matrix``)."""
     names = sorted(r[0] for r in splits.select("split").distinct().collect())   # split names: a bounded catalog
-    acc = EV.split_seed_accuracy(splits, test, names, list(seeds), max_iter)
+    acc = EV.split_seed_accuracy(splits, test, names, list(seeds))
     cells = acc.select(F.lit("accuracy").alias("metric"), F.col("seed").cast("string").alias("row_key"), "split",
                        F.col("accuracy").alias("value"))
     return _upsert(cells, results_path)
@@ -157,7 +157,7 @@ def main(argv=None) -> None:
     from divaug.sources import fixtures as FX
     spark = get_session()
     if a.stage == "prepare":
-        r = prepare_tuning_sets(FX.fx_groups(spark, a.sf_dir), a.out, 200, 300)
+        r = prepare_tuning_sets(FX.fx_groups(spark, a.sf_dir), a.out, 200, 300, on_error="skip")
     elif a.stage == "select":
         texts = FX.fx_text(spark, a.sf_dir).drop("split")
         r = select_coresets(FX.fx_dynamics(spark, a.sf_dir), texts, a.out)

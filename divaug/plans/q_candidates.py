@@ -36,7 +36,7 @@ def parse_list_literal(spark, sf):
 
 
 @register("parse_rejects", S.with_([S.FX_GROUPS], """
-SELECT group_id, paraphrases FROM fx_groups WHERE NOT (paraphrases LIKE '[%]')"""))
+SELECT group_id, paraphrases FROM fx_groups WHERE items IS NULL"""))
 def parse_rejects(spark, sf):
     _, bad = CD.split_rejects(parsed_groups(spark, sf))
     return bad.select("group_id", "paraphrases")

@@ -196,15 +196,19 @@ def vocab_sql(src: str, name: str) -> str:
     SELECT tok, row_number() OVER (ORDER BY count(*) DESC, tok) AS rn FROM {name}_t GROUP BY tok))"""
 
 
-FX_GROUPS = """fx_groups AS (
-  SELECT group_id, p[1] AS text,
-         '[' || array_to_string(list_transform(p[2:6], lambda x: '''' || x || ''''), ', ') || ']' AS paraphrases,
-         CASE WHEN """ + h24("'cat:' || CAST(group_id AS VARCHAR)") + """ % 100 < 59 THEN 'question' ELSE 'sentence' END AS category
-  FROM (SELECT doc_id AS group_id,
-               list_filter(regexp_split_to_array(text, '[.\\n]+\\s*'), lambda x: x <> '') AS p FROM documents)
-  WHERE len(p) >= 6)"""
-
-PARSE = "string_split(substr(paraphrases, 3, len(paraphrases) - 4), ''', ''')"
+FX_GROUPS = r"""fx_groups AS (
+  SELECT group_id, text, CASE WHEN form = 0 THEN NULL ELSE its END AS items,
+         CASE WHEN form = 0 THEN '[' || q || '] and more' WHEN form = 1 AND len(its) >= 1 THEN '[' || q || ',]'
+              WHEN form = 2 AND len(its) >= 2 THEN '(' || q || ')' ELSE '[' || q || ']' END AS paraphrases,
+         CASE WHEN """ + h24("'cat:' || CAST(group_id AS VARCHAR)") + r""" % 100 < 59 THEN 'question' ELSE 'sentence' END AS category
+  FROM (SELECT *, """ + h24("'lit:' || CAST(group_id AS VARCHAR)") + r""" % 16 AS form,
+               array_to_string(list_transform(its, lambda x: '''' || replace(replace(x, '\', '\\'), '''', '\''') || ''''), ', ') AS q
+        FROM (SELECT doc_id * 1048576 + c AS group_id, p[6 * c + 1] AS text, p[6 * c + 2:6 * c + 6] AS its
+              FROM (SELECT doc_id, p, unnest(generate_series(0, (len(p) - 1) // 6)) AS c
+                    FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[.\n]+\s*'), lambda x: x <> '') AS p FROM documents)
+                    WHERE len(p) > 0))))"""
+
+PARSE = "items"
 
 
 def raw_toks(text: str = "text") -> str:

@@ -1,7 +1,7 @@
 """Views over the driver tables that give the reference's inputs a shape.
 
 Each view is a formula over the given parquet tables, so its work grows with
-them, and each has a DuckDB twin in ``divaug.plans.oracle``.
+them, and each has a DuckDB twin in ``divaug.plans.sqlparts``.
 
 Fixed values (names of the splits the views assign rows to, the language
 order that defines a text label, the quota category rule) are stated below.
@@ -83,18 +83,36 @@ def fx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _pick(TEXT_SPLITS, src_no % 4).alias("split"))
 
 
+GROUP_PIECES = 6          # one text and up to five paraphrases
+GROUP_ID_STEP = 1 << 20   # group_id = doc_id * step + number of the group in its document
+
+
 def fx_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paraphrase groups: group_id, text, paraphrases (list literal), category."""
+    """Paraphrase groups: group_id, text, paraphrases (list literal), category.
+
+    All pieces of all documents, six at a time (a document's last group may be
+    shorter).  Some literals are written in other ways that Python reads (a
+    trailing comma, a tuple) and some with text after the list, which it
+    rejects."""
     d = table(spark, sf_dir, "documents")
     pieces = F.filter(F.split(F.col("text"), PIECE_PATTERN), lambda x: x != "")
-    lit_list = F.concat(F.lit("["), F.array_join(
-        F.transform(F.slice(F.col("_p"), 2, 5), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-    cat = F.when(h24(F.concat(F.lit("cat:"), F.col("doc_id").cast("string"))) % 100 < QUESTION_SHARE_PCT,
+    p = d.select("doc_id", pieces.alias("_p")).filter(F.size("_p") > 0)
+    last = F.floor((F.size("_p") - 1) / GROUP_PIECES).cast("int")
+    g = p.select("doc_id", "_p", F.explode(F.sequence(F.lit(0), last)).alias("_c")).select(
+        (F.col("doc_id") * GROUP_ID_STEP + F.col("_c")).alias("group_id"),
+        F.get("_p", F.col("_c") * GROUP_PIECES).alias("text"),
+        F.slice("_p", F.col("_c") * GROUP_PIECES + 2, F.lit(GROUP_PIECES - 1)).alias("_items"))
+    plain = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    quoted = F.array_join(F.transform("_items", lambda x: F.concat(F.lit("'"), plain(x), F.lit("'"))), ", ")
+    key = F.col("group_id").cast("string")
+    form, n = h24(F.concat(F.lit("lit:"), key)) % 16, F.size("_items")
+    literal = (F.when(form == 0, F.concat(F.lit("["), quoted, F.lit("] and more")))
+                .when((form == 1) & (n >= 1), F.concat(F.lit("["), quoted, F.lit(",]")))
+                .when((form == 2) & (n >= 2), F.concat(F.lit("("), quoted, F.lit(")")))
+                .otherwise(F.concat(F.lit("["), quoted, F.lit("]"))))
+    cat = F.when(h24(F.concat(F.lit("cat:"), key)) % 100 < QUESTION_SHARE_PCT,
                  F.lit("question")).otherwise(F.lit("sentence"))
-    return (d.select("doc_id", pieces.alias("_p"))
-             .filter(F.size("_p") >= 6)
-             .select(F.col("doc_id").alias("group_id"), F.col("_p")[0].alias("text"),
-                     lit_list.alias("paraphrases"), cat.alias("category")))
+    return g.select("group_id", "text", literal.alias("paraphrases"), cat.alias("category"))
 
 
 def fx_pairs(spark: SparkSession, sf_dir: str, marker_a: str = "Premise: ",

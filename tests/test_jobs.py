@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stage_jobs_end_to_end(spark):
     out = shared_path(spark, "jobs-" + uuid.uuid4().hex)
-    r = J.prepare_tuning_sets(FX.fx_groups(spark, SF), out, 40, 60)
+    r = J.prepare_tuning_sets(FX.fx_groups(spark, SF), out, 40, 60, on_error="skip")
     assert r["sft"].count() == 5 * 40 or r["sft"].count() > 0
     texts = FX.fx_text(spark, SF).drop("split")
     sel = J.select_coresets(FX.fx_dynamics(spark, SF), texts, out)
@@ -39,3 +39,13 @@ def test_evaluate_job_upserts_accuracy(spark):
     again = J.evaluate(v, v, seeds=[37, 38], results_path=f"{out}/perf", max_iter=5)
     assert again.count() == 3 * 2
     assert all(0.0 <= r.value <= 1.0 for r in again.collect())
+
+
+def test_sft_rows_fail_on_a_bad_literal(spark):
+    import pytest
+
+    from divaug.operators import candidates as CD
+    g = CD.parse_literals(spark.createDataFrame([(1, "t", "['a', 'b']"), (2, "t", "['a'] more")], "group_id long, text string, paraphrases string"))
+    assert CD.sft_rows(g).count() == 2
+    with pytest.raises(Exception, match="no list literal in group 2"):
+        CD.sft_rows(g, on_error="fail").collect()

@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"split_seed_eval", "dynamics_log_ml"}
+# Queries whose result may be empty on the smallest tables.
+MAY_BE_EMPTY = {"missing_splits"}
 
 
 def test_entry(spark):
@@ -16,10 +17,8 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_runs(spark, name):
-    if name in SLOW:
-        pytest.skip("ML re-aim covered by the driver rows-only check")
     df = E.queries()[name](spark, SF)
-    assert df.count() >= 0
+    assert df.count() > 0 or name in MAY_BE_EMPTY
     if name in E.oracle_sql():
         assert all(c for c in df.columns)
 
@@ -36,8 +35,6 @@ def test_streaming_equals_batch(spark):
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_no_cross_or_nested_loop_join(spark, name):
-    if name in SLOW:
-        pytest.skip("ML re-aim")
     from divaug.session import release_cached
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     release_cached()
