@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import tempfile
@@ -38,9 +39,8 @@ from pyspark.sql import functions as F
 from divaug.llm.common import materialize, register, table
 from divaug.llm.vectext import code_points, run_hashes, slices
 
-LEXICON_WORDS = 32768
+LEXICON_WORDS = 131072
 LEXICON_BYTES = 24      # longer words are merged
-CACHE_WORDS = 1 << 16
 PART_BYTES = 1 << 20    # of texts that are encoded at once
 TOKENIZER = "byte_bpe_50k.json"
 # The contractions that the split keeps as words.
@@ -183,33 +183,45 @@ class Merges:
             todo, at = todo[go], (at[go] + 1) & (len(self.slot) - 1)
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact ids of the words: the least-ranked pair is merged first, the
-        leftmost of equal rank; many words of like length at a time."""
-        out: list = [None] * len(words)
-        sizes = np.fromiter((len(w) for w in words), np.int64, len(words))
+    def encode_ranges(self, buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, their numbers): exact ids of the words
+        ``buffer[start:start + size]``.  The least-ranked pair is merged first,
+        the leftmost of equal rank; many words of like length at a time."""
+        count, parts = np.zeros(len(size), np.int64), []
         low = 0
         for top in (4, 8, 12, 16, 24, 32, 48, 64):
-            pick = np.flatnonzero((sizes > low) & (sizes <= top))
+            pick = np.flatnonzero((size > low) & (size <= top))
             low = top
             for part in np.array_split(pick, max(1, len(pick) // 20000)):
                 if len(part):
-                    for i, ids in zip(part.tolist(), self._matrix([words[i] for i in part.tolist()], top)):
-                        out[i] = ids
-        for i in np.flatnonzero((sizes > 64) | (sizes == 0)).tolist():
-            out[i] = self._long(words[i])
-        return out
+                    ids = self._matrix(buffer, start[part], size[part], top)
+                    real = ids >= 0
+                    count[part] = real.sum(1)
+                    parts.append((part, ids[real]))
+        for i in np.flatnonzero(size > 64).tolist():
+            ids = self._long(buffer[start[i]:start[i] + size[i]])
+            count[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        at = np.cumsum(count) - count
+        flat = np.zeros(int(count.sum()), np.uint32)
+        for part, ids in parts:
+            flat[gather(at[part], count[part])] = ids
+        return flat, count
 
-    def _matrix(self, words: list[bytes], width: int) -> list[np.ndarray]:
-        n = len(words)
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
-        size = np.fromiter((len(w) for w in words), np.int64, n)
-        ids = np.where(np.arange(width) < size[:, None], self.byte_id[raw], -1)
+    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        size = np.fromiter((len(w) for w in words), np.int64, len(words))
+        flat, count = self.encode_ranges(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+        return np.split(flat, np.cumsum(count)[:-1]) if words else []
+
+    def _matrix(self, buffer: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """(words, width) ids, -1 behind a word's last."""
+        n, column = len(start), np.arange(width)
+        raw = buffer[np.minimum(start[:, None] + column, len(buffer) - 1)]
+        ids = np.where(column < size[:, None], self.byte_id[raw], -1)
         none = len(self.key)
         found = self.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1) if width > 1 else np.full((n, 0), -1)
         rank = np.where(found >= 0, self.rank[found], none)
         live = np.arange(n)
-        column = np.arange(width)
         while len(live) and width > 1:
             r = rank[live]
             at = r.argmin(1)
@@ -233,12 +245,11 @@ class Merges:
                 f = self.find(x[k[ok], p[ok]], x[k[ok], p[ok] + 1])
                 r[k[ok], p[ok]] = np.where(f >= 0, self.rank[f], none)
             rank[live] = r
-        return [row[row >= 0] for row in ids]
+        return ids
 
-    def _long(self, word: bytes) -> np.ndarray:
+    def _long(self, word: np.ndarray) -> np.ndarray:
         """A long word: a heap of pairs over a linked list, n log n."""
-        import heapq
-        ids = self.byte_id[np.frombuffer(word, np.uint8)]
+        ids = self.byte_id[word]
         f = self.find(ids[:-1], ids[1:])
         ids, n = ids.tolist(), len(ids)
         heap = [(int(self.rank[x]), i, int(x), ids[i], ids[i + 1]) for i, x in enumerate(f.tolist()) if x >= 0]
@@ -355,7 +366,7 @@ class Lexicon:
         ids = merges.encode_words(words)
         a = build_automaton(words)
         bits = len(a["slot"]).bit_length() - 1
-        sizes = [len(x) for x in ids]
+        sizes = [len(x) for x in ids]   # words are sorted: ids follow their numbers
         head = [bits, len(a["final"]), len(words), sum(sizes), max(map(len, words), default=0)]
         np.concatenate([np.array(head), a["slot"].ravel(), a["final"], np.cumsum([0, *sizes]), *ids]).astype(np.int32).tofile(path)
 
@@ -392,7 +403,7 @@ class Lexicon:
 class Encoder:
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon = merges, lexicon
-        self.cache: dict[int, tuple[bytes, np.ndarray]] = {}
+        self.lexicon_ids = lexicon.ids.astype(np.uint32)
         self.byte_size = np.fromiter((len(t) for t in merges.tokens), np.int64, len(merges.tokens))
         self.byte_at = np.concatenate(([0], np.cumsum(self.byte_size)))
         self.bytes = np.frombuffer(b"".join(merges.tokens), np.uint8)
@@ -423,25 +434,15 @@ class Encoder:
         if not len(w.start):
             return [np.zeros(0, np.uint32)] * len(texts)
         at = self.lexicon.find(w)
-        # unseen words of this batch, once each
+        # unseen words of this part, merged once each
         unseen = np.flatnonzero(at < 0)
-        hashes, first, back = np.unique(w.hash[unseen], return_index=True, return_inverse=True)
-        raw = [w.word(i) for i in unseen[first].tolist()]
-        known = [self.cache.get(h) for h in hashes.tolist()]
-        todo = [i for i, (k, r) in enumerate(zip(known, raw)) if k is None or k[0] != r]
-        if len(self.cache) + len(todo) > CACHE_WORDS:
-            self.cache.clear()
-        ids = [k[1] if k is not None else None for k in known]
-        for i, got in zip(todo, self.merges.encode_words([raw[i] for i in todo])):
-            ids[i] = got.astype(np.uint32)
-            if len(raw[i]) <= 64:
-                self.cache[int(hashes[i])] = (raw[i], ids[i])
-        own_size = np.fromiter((len(x) for x in ids), np.int64, len(ids))
+        _, first, back = np.unique(w.hash[unseen], return_index=True, return_inverse=True)
+        first = unseen[first]
+        own, own_size = self.merges.encode_ranges(w.buffer, w.start[first], w.end[first] - w.start[first])
         own_at = np.cumsum(own_size) - own_size
-        own = np.concatenate([np.zeros(0, np.uint32), *ids])
         # one pool: the lexicon's ids, then those of the unseen words
-        base = len(self.lexicon.ids)
-        pool = np.concatenate([self.lexicon.ids.astype(np.uint32), own])
+        base = len(self.lexicon_ids)
+        pool = np.concatenate([self.lexicon_ids, own])
         seen = np.maximum(at, 0)
         start = np.where(at >= 0, self.lexicon.offset[seen], 0).astype(np.int64)
         size = np.where(at >= 0, self.lexicon.offset[np.minimum(seen + 1, len(self.lexicon.offset) - 1)] - start, 0)
