@@ -107,7 +107,7 @@ def _bucket(col: Column, bounds: list[list[int]]) -> Column:
     """The number of bounds at or below the value (-1: null), by two short
     searches over folded literals."""
     if not bounds[0]:
-        return F.lit(0)
+        return F.when(col.isNull(), -1).otherwise(0)
     nested = F.from_json(F.lit(str(bounds)), "array<array<bigint>>")
     heads = F.from_json(F.lit(str([b[0] for b in bounds])), "array<bigint>")
     top = F.size(F.filter(heads, lambda b: b <= col))
@@ -117,9 +117,9 @@ def _bucket(col: Column, bounds: list[list[int]]) -> Column:
 
 def with_next(docs: DataFrame, id_col: str, col: str, derived: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Adds the columns derived from ``col`` and next_<col>, next_<derived> of
-    the following row by ascending id (after the last: the first).  Rows are dealt by ranges of ids into buckets of bounded size;
-    a bucket's last row gets the first row of the next bucket by a join on the
-    bucket's number."""
+    the following row by ascending id (after the last: the first).  Rows are
+    dealt by ranges of ids into buckets; a bucket's last row gets the first row
+    of the next bucket by a join on the bucket's number."""
     n = first_row(docs.agg(F.count("*").alias("n")))["n"]
     bucketed = docs.withColumn("__b", _bucket(F.col(id_col), _bounds(docs.select(id_col), id_col, n)))
     w = Window.partitionBy("__b").orderBy(F.col(id_col).asc_nulls_first(), col)
