@@ -117,9 +117,10 @@ def builtin_generator(df: DataFrame, text_col: str = "text") -> DataFrame:  # no
 builtin_generator.deterministic = True
 
 
-def pandas_generator(fn: Callable[[list[str]], list[list[str]]], k: int = N_CANDIDATES) -> Callable:
-    """Wrap a batch text->k-candidates function (e.g. a model loaded once per
+def pandas_generator(fn: Callable[[list[str]], list[list[str]]]) -> Callable:
+    """Wrap a batch text->candidates function (e.g. a model loaded once per
     task) as a generator hook with the same contract as builtin_generator.
+    Every candidate is kept; a text without any is an error.
     Each Arrow batch of texts is handed to ``fn`` at once; outputs are
     flattened with a vectorised explode."""
     def hook(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -132,8 +133,11 @@ def pandas_generator(fn: Callable[[list[str]], list[list[str]]], k: int = N_CAND
             for pdf in it:
                 outs = fn(pdf[text_col].tolist())
                 res = pdf[keys].copy()
-                res["cand_text"] = [list(c)[:k] for c in outs]
-                res = res.explode("cand_text").dropna(subset=["cand_text"])
+                res["cand_text"] = [[x for x in c if x is not None] for c in outs]
+                empty = res["cand_text"].map(len) == 0
+                if empty.any():
+                    raise ValueError(f"generator gave no candidate for {int(empty.sum())} text(s), first key {res.loc[empty, keys].iloc[0].to_dict()}")
+                res = res.explode("cand_text")
                 res["cand_idx"] = res.groupby(level=0).cumcount().astype("int32")   # per input row
                 yield res.reset_index(drop=True)[keys + ["cand_idx", "cand_text"]]
         return df.mapInPandas(run, out_schema)
@@ -249,13 +253,31 @@ def shuffled(df: DataFrame, seed: int, id_expr: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- P8
-# Text column and carried columns per input schema.
+# Text column and carried columns per input schema, the schema of
+# each dataset that is not plain text, the markers of the pair schemas.
 SCHEMAS = {
     "text": ("text", ["label"]),
+    "nli": ("text", ["label"]),
+    "sts": ("text", ["label"]),
     "csqa": ("question", ["choices", "answerKey"]),
     "codah": ("question_propmt", ["candidate_answers", "correct_answer_idx"]),
 }
 
+SCHEMA_OF = {"anli": "nli", "mnli": "nli", "mrpc": "sts", "rte": "sts", "csqa": "csqa", "codah": "codah"}
+PAIR_MARKERS = {"nli": TX.NLI_MARKERS, "sts": TX.STS_MARKERS}
+
+
+def schema_select(seeds: DataFrame, schema: str, key: str = "sample_id", generator=builtin_generator) -> DataFrame:
+    """G1-G4 by schema: ``key, dis_text, sim_text`` for every seed.  Pair
+    texts are paraphrased field by field; one without its markers is an error."""
+    if schema not in PAIR_MARKERS:
+        return paraphrase_select(seeds, key, generator=generator).select(key, "dis_text", "sim_text")
+    markers = PAIR_MARKERS[schema]
+    bad = F.raise_error(F.concat(F.lit("no pair markers in text of "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    whole = seeds.withColumn("text", F.when(TX.split_pair(F.col("text"), markers).isNotNull(), F.col("text")).otherwise(bad.cast("string")))
+    return paraphrase_pairs_fields(whole, key, markers, generator).select(
+        key, F.col("text_dis").alias("dis_text"), F.col("text_sim").alias("sim_text"))
+
 
 def project_text(df: DataFrame, schema: str, key: str = "sample_id") -> DataFrame:
     """(key, text, carry) where ``carry`` is a struct of the schema's
@@ -264,8 +286,8 @@ def project_text(df: DataFrame, schema: str, key: str = "sample_id") -> DataFram
     return df.select(key, F.col(text_col).alias("text"), F.struct(*carried).alias("carry"))
 
 
-def restore_schema(df: DataFrame, schema: str, key: str = "sample_id") -> DataFrame:
+def restore_schema(df: DataFrame, schema: str, key: str = "sample_id", keep=()) -> DataFrame:
     """Inverse of project_text: rows written back under the input's own
     column names (the codah text column keeps its input name)."""
     text_col, carried = SCHEMAS[schema]
-    return df.select(key, F.col("text").alias(text_col), *[F.col(f"carry.{c}").alias(c) for c in carried])
+    return df.select(key, *keep, F.col("text").alias(text_col), *[F.col(f"carry.{c}").alias(c) for c in carried])

@@ -34,26 +34,13 @@ def class_centers(df: DataFrame, keys=("split", "label"), vec: str = "vec") -> D
                    F.count(F.lit(1)).alias("n")))
 
 
-def attach_model(df: DataFrame, small: DataFrame, name: str, order_col: str,
-                 max_rows: int) -> DataFrame:
+def attach_model(df: DataFrame, small: DataFrame, name: str, order_col: str) -> DataFrame:
     """Attach a small fitted table (e.g. one centre per class) to every row as
-    one sorted array literal, the way a fitted ML model's coefficients are
-    shipped to the executors.  The table is an aggregate bounded by the
-    number of classes; its size is checked before it is collected, so no
-    join (and no cross join) is needed."""
-    n = small.count()
-    if n > max_rows:
-        raise ValueError(f"attach_model: {n} rows exceed the bound {max_rows}")
-    rows = sorted(small.collect(), key=lambda r: r[order_col])
-    fields = small.schema.fields
-
-    def lit_of(v, dt):
-        from pyspark.sql import types as T
-        if isinstance(dt, T.ArrayType):
-            return F.array(*[F.lit(float(x)) for x in v]).cast(dt)
-        return F.lit(v).cast(dt)
-    arr = F.array(*[F.struct(*[lit_of(r[f.name], f.dataType).alias(f.name) for f in fields]) for r in rows])
-    return df.withColumn(name, arr)
+    one sorted array: a scalar subquery over its one-row aggregate, so Spark
+    ships it with the plan and neither a join nor a driver loop is needed."""
+    rest = [c for c in small.columns if c != order_col]
+    model = small.agg(F.array_sort(F.collect_list(F.struct(order_col, *rest))).alias(name))
+    return df.withColumn(name, model.scalar())
 
 
 def class_linear_stats(df: DataFrame, keys=("split", "label"), vec: str = "vec") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divaug.functions import text as TX
+from divaug.functions.hashing import h24
 from divaug.operators import candidates as CD
 from divaug.operators import diversity as DV
 from divaug.operators import dynamics as D
@@ -73,9 +74,10 @@ def select_coresets(log: DataFrame, texts: DataFrame, out_dir: str, seed: int =
 def augment(coresets: DataFrame, key: str, out_dir: str, stage: str = "dpo", size: str = "50k",
             variant: str = "sel", model: str = CT.DEFAULT_BASE_MODEL, generator=CD.builtin_generator,
             reduced: DataFrame | None = None, save_sim: bool = False, save_par: bool = False,
-            schema: str = "text") -> dict[str, DataFrame]:
+            dataset: str = "text") -> dict[str, DataFrame]:
     """Stage 4: seeds/non-seeds by variant, generate, pick extremes, assemble.
-    ``variant``: sel (top 1/3 seeds, mid 1/3 non-seeds), wocst (random half of
+    The dataset decides the schema (pair markers or QA columns), the sft stage
+    the size.  ``variant``: sel (top 1/3 seeds, mid 1/3 non-seeds), wocst (random half of
     reduced_800), wosel (random half of top 2/3)."""
     def band(b):
         return coresets.filter(F.col("split") == f"coreset_{key}_{b}").drop("split")
@@ -86,18 +88,21 @@ def augment(coresets: DataFrame, key: str, out_dir: str, stage: str = "dpo", siz
         o = SM.seeded_order(pool, "42-split", count_name="n2", name="p2")
         cut = F.floor(F.col("n2") / 2)
         seeds, non = o.filter(F.col("p2") <= cut).drop("p2", "n2"), o.filter(F.col("p2") > cut).drop("p2", "n2")
-    chosen = CD.paraphrase_select(seeds, "sample_id", generator=generator)
+    schema = CD.SCHEMA_OF.get(dataset, "text")
+    size = "100k" if stage == "sft" else size
+    seeds, non = CD.project_text(seeds, schema), CD.project_text(non, schema)
+    chosen = CD.schema_select(seeds, schema, generator=generator)
     out = {}
     for pol, flag in (("dis", True), ("sim", save_sim)):
         if not flag:
             continue
         name = f"aug_{CT.METHOD_TAG}_{stage}{size}_{variant}_{key}_{'dissimilar' if pol == 'dis' else 'similar'}" + \
             ("" if model == CT.DEFAULT_BASE_MODEL else f"_{model}")
-        a = CD.augmented_set(seeds, non, chosen, "sample_id", pol)
-        IO.write_jsonl(a.select("sample_id", "text", "label", "origin"), f"{out_dir}/{name}", None)
+        a = CD.restore_schema(CD.augmented_set(seeds, non, chosen, "sample_id", pol, carry=("carry",)), schema, keep=("origin",))
+        IO.write_jsonl(a, f"{out_dir}/{name}", None)
         out[name] = a
     if save_par:
-        par = seeds.join(chosen.select("sample_id", F.col("dis_text").alias("paraphrased_text")), "sample_id")
+        par = CD.restore_schema(seeds, schema).join(chosen.select("sample_id", F.col("dis_text").alias("paraphrased_text")), "sample_id")
         IO.write_jsonl(par, f"{out_dir}/para_{CT.METHOD_TAG}_{stage}{size}_{variant}_{key}_dissimilar", None)
     return out
 
@@ -149,7 +154,7 @@ def _upsert(cells: DataFrame, results_path: str | None) -> DataFrame:
 
 def main(argv=None) -> None:
     p = argparse.ArgumentParser(description="Run one stage on the driver tables of a scale-factor folder.")
-    p.add_argument("stage", choices=["prepare", "select", "augment", "report"])
+    p.add_argument("stage", choices=["prepare", "select", "augment", "evaluate", "report"])
     p.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     p.add_argument("--out", required=True)
     a = p.parse_args(argv)
@@ -163,6 +168,11 @@ def main(argv=None) -> None:
         r = select_coresets(FX.fx_dynamics(spark, a.sf_dir), texts, a.out)
     elif a.stage == "augment":
         r = augment(IO.read_jsonl_partitioned(spark, f"{a.out}/coresets"), "variance", a.out)
+    elif a.stage == "evaluate":
+        v = FX.fx_vec(spark, a.sf_dir)
+        held = h24(F.concat(F.lit("test:"), F.col("sample_id").cast("string"))) % 5 == 0   # test rows are no training rows
+        cells = evaluate(v.filter(~held), v.filter(held), results_path=f"{a.out}/performance")
+        r = {"cells": cells, "matrix": cells.groupBy("row_key").pivot("split").agg(F.first("value"))}
     else:
         r = {"report": diversity_report(FX.fx_text(spark, a.sf_dir), "variance_top_2_3", f"{a.out}/results")}
     for k, df in r.items():

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from divaug.functions import text as TX
 from divaug.operators import candidates as CD
 from divaug.operators import coreset as K
+from divaug.operators import dynamics as D
 from divaug.operators import sampling as SM
 from divaug.plans import sqlparts as S
-from divaug.plans.q_coreset import CB_SQL, scores_of
+from divaug.plans.q_coreset import CB_STEPS
 from divaug.plans.q_sampling import GROUP_POS, SFT_GROUPS, DPO_GROUPS, SHARES, _quota_case, SEED, NESTED
 from divaug.plans.registry import register
 from divaug.sources import catalog as CT
@@ -146,7 +147,10 @@ def _band_sql(lo, hi):
             f"AND c.rank <= floor(c.n_label * {S.dbl(hi)})")
 
 
-AUG_BASE = CB_SQL + [S.FX_TEXT, f"""aseed AS (SELECT c.sample_id, c.label, f.text FROM cbr c JOIN fx_text f USING (sample_id)
+# Scores of the documents themselves: every document is in the log.
+DOC_SCORES = [S.FX_TEXT, S.FX_DOC_VEC, S.FX_CENT_ALL, S.FX_DYN] + S.score_table()
+DOC_CB = DOC_SCORES + CB_STEPS
+AUG_BASE = DOC_CB + [f"""aseed AS (SELECT c.sample_id, c.label, f.text FROM cbr c JOIN fx_text f USING (sample_id)
   WHERE {_band_sql(0, Fraction(1, 3))}),
 anon AS (SELECT c.sample_id, c.label, f.text FROM cbr c JOIN fx_text f USING (sample_id)
   WHERE {_band_sql(Fraction(1, 3), Fraction(2, 3))})"""]
@@ -161,8 +165,12 @@ def _cands_sql(src, name, key="sample_id"):
 AUG = AUG_BASE + [_cands_sql("aseed", "ac")] + S.extremes("ac_o", "ac", "ax")
 
 
+def doc_scores(spark, sf):
+    return D.score_table(FX.fx_dynamics(spark, sf, vecs=FX.fx_doc_vec(spark, sf)))
+
+
 def aug_base(spark, sf):
-    scores = scores_of(spark, sf)
+    scores = doc_scores(spark, sf)
     bands = K.class_balanced_bands(scores, "variance", bands=("top_1_3", "mid_1_3", "top_2_3"))
     t = FX.fx_text(spark, sf).select("sample_id", "text")
     b = bands.join(t, "sample_id")
@@ -233,14 +241,14 @@ def _half_split(df):
             o.filter(F.col("p2") > cut).select("sample_id", "label", "text"))
 
 
-WOC = CB_SQL + [S.FX_TEXT, f"""lab AS (SELECT c.sample_id, c.label, f.text FROM scores c JOIN fx_text f USING (sample_id)),
+WOC = DOC_SCORES + [f"""lab AS (SELECT c.sample_id, c.label, f.text FROM scores c JOIN fx_text f USING (sample_id)),
 r800 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {S.seeded_key(SEED)}, sample_id) AS p1 FROM lab)
          WHERE p1 <= {NESTED[1]})""", _half_split_sql("r800", "wc"), _cands_sql("wc_s", "wcc")] + S.extremes("wcc_o", "wcc", "wcx")
 
 
 @register("variant_wo_coreset", S.with_(WOC, _aug_sql("wc_s", "wc_n", "wcx", "dis")))
 def variant_wo_coreset(spark, sf):
-    lab = scores_of(spark, sf).select("sample_id", "label").join(FX.fx_text(spark, sf).select("sample_id", "text"), "sample_id")
+    lab = doc_scores(spark, sf).select("sample_id", "label").join(FX.fx_text(spark, sf).select("sample_id", "text"), "sample_id")
     r800 = SM.seeded_order(lab, SEED).filter(F.col("pos") <= NESTED[1]).drop("pos")
     seeds, non = _half_split(r800)
     return _aug_df(seeds, non, "dis")
@@ -300,23 +308,35 @@ def pair_fields_sts(spark, sf):
 
 QA = ["""fx_qa AS (SELECT item_id AS sample_id, text AS question, string_split_regex(text, '\\s+')[1:4] AS choices,
   (['A', 'B', 'C', 'D'])[CAST(item_id % 4 AS INTEGER) + 1] AS answerKey FROM benchmark)""",
-      f"""qc AS (SELECT CAST(sample_id AS VARCHAR) AS k, CAST(unnest(generate_series(0, 4)) AS INTEGER) AS cand_idx,
-       unnest({S.edits('tk')}) AS cand_text FROM (SELECT sample_id, {S.raw_toks('question')} AS tk FROM fx_qa)),
-qc_o AS (SELECT CAST(sample_id AS VARCHAR) AS k, question AS text FROM fx_qa)"""] + S.extremes("qc_o", "qc", "qx")
+      f"""qr AS (SELECT *, row_number() OVER (ORDER BY {S.seeded_key('42-split')}, sample_id) AS p2, count(*) OVER () AS n2 FROM fx_qa),
+qs AS (SELECT * FROM qr WHERE p2 <= floor(n2 / 2)),
+qc AS (SELECT CAST(sample_id AS VARCHAR) AS k, CAST(unnest(generate_series(0, 4)) AS INTEGER) AS cand_idx,
+       unnest({S.edits('tk')}) AS cand_text FROM (SELECT sample_id, {S.raw_toks('question')} AS tk FROM qs)),
+qc_o AS (SELECT CAST(sample_id AS VARCHAR) AS k, question AS text FROM qs)"""] + S.extremes("qc_o", "qc", "qx")
 
 
-@register("augmented_set_qa", S.with_(QA, """
-SELECT 'seed' AS origin, sample_id, md5(question) AS question_md5, array_to_string(choices, '|') AS choices, answerKey FROM fx_qa
+def _qa_sql(form, key):
+    return f"""
+SELECT '{form}' AS form, CASE WHEN p2 <= floor(n2 / 2) THEN 'seed' ELSE 'nonseed' END AS origin, sample_id, md5(question) AS question_md5,
+       array_to_string(choices, '|') AS choices, {key} AS answer FROM qr
 UNION ALL
-SELECT 'paraphrase', q.sample_id, md5(x.dis_text), array_to_string(q.choices, '|'), q.answerKey
-FROM fx_qa q JOIN qx x ON x.k = CAST(q.sample_id AS VARCHAR)"""))
+SELECT '{form}', 'paraphrase', q.sample_id, md5(x.dis_text), array_to_string(q.choices, '|'), {key}
+FROM qs q JOIN qx x ON x.k = CAST(q.sample_id AS VARCHAR)"""
+
+
+@register("augmented_set_qa", S.with_(QA, _qa_sql("csqa", "answerKey") + "\nUNION ALL" + _qa_sql("codah", "CAST(sample_id % 4 AS VARCHAR)")))
 def augmented_set_qa(spark, sf):
-    q = FX.fx_qa(spark, sf)
-    ch = CD.paraphrase_select(q.select("sample_id", F.col("question").alias("text")), "sample_id")
-    seeds = q.select("sample_id", F.col("question").alias("text"), "choices", "answerKey")
-    a = CD.augmented_set(seeds, seeds.limit(0), ch, "sample_id", "dis", carry=("choices", "answerKey"))
-    return a.select("origin", "sample_id", F.md5("text").alias("question_md5"),
-                    F.array_join("choices", "|").alias("choices"), "answerKey")
+    """Both QA schemas; a seeded half are seeds, the rest non-seeds."""
+    def one(df, schema):
+        o = SM.seeded_order(CD.project_text(df, schema), "42-split", count_name="n2", name="p2")
+        cut = F.floor(F.col("n2") / 2)
+        seeds, non = o.filter(F.col("p2") <= cut), o.filter(F.col("p2") > cut)
+        a = CD.augmented_set(seeds, non, CD.schema_select(seeds, schema), carry=("carry",))
+        text, (choices, answer) = CD.SCHEMAS[schema]
+        return CD.restore_schema(a, schema, keep=("origin",)).select(
+            F.lit(schema).alias("form"), "origin", "sample_id", F.md5(text).alias("question_md5"),
+            F.array_join(choices, "|").alias("choices"), F.col(answer).cast("string").alias("answer"))
+    return one(FX.fx_qa(spark, sf), "csqa").unionByName(one(FX.fx_qa_codah(spark, sf), "codah"))
 
 
 @register("l2_distance", S.with_([S.FX_GROUPS] + _pref_sql("fx_groups", "ld", "l2"), """

@@ -37,12 +37,13 @@ def _sql_case(keys):
     return "CASE k.key " + " ".join(f"WHEN '{k}' THEN s.{k}" for k in keys) + " END"
 
 
-CB_SQL = SCORES + [f"""cb AS (
+CB_STEPS = [f"""cb AS (
   SELECT k.key, s.sample_id, s.label, {_sql_case(K.CORESET_KEYS)} AS score
   FROM scores s CROSS JOIN (VALUES ('entropy'), ('el2n'), ('variance')) k(key)),
 cbr AS (
   SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY score DESC, sample_id) AS rank,
          count(*) OVER (PARTITION BY key, label) AS n_label FROM cb)"""]
+CB_SQL = SCORES + CB_STEPS
 
 
 def _cut_sql(n, ratio):

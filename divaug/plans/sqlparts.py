@@ -137,6 +137,11 @@ def hashed_vec(src: str, name: str, dims: int = 64) -> str:
   GROUP BY f.sample_id)"""
 
 
+# Vectors of whole documents under the name the dynamics log reads (fx_vec).
+FX_DOC_VEC = hashed_vec("fx_text", "fx_dv") + """,
+fx_vec AS (SELECT t.sample_id, t.label, v.vec FROM fx_text t JOIN fx_dv v USING (sample_id))"""
+
+
 def class_metrics(x: str, name: str) -> list[str]:
     """CTEs ending in ``name``(split, label, n, avg_distance, dissimilarity,
     embed_std, homogeneity) over ``x``(split, label, sample_id, vec); pairs by

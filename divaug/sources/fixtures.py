@@ -42,18 +42,26 @@ def fx_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(VEC_SPLITS, F.col("vec_id") % 3).alias("split"))
 
 
+def fx_doc_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, label, vec of every document: the default embedding of its
+    whole text under its language label."""
+    from divaug.operators.tokens import hashed_embedding
+    return hashed_embedding(fx_text(spark, sf_dir), keep=("label",))
+
+
 def fx_dynamics(spark: SparkSession, sf_dir: str, epochs: int = 3,
-                scale: float = 8.0, noise: float = 2.0) -> DataFrame:
-    """Training-dynamics log: one row per (sample, epoch).
+                scale: float = 8.0, noise: float = 2.0, vecs: DataFrame | None = None) -> DataFrame:
+    """Training-dynamics log: one row per (sample, epoch) of ``vecs``
+    (sample_id, label, vec; by default the embeddings table).
 
     Logits of a nearest-centre classifier that sharpens with the epoch plus a
     hash-salted noise term: z_k = (epoch+1)*scale*<vec, centre_k>
     + noise*h24('id:epoch:k')/2^24; logp = log_softmax(z).
     """
     from divaug.operators.diversity import class_centers, attach_model
-    v = fx_vec(spark, sf_dir)
-    cents = class_centers(v, ["label"]).select(F.col("label").alias("k"), F.col("center"))
-    rows = attach_model(v, cents, "cents", order_col="k", max_rows=100_000)
+    v = fx_vec(spark, sf_dir) if vecs is None else vecs
+    cents = class_centers(v.filter(F.col("label").isNotNull()), ["label"]).select(F.col("label").alias("k"), F.col("center"))
+    rows = attach_model(v, cents, "cents", order_col="k")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     z = F.transform(
         F.col("cents"),

@@ -66,10 +66,13 @@ def test_preference_pairs_degenerate(spark):
 def test_pandas_generator_hook(spark):
     def upper_variants(texts):
         return [[t.upper(), t[::-1], t + " !"] for t in texts]
-    gen = CD.pandas_generator(upper_variants, k=2)
+    gen = CD.pandas_generator(upper_variants)
     df = spark.createDataFrame([(1, "ab cd"), (2, "x")], "sample_id long, text string")
     c = sorted((r.sample_id, r.cand_idx, r.cand_text) for r in gen(df).collect())
-    assert c == [(1, 0, "AB CD"), (1, 1, "dc ba"), (2, 0, "X"), (2, 1, "x")]
+    assert c == [(1, 0, "AB CD"), (1, 1, "dc ba"), (1, 2, "ab cd !"), (2, 0, "X"), (2, 1, "x"), (2, 2, "x !")]   # none is cut
+    import pytest
+    with pytest.raises(Exception, match="generator gave no candidate"):
+        CD.pandas_generator(lambda texts: [[] for _ in texts])(df).collect()
     # through the selection path (checkpointed because it is not deterministic)
     sel = {r.sample_id: r for r in CD.paraphrase_select(df, "sample_id", generator=gen).collect()}
     assert set(sel) == {1, 2}

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_stage_jobs_end_to_end(spark):
     out = shared_path(spark, "jobs-" + uuid.uuid4().hex)
     r = J.prepare_tuning_sets(FX.fx_groups(spark, SF), out, 40, 60, on_error="skip")
-    assert r["sft"].count() == 5 * 40 or r["sft"].count() > 0
+    assert r["sft"].count() > 40 and r["sft"].filter("position IS NULL").count() == 0
     texts = FX.fx_text(spark, SF).drop("split")
     sel = J.select_coresets(FX.fx_dynamics(spark, SF), texts, out)
     splits = {x.split for x in sel["coresets"].select("split").distinct().collect()}
@@ -34,9 +34,9 @@ def test_stage_jobs_end_to_end(spark):
 def test_evaluate_job_upserts_accuracy(spark):
     out = shared_path(spark, "eval-" + uuid.uuid4().hex)
     v = FX.fx_vec(spark, SF)
-    cells = J.evaluate(v, v, seeds=[37, 38], results_path=f"{out}/perf", max_iter=5)
+    cells = J.evaluate(v, v, seeds=[37, 38], results_path=f"{out}/perf")
     assert cells.count() == 3 * 2
-    again = J.evaluate(v, v, seeds=[37, 38], results_path=f"{out}/perf", max_iter=5)
+    again = J.evaluate(v, v, seeds=[37, 38], results_path=f"{out}/perf")
     assert again.count() == 3 * 2
     assert all(0.0 <= r.value <= 1.0 for r in again.collect())
 
@@ -49,3 +49,26 @@ def test_sft_rows_fail_on_a_bad_literal(spark):
     assert CD.sft_rows(g).count() == 2
     with pytest.raises(Exception, match="no list literal in group 2"):
         CD.sft_rows(g, on_error="fail").collect()
+
+
+def test_augment_follows_the_dataset_schema(spark):
+    import pytest
+
+    from divaug.functions import text as TX
+    out = shared_path(spark, "aug-" + uuid.uuid4().hex)
+    tag = CT.METHOD_TAG
+
+    def bands(df):
+        return df.withColumn("split", F.when(F.col("sample_id") % 2 == 0, F.lit("coreset_variance_top_1_3")).otherwise(F.lit("coreset_variance_mid_1_3")))
+    qa = bands(FX.fx_qa_codah(spark, SF))
+    a = J.augment(qa, "variance", out, stage="sft", dataset="codah")[f"aug_{tag}_sft100k_sel_variance_dissimilar"]   # sft: size 100k
+    assert set(a.columns) == {"sample_id", "origin", "question_propmt", "candidate_answers", "correct_answer_idx"}
+    n = {r.origin: r["count"] for r in a.groupBy("origin").count().collect()}
+    assert n["seed"] == n["paraphrase"] > 0 and n["seed"] + n["nonseed"] == qa.count()
+    pairs = spark.createDataFrame([(0, "Premise: a b c Hypothesis: d e Hypothesis: f", 1), (1, "no markers", 0)], "sample_id long, text string, label int")
+    a = J.augment(bands(pairs), "variance", out, dataset="anli")[f"aug_{tag}_dpo50k_sel_variance_dissimilar"]
+    par = a.filter("origin = 'paraphrase'").collect()
+    assert len(par) == 1 and par[0].label == 1 and TX.NLI_MARKERS[1] in par[0].text and "f" not in par[0].text.split(TX.NLI_MARKERS[1])[1]
+    bad = pairs.withColumn("sample_id", F.col("sample_id") * 2)
+    with pytest.raises(Exception, match="no pair markers in text of 2"):
+        J.augment(bands(bad), "variance", out + "-bad", dataset="mnli")
