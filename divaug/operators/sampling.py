@@ -32,18 +32,21 @@ def position_range(df: DataFrame, lo, hi, pos: str = "pos") -> DataFrame:
 def quota_sample(df: DataFrame, category: str, target: int, shares: dict, offset: int = 0,
                  seed: int = 42, id_col: str = "sample_id") -> DataFrame:
     """Per category the positions (offset, offset + int(target*share)]
-    of one seeded permutation per category."""
+    of one seeded permutation per category.  Ids are unique: only (id,
+    category) is ranked, the other columns are joined to the drawn rows."""
     wanted = df.filter(F.col(category).isin(list(shares)))   # other categories are never ranked
-    ordered = seeded_order(wanted, seed, id_col, groups=[category])
+    ordered = seeded_order(wanted.select(id_col, category), seed, id_col, groups=[category])
     quota = F.create_map(*[x for c, s in shares.items() for x in (F.lit(c), F.lit(int(target * s)))])
     q = F.coalesce(F.element_at(quota, F.col(category)), F.lit(0))
-    return ordered.filter((F.col("pos") > offset) & (F.col("pos") <= offset + q))
+    drawn = ordered.filter((F.col("pos") > offset) & (F.col("pos") <= offset + q))
+    return wanted.join(drawn, [id_col, category]).select(*df.columns, "pos")
 
 
 def nested_sample(df: DataFrame, sizes=(1200, 800), seed: int = 42, id_col: str = "sample_id") -> DataFrame:
-    """Nested prefixes of one permutation; one flag column per size."""
-    o = seeded_order(df, seed, id_col)
-    out = o.filter(F.col("pos") <= max(sizes))
+    """Nested prefixes of one permutation; one flag column per size.  Ids
+    are unique: only they are ranked."""
+    o = seeded_order(df.select(id_col), seed, id_col)
+    out = df.join(o.filter(F.col("pos") <= max(sizes)), id_col).select(*df.columns, "pos")
     for s in sizes:
         out = out.withColumn(f"in_{s}", F.col("pos") <= s)
     return out

@@ -171,24 +171,23 @@ def doc_scores(spark, sf):
 
 def aug_base(spark, sf):
     scores = doc_scores(spark, sf)
-    bands = K.class_balanced_bands(scores, "variance", bands=("top_1_3", "mid_1_3", "top_2_3"))
+    bands = K.class_balanced_bands(scores, "variance", bands=("top_1_3", "mid_1_3"))
     t = FX.fx_text(spark, sf).select("sample_id", "text")
     b = bands.join(t, "sample_id")
     return (b.filter(F.col("band") == "top_1_3").select("sample_id", "label", "text"),
-            b.filter(F.col("band") == "mid_1_3").select("sample_id", "label", "text"),
-            b.filter(F.col("band") == "top_2_3").select("sample_id", "label", "text"))
+            b.filter(F.col("band") == "mid_1_3").select("sample_id", "label", "text"))
 
 
 @register("candidate_fanout", S.with_(AUG, "SELECT CAST(k AS BIGINT) AS sample_id, cand_idx, md5(cand_text) AS cand_md5 FROM ac"))
 def candidate_fanout(spark, sf):
-    seeds, _, _ = aug_base(spark, sf)
+    seeds, _ = aug_base(spark, sf)
     c = CD.builtin_generator(seeds.select("sample_id", "text"))
     return c.select("sample_id", "cand_idx", F.md5("cand_text").alias("cand_md5"))
 
 
 @register("dissimilar_select", S.with_(AUG, "SELECT CAST(k AS BIGINT) AS sample_id, dis_idx, sim_idx FROM ax"))
 def dissimilar_select(spark, sf):
-    seeds, _, _ = aug_base(spark, sf)
+    seeds, _ = aug_base(spark, sf)
     return CD.paraphrase_select(seeds, "sample_id").select("sample_id", "dis_idx", "sim_idx")
 
 
@@ -207,13 +206,13 @@ def _aug_df(seeds, non, pol="dis"):
 
 @register("augmented_set", S.with_(AUG, _aug_sql("aseed", "anon", "ax", "dis")))
 def augmented_set(spark, sf):
-    seeds, non, _ = aug_base(spark, sf)
+    seeds, non = aug_base(spark, sf)
     return _aug_df(seeds, non, "dis")
 
 
 @register("augmented_set_similar", S.with_(AUG, _aug_sql("aseed", "anon", "ax", "sim")))
 def augmented_set_similar(spark, sf):
-    seeds, non, _ = aug_base(spark, sf)
+    seeds, non = aug_base(spark, sf)
     return _aug_df(seeds, non, "sim")
 
 
@@ -221,7 +220,7 @@ def augmented_set_similar(spark, sf):
 SELECT s.sample_id, s.label, md5(s.text) AS text_md5, md5(x.dis_text) AS paraphrased_md5
 FROM aseed s JOIN ax x ON x.k = CAST(s.sample_id AS VARCHAR)"""))
 def paraphrase_pairs(spark, sf):
-    seeds, _, _ = aug_base(spark, sf)
+    seeds, _ = aug_base(spark, sf)
     ch = CD.paraphrase_select(seeds, "sample_id")
     return seeds.join(ch, "sample_id").select("sample_id", "label", F.md5("text").alias("text_md5"),
                                               F.md5("dis_text").alias("paraphrased_md5"))
@@ -234,8 +233,10 @@ def _half_split_sql(src, name):
 {name}_n AS (SELECT sample_id, label, text FROM {name}_r WHERE p2 > floor(n2 / 2))"""
 
 
-def _half_split(df):
-    o = SM.seeded_order(df, "42-split", count_name="n2", name="p2")
+def _half_split(df, texts):
+    """Seeded halves of ``df`` (sample_id, label), texts joined after the rank."""
+    ranked = SM.seeded_order(df.select("sample_id", "label"), "42-split", count_name="n2", name="p2")
+    o = ranked.join(texts.select("sample_id", "text"), "sample_id")
     cut = F.floor(F.col("n2") / 2)
     return (o.filter(F.col("p2") <= cut).select("sample_id", "label", "text"),
             o.filter(F.col("p2") > cut).select("sample_id", "label", "text"))
@@ -248,9 +249,9 @@ r800 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {S.seeded_key(SEED
 
 @register("variant_wo_coreset", S.with_(WOC, _aug_sql("wc_s", "wc_n", "wcx", "dis")))
 def variant_wo_coreset(spark, sf):
-    lab = doc_scores(spark, sf).select("sample_id", "label").join(FX.fx_text(spark, sf).select("sample_id", "text"), "sample_id")
+    lab = FX.fx_text(spark, sf).select("sample_id", "label")   # every document is in the log
     r800 = SM.seeded_order(lab, SEED).filter(F.col("pos") <= NESTED[1]).drop("pos")
-    seeds, non = _half_split(r800)
+    seeds, non = _half_split(r800, FX.fx_text(spark, sf))
     return _aug_df(seeds, non, "dis")
 
 
@@ -260,8 +261,8 @@ WOS = AUG_BASE + [f"""t23 AS (SELECT c.sample_id, c.label, f.text FROM cbr c JOI
 
 @register("variant_wo_selective", S.with_(WOS, _aug_sql("ws_s", "ws_n", "wsx", "dis")))
 def variant_wo_selective(spark, sf):
-    _, _, t23 = aug_base(spark, sf)
-    seeds, non = _half_split(t23)
+    t23 = K.class_balanced_bands(doc_scores(spark, sf), "variance", bands=("top_2_3",))
+    seeds, non = _half_split(t23, FX.fx_text(spark, sf))
     return _aug_df(seeds, non, "dis")
 
 

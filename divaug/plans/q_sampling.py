@@ -38,20 +38,20 @@ TEXT_POS = [S.FX_TEXT, f"""tpos AS (
 
 @register("seeded_sample", S.with_(TEXT_POS, "SELECT sample_id, pos FROM tpos"))
 def seeded_sample(spark, sf):
-    return SM.seeded_order(FX.fx_text(spark, sf), SEED).select("sample_id", "pos")
+    return SM.seeded_order(FX.fx_text(spark, sf).select("sample_id"), SEED).select("sample_id", "pos")
 
 
 @register("quota_sample", S.with_(GROUP_POS, f"""
 SELECT group_id, category, pos FROM gpos WHERE pos <= {_quota_case(SFT_GROUPS)}"""))
 def quota_sample(spark, sf):
-    g = FX.fx_groups(spark, sf)
+    g = FX.fx_groups(spark, sf).select("group_id", "category")
     return SM.quota_sample(g, "category", SFT_GROUPS, SHARES, 0, SEED, "group_id").select("group_id", "category", "pos")
 
 
 @register("disjoint_ranges", S.with_(GROUP_POS, f"""
 SELECT group_id, category, pos FROM gpos WHERE pos > {SFT_GROUPS} AND pos <= {SFT_GROUPS} + {_quota_case(DPO_GROUPS)}"""))
 def disjoint_ranges(spark, sf):
-    g = FX.fx_groups(spark, sf)
+    g = FX.fx_groups(spark, sf).select("group_id", "category")
     return SM.quota_sample(g, "category", DPO_GROUPS, SHARES, SFT_GROUPS, SEED, "group_id").select(
         "group_id", "category", "pos")
 
@@ -60,7 +60,7 @@ def disjoint_ranges(spark, sf):
 SELECT sample_id, pos, pos <= {NESTED[0]} AS in_{NESTED[0]}, pos <= {NESTED[1]} AS in_{NESTED[1]}
 FROM tpos WHERE pos <= {max(NESTED)}"""))
 def nested_sample(spark, sf):
-    return SM.nested_sample(FX.fx_text(spark, sf), NESTED, SEED).select(
+    return SM.nested_sample(FX.fx_text(spark, sf).select("sample_id"), NESTED, SEED).select(
         "sample_id", "pos", f"in_{NESTED[0]}", f"in_{NESTED[1]}")
 
 
@@ -69,7 +69,7 @@ def nested_sample(spark, sf):
   FROM tpos WHERE pos <= {NESTED[1]})"""], """
 SELECT sample_id, CASE WHEN pos2 <= floor(n / 2) THEN 'seed' ELSE 'nonseed' END AS role FROM r800"""))
 def seed_nonseed_split(spark, sf):
-    r800 = SM.seeded_order(FX.fx_text(spark, sf), SEED).filter(F.col("pos") <= NESTED[1]).drop("pos")
+    r800 = SM.seeded_order(FX.fx_text(spark, sf).select("sample_id"), SEED).filter(F.col("pos") <= NESTED[1]).drop("pos")
     o = SM.seeded_order(r800, "42-split", count_name="n")
     return o.select("sample_id", F.when(F.col("pos") <= F.floor(F.col("n") / 2), F.lit("seed"))
                     .otherwise(F.lit("nonseed")).alias("role"))
@@ -79,4 +79,4 @@ def seed_nonseed_split(spark, sf):
 SELECT sample_id, pos FROM (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS pos FROM fx_text)
 WHERE pos <= {EVAL_CAP}"""))
 def eval_cap(spark, sf):
-    return SM.head_by(FX.fx_text(spark, sf), EVAL_CAP, [F.col("sample_id").asc()]).select("sample_id", "pos")
+    return SM.head_by(FX.fx_text(spark, sf).select("sample_id"), EVAL_CAP, [F.col("sample_id").asc()]).select("sample_id", "pos")
