@@ -7,7 +7,8 @@ punctuation stays, so script and format match; e-mail addresses keep the shape
 of the local part and get a host below a reserved domain; telephone numbers
 keep their country code; card numbers keep their first digit and pass the Luhn
 check when the original does; IP addresses have octets of 1 to 223; access
-keys keep their prefix, secrets their label; a titled name gets a name of the
+keys keep their prefix, secrets (a label in any case, then a value of 8 or more
+characters up to white space, a quote or an angle bracket) their label; a titled name gets a name of the
 title's gender and of its own script (Latin or Cyrillic) with as many words.
 
 One entity gets one surrogate in the whole corpus (coreference; e-mail
@@ -28,11 +29,17 @@ from pyspark.sql import functions as F
 
 from divaug.llm.common import first_row, materialize, register, table
 
+# Labels of secrets in any case, what stands between label and
+# value, and the value: 8 characters or more up to white space, a quote or an
+# angle bracket; marks that end a sentence are left out where 8 others remain.
+LABELS = "(?iu:password|passwd|secret|api_key|token)"
+GIVES = r"(?: {0,3}[=:] {0,3}\"?)"
+VALUE = r"(?=[^\s\"'`<>]*[\p{L}\p{N}])(?:[^\s\"'`<>]{7,}[^\s\"'`<>.,;:!?)\]}]|[^\s\"'`<>]{8,})"
 # The patterns of the types, in order of precedence.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}",
     "access": r"\bAKIA[A-Z0-9]{16}\b",
-    "secret": r"\b(?:password|passwd|secret|api_key|token)(?: {0,3}[=:] {0,3}\"?)[A-Za-z0-9_/+-]{8,128}",
+    "secret": r"\b" + LABELS + GIVES + VALUE,
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}(?!\d)",
     "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])",
@@ -51,16 +58,17 @@ ANY = "(?u)" + "|".join(
     # the back reference of the card pattern moves with the group numbers: named instead
     p.replace("([ -]?)", "(?<gap>[ -]?)").replace(r"\1", r"\k<gap>") for p in PATTERNS.values())
 # Cheap test before the pattern: every entity has one of these.
-HINT = r"[@0-9]|(?:Mr|Ms|Herr|Frau|Monsieur|Madame|Señor|Г-)"
+HINT = r"[@0-9]|(?:Mr|Ms|Herr|Frau|Monsieur|Madame|Señor|Г-)|AKIA|" + LABELS
+GROWS_AFTER = 8   # attempts after which the surrogate of a secret gets longer
 
 
 def kind_of(value: Column) -> Column:
     out = F.lit("name")
-    for kind, pattern in reversed(list(PATTERNS.items())):
-        if kind != "name":
-            whole = {"secret": r"^(?:password|passwd|secret|api_key|token)", "email": "@", "access": "^AKIA",
-                     "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "phone": r"^\+", "card": r"^\d[\d -]{15,}$"}[kind]
-            out = F.when(value.rlike(whole), F.lit(kind)).otherwise(out)
+    # the label first: a secret may hold an @
+    for kind in ("card", "phone", "ip", "access", "email", "secret"):
+        whole = {"secret": "^" + LABELS + GIVES, "email": "@", "access": "^AKIA",
+                 "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "phone": r"^\+", "card": r"^\d[\d -]{15,}$"}[kind]
+        out = F.when(value.rlike(whole), F.lit(kind)).otherwise(out)
     return out
 
 
@@ -90,6 +98,16 @@ def _hex_shaped(value: Column, seed: Column) -> Column:
     return F.when(value.rlike("^[0-9a-f]+$"), hexed).otherwise(_shaped(value, seed))
 
 
+def _secret(value: Column, seed: Column, attempt: Column) -> Column:
+    """Letters outside a to z become lower-case letters; later attempts are
+    longer, as a value of few letters and digits has few surrogates."""
+    chars = F.split(_hex_shaped(value, seed), "")
+    other = lambda c, i: F.when((c > "\x7f") & c.rlike(r"[\p{L}\p{M}\p{N}]"),
+                                F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (_draw(seed, i, 26) + 1).cast("int"), F.lit(1))).otherwise(c)
+    more = F.when(attempt > GROWS_AFTER, F.substring(F.lower(F.hex(seed)), F.lit(1), attempt - GROWS_AFTER)).otherwise("")
+    return F.concat(F.array_join(F.transform(chars, other), ""), more)
+
+
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of a string of digits whose last digit is the check digit."""
     d = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda c: c != "")),
@@ -145,10 +163,10 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
     """The surrogate that an entity draws on an attempt."""
     kind = kind_of(value)
     seed = F.xxhash64(F.lit(key), kind, normal_form(value, kind), attempt)
-    label = F.regexp_extract(value, r"^[a-z_]+ {0,3}[=:] {0,3}\"?", 0)
+    label = F.regexp_extract(value, "^" + LABELS + GIVES, 0)
     own = F.when(kind == "email", _email(F.lower(value), seed))
     own = own.when(kind == "access", F.concat(F.lit("AKIA"), _shaped(F.substring(value, 5, 16), seed)))
-    own = own.when(kind == "secret", F.concat(label, _hex_shaped(F.substring(value, F.length(label) + 1, F.length(value)), seed)))
+    own = own.when(kind == "secret", F.concat(label, _secret(F.substring(value, F.length(label) + 1, F.length(value)), seed, attempt)))
     own = own.when(kind == "ip", _ip(seed)).when(kind == "phone", _phone(value, seed))
     return own.when(kind == "card", _card(value, seed)).otherwise(_name(value, seed))
 
