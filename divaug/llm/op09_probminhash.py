@@ -23,10 +23,11 @@ no link between components of a bucket is lost, and no bucket emits its pairs.
 
 Degenerate input: null, empty and wordless texts are classes of their own
 (one for each row); a text of 1 to 4 words has one shingle of all its words;
-rows that repeat share a class; a null id stands for itself through a hash of
-its text, and the class id is the least non-null id (null where there is
-none); an empty table gives an empty result; other columns are ignored, also
-those named like a column used here.
+rows that repeat share a class; rows are told apart by id and text, so ids may
+be null or repeat; the class id is the least non-null id (null where there is
+none), and class_key, of the class's words, names every class with words, also
+those without an id; an empty table gives an empty result; other columns are
+ignored, also those named like a column used here.
 """
 
 from __future__ import annotations
@@ -115,9 +116,9 @@ def _signer(registers: int, band_rows: int, words_each: int):
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rk: the id, or a hash of the text where the id is null."""
+    """rk: a hash of id and text."""
     i, t = docs[id_col].cast("long"), docs[text_col].cast("string")
-    return docs.select(F.coalesce(i, F.xxhash64(t)).alias("rk"), i.alias("doc_id"), t.alias("text"))
+    return docs.select(F.xxhash64(i, t).alias("rk"), i.alias("doc_id"), t.alias("text"))
 
 
 def _set_maker(wanted: HashBitmap, words_each: int):
@@ -156,9 +157,9 @@ def _verifier(least: float):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     registers: int = REGISTERS, band_rows: int = BAND_ROWS, small: int = SMALL_BUCKET) -> DataFrame:
-    """One row for each row of ``docs``: rk (the id, or a hash of the text),
-    doc_id, node (key of its words), class_id, links (distinct other texts in
-    its class that verification linked it to)."""
+    """One row for each row of ``docs``: rk (a hash of id and text), doc_id,
+    node (key of its words), class_id, links (distinct other texts in its class
+    that verification linked it to), class_key (least node of the class)."""
     spark = docs.sparkSession
     base = _row_key(docs, id_col, text_col)
     signed = materialize(base.mapInArrow(_signer(registers, band_rows, SHINGLE_WORDS),
@@ -200,11 +201,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "component", F.coalesce("component", "node"))
     class_id = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = labelled.join(class_id, "component").join(degree, "node", "left").select(
-        "node", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+        "node", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.col("component").alias("class_key"))
     alone = signed.filter("node is null").select(
-        "rk", "doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+        "rk", "doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"),
+        F.lit(None).cast("binary").alias("class_key"))
     return (signed.filter("node is not null").select("rk", "doc_id", "node").join(named, "node")
-                  .select("rk", "doc_id", "node", "class_id", "links").unionByName(alone))
+                  .select("rk", "doc_id", "node", "class_id", "links", "class_key").unionByName(alone))
 
 
 def _rest(big: DataFrame, comps: DataFrame) -> DataFrame:
@@ -285,20 +287,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one row of each class (least id; of repeated
-    rows one stays).  Rows without words all stay."""
+    """``docs`` without all but one row of each class (least id; of rows with
+    the same id and text one stays).  Rows without words all stay."""
     cols = docs.columns
     classes = near_duplicates(docs, id_col, text_col)
-    first = (classes.filter("node is not null").groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("own"))
-                    .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("x")).select(F.col("x.rk").alias("__rk")))
-    key = F.coalesce(docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string")))
+    first = (classes.filter("node is not null").groupBy("class_key")
+                    .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("x"))
+                    .select(F.col("x.rk").alias("__rk"), F.col("x.doc_id").alias("__kept")))
+    i, t = docs[id_col].cast("long"), docs[text_col].cast("string")
     has_words = F.coalesce(docs[text_col].rlike(r"[\p{L}\p{N}]"), F.lit(False))
-    rows = docs.withColumn("__rk", key)
-    words = rows.filter(has_words).join(first.distinct(), "__rk").dropDuplicates(["__rk"])
+    rows = docs.withColumn("__id", i).withColumn("__rk", F.xxhash64(i, t))
+    same = (F.col("r.__rk") == F.col("f.__rk")) & F.col("r.__id").eqNullSafe(F.col("f.__kept"))
+    words = (rows.filter(has_words).alias("r").join(first.alias("f"), same, "left_semi")
+                 .dropDuplicates(["__rk", "__id"]))
     return words.select(*cols).unionByName(rows.filter(~has_words).select(*cols))
 
 
 @register("op9_probminhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document: its class id and its number of links."""
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+    """One row for each document: its class id, its number of links and the
+    key of its class, which also tells classes without an id apart."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", F.hex("class_key").alias("class_key"))

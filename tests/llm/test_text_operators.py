@@ -117,6 +117,20 @@ def test_near_duplicates_degenerate(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "None"]
 
 
+def test_keep_one_by_row_and_text(spark):
+    """Ids that repeat over different texts, or are null, lose no clean text and keep no near copy."""
+    from divaug.llm.op09_probminhash import keep_one, near_duplicates
+    a, b, c, d = (base_text(300 + k) for k in range(4))
+    items = [(1, a), (1, b), (2, vary(b, 1, 0.01)), (None, c), (None, vary(c, 2, 0.01)), (None, c), (None, d), (3, vary(d, 3, 0.01)), (1, a), (None, None)]
+    docs = rows(spark, items)
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(items) and len({r.class_key for r in got if r.node is not None}) == 4
+    assert sum(r.class_key is None for r in got) == 1
+    kept = [(r.doc_id, r.text) for r in keep_one(docs).collect()]
+    assert len(kept) == 5 and (1, a) in kept and (1, b) in kept and (3, items[7][1]) in kept and (None, None) in kept
+    assert sum(t in (c, items[4][1]) for _, t in kept) == 1
+
+
 def test_signature_estimates_weighted_similarity():
     from divaug.llm.op09_probminhash import prob_min_hash
     r = np.random.default_rng(0)
