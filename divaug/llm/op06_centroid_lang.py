@@ -4,8 +4,10 @@ A text is a vector of hashed character 1- to 3-grams (letters of the
 lower-cased text; every other run is one blank), damped by 1 + ln, weighted by
 the inverse document frequency, and scaled to length one.  Document
 frequencies are counted over all learning rows.  Each language gets several
-centroids by spherical k-means on a bounded sample of learning rows
-(``sample_rows`` in all, shared equally by the languages).  A text gets the
+centroids by spherical k-means on a bounded sample of distinct learning texts
+(``sample_rows`` in all, shared equally by the languages), those with the least
+hashes, so whatever the order of files; the driver gets their vectors and no
+text, so long texts count whole.  A text gets the
 language of the centroid with the greatest cosine; it is rejected when that
 cosine is below the distance at which the given share of the learning sample
 of that language lies (``rejected``).
@@ -25,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from divaug.llm.common import register, table
+from divaug.llm.common import materialize, register, table
 from divaug.llm.vectext import code_points, mix64, slices
 
 DIMENSIONS = 4096
 CENTROIDS = 4
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 24 << 20
 REJECT_SHARE = 0.002
 _LETTERS: list[np.ndarray] = []
 
@@ -94,6 +95,28 @@ def _frequencies(dims: int):
     return run
 
 
+def _vectors(dims: int):
+    """(lang, key, at, value): the damped counts of each text with a letter that are not 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20, 512):
+                x, has = _matrix(batch.column("text").to_pylist(), dims)
+                some = [np.flatnonzero(row) for row in x]
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column("lang"), batch.column("key"), pa.array([i.astype(np.uint16).tobytes() for i in some], pa.binary()),
+                     pa.array([row[i].tobytes() for row, i in zip(x, some)], pa.binary())], ["lang", "key", "at", "value"])
+                yield out.filter(pa.array(has))
+    return run
+
+
+def _letter_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, key) of the texts with a letter."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            has = [any(c.isalpha() for c in t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(has, pa.bool_())).select(["lang", "key"])
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of unit rows; starts from the farthest rows, so is deterministic."""
     start = [0]
@@ -132,7 +155,9 @@ def fit(learn: DataFrame, text_col: str = "text", lang_col: str = "lang", dims:
     found = rows.mapInArrow(_frequencies(dims), "n long, df array<long>")
     sums = (found.select("n", F.posexplode("df").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
                  .toPandas())
-    by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
+    keyed = rows.withColumn("lang", F.col("lang").cast("string")).withColumn("key", F.xxhash64("text"))
+    keys = materialize(keyed.mapInArrow(_letter_keys, "lang string, key long").distinct())
+    by_lang = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n"))
                .orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
     if not by_lang:
         return CentroidModel([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(0))
@@ -142,23 +167,21 @@ def fit(learn: DataFrame, text_col: str = "text", lang_col: str = "lang", dims:
     df[sums["i"]] = sums["v"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     each = max(1, sample_rows // len(langs))
-    share = F.lit(0.0)
-    for lang, count in by_lang.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / count))).otherwise(share)
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # very long texts are learnt from as a spread of whole rows: the sample stops at SAMPLE_BYTES
-    picked = rows.filter(unit < share).limit(2 * sample_rows).toLocalIterator()
-    texts: list[str] = []
-    labels: list[str] = []
-    size = 0
-    for r in picked:
-        if size > SAMPLE_BYTES:
-            break
-        texts.append(r["text"])
-        labels.append(r["lang"])
-        size += len(r["text"])
-    x, has = _matrix(texts, dims)
-    x, y = _unit(x[has] * idf), np.array(labels, object)[has]
+    # a hash threshold that some more than `each` pass, then the least hashes: at most 3 * sample_rows + 40 a language
+    many = keys.sparkSession.createDataFrame([(lang, min(1.0, (3 * each + 40) / count)) for lang, count in by_lang.items()], "lang string, share double")
+    unit = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near: dict = {lang: [] for lang in langs}
+    for r in keys.join(F.broadcast(many), "lang").filter(unit < F.col("share")).select("lang", "key", unit.alias("u")).collect():
+        near[r["lang"]].append((r["u"], r["key"]))
+    drawn = keys.sparkSession.createDataFrame([(lang, key) for lang in langs for _, key in sorted(near[lang])[:each]], "lang string, key long")
+    # copies of a text fall together before they are read
+    picked = (keyed.join(F.broadcast(drawn), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+                   .mapInArrow(_vectors(dims), "lang string, key long, at binary, value binary").collect())
+    picked.sort(key=lambda r: (r["lang"], r["key"]))
+    x = np.zeros((len(picked), dims), np.float32)
+    for row, r in zip(x, picked):
+        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
+    x, y = _unit(x * idf), np.array([r["lang"] for r in picked], object)
     centroids, of, reject = [], [], []
     for i, lang in enumerate(langs):
         mine = x[y == lang]

@@ -5,8 +5,12 @@ scored by a logistic function of its distinct hashed features (words, and the
 first 4 and 5 characters of longer words, so inflected forms share evidence);
 the document's probability is the noisy-or of its sentences, 1 - prod(1 - p).  Weights are
 trained from document labels only, by gradient steps on the noisy-or's
-likelihood with weight decay, on a bounded sample of labelled rows
-(``sample_rows``; rows of label 1 first take up to half of it).  Only features
+likelihood with weight decay, on a bounded sample of distinct labelled texts
+(``sample_rows``; texts of label 1 first take up to half of it), drawn by a
+hash of the text, so whatever the order of files.  Each label has half of the
+bytes of the sample; texts longer than a 32nd of that are learnt from, the
+shortest first, while the drawn ones leave room for them (one at least, where
+a label has no others).  Only features
 tied to label 1 beyond chance (log-likelihood ratio over twice the log of the
 number of features seen) get a weight.  The sentences whose own
 probability is 0.5 or more are the offending ones.
@@ -26,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from divaug.llm.common import register, table
+from divaug.llm.common import materialize, register, table
 from divaug.llm.vectext import alnum_table, code_points, run_hashes, slices
 
 DIMENSIONS = 1 << 16
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 24 << 20
+LONG_SHARE = 32
 STEMS = (4, 5)
 THRESHOLD = 0.7
 PIECE = 1 << 20
@@ -145,28 +150,43 @@ def train(texts: list[str], toxic: np.ndarray, dims: int = DIMENSIONS, steps: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample_rows: int = SAMPLE_ROWS) -> NoisyOr:
-    """``labels``: the rows that may be learnt from.  At most twice
-    ``sample_rows`` of them are drawn by a hash of the id and broadcast to the
-    documents, so no text is shuffled; the driver gets the label counts and the
-    drawn texts."""
-    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), (labels[label_col].cast("int") > 0).cast("int").alias("y")).dropna()
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts.get(1):
-        return NoisyOr(np.zeros(DIMENSIONS), -30.0)
-    ones = min(counts[1], sample_rows // 2)
-    share = F.when(F.col("y") > 0, ones / counts[1]).otherwise(min(1.0, (sample_rows - ones) / max(1, counts.get(0, 0))))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = F.broadcast(rows.filter(unit < share).limit(2 * sample_rows))
-    texts, given, size = [], [], 0
+        sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> NoisyOr:
+    """``labels``: the rows that may be learnt from.  The driver gets counts
+    and sizes by label and the drawn texts; the drawn keys are broadcast to the
+    documents, so only drawn texts are shuffled."""
+    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), (labels[label_col].cast("int") > 0).cast("int").alias("y")).dropna().distinct()
     found = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
-    for r in found.join(drawn, "doc_id").limit(2 * sample_rows).toLocalIterator():
-        if size > SAMPLE_BYTES:
-            break
-        texts.append(r["text"])
-        given.append(r["y"] > 0)
-        size += len(r["text"])
-    return train(texts, np.array(given)) if any(given) else NoisyOr(np.zeros(DIMENSIONS), -30.0)
+    budget = sample_bytes // 2
+    most = budget // LONG_SHARE
+    # one row for each label and distinct text, that of its least id
+    texts = materialize(found.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("size"))
+                        .join(rows, "doc_id").groupBy("y", "key").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size")))
+    plain = F.col("size") <= most
+    sums = {r["y"]: r for r in texts.groupBy("y").agg(F.count(F.when(plain, 1)).alias("n"), F.sum(F.when(plain, F.col("size")).otherwise(0)).alias("size")).collect()}
+    if 1 not in sums:
+        return NoisyOr(np.zeros(DIMENSIONS), -30.0)
+    ones = min(sums[1]["n"], sample_rows // 2)
+    share, left = {}, {}
+    for y, want in ((1, ones), (0, sample_rows - ones)):
+        n, size = (sums[y]["n"], sums[y]["size"]) if y in sums else (0, 0)
+        share[y] = min(1.0, want / max(1, n), budget / max(1, size))
+        left[y] = budget - share[y] * size
+    unit = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = texts.filter(plain & (unit < F.when(F.col("y") > 0, share[1]).otherwise(share[0]))).select("y", "key", "doc_id").collect()
+    picked = [tuple(r) for r in picked]
+    for y in sums:
+        own = sum(1 for r in picked if r[0] == y)
+        for r in texts.filter(~plain & (F.col("y") == y)).orderBy("size", "key").limit(LONG_SHARE).collect():
+            if r["size"] > left[y] and own:
+                break
+            picked.append((y, r["key"], r["doc_id"]))
+            left[y] -= r["size"]
+            own += 1
+    drawn = F.broadcast(docs.sparkSession.createDataFrame(picked, "y int, key long, doc_id long"))
+    sample = (found.withColumn("key", F.xxhash64("text")).join(drawn, ["doc_id", "key"])
+                   .groupBy("y", "key").agg(F.min("text").alias("text")).collect())
+    sample.sort(key=lambda r: (r["key"], r["y"]))
+    return train([r["text"] for r in sample], np.array([r["y"] > 0 for r in sample]))
 
 
 def toxicity(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

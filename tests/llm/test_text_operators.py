@@ -325,3 +325,25 @@ def test_toxicity_locates_sentences_and_degenerate(spark):
     assert got[6].score > 0.5
     none = fit(rows(spark, docs), lab.limit(0))
     assert max(x.score for x in toxicity(rows(spark, probe), none).collect()) < 1e-6
+
+
+def test_samples_do_not_follow_file_order(spark):
+    """Long texts, and copies, in the first file leave every language and label its share."""
+    import divaug.llm.op06_centroid_lang as lang
+    import divaug.llm.op10_mil_toxicity as tox
+    r = np.random.default_rng(5)
+    plain = [" ".join("w%d" % x for x in r.integers(0, 300, 12)) + "." for _ in range(160)]
+    long = [(1000 + k, "w1 w2 w3 w4 und das nicht ein. " * 280000 + str(k)) for k in range(4)]   # 8 MB each
+    docs = [(i, t + (" vileword." if i % 4 == 0 else "")) for i, t in enumerate(plain)]
+    copies = [(2000 + k, "the same words again and again.") for k in range(300)]
+    labels = spark.createDataFrame([(i, int(i < 160 and i % 4 == 0)) for i, _ in long + docs + copies], "doc_id long, toxic int")
+    table = rows(spark, long + copies + docs).coalesce(1)
+    model = tox.fit(table, labels, sample_rows=200)
+    got = {x.doc_id: x for x in tox.toxicity(rows(spark, [(1, "w1 w2 w3. w4 vileword w5! w6 w7"), (2, "w1 w2. w3")]), model).collect()}
+    assert got[1].score > 0.7 > got[2].score and got[1].offending == [10]
+    learn = spark.createDataFrame([(t, "de") for _, t in long] + [(t, "xx") for _, t in copies] + [("зима лето осень %d" % k, "ru") for k in range(3)],
+                                  "text string, lang string").coalesce(1)
+    model = lang.fit(learn, sample_rows=9)
+    assert sorted(set(model.of.tolist())) == [0, 1, 2]
+    probe = rows(spark, [(1, "und das nicht ein"), (2, "зима осень"), (3, "the words again")])
+    assert {x.doc_id: x.lang_pred for x in lang.identify(probe, model).collect()} == {1: "de", 2: "ru", 3: "xx"}
