@@ -9,7 +9,11 @@ through to the same join.  Each hit gives a diagonal (document position minus
 item position), on which the words of item and document are compared around
 the hit: a document is contaminated when, on one diagonal, a stretch scores
 best with +1 for an equal and -2 for a substituted word, and its equal words
-are at least 8 and at least half of the item's words.
+are at least 8 and at least half of the item's words, or at least 13 however
+long the item is.  Where no diagonal has that, stretches of 5 or more equal
+words on neighbouring diagonals (up to 8 words apart, so that words may be
+inserted or dropped) are added up, each word of item and document once, and
+need 8 and half of the item's words, too.
 
 Masks (1: the word counts), 8 of 12 positions each: whichever two words of an
 item of 15 or more words are substituted, some seed of the item stays whole.  Items of
@@ -38,6 +42,8 @@ MASKS = ("111010110011", "100111101011", "101100111110")
 SPAN = 12
 FILTER_BITS = 25
 LEAST_WORDS, LEAST_SHARE = 8, 0.5
+LEAST_RUN = 13
+SHIFT, LEAST_PIECE = 8, 5
 
 
 def seed_hashes(words: np.ndarray, counts: np.ndarray, lengths: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,6 +110,54 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def needed(n: int) -> tuple[float, float]:
+    """Equal words that one stretch, and that several need of an item of n words."""
+    several = n if n < LEAST_WORDS else max(LEAST_WORDS, LEAST_SHARE * n)
+    return min(several, max(LEAST_WORDS, LEAST_RUN)), several
+
+
+def pieces(equal: np.ndarray) -> list[tuple[int, int]]:
+    """All stretches as ``best_stretch`` finds them with LEAST_PIECE equal words or more."""
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        lo, hi = todo.pop()
+        if int(equal[lo:hi].sum()) < LEAST_PIECE:
+            continue
+        start, end, same = best_stretch(equal[lo:hi])
+        if same >= LEAST_PIECE:
+            out.append((lo + start, lo + end))
+            todo += [(lo, lo + start), (lo + end, hi)]
+    return out
+
+
+def chained(item: np.ndarray, doc: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
+    """(equal words, start, end) in the document of the best group of
+    neighbouring diagonals around the hits."""
+    best, at = (0, 0, 0), 0
+    hit = sorted(set(diagonals))
+    while at < len(hit):
+        to = at + 1
+        while to < len(hit) and hit[to] - hit[to - 1] <= SHIFT:
+            to += 1
+        mine, theirs = [], []
+        for d in sorted({d + k for d in hit[at:to] for k in range(-SHIFT, SHIFT + 1)}):
+            lo, hi = max(0, -d), min(len(item), len(doc) - d)
+            if hi - lo < LEAST_PIECE:
+                continue
+            equal = item[lo:hi] == doc[lo + d:hi + d]
+            for start, end in pieces(equal):
+                same = lo + start + np.flatnonzero(equal[start:end])
+                mine.append(same)
+                theirs.append(same + d)
+        at = to
+        if mine:
+            theirs = np.unique(np.concatenate(theirs))
+            found = min(len(np.unique(np.concatenate(mine))), len(theirs))
+            if found > best[0]:
+                best = (found, int(theirs[0]), int(theirs[-1]) + 1)
+    return best
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -113,6 +167,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (doc, hits) in enumerate(zip(batch.column("doc_key").to_pylist(), batch.column("hits").to_pylist())):
                 mine = words[ends[i] - counts[i]:ends[i]]
                 best: dict = {}
+                others: dict = {}
                 for hit in hits:
                     item = np.frombuffer(hit["words"], np.uint64)
                     d = hit["diagonal"]
@@ -120,9 +175,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if hi <= lo:
                         continue
                     start, end, same = best_stretch(item[lo:hi] == mine[lo + d:hi + d])
-                    enough = len(item) if len(item) < LEAST_WORDS else max(LEAST_WORDS, LEAST_SHARE * len(item))
-                    if same >= enough and same > best.get(hit["item_key"], (0,))[0]:
+                    others.setdefault(hit["item_key"], (item, []))[1].append(d)
+                    if same >= needed(len(item))[0] and same > best.get(hit["item_key"], (0,))[0]:
                         best[hit["item_key"]] = (same, lo + d + start, lo + d + end, len(item))
+                for item_key, (item, diagonals) in others.items():
+                    if item_key not in best and len(item) >= SPAN:
+                        same, start, end = chained(item, mine, diagonals)
+                        if same >= needed(len(item))[1]:
+                            best[item_key] = (same, start, end, len(item))
                 for item_key, (same, start, end, n) in best.items():
                     for k, v in zip(out, (doc, item_key, start, end, same, n)):
                         out[k].append(v)

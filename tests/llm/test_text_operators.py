@@ -201,6 +201,25 @@ def test_decontamination_brute_force(spark):
     assert decontaminate(spark.createDataFrame([], SCHEMA), bench).count() == 0
 
 
+def test_decontamination_passages_and_shifts(spark):
+    """A passage of a long item, and an item with words inserted and dropped, count; a short passage does not."""
+    from divaug.llm.op02_spaced_seed import decontaminate, overlaps
+    one, two = base_text(61, 59).split(), base_text(62, 100).split()
+    around = base_text(63, 200)
+    inserted = two[:20] + ["i1"] + two[20:40] + ["i2", "i3"] + two[40:60] + ["i4"] + two[60:80] + ["i5"] + two[80:]
+    dropped = one[:11] + one[12:24] + one[25:37] + one[38:49] + one[50:]
+    broken = [x for k in range(0, 59, 12) for x in one[k:k + 12] + ["j%d" % k]]   # no stretch of 13
+    items = [(1, one[5:33]), (2, two[30:79]), (3, inserted), (4, dropped), (5, one[20:32]), (6, two[50:62]), (7, one[:13]), (8, broken),
+             (9, one[:12] + around.split()[:50] + one[12:24])]
+    docs = rows(spark, [(i, around + " " + " ".join(w) + " " + around) for i, w in items])
+    bench = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
+    got = {r.doc_id: r for r in docs.selectExpr("doc_id", "xxhash64(text) as doc_key").join(overlaps(docs, bench), "doc_key").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 7, 8]
+    assert (got[1].matched, got[1].doc_start, got[1].doc_end) == (28, 200, 228)
+    assert got[2].matched == 49 and got[7].matched == 13 and got[8].matched == 59
+    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [5, 6, 9]
+
+
 def test_masks_survive_two_substitutions():
     from divaug.llm.op02_spaced_seed import MASKS, SPAN
     for n in (15, 20, 30):
