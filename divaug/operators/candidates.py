@@ -2,9 +2,9 @@
 
 Candidate generation is a pluggable batch hook (``mapInPandas``-shaped); the
 built-in generator makes five deterministic token edits with native array
-functions.  Distances use the default hashed embedder; the arg-extremes are
-``max_by``/``min_by`` on (distance, index) per text, so ties pick the first
-candidate as the reference's argmax/argmin do.
+functions.  The candidates of a text stay an array in its row: distances use
+the default hashed embedder, and the first greatest and least distance name the
+chosen candidates, as the reference's argmax/argmin do.  No shuffle is needed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,85 +109,92 @@ def edit_candidates(tokens) -> Column:
     return F.array(*[F.array_join(e, " ") for e in (rot, rev, drop3, swap, rep)])
 
 
-def builtin_generator(df: DataFrame, text_col: str = "text") -> DataFrame:  # noqa: D401
-    """G1 default hook: df(key..., text) -> (key..., cand_idx, cand_text)."""
-    keys = [c for c in df.columns if c != text_col]
-    t = df.withColumn("_tk", raw_tokens(F.col(text_col)))
-    return t.select(*keys, F.posexplode(edit_candidates(F.col("_tk"))).alias("cand_idx", "cand_text")) \
-            .withColumn("cand_idx", F.col("cand_idx").cast("int"))
+class Generator:
+    """G1 hook: ``arrays`` adds a column with the candidates of each text;
+    called, it gives (key..., cand_idx, cand_text) rows."""
 
+    def __init__(self, arrays: Callable[[DataFrame, str, str], DataFrame]):
+        self.arrays = arrays
 
-builtin_generator.deterministic = True
+    def __call__(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        keys = [c for c in df.columns if c != text_col]
+        c = self.arrays(df, text_col, "_cands").select(*keys, F.posexplode("_cands").alias("cand_idx", "cand_text"))
+        return c.withColumn("cand_idx", F.col("cand_idx").cast("int"))
+
+
+def _edits(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    return df.withColumn("_tk", raw_tokens(F.col(text_col))).withColumn(name, edit_candidates(F.col("_tk"))).drop("_tk")
 
 
-def pandas_generator(fn: Callable[[list[str]], list[list[str]]]) -> Callable:
+builtin_generator = Generator(_edits)
+
+
+def pandas_generator(fn: Callable[[list[str]], list[list[str]]]) -> Generator:
     """Wrap a batch text->candidates function (e.g. a model loaded once per
     task) as a generator hook with the same contract as builtin_generator.
-    Every candidate is kept; a text without any is an error.
-    Each Arrow batch of texts is handed to ``fn`` at once; outputs are
-    flattened with a vectorised explode."""
-    def hook(df: DataFrame, text_col: str = "text") -> DataFrame:
-        keys = [c for c in df.columns if c != text_col]
-        out_schema = T.StructType([f for f in df.schema.fields if f.name != text_col]
-                                  + [T.StructField("cand_idx", T.IntegerType()),
-                                     T.StructField("cand_text", T.StringType())])
-
+    Every candidate is kept; a text without any is an error.  Each Arrow batch
+    of texts is handed to ``fn`` at once, and what it returns is read once: a
+    sampling model need not give the same candidates twice."""
+    def arrays(df: DataFrame, text_col: str, name: str) -> DataFrame:
         def run(it):
             for pdf in it:
-                outs = fn(pdf[text_col].tolist())
-                res = pdf[keys].copy()
-                res["cand_text"] = [[x for x in c if x is not None] for c in outs]
-                empty = res["cand_text"].map(len) == 0
-                if empty.any():
-                    raise ValueError(f"generator gave no candidate for {int(empty.sum())} text(s), first key {res.loc[empty, keys].iloc[0].to_dict()}")
-                res = res.explode("cand_text")
-                res["cand_idx"] = res.groupby(level=0).cumcount().astype("int32")   # per input row
-                yield res.reset_index(drop=True)[keys + ["cand_idx", "cand_text"]]
-        return df.mapInPandas(run, out_schema)
-    hook.deterministic = False
-    return hook
+                outs = [[x for x in c if x is not None] for c in fn(pdf[text_col].tolist())]
+                empty = [i for i, c in enumerate(outs) if not c]
+                if empty:
+                    keys = [c for c in pdf.columns if c != text_col]
+                    raise ValueError(f"generator gave no candidate for {len(empty)} text(s), first key {pdf.loc[empty[0], keys].to_dict()}")
+                yield pdf.assign(**{name: outs})
+        return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))]))
+    return Generator(arrays)
 
 
 # ---------------------------------------------------------------------- G2/L4
-def embed_texts(df: DataFrame, id_col: str, text_col: str, dims: int = 64, keep=()) -> DataFrame:
-    """Default embedder (V1) over (id, text) -> (id, *keep, vec)."""
-    x = df.select(F.col(id_col).alias("_eid"), *keep, F.col(text_col).alias("text"))
-    return TK.hashed_embedding(x, dims, keep=list(keep), id_col="_eid").withColumnRenamed("_eid", id_col)
-
-
-def candidate_distances(originals: DataFrame, cands: DataFrame, key: str, metric: str = "l2") -> DataFrame:
-    """V2/V3: ``key, cand_idx, _d`` (distance of every candidate to its
-    original), computed on a narrow table: texts are only read to embed."""
-    ck = cands.withColumn("_cid", F.concat_ws("#", F.col(key).cast("string"), F.col("cand_idx").cast("string")))
-    cv = embed_texts(ck, "_cid", "cand_text", keep=(key, "cand_idx")).withColumnRenamed("vec", "_cv")
-    ov = embed_texts(originals, key, "text").withColumnRenamed("vec", "_ov")
-    j = cv.join(ov, key)
-    if metric == "l2":
-        dist = V.l2_distance("_ov", "_cv")
-    else:  # cosine: dissimilar = lowest similarity -> use negative similarity as distance
-        dist = -V.cosine_similarity("_ov", "_cv")
-    # Rounded to 12 places so mathematically tied candidates tie exactly
-    # (then the lower index wins, as in the reference's argmax/argmin).
-    return j.select(key, "cand_idx", rnd(dist, 12).alias("_d"))
+def _distances(metric: str, dims: int):
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(tokens: pa.Array, cands: pa.Array) -> pa.Array:
+        cands = cands.fill_null(pa.scalar([], cands.type)) if cands.null_count else cands
+        own, each = TK.token_vectors(tokens, dims), TK.token_vectors(cands.flatten(), dims)
+        ends = np.cumsum(pc.list_value_length(cands).to_numpy(zero_copy_only=False).astype(np.int64))
+        of = np.repeat(np.arange(len(own)), np.diff(ends, prepend=0))
+        if metric == "l2":
+            d = np.sqrt(((own[of] - each + V.L2_EPS) ** 2).sum(1))
+        else:   # cosine: dissimilar = lowest similarity
+            size = lambda x: np.maximum(np.sqrt((x * x).sum(1)), V.COS_EPS)
+            d = -(own[of] * each).sum(1) / (size(own[of]) * size(each))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(d, pa.float64()))
+    return run
+
+
+def with_distances(df: DataFrame, text_col: str, cands_col: str, name: str = "_d", metric: str = "l2", dims: int = 64) -> DataFrame:
+    """V2/V3, row-local: the distance of every candidate to its text.  Rounded
+    to 12 places, so mathematically tied candidates tie exactly (then the lower
+    index wins, as in the reference's argmax/argmin)."""
+    tokens = F.coalesce(TX.normalized_tokens(text_col), F.array().cast("array<string>"))
+    each = F.transform(cands_col, lambda c: F.coalesce(TX.normalized_tokens(c), F.array().cast("array<string>")))
+    raw = _distances(metric, dims)(tokens, each)
+    return df.withColumn("_raw", raw).withColumn(name, F.transform("_raw", lambda d: rnd(d, 12))).drop("_raw")
+
+
+def with_extremes(df: DataFrame, text_col: str, cands_col: str, metric: str = "l2", suffix: str = "") -> DataFrame:
+    """G2/L4/L5, row-local: adds dis_idx, dis_text, sim_idx, sim_text, the most
+    dissimilar and the most similar candidate.  Rows without a candidate go.
+    No row moves and no text is fetched again."""
+    d = with_distances(df.filter(F.size(cands_col) > 0), text_col, cands_col, "_d", metric)
+    at = lambda f: (F.array_position("_d", f("_d")) - 1).cast("int")
+    d = d.withColumn(f"dis_idx{suffix}", at(F.array_max)).withColumn(f"sim_idx{suffix}", at(F.array_min))
+    return (d.withColumn(f"dis_text{suffix}", F.get(cands_col, f"dis_idx{suffix}"))
+             .withColumn(f"sim_text{suffix}", F.get(cands_col, f"sim_idx{suffix}")).drop("_d"))
 
 
 def select_extremes(originals: DataFrame, cands: DataFrame, key: str, metric: str = "l2") -> DataFrame:
-    """Per ``key``: most dissimilar and most similar candidate to
-    the original text.  ``originals``(key, text); ``cands``(key, cand_idx,
-    cand_text).  Returns key, dis_idx, dis_text, sim_idx, sim_text.
-
-    The arg-extremes run on (key, cand_idx, distance) only; the two chosen
-    texts are fetched by one join of the candidate table at the end."""
-    d = candidate_distances(originals, cands, key, metric)
-    ext = d.groupBy(key).agg(
-        F.max_by("cand_idx", F.struct(F.col("_d"), -F.col("cand_idx"))).alias("dis_idx"),
-        F.min_by("cand_idx", F.struct(F.col("_d"), F.col("cand_idx"))).alias("sim_idx"))
-    picked = cands.join(ext, key).filter((F.col("cand_idx") == F.col("dis_idx")) | (F.col("cand_idx") == F.col("sim_idx")))
-    return picked.groupBy(key).agg(
-        F.first("dis_idx").alias("dis_idx"),
-        F.max(F.when(F.col("cand_idx") == F.col("dis_idx"), F.col("cand_text"))).alias("dis_text"),
-        F.first("sim_idx").alias("sim_idx"),
-        F.max(F.when(F.col("cand_idx") == F.col("sim_idx"), F.col("cand_text"))).alias("sim_text"))
+    """G2 where the candidates are a table of their own: ``originals``(key,
+    text); ``cands``(key, cand_idx, cand_text), a few for each key.  Returns key,
+    dis_idx, dis_text, sim_idx, sim_text."""
+    lists = cands.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("cand_idx", "cand_text"))).alias("_c"))
+    rows = originals.select(key, "text").join(lists, key).withColumn("_t", F.col("_c.cand_text"))
+    x = with_extremes(rows, "text", "_t", metric)
+    idx = lambda c: F.get("_c.cand_idx", c).alias(c)
+    return x.select(key, idx("dis_idx"), "dis_text", idx("sim_idx"), "sim_text")
 
 
 def preference_pairs(groups: DataFrame, metric: str = "l2", id_col: str = "group_id",
@@ -194,62 +204,54 @@ def preference_pairs(groups: DataFrame, metric: str = "l2", id_col: str = "group
     With one candidate (or all tied) chosen == rejected; such pairs are kept
     by default, as the reference keeps them (quirk Z12), and dropped with
     ``drop_degenerate=True``."""
-    c = groups.select(id_col, F.posexplode("items").alias("cand_idx", "cand_text")).withColumn(
-        "cand_idx", F.col("cand_idx").cast("int"))
-    sel = select_extremes(groups.select(id_col, "text"), c, id_col, metric)
+    sel = with_extremes(groups.select(id_col, "text", "items"), "text", "items", metric)
     if drop_degenerate:
         sel = sel.filter(F.col("dis_idx") != F.col("sim_idx"))
-    return groups.select(id_col, F.col("text").alias("input")).join(sel, id_col).select(
-        id_col, F.lit(INSTRUCTION).alias("instruction"), "input",
-        F.col("dis_text").alias("chosen"), F.col("sim_text").alias("rejected"))
-
-
-def paraphrase_select(df: DataFrame, key: str, text_col: str = "text", generator=builtin_generator,
-                      metric: str = "l2") -> DataFrame:
-    """G1+G2 for one text column."""
-    base = df.select(key, F.col(text_col).alias("text"))
-    cands = generator(base, "text")
-    if not getattr(generator, "deterministic", False):
-        # The candidate table is read twice (embed, then fetch the chosen
-        # texts): a sampling model must be materialised once, reliably.
-        cands = cands.checkpoint(eager=True)
-    return select_extremes(base, cands, key, metric)
-
-
-def paraphrase_pairs_fields(df: DataFrame, key: str, markers=TX.NLI_MARKERS, generator=builtin_generator) -> DataFrame:
-    """Split into two fields, paraphrase each, re-render."""
-    s = df.withColumn("_pr", TX.split_pair(F.col("text"), markers))
-    fields = s.filter(F.col("_pr").isNotNull()).select(
-        key, F.explode(F.array(F.struct(F.lit(0).alias("f"), F.col("_pr.a").alias("t")),
-                               F.struct(F.lit(1).alias("f"), F.col("_pr.b").alias("t")))).alias("_x"))
-    fk = fields.select(F.concat_ws("|", F.col(key).cast("string"), F.col("_x.f").cast("string")).alias("_fk"),
-                       key, F.col("_x.f").alias("f"), F.col("_x.t").alias("text"))
-    sel = paraphrase_select(fk.select("_fk", "text"), "_fk", generator=generator)
-    j = fk.join(sel, "_fk")
-    g = j.groupBy(key).agg(
-        F.max(F.when(F.col("f") == 0, F.col("dis_text"))).alias("_ad"), F.max(F.when(F.col("f") == 1, F.col("dis_text"))).alias("_bd"),
-        F.max(F.when(F.col("f") == 0, F.col("sim_text"))).alias("_as"), F.max(F.when(F.col("f") == 1, F.col("sim_text"))).alias("_bs"))
-    return g.select(key, TX.render_pair("_ad", "_bd", markers).alias("text_dis"),
-                    TX.render_pair("_as", "_bs", markers).alias("text_sim"))
+    return sel.select(id_col, F.lit(INSTRUCTION).alias("instruction"), F.col("text").alias("input"),
+                      F.col("dis_text").alias("chosen"), F.col("sim_text").alias("rejected"))
+
+
+def paraphrase_select(df: DataFrame, key: str, text_col: str = "text", generator: Generator = builtin_generator,
+                      metric: str = "l2", keep=()) -> DataFrame:
+    """G1+G2 for one text column: key, *keep, dis_idx, dis_text, sim_idx, sim_text."""
+    base = generator.arrays(df.select(key, *keep, F.col(text_col).alias("text")), "text", "_cands")
+    return with_extremes(base, "text", "_cands", metric).select(key, *keep, "dis_idx", "dis_text", "sim_idx", "sim_text")
+
+
+def paraphrase_pairs_fields(df: DataFrame, key: str, markers=TX.NLI_MARKERS, generator: Generator = builtin_generator, keep=()) -> DataFrame:
+    """Split into two fields, paraphrase each, re-render: key, *keep,
+    text_dis, text_sim.  Both fields stay in their row."""
+    s = df.withColumn("_pr", TX.split_pair(F.col("text"), markers)).filter(F.col("_pr").isNotNull())
+    x = s.select(key, *keep, F.col("_pr.a").alias("_a"), F.col("_pr.b").alias("_b"))
+    for f in ("_a", "_b"):
+        x = with_extremes(generator.arrays(x, f, f"_c{f}"), f, f"_c{f}", suffix=f)
+    return x.select(key, *keep, TX.render_pair("dis_text_a", "dis_text_b", markers).alias("text_dis"),
+                    TX.render_pair("sim_text_a", "sim_text_b", markers).alias("text_sim"))
 
 
 # ---------------------------------------------------------------------- G5-G9
 def augmented_set(seeds: DataFrame, nonseeds: DataFrame, chosen: DataFrame, key: str = "sample_id",
                   polarity: str = "dis", carry=("label",)) -> DataFrame:
     """Seeds, their chosen paraphrases (carried columns kept), non-seeds,
-    with an ``origin`` column."""
+    with an ``origin`` column.  Where ``chosen`` has the carried columns, no row
+    moves."""
     cols = [key, "text", *carry]
-    para = seeds.select(key, *carry).join(chosen.select(key, F.col(f"{polarity}_text").alias("text")), key)
+    text = F.col(f"{polarity}_text").alias("text")
+    whole = set(carry) <= set(chosen.columns)
+    para = chosen.select(key, *carry, text) if whole else seeds.select(key, *carry).join(chosen.select(key, text), key)
     return (seeds.select(*cols).withColumn("origin", F.lit("seed"))
                  .unionByName(para.select(*cols).withColumn("origin", F.lit("paraphrase")))
                  .unionByName(nonseeds.select(*cols).withColumn("origin", F.lit("nonseed"))))
 
 
 def shuffled(df: DataFrame, seed: int, id_expr: Column) -> DataFrame:
-    """Final seeded shuffle of an output set (B1 on a composite id)."""
+    """Final seeded shuffle of an output set (B1 on a composite id that is
+    unique): only ids are ranked, the rows meet their position by id."""
     from divaug.operators.ranking import rank_within
-    k = df.withColumn("_sid", id_expr).withColumn("_sk", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_sid"))))
-    return rank_within(k, [F.col("_sk").asc(), F.col("_sid").asc()], [], name="position").drop("_sk", "_sid")
+    k = df.withColumn("_sid", id_expr)
+    ids = k.select("_sid").withColumn("_sk", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_sid"))))
+    ranked = rank_within(ids, [F.col("_sk").asc(), F.col("_sid").asc()], [], name="position").drop("_sk")
+    return k.join(ranked, "_sid").drop("_sid")
 
 
 # ---------------------------------------------------------------------- P8
@@ -267,16 +269,16 @@ SCHEMA_OF = {"anli": "nli", "mnli": "nli", "mrpc": "sts", "rte": "sts", "csqa":
 PAIR_MARKERS = {"nli": TX.NLI_MARKERS, "sts": TX.STS_MARKERS}
 
 
-def schema_select(seeds: DataFrame, schema: str, key: str = "sample_id", generator=builtin_generator) -> DataFrame:
-    """G1-G4 by schema: ``key, dis_text, sim_text`` for every seed.  Pair
+def schema_select(seeds: DataFrame, schema: str, key: str = "sample_id", generator=builtin_generator, keep=()) -> DataFrame:
+    """G1-G4 by schema: ``key, *keep, dis_text, sim_text`` for every seed.  Pair
     texts are paraphrased field by field; one without its markers is an error."""
     if schema not in PAIR_MARKERS:
-        return paraphrase_select(seeds, key, generator=generator).select(key, "dis_text", "sim_text")
+        return paraphrase_select(seeds, key, generator=generator, keep=keep).select(key, *keep, "dis_text", "sim_text")
     markers = PAIR_MARKERS[schema]
     bad = F.raise_error(F.concat(F.lit("no pair markers in text of "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     whole = seeds.withColumn("text", F.when(TX.split_pair(F.col("text"), markers).isNotNull(), F.col("text")).otherwise(bad.cast("string")))
-    return paraphrase_pairs_fields(whole, key, markers, generator).select(
-        key, F.col("text_dis").alias("dis_text"), F.col("text_sim").alias("sim_text"))
+    return paraphrase_pairs_fields(whole, key, markers, generator, keep).select(
+        key, *keep, F.col("text_dis").alias("dis_text"), F.col("text_sim").alias("sim_text"))
 
 
 def project_text(df: DataFrame, schema: str, key: str = "sample_id") -> DataFrame:

@@ -1,20 +1,23 @@
 """Coreset selection over a score table (one row per sample).
 
-Every selection is a filter on exact ranks from ``rank_within`` (range
-partitioned, no single-task window), so class-balanced cuts, global cuts and
-per-stratum draws stay distributed when one label or one stratum holds a large
-share of the rows.  All bands of one key come from a single rank.
+Class-balanced and global cuts are filters on exact ranks from ``rank_within``
+(range partitioned, no single-task window), all bands of one key from a single
+rank; the CCS draws compare rows with the k-th row of their stratum
+(``kselect``).  Both stay distributed when one label or one stratum holds a
+large share of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divaug.functions.hashing import seeded_key
+from divaug.operators import kselect as KS
 from divaug.operators.ranking import rank_within
-from divaug.session import track
+from divaug.session import stored
 
 # Fixed values of the reference's selection step.
 CORESET_KEYS = ["entropy", "el2n", "variance"]
@@ -93,22 +96,25 @@ def strata_bins(scores: DataFrame, key: str, strata: int = STRATA) -> DataFrame:
     return scores.withColumn("bin", b)
 
 
-def strata_histogram(binned: DataFrame, strata: int = STRATA) -> DataFrame:
-    """bin, size for all ``strata`` bins (empty bins included)."""
+def strata_histogram(binned: DataFrame, strata: int = STRATA, counted: bool = False) -> DataFrame:
+    """bin, size for all ``strata`` bins (empty bins included); ``counted``:
+    ``binned`` has the sizes of the others."""
     spark = binned.sparkSession
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("size"))
+    counts = binned if counted else binned.groupBy("bin").agg(F.count(F.lit(1)).alias("size"))
     allb = spark.range(strata).select(F.col("id").cast("int").alias("bin"))
     return allb.join(F.broadcast(counts), "bin", "left").select(
         "bin", F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"))
 
 
-def strata_budget(hist: DataFrame, total: int) -> DataFrame:
-    """K6: water-filling of ``total`` over bins in ascending size order (ties
-    by bin): take = min(size, rest div bins_left).  The fold runs over the
-    <= ``strata``-element array in one expression."""
+def strata_budgets(hist: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """K6 for several totals: (tag, bin, budget).  Water-filling of a total over
+    bins in ascending size order (ties by bin): take = min(size, rest div
+    bins_left).  The fold runs over the <= ``strata``-element array in one
+    expression."""
     sorted_bins = F.array_sort(F.collect_list(F.struct(F.col("size"), F.col("bin"))))
-    g = hist.groupBy().agg(sorted_bins.alias("b"), F.count(F.lit(1)).alias("nb"))
-    init = F.struct(F.lit(total).cast("bigint").alias("rest"), F.lit(0).cast("bigint").alias("i"),
+    wanted = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(n).cast("bigint").alias("total")) for t, n in totals.items()])
+    g = hist.groupBy().agg(sorted_bins.alias("b"), F.count(F.lit(1)).alias("nb")).select("b", "nb", F.explode(wanted).alias("w"))
+    init = F.struct(F.col("w.total").alias("rest"), F.lit(0).cast("bigint").alias("i"),
                     F.array().cast("array<struct<bin:int,budget:bigint>>").alias("out"))
 
     def step(acc, x):
@@ -116,53 +122,64 @@ def strata_budget(hist: DataFrame, total: int) -> DataFrame:
         take = F.least(x["size"], F.floor(acc["rest"] / left)).cast("bigint")
         return F.struct((acc["rest"] - take).alias("rest"), (acc["i"] + 1).alias("i"),
                         F.array_append(acc["out"], F.struct(x["bin"].alias("bin"), take.alias("budget"))).alias("out"))
-    folded = g.select(F.explode(F.aggregate("b", init, step)["out"]).alias("o"))
-    return folded.select(F.col("o.bin").alias("bin"), F.col("o.budget").alias("budget"))
-
-
-def strata_ranked(binned: DataFrame, seed: int = 42) -> DataFrame:
-    """K7 order: rank inside each bin by the seeded md5 key."""
-    b = binned.withColumn("_k", seeded_key(seed))
-    return rank_within(b, [F.col("_k").asc(), F.col("sample_id").asc()], ["bin"],
-                       name="bin_rank").drop("_k")
+    folded = g.select("w.tag", F.explode(F.aggregate("b", init, step)["out"]).alias("o"))
+    return folded.select("tag", "o.bin", "o.budget")
 
 
-def ccs_prepare(scores: DataFrame, key: str = MIS_KEY, mis_ratio: float = MIS_RATIO,
-                strata: int = STRATA, seed: int = 42):
-    """Prune once, bin the kept rows, rank inside bins.  Returns
-    (ranked rows, histogram, n_total).
-
-    The scores and the pruned rows each feed several actions (count,
-    min/max, range sampling, the final draws), so both are persisted once
-    instead of being recomputed per action."""
-    scores = track(scores.persist(StorageLevel.MEMORY_AND_DISK))
-    n_total = scores.count()
-    kept = track(mislabel_prune(scores, key, mis_ratio).drop("grank", "n_total")
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-    binned = strata_bins(kept, key, strata)
-    ranked = strata_ranked(binned, seed)
-    hist = strata_histogram(binned, strata)
-    return ranked, hist, n_total
-
-
-def ccs_select(ranked: DataFrame, hist: DataFrame, n_total: int, ratio: float) -> DataFrame:
-    """K7/K8: per stratum keep bin_rank <= budget, budget from floor(ratio*n)."""
-    total = int(float(ratio) * n_total)
-    bud = strata_budget(hist, total)
-    return ranked.join(F.broadcast(bud), "bin").filter(F.col("bin_rank") <= F.col("budget"))
+def strata_budget(hist: DataFrame, total: int) -> DataFrame:
+    """K6 for one total: bin, budget."""
+    return strata_budgets(hist, {"it": total}).drop("tag")
+
+
+def ccs_cuts(scores: DataFrame, ratios: dict[str, float], key: str = MIS_KEY, mis_ratio: float = MIS_RATIO,
+             strata: int = STRATA, seed: int = 42) -> DataFrame:
+    """K4-K8 for all ratios at once: the rows that are left after the
+    mislabel prune, with their stratum ``bin`` and a flag ``in_<tag>`` for each
+    ratio: whether the row is among the budget's rows of its stratum in the
+    seeded md5 order.
+
+    The scores are read many times, so (id, label, key) is written once.  The
+    prune and the draws compare rows with the k-th row of their group
+    (``kselect``); nothing is sorted or numbered."""
+    spark = scores.sparkSession
+    place, number = KS.value_numbers(key, key in DESCENDING_KEYS)
+    narrow = scores.select("sample_id", "label", key, place.alias("_place"), number.alias("_num"), F.lit(0).alias("_all"))
+    order = ["_place", "_num", "sample_id"]
+    numbers = [F.col("_place"), F.col("_num"), F.col("sample_id").cast("double")]
+    s = stored(narrow, "ccs")
+    whole = KS.spans(s, "_all", numbers)
+    ends = whole.collect()   # one row
+    n = sum(r["_n"] for r in ends)
+    prune = spark.createDataFrame([(0, "mis", int(n * float(mis_ratio)))], "_all int, tag string, k long")
+    worst = KS.last_rows(s, prune, "_all", numbers, order, spark.createDataFrame(ends, whole.schema))
+    kept = s.filter(F.struct(*order) > F.struct(*[F.lit(v).cast(s.schema[c].dataType) for c, v in zip(order, worst[0]["last"])])) if worst else s
+    kept = kept.select("sample_id", "label", key)
+    rows = strata_bins(kept, key, strata).withColumn("_k", seeded_key(seed))
+    numbers = [KS.key_number("_k"), F.col("sample_id").cast("double")]
+    sizes = KS.spans(rows.filter("bin IS NOT NULL"), "bin", numbers)
+    start = spark.createDataFrame(sizes.collect(), sizes.schema)   # one row for each stratum
+    hist = strata_histogram(start.select("bin", F.col("_n").alias("size")), strata, counted=True)
+    wanted = strata_budgets(hist, {t: int(float(r) * n) for t, r in ratios.items()}).withColumnRenamed("budget", "k")
+    cuts = KS.thresholds(rows, wanted, "bin", numbers, ["_k", "sample_id"], start)
+    by_bin = cuts.groupBy("bin").agg(*[F.max(F.when(F.col("tag") == t, F.col("last"))).alias(f"_{t}") for t in ratios])
+    out = rows.join(F.broadcast(by_bin), "bin", "left")
+    return out.select("sample_id", "label", "bin", *[
+        F.coalesce(F.struct("_k", "sample_id") <= F.col(f"_{t}"), F.lit(False)).alias(f"in_{t}") for t in ratios])
+
+
+def ccs_select(scores: DataFrame, ratio: float, key: str = MIS_KEY, seed: int = 42) -> DataFrame:
+    """K7/K8 for one ratio: sample_id, label, bin."""
+    return ccs_cuts(scores, {"it": ratio}, key, seed=seed).filter("in_it").drop("in_it")
 
 
 def ccs_bands(scores: DataFrame, key: str = MIS_KEY, seed: int = 42) -> DataFrame:
-    """K8/K9: CCS top_1_2, top_1_3, top_2_3 and mid_1_3 (= top_2_3 anti top_1_3).
+    """K8/K9: CCS top_1_2, top_1_3, top_2_3 and mid_1_3 (= top_2_3 without
+    top_1_3): sample_id, label, bin, band.
 
     One md5 order per stratum is shared by all draws, so the 1/3 draw is
     inside the 2/3 draw whenever each stratum's budget grows with the ratio.
     """
-    ranked, hist, n = ccs_prepare(scores, key, seed=seed)
-    cols = ["sample_id", "label", "bin"]
-    t12 = ccs_select(ranked, hist, n, 1 / 2).select(*cols, F.lit("top_1_2").alias("band"))
-    t13 = ccs_select(ranked, hist, n, 1 / 3).select(*cols)
-    t23 = ccs_select(ranked, hist, n, 2 / 3).select(*cols)
-    mid = t23.join(t13.select("sample_id"), "sample_id", "left_anti").select(*cols, F.lit("mid_1_3").alias("band"))
-    return (t12.unionByName(t13.withColumn("band", F.lit("top_1_3")))
-               .unionByName(t23.withColumn("band", F.lit("top_2_3"))).unionByName(mid))
+    r = ccs_cuts(scores, {"top_1_2": 1 / 2, "top_1_3": 1 / 3, "top_2_3": 2 / 3}, key, seed=seed)
+    bands = [F.when(F.col(f"in_{b}"), F.lit(b)) for b in ("top_1_2", "top_1_3", "top_2_3")]
+    bands.append(F.when(F.col("in_top_2_3") & ~F.col("in_top_1_3"), F.lit("mid_1_3")))
+    return r.select("sample_id", "label", "bin", F.explode(F.array_compact(F.array(*bands))).alias("band"))

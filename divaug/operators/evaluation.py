@@ -75,12 +75,20 @@ def split_seed_models(train: DataFrame, seeds) -> DataFrame:
     return centers.groupBy("split", "seed").agg(F.sort_array(F.collect_list(F.struct("label", "center"))).alias("centers"))
 
 
-def split_seed_accuracy(train: DataFrame, test: DataFrame, splits, seeds) -> DataFrame:
-    """Accuracy of every split's and seed's nearest-centre classifier on
-    the test rows (ties: least label), in one scoring pass."""
+def split_seed_predictions(train: DataFrame, test: DataFrame, splits, seeds) -> DataFrame:
+    """Logits of every split's and seed's nearest-centre classifier for
+    the test rows in one scoring pass: split, seed, sample_id, label, logits.
+    The logit of class k is the negative squared distance to its centre, and
+    minus infinity where the split has no row of the class."""
     models = split_seed_models(train.filter(F.col("split").isin(list(splits))), seeds)
     runs = F.array(*[F.struct(F.lit(s).alias("split"), F.lit(int(k)).alias("seed")) for s in splits for k in seeds])
-    rows = test.select("label", "vec", F.explode(runs).alias("r")).select("label", "vec", "r.split", "r.seed")
-    dist = F.transform("centers", lambda c: F.struct(V.sq_distance(F.col("vec"), c["center"]).alias("d"), c["label"].alias("label")))
-    ok = (F.array_min(dist)["label"] == F.col("label")).cast("double")
-    return rows.join(models, ["split", "seed"]).groupBy("split", "seed").agg(rnd(F.avg(ok), ROUND_ACC).alias("accuracy"))
+    rows = test.select("sample_id", "label", "vec", F.explode(runs).alias("r")).select("sample_id", "label", "vec", "r.split", "r.seed")
+    near = F.map_from_entries(F.transform("centers", lambda c: F.struct(c["label"], -V.sq_distance(F.col("vec"), c["center"]))))
+    scored = rows.join(models, ["split", "seed"]).select("split", "seed", "sample_id", "label", F.array_max("centers.label").alias("_top"), near.alias("_near"))
+    logits = F.transform(F.sequence(F.lit(0), F.col("_top")), lambda k: F.coalesce(F.try_element_at("_near", k), F.lit(float("-inf"))))
+    return scored.select("split", "seed", "sample_id", "label", logits.alias("logits"))
+
+
+def split_seed_accuracy(train: DataFrame, test: DataFrame, splits, seeds) -> DataFrame:
+    """E2 + E1: accuracy of every split and seed on the test rows (ties: least label)."""
+    return accuracy(split_seed_predictions(train, test, splits, seeds))

@@ -52,11 +52,15 @@ def nested_sample(df: DataFrame, sizes=(1200, 800), seed: int = 42, id_col: str
     return out
 
 
-def two_way_split(df: DataFrame, first: int, seed: int = 42, id_col: str = "sample_id",
+def two_way_split(df: DataFrame, first: int | None, seed: int | str = 42, id_col: str = "sample_id",
                   name: str = "role", labels=("seed", "nonseed")) -> DataFrame:
-    """First ``first`` rows of the permutation vs the rest."""
-    o = seeded_order(df, seed, id_col)
-    return o.withColumn(name, F.when(F.col("pos") <= first, F.lit(labels[0])).otherwise(F.lit(labels[1])))
+    """First ``first`` rows of the permutation (None: half of them, rounded
+    down) vs the rest.  Ids are unique: only they are ranked, the other columns
+    meet their position by id."""
+    o = seeded_order(df.select(id_col), seed, id_col, count_name="_n", name="_p")
+    cut = F.floor(F.col("_n") / 2) if first is None else F.lit(first)
+    role = F.when(F.col("_p") <= cut, F.lit(labels[0])).otherwise(F.lit(labels[1]))
+    return df.join(o.select(id_col, role.alias(name)), id_col).select(*df.columns, name)
 
 
 def head_by(df: DataFrame, n: int, order_cols, groups=(), name: str = "pos") -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from divaug.functions import text as TX
+from divaug.operators.hooks import Hook
 from divaug.operators.ranking import rank_within
 
 # Reserved token ids of the encoder vocabulary.
@@ -26,6 +30,20 @@ def unique_ngrams(df: DataFrame, n: int = 3, by: str = "split") -> DataFrame:
     return g.groupBy(by).agg(F.count_distinct("g").alias(f"unique_{n}grams"))
 
 
+def ngram_sketches(df: DataFrame, n: int = 3, by=("split", "source"), lg_k: int = 14) -> DataFrame:
+    """T3, mergeable: one HLL sketch of the n-grams of each ``by`` value (at
+    most 2**lg_k registers, whatever its rows); see ``merge_sketches``."""
+    g = df.select(*by, TX.tokens_of(df).alias("tokens")).select(*by, F.explode(TX.word_ngrams("tokens", n)).alias("g"))
+    return g.groupBy(*by).agg(F.hll_sketch_agg("g", lg_k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by=("split",), name: str = "estimate") -> DataFrame:
+    """Distinct n-grams of any union of the parts that have a sketch, from the
+    sketches alone: no text is read again, no n-gram is shuffled.  The standard
+    error is about 1.04 / sqrt(2**lg_k)."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(name))
+
+
 def vocabulary(df: DataFrame) -> DataFrame:
     """T5 vocabulary: all normalised tokens by frequency (ties by token), ids
     from N_RESERVED; numbered without a one-task window."""
@@ -35,19 +53,42 @@ def vocabulary(df: DataFrame) -> DataFrame:
     return ranked.select("token", "freq", (F.col("_rank") + N_RESERVED - 1).cast("int").alias("token_id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, max_len: int | None = 512, pad: bool = True) -> DataFrame:
+HOT_SHARE = 1000   # a token with one in so many of all occurrences is hot
+
+
+def with_ids(rows: DataFrame, vocab: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Adds ``id`` to (token, ...) rows.  A token that holds 1 / ``hot_share``
+    of all occurrences or more would fill the task it is shuffled to; there are
+    at most ``hot_share`` such tokens by counting, so they go out to the rows.
+    The others are joined by a shuffle, in which no key is large."""
+    total = vocab.agg(F.sum("freq").alias("n")).first()["n"] or 0
+    hot = vocab.filter(F.col("freq") * hot_share >= total).select("token", F.col("token_id").alias("hot_id"))
+    near = rows.join(F.broadcast(hot), "token", "left")
+    done = F.col("hot_id").isNotNull() | F.col("token").isNull()
+    cold = near.filter(~done).drop("hot_id").join(
+        vocab.filter(F.col("freq") * hot_share < total).select("token", "token_id"), "token", "left")
+    return near.filter(done).withColumnRenamed("hot_id", "id").unionByName(cold.withColumnRenamed("token_id", "id"))
+
+
+def encode(df: DataFrame, vocab: DataFrame | None = None, max_len: int | None = 512, pad: bool = True,
+           tokenizer: Hook | None = None) -> DataFrame:
     """T5: [CLS] ids [SEP], the body truncated so that all fits in ``max_len``
-    (None: whole text), padded with PAD to ``max_len``, attention mask.  Only
-    the tokens that are kept are exploded; the vocabulary is joined on the
-    token, and documents without tokens go through the same group."""
-    toks = TX.tokens_of(df)
-    if max_len is not None:
-        toks = F.slice(toks, 1, max_len - 2)
-    rows = df.select("sample_id", F.posexplode_outer(toks).alias("pos", "token"))
-    j = rows.join(vocab.select("token", "token_id"), "token", "left")
-    kept = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
-    out = j.groupBy("sample_id").agg(F.sort_array(F.collect_list(kept)).alias("_s"))
-    body = F.transform("_s", lambda x: x["id"])
+    (None: whole text), padded with PAD to ``max_len``, attention mask.  Ids
+    are those of ``vocab`` (only the tokens that are kept are exploded, and
+    documents without tokens go through the same group), or what ``tokenizer``,
+    a hook that gives a list of ids for each text, returns."""
+    if tokenizer is not None:
+        ids = tokenizer.apply(df.select("sample_id", "text"), "text", "ids array<int>").select("sample_id", F.coalesce("ids", F.array().cast("array<int>")).alias("_s"))
+        out = ids if max_len is None else ids.withColumn("_s", F.slice("_s", 1, max_len - 2))
+        body = F.col("_s")
+    else:
+        toks = TX.tokens_of(df)
+        if max_len is not None:
+            toks = F.slice(toks, 1, max_len - 2)
+        rows = df.select("sample_id", F.posexplode_outer(toks).alias("pos", "token"))
+        kept = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+        out = with_ids(rows, vocab).groupBy("sample_id").agg(F.sort_array(F.collect_list(kept)).alias("_s"))
+        body = F.transform("_s", lambda x: x["id"])
     out = out.withColumn("_seq", F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID))))
     n = F.size("_seq")
     if pad and max_len is not None:
@@ -71,19 +112,27 @@ def split_token_count(df: DataFrame, by: str = "split") -> DataFrame:
         by, (F.coalesce("_ids", F.lit(0)) + 2 + F.col("_pad")).alias("token_count"))
 
 
-def _bucket_vectors(dims: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def to_vec(buckets: pd.Series) -> pd.Series:
-        # one bincount per Arrow batch over (document index * dims + bucket)
-        lens = buckets.map(len).to_numpy()
-        n_docs = len(lens)
-        flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets]) if n_docs else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(n_docs, dtype=np.int64), lens)
-        c = np.bincount(doc * dims + flat, minlength=n_docs * dims).astype(np.float64).reshape(n_docs, dims)
-        norm = np.sqrt((c * c).sum(axis=1))
-        v = np.divide(c, norm[:, None], out=np.zeros_like(c), where=norm[:, None] > 0)
-        return pd.Series(list(v))
-    return to_vec
+def token_vectors(lists: pa.Array, dims: int) -> np.ndarray:
+    """(rows, dims): the hashed bag of each row's tokens, L2-normalised (zeros
+    without tokens).  Every distinct token of the batch is hashed once."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    n = len(lists)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    table = np.array([int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % dims for t in coded.dictionary.to_pylist()], np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int64), sizes)
+    bucket = table[coded.indices.to_numpy(zero_copy_only=False)] if len(table) else np.zeros(0, np.int64)
+    c = np.bincount(row * dims + bucket, minlength=n * dims).astype(np.float64).reshape(n, dims)
+    norm = np.sqrt((c * c).sum(axis=1))
+    return np.divide(c, norm[:, None], out=np.zeros_like(c), where=norm[:, None] > 0)
+
+
+def _embedder(dims: int):
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(tokens: pa.Array) -> pa.Array:
+        v = token_vectors(tokens, dims)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dims, dtype=np.int32)), pa.array(v.ravel()))
+    return run
 
 
 def hashed_embedding(df: DataFrame, dims: int = 64, text_col: str = "text", keep=None,
@@ -92,12 +141,15 @@ def hashed_embedding(df: DataFrame, dims: int = 64, text_col: str = "text", keep
     (h24(token) mod dims), counts L2-normalised.
 
     Returns ``id_col, *keep, vec``; ``keep`` defaults to every column except
-    the text and tokens.  Row-local and shuffle-free: tokens are hashed to
-    bucket ids in the JVM, and a vectorised helper counts each document's ids
-    (np.bincount) and normalises them.  Documents without tokens get the zero
-    vector."""
+    the text and tokens.  Row-local and shuffle-free: texts are cut into tokens
+    in the JVM, and a vectorised helper hashes each distinct token of a batch
+    once and counts.  Documents without tokens get the zero vector."""
     if keep is None:
         keep = [c for c in df.columns if c not in (id_col, text_col, "tokens")]
-    toks = TX.tokens_of(df, text_col)
-    b = df.select(id_col, *keep, F.transform(toks, lambda x: TX.hashed_bucket(x, dims)).alias("_b"))
-    return b.select(id_col, *keep, _bucket_vectors(dims)(F.col("_b")).alias("vec"))
+    return df.select(id_col, *keep, _embedder(dims)(TX.tokens_of(df, text_col)).alias("vec"))
+
+
+def model_embedding(df: DataFrame, model: Hook, text_col: str = "text", keep=(), id_col: str = "sample_id") -> DataFrame:
+    """V1 with an encoder behind a hook that gives a vector for each text:
+    ``id_col, *keep, vec``."""
+    return model.apply(df.select(id_col, *keep, text_col), text_col, "vec array<double>").drop(text_col)

@@ -18,6 +18,7 @@ from divaug.plans.registry import register
 from divaug.sources import catalog as CT
 from divaug.sources import fixtures as FX
 from divaug.functions.vectors import rnd
+from divaug.session import stored
 
 INS = CD.INSTRUCTION
 SFT_CAP, DPO_CAP = 100_000, 50_000   # fixed values: max_samples of the tuning configs
@@ -123,13 +124,16 @@ def max_samples_cap(spark, sf):
     return a.unionByName(b)
 
 
-@register("column_map", S.with_(PREF_DATASET, """
-SELECT group_id, instruction AS prompt, input AS query, chosen, rejected, position FROM dpod"""))
+@register("column_map", S.with_(SFT_DATASET + PREF_DATASET[len(GROUP_POS):], """
+SELECT 'paraphrase_sft_100k_100k' AS dataset, group_id, position, instruction AS prompt, input AS query, output AS response,
+       NULL::VARCHAR AS chosen, NULL::VARCHAR AS rejected FROM sftd
+UNION ALL
+SELECT 'paraphrase_dpo_100k_100k', group_id, position, instruction, input, NULL, chosen, rejected FROM dpod"""))
 def column_map(spark, sf):
-    """The registry's role -> source column map applied to the preference set."""
-    reg = [r for r in CT.REGISTRY if r[3] is not None]
-    df = preference_dataset_df(spark, sf)
-    return df.select("group_id", *[F.col(src).alias(role) for _, _, _, role, src in reg], "position")
+    """Both registered sets under the names of their roles."""
+    sets = {"paraphrase_sft_100k_100k": sft_dataset_df, "paraphrase_dpo_100k_100k": preference_dataset_df}
+    parts = [CT.by_role(make(spark, sf), name, keep=(F.lit(name).alias("dataset"), "group_id", "position")) for name, make in sets.items()]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 @register("chat_messages", S.with_([S.FX_TEXT], f"""
@@ -173,7 +177,7 @@ def aug_base(spark, sf):
     scores = doc_scores(spark, sf)
     bands = K.class_balanced_bands(scores, "variance", bands=("top_1_3", "mid_1_3"))
     t = FX.fx_text(spark, sf).select("sample_id", "text")
-    b = bands.join(t, "sample_id")
+    b = stored(bands.join(t, "sample_id").select("band", "sample_id", "label", "text"), "bands")   # both filters read it
     return (b.filter(F.col("band") == "top_1_3").select("sample_id", "label", "text"),
             b.filter(F.col("band") == "mid_1_3").select("sample_id", "label", "text"))
 
@@ -199,7 +203,7 @@ UNION ALL SELECT 'nonseed', sample_id, label, md5(text) FROM {non}"""
 
 
 def _aug_df(seeds, non, pol="dis"):
-    chosen = CD.paraphrase_select(seeds, "sample_id")
+    chosen = CD.paraphrase_select(seeds, "sample_id", keep=("label",))
     a = CD.augmented_set(seeds, non, chosen, "sample_id", pol)
     return a.select("origin", "sample_id", "label", F.md5("text").alias("text_md5"))
 
@@ -221,8 +225,8 @@ SELECT s.sample_id, s.label, md5(s.text) AS text_md5, md5(x.dis_text) AS paraphr
 FROM aseed s JOIN ax x ON x.k = CAST(s.sample_id AS VARCHAR)"""))
 def paraphrase_pairs(spark, sf):
     seeds, _ = aug_base(spark, sf)
-    ch = CD.paraphrase_select(seeds, "sample_id")
-    return seeds.join(ch, "sample_id").select("sample_id", "label", F.md5("text").alias("text_md5"),
+    ch = CD.paraphrase_select(seeds, "sample_id", keep=("label", F.col("text").alias("original")))
+    return ch.select("sample_id", "label", F.md5("original").alias("text_md5"),
                                               F.md5("dis_text").alias("paraphrased_md5"))
 
 
@@ -269,7 +273,7 @@ def variant_wo_selective(spark, sf):
 def _pair_sql(markers, name):
     ma, mb = markers
     return [f"""fx_pairs AS (
-  SELECT u.conv_id * 1000 + u.turn AS sample_id, '{ma}' || u.text || ' {mb}' || a.text AS text,
+  SELECT concat_ws(':', u.conv_id, u.turn) AS sample_id, '{ma}' || u.text || ' {mb}' || a.text AS text,
          CAST(u.conv_id % 3 AS INTEGER) AS label
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')""", f"""{name}_f AS (
@@ -332,7 +336,7 @@ def augmented_set_qa(spark, sf):
         o = SM.seeded_order(CD.project_text(df, schema), "42-split", count_name="n2", name="p2")
         cut = F.floor(F.col("n2") / 2)
         seeds, non = o.filter(F.col("p2") <= cut), o.filter(F.col("p2") > cut)
-        a = CD.augmented_set(seeds, non, CD.schema_select(seeds, schema), carry=("carry",))
+        a = CD.augmented_set(seeds, non, CD.schema_select(seeds, schema, keep=("carry",)), carry=("carry",))
         text, (choices, answer) = CD.SCHEMAS[schema]
         return CD.restore_schema(a, schema, keep=("origin",)).select(
             F.lit(schema).alias("form"), "origin", "sample_id", F.md5(text).alias("question_md5"),
@@ -344,10 +348,8 @@ def augmented_set_qa(spark, sf):
 SELECT CAST(k AS BIGINT) AS group_id, cand_idx, round(d, 6) AS distance FROM ld_x_d"""))
 def l2_distance(spark, sf):
     good, _ = CD.split_rejects(parsed_groups(spark, sf))
-    c = good.select("group_id", F.posexplode("items").alias("cand_idx", "cand_text")).withColumn(
-        "cand_idx", F.col("cand_idx").cast("int"))
-    d = CD.candidate_distances(good.select("group_id", "text"), c, "group_id", "l2")
-    return d.select("group_id", "cand_idx", rnd("_d", 6).alias("distance"))
+    d = CD.with_distances(good.select("group_id", "text", "items"), "text", "items").select("group_id", F.posexplode("_d").alias("cand_idx", "_d"))
+    return d.select("group_id", F.col("cand_idx").cast("int").alias("cand_idx"), rnd("_d", 6).alias("distance"))
 
 
 @register("qa_schema_projection", S.with_([], """

@@ -11,15 +11,39 @@ from divaug.plans import sqlparts as S
 from divaug.plans.registry import register
 
 
-def _cat_values(key=None):
-    rows = []
-    for g in CT.GROUP_ORDER:
-        for i, (s, f) in enumerate(CT.SPLIT_GROUPS[g]):
-            f = f.replace("{clean}", "").replace("{method}", CT.METHOD_TAG)
-            if key:
-                f = f.replace("{key}", key)
-            rows.append(f"('{g}', {i}, '{s}', '{f}')")
-    return "(VALUES " + ", ".join(rows) + ") c(\"group\", pos, split, file)"
+# What the catalog must be for the key "variance".
+CATALOG_SQL = """(VALUES
+  ('test', 'test', 'test.jsonl'),
+  ('ori', 'reduced_800', 'reduced_800.jsonl'),
+  ('cst', 'el2n_top_2_3', 'coreset_el2n_top_2_3.jsonl'),
+  ('cst', 'entropy_top_2_3', 'coreset_entropy_top_2_3.jsonl'),
+  ('cst', 'variance_top_2_3', 'coreset_variance_top_2_3.jsonl'),
+  ('cst', 'ccs_aum_top_2_3', 'coreset_ccs_aum_top_2_3.jsonl'),
+  ('aug', 'dpo_d', 'aug_method_dpo50k_sel_variance_dissimilar.jsonl'),
+  ('abl', 'wo_coreset_dpo_d', 'aug_method_dpo50k_wocst_variance_dissimilar.jsonl'),
+  ('abl', 'wo_selective_dpo_d', 'aug_method_dpo50k_wosel_variance_dissimilar.jsonl'),
+  ('abl', 'sft_s', 'aug_method_sft100k_sel_variance_similar.jsonl'),
+  ('abl', 'sft_d', 'aug_method_sft100k_sel_variance_dissimilar.jsonl'),
+  ('abl', 'dpo_s', 'aug_method_dpo50k_sel_variance_similar.jsonl'),
+  ('bsl', 'ocr', 'baseline_ocr.jsonl'),
+  ('bsl', 'typing', 'baseline_keyboard.jsonl'),
+  ('bsl', 'eda', 'baseline_eda.jsonl'),
+  ('bsl', 'aeda', 'baseline_aeda.jsonl'),
+  ('bsl', 'bt', 'baseline_bt.jsonl'),
+  ('bsl', 'maskpred', 'baseline_unmask.jsonl'),
+  ('bsl', 'auggpt', 'baseline_auggpt.jsonl'),
+  ('bsl', 'gramma', 'baseline_grammar.jsonl'),
+  ('bsl', 'spell', 'baseline_spell.jsonl'),
+  ('bsl', 'chain', 'baseline_chain.jsonl'),
+  ('bsl', 'hint', 'baseline_hint.jsonl'),
+  ('bsl', 'taboo', 'baseline_taboo.jsonl'),
+  ('var', '10k', 'aug_method_dpo10k_sel_variance_dissimilar.jsonl'),
+  ('var', '20k', 'aug_method_dpo20k_sel_variance_dissimilar.jsonl'),
+  ('var', '50k', 'aug_method_dpo50k_sel_variance_dissimilar.jsonl'),
+  ('var', '100k', 'aug_method_dpo100k_sel_variance_dissimilar.jsonl'),
+  ('var', 't1.2', 'aug_method_sft100k_sel_variance_dissimilar_t1.2.jsonl'),
+  ('var', 'prompt', 'aug_method_sft100k_sel_variance_dissimilar_prompt.jsonl'),
+  ('var', 'qwen', 'aug_method_dpo50k_sel_variance_dissimilar_qwen.jsonl')) c("group", split, file)"""
 
 
 def data_splits(spark, sf):
@@ -35,10 +59,10 @@ DATA_SPLITS = [S.FX_VEC, S.FX_TEXT, """dsp AS (
 
 
 @register("split_catalog", S.with_(DATA_SPLITS, f"""
-SELECT c."group" AS "group", c.split, c.file, d.n_vec, d.n_text FROM {_cat_values('variance')} JOIN dsp d USING (split)"""))
+SELECT c."group" AS "group", c.split, c.file, d.n_vec, d.n_text FROM {CATALOG_SQL} LEFT JOIN dsp d USING (split)"""))
 def split_catalog(spark, sf):
     cat = CT.split_catalog(spark, "variance")
-    return F.broadcast(cat).join(data_splits(spark, sf), "split").select("group", "split", "file", "n_vec", "n_text")
+    return cat.join(data_splits(spark, sf), "split", "left").select("group", "split", "file", "n_vec", "n_text")
 
 
 _ACTIVE = [("ori", "reduced_800", 0), ("cst", "variance_top_2_3", 1), ("aug", "dpo_d", 2),

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from divaug.operators import coreset as K
 from divaug.operators import dynamics as D
+from divaug.operators.intervals import interval_join
 from divaug.plans import sqlparts as S
 from divaug.plans.q_dynamics import SCORES
 from divaug.plans.registry import register
+from divaug.session import stored
 from divaug.sources import fixtures as FX
 
 
@@ -134,6 +136,19 @@ def strata_histogram(spark, sf):
     return K.strata_histogram(K.strata_bins(kept, K.MIS_KEY))
 
 
+@register("strata_bins_join", S.with_(STRATA_SQL, "SELECT sample_id, bin FROM binned"))
+def strata_bins_join(spark, sf):
+    """K5 by an interval join with the edges of the strata, as a cross-check of
+    the arithmetic; the last stratum has no upper edge."""
+    kept = stored(K.mislabel_prune(scores_of(spark, sf)).select("sample_id", K.MIS_KEY), "kept")
+    mm = kept.agg(F.min(K.MIS_KEY).alias("lo"), F.max(K.MIS_KEY).alias("hi"))
+    step = (F.col("hi") + 1e-4 * F.abs("hi") - F.col("lo")) / K.STRATA
+    edges = mm.withColumn("step", step).select("lo", "step", F.explode(F.sequence(F.lit(0), F.lit(K.STRATA - 1))).alias("bin")).select(
+        "bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("low"),
+        F.when(F.col("bin") == K.STRATA - 1, F.col("lo") + 2 * K.STRATA * F.col("step")).otherwise(F.col("lo") + (F.col("bin") + 1) * F.col("step")).alias("high"))
+    return interval_join(kept, edges, K.MIS_KEY, "low", "high").select("sample_id", "bin")
+
+
 @register("strata_budget", S.with_(CCS_SQL, "SELECT bin, budget FROM bud_12"))
 def strata_budget(spark, sf):
     s = scores_of(spark, sf)
@@ -145,8 +160,7 @@ def strata_budget(spark, sf):
 
 @register("strata_sample", S.with_(CCS_SQL, "SELECT sample_id, bin FROM sel_12"))
 def strata_sample(spark, sf):
-    ranked, hist, n = K.ccs_prepare(scores_of(spark, sf))
-    return K.ccs_select(ranked, hist, n, 0.5).select("sample_id", "bin")
+    return K.ccs_select(scores_of(spark, sf), 0.5).select("sample_id", "bin")
 
 
 @register("ccs_coreset", S.with_(CCS_SQL, """

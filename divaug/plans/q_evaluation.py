@@ -2,54 +2,97 @@
 
 from __future__ import annotations
 
+import uuid
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from divaug.functions.hashing import h24
+from divaug.operators import dynamics as D
 from divaug.operators import evaluation as EV
+from divaug.operators import sampling as SM
+from divaug.operators import training as TR
 from divaug.plans import sqlparts as S
+from divaug.plans.q_coreset import CB_SQL, CCS_SQL
+from divaug.plans.q_dynamics import SCORES
 from divaug.plans.registry import register
+from divaug.plans.selection import coreset_splits
+from divaug.functions.vectors import rnd
+from divaug.session import shared_path
 from divaug.sources import catalog as CT
+from divaug.sources import commits as CM
 from divaug.sources import fixtures as FX
 
-PRED_SPLITS = ["reduced_800", "dpo_d", "el2n_top_2_3", "entropy_top_2_3", "variance_top_2_3", "ccs_aum_top_2_3"]
+HELD_OUT = 5   # every fifth row by hash is test
+EVAL_SPLITS = ["reduced_800", "el2n_top_2_3", "entropy_top_2_3", "variance_top_2_3", "ccs_aum_top_2_3"]
+SEED_FROM, SEED_TO = FX.EVAL_SEEDS[0], FX.EVAL_SEEDS[-1] + 1
+HELD_SQL = S.h24("concat_ws(':', 'test', sample_id)") + f" % {HELD_OUT} = 0"
+
+
+def e2_sql(train: str, test: str) -> list[str]:
+    """CTEs ending in e2_pred(split, seed, sample_id, label, pred)."""
+    return ["""e2_cent AS (
+  SELECT split, seed, label, list(v ORDER BY d) AS center FROM (
+    SELECT split, seed, label, d, sum(w * vec[d]) / sum(w) AS v FROM (
+      SELECT split, label, vec, sd.seed, unnest(generate_series(1, len(vec))) AS d,
+             -ln((""" + S.h24("concat_ws(':', sd.seed, sample_id)") + f""" + 1) / 16777216.0::DOUBLE) AS w
+      FROM {train} CROSS JOIN range({SEED_FROM}, {SEED_TO}) sd(seed))
+    GROUP BY split, seed, label, d) GROUP BY split, seed, label)""", f"""e2_pred AS (
+  SELECT c.split, CAST(c.seed AS INTEGER) AS seed, r.sample_id, any_value(r.label) AS label,
+         arg_min(c.label, {{'d': list_sum(list_transform(list_zip(r.vec, c.center), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'l': c.label}}) AS pred
+  FROM {test} r CROSS JOIN e2_cent c GROUP BY c.split, c.seed, r.sample_id)"""]
+
 
-FX_PRED = [S.FX_VEC, S.FX_CENT_ALL, S.FX_DYN, """fx_pred AS (
-  SELECT sp.split, CAST(sd.seed AS INTEGER) AS seed, d.sample_id, d.label,
-         list_transform(d.logp, lambda x, i: x + 3.0 * """ + S.h24("concat_ws(':', sd.seed, sp.split, d.sample_id, i - 1)")
-    + """ / 16777216.0) AS logits
-  FROM fx_dyn d CROSS JOIN (SELECT unnest(""" + repr(PRED_SPLITS) + """) AS split) sp
-  CROSS JOIN range(37, 47) sd(seed)
-  WHERE d.epoch = 2)""", """acc AS (
-  SELECT split, seed, round(avg(CAST(list_position(logits, list_max(logits)) - 1 = label AS DOUBLE)), 6) AS accuracy
-  FROM fx_pred GROUP BY split, seed)"""]
+# Training sets: the reduction and the coresets that the selection steps draw
+# from the training rows; test: the held-out rows.
+ACC_SQL = [S.FX_VEC.replace("fx_vec AS (", "fx_all AS (", 1), f"fx_flag AS (SELECT *, {HELD_SQL} AS held FROM fx_all)",
+           "fx_vec AS (SELECT sample_id, label, vec, split FROM fx_flag WHERE NOT held)", "fx_test AS (SELECT * FROM fx_flag WHERE held)"] \
+    + CB_SQL[1:] + CCS_SQL[len(SCORES):] + [f"""ev_train AS (
+  SELECT 'reduced_800' AS split, sample_id, label, vec
+  FROM (SELECT *, row_number() OVER (ORDER BY {S.seeded_key(42)}, sample_id) AS pos FROM fx_vec) WHERE pos <= 800
+  UNION ALL SELECT c.key || '_top_2_3', v.sample_id, v.label, v.vec FROM cbr c JOIN fx_vec v USING (sample_id)
+            WHERE c.rank <= floor(c.n_label * {S.dbl(Fraction(2, 3))})
+  UNION ALL SELECT 'ccs_aum_top_2_3', v.sample_id, v.label, v.vec FROM sel_23 JOIN fx_vec v USING (sample_id))"""] \
+    + e2_sql("ev_train", "fx_test") + ["""acc AS (
+  SELECT split, seed, round(avg(CAST(pred = label AS DOUBLE)), 6) AS accuracy FROM e2_pred GROUP BY split, seed)"""]
+
+
+def held_out():
+    return h24(F.concat(F.lit("test:"), F.col("sample_id").cast("string"))) % HELD_OUT == 0
 
 
 def acc_df(spark, sf):
-    return EV.accuracy(FX.fx_predictions(spark, sf, PRED_SPLITS))
+    """Accuracy of the classifiers of every training set and seed."""
+    v = FX.fx_vec(spark, sf).drop("split")
+    train, test = v.filter(~held_out()), v.filter(held_out())
+    drawn = coreset_splits(D.score_table(FX.fx_dynamics(spark, sf, vecs=train))).filter(F.col("split").endswith("_top_2_3"))
+    first = SM.nested_sample(train.select("sample_id"), (800,)).select("sample_id", F.lit("reduced_800").alias("split"))
+    sets = drawn.select("sample_id", F.regexp_replace("split", "^coreset_", "").alias("split")).unionByName(first)
+    return EV.accuracy(EV.split_seed_predictions(sets.join(train, "sample_id"), test, EVAL_SPLITS, FX.EVAL_SEEDS))
 
 
-@register("accuracy", S.with_(FX_PRED, "SELECT split, seed, accuracy FROM acc"))
+@register("accuracy", S.with_(ACC_SQL, "SELECT split, seed, accuracy FROM acc"))
 def accuracy(spark, sf):
     return acc_df(spark, sf)
 
 
-@register("seed_summary", S.with_(FX_PRED, """
+@register("seed_summary", S.with_(ACC_SQL, """
 SELECT split, round(avg(accuracy), 4) AS avg, round(stddev_samp(accuracy), 4) AS std FROM acc GROUP BY split"""))
 def seed_summary(spark, sf):
     return EV.seed_summary(acc_df(spark, sf))
 
 
-@register("performance_matrix", S.with_(FX_PRED + ["""plong AS (
+@register("performance_matrix", S.with_(ACC_SQL + ["""plong AS (
   SELECT CAST(seed AS VARCHAR) AS row_key, split, accuracy AS value FROM acc
   UNION ALL SELECT 'avg', split, round(avg(accuracy), 4) FROM acc GROUP BY split
   UNION ALL SELECT 'std', split, round(stddev_samp(accuracy), 4) FROM acc GROUP BY split)"""],
-    "SELECT row_key, " + ", ".join(f"max(value) FILTER (WHERE split = '{s}') AS \"{s}\"" for s in PRED_SPLITS)
+    "SELECT row_key, " + ", ".join(f"max(value) FILTER (WHERE split = '{s}') AS \"{s}\"" for s in EVAL_SPLITS)
     + " FROM plong GROUP BY row_key"))
 def performance_matrix(spark, sf):
-    return EV.performance_matrix(acc_df(spark, sf), PRED_SPLITS)
+    return EV.performance_matrix(acc_df(spark, sf), EVAL_SPLITS)
 
 
-@register("best_coreset_key", S.with_(FX_PRED + ["""bk AS (
+@register("best_coreset_key", S.with_(ACC_SQL + ["""bk AS (
   SELECT 'embeddings' AS dataset, regexp_replace(split, '_top_2_3$', '') AS key, avg(accuracy) AS avg_acc
   FROM acc WHERE split LIKE '%\\_top\\_2\\_3' ESCAPE '\\' GROUP BY split)"""], """
 SELECT dataset, arg_max(key, round(avg_acc, 12)) AS best_key, round(max(avg_acc), 6) AS best_avg FROM (
@@ -74,44 +117,21 @@ def missing_splits(spark, sf):
     return EV.missing_splits(_used(spark).select("split"), data)
 
 
-HELD_OUT = 5   # every fifth row by hash is test
-
-
-@register("split_seed_eval", S.with_([S.FX_VEC, """e2_rows AS (
-  SELECT *, """ + S.h24("concat_ws(':', 'test', sample_id)") + f""" % {HELD_OUT} = 0 AS held FROM fx_vec)""", """e2_cent AS (
-  SELECT split, seed, label, list(v ORDER BY d) AS center FROM (
-    SELECT split, seed, label, d, sum(w * vec[d]) / sum(w) AS v FROM (
-      SELECT split, label, vec, sd.seed, unnest(generate_series(1, len(vec))) AS d,
-             -ln((""" + S.h24("concat_ws(':', sd.seed, sample_id)") + """ + 1) / 16777216.0::DOUBLE) AS w
-      FROM e2_rows CROSS JOIN range(37, 47) sd(seed) WHERE NOT held)
-    GROUP BY split, seed, label, d) GROUP BY split, seed, label)""", """e2_pred AS (
-  SELECT c.split, c.seed, r.sample_id, any_value(r.label) AS label,
-         arg_min(c.label, {'d': list_sum(list_transform(list_zip(r.vec, c.center), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'l': c.label}) AS pred
-  FROM e2_rows r CROSS JOIN e2_cent c WHERE r.held GROUP BY c.split, c.seed, r.sample_id)"""], """
-SELECT split, CAST(seed AS INTEGER) AS seed, round(avg(CAST(pred = label AS INT)), 6) AS accuracy FROM e2_pred GROUP BY split, seed"""))
+@register("split_seed_eval", S.with_([S.FX_VEC, f"e2_train AS (SELECT * FROM fx_vec WHERE NOT ({HELD_SQL}))",
+                                     f"e2_test AS (SELECT * FROM fx_vec WHERE {HELD_SQL})"] + e2_sql("e2_train", "e2_test"), """
+SELECT split, seed, round(avg(CAST(pred = label AS INT)), 6) AS accuracy FROM e2_pred GROUP BY split, seed"""))
 def split_seed_eval(spark, sf):
     """E2 re-aimed: per split x seed (37..46) a weighted nearest-centre
     classifier on the split's training rows, scored on the held-out rows."""
-    held = h24(F.concat(F.lit("test:"), F.col("sample_id").cast("string"))) % HELD_OUT == 0
     v = FX.fx_vec(spark, sf)
-    return EV.split_seed_accuracy(v.filter(~held), v.filter(held), FX.VEC_SPLITS, FX.EVAL_SEEDS)
+    return EV.split_seed_accuracy(v.filter(~held_out()), v.filter(held_out()), FX.VEC_SPLITS, FX.EVAL_SEEDS)
 
 
-@register("dynamics_log_ml", None)
+@register("dynamics_log_ml", S.with_([S.FX_VEC] + TR.oracle_ctes(), """
+SELECT sample_id, epoch, iteration, label, CAST(k AS INTEGER) AS k, round(logp, 6) AS logp FROM sm_log"""))
 def dynamics_log_ml(spark, sf):
-    """Q8 re-aimed: a multinomial classifier checkpointed after 1, 2, 3
-    iterations produces the training-dynamics log (log-probabilities)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    v = FX.fx_vec(spark, sf).select("sample_id", "label", array_to_vector("vec").alias("features"),
-                                    F.col("label").cast("double").alias("y"))
-    parts = []
-    for e in (1, 2, 3):
-        m = LogisticRegression(maxIter=e, family="multinomial", labelCol="y").fit(v)
-        p = m.transform(v).select("sample_id", F.lit(e - 1).alias("epoch"), (F.col("sample_id") / 32).cast("int").alias("iteration"),
-                                  "label", F.transform(vector_to_array("probability"), lambda x: F.log(x)).alias("logp"))
-        parts.append(p)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Q8 re-aimed: one mini-batch softmax run over the vectors, its
+    log-probabilities at the end of each epoch."""
+    log = CM.EpochLog(spark, shared_path(spark, "divaug-runs", f"trainlog-{uuid.uuid4().hex}"))
+    TR.train_log(FX.fx_vec(spark, sf), log)
+    return log.read().select("sample_id", "epoch", "iteration", "label", F.posexplode("logp").alias("k", "logp")).withColumn("logp", rnd("logp", 6))

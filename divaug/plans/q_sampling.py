@@ -70,9 +70,7 @@ def nested_sample(spark, sf):
 SELECT sample_id, CASE WHEN pos2 <= floor(n / 2) THEN 'seed' ELSE 'nonseed' END AS role FROM r800"""))
 def seed_nonseed_split(spark, sf):
     r800 = SM.seeded_order(FX.fx_text(spark, sf).select("sample_id"), SEED).filter(F.col("pos") <= NESTED[1]).drop("pos")
-    o = SM.seeded_order(r800, "42-split", count_name="n")
-    return o.select("sample_id", F.when(F.col("pos") <= F.floor(F.col("n") / 2), F.lit("seed"))
-                    .otherwise(F.lit("nonseed")).alias("role"))
+    return SM.two_way_split(r800, None, "42-split")
 
 
 @register("eval_cap", S.with_([S.FX_TEXT], f"""

@@ -11,6 +11,7 @@ from divaug.plans import sqlparts as S
 from divaug.plans.registry import register
 from divaug.sources import fixtures as FX
 from divaug.functions.vectors import rnd
+from divaug.session import stored
 
 TOKEN_CAP = 1024   # fixed value: cutoff_len of the tuning configs
 ENCODER_LEN = 512  # fixed value: encoder max length
@@ -54,6 +55,34 @@ tcnt AS (SELECT l.split, coalesce(d.c, 0) + 2 + l.pad AS token_count
     "SELECT split, token_count FROM tcnt")
 
 
+def _sketched(spark, sf):
+    """Splits and all texts: exact count beside the estimate from the merged
+    sketches of (split, source)."""
+    d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "source")
+    t = FX.fx_text(spark, sf)
+    parts = stored(TK.ngram_sketches(t.join(d, "sample_id")), "sketches")
+    every = lambda df: df.withColumn("split", F.lit("all"))
+    exact = TK.unique_ngrams(t).unionByName(TK.unique_ngrams(every(t)))
+    merged = TK.merge_sketches(parts).unionByName(TK.merge_sketches(every(parts)))
+    return exact.join(merged, "split").withColumn("error", F.col("estimate") / F.col("unique_3grams") - 1)
+
+
+@register("unique_3grams_sketch", None)
+def unique_3grams_sketch(spark, sf):
+    return _sketched(spark, sf).select("split", "unique_3grams", "estimate", rnd("error", 6).alias("error"))
+
+
+SKETCH_BOUND = 0.04   # five standard errors of 2**14 registers
+
+
+@register("unique_3grams_sketch_bound", S.with_([S.FX_TEXT, f"""g3 AS (
+  SELECT split, unnest({S.trigrams('tk')}) AS g FROM (SELECT split, {S.toks()} AS tk FROM fx_text))"""], """
+SELECT split, count(DISTINCT g) AS unique_3grams, true AS within FROM g3 GROUP BY split
+UNION ALL SELECT 'all', count(DISTINCT g), true FROM g3 HAVING count(*) > 0"""))
+def unique_3grams_sketch_bound(spark, sf):
+    return _sketched(spark, sf).select("split", "unique_3grams", (F.abs("error") <= SKETCH_BOUND).alias("within"))
+
+
 @register("token_vocab", _TOKCOUNT_SQL)
 def token_vocab(spark, sf):
     return TK.split_token_count(FX.fx_text(spark, sf))

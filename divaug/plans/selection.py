@@ -13,6 +13,7 @@ from divaug.operators import coreset as K
 from divaug.operators import dynamics as D
 from divaug.sources import fixtures as FX
 from divaug.functions.vectors import rnd
+from divaug.session import stored
 
 
 def flagship(spark: SparkSession, sf_dir: str, key: str = "variance") -> DataFrame:
@@ -27,9 +28,11 @@ def coreset_splits(scores: DataFrame, keys=K.CORESET_KEYS) -> DataFrame:
     """All coreset splits of the reference: coreset_{key}_{band} for the score
     keys and coreset_ccs_aum_{band}; columns sample_id, label, split.
 
-    All score keys are ranked by one range shuffle: the score table is melted
-    to (key, sample_id, label, score) and ranked within (key, label)."""
+    The scores are written once.  All score keys are ranked by one range
+    shuffle: the score table is melted to (key, sample_id, label, score) and
+    ranked within (key, label)."""
     from divaug.operators.ranking import rank_within
+    scores = stored(scores.select("sample_id", "label", *dict.fromkeys([*keys, K.MIS_KEY])), "scores")
     arr = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("score")) for k in keys])
     long = scores.select("sample_id", "label", F.explode(arr).alias("_ks")).select(
         F.col("_ks.key").alias("key"), "sample_id", "label", F.col("_ks.score").alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -96,6 +97,14 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
 
 
+def stored(df, tag: str):
+    """``df`` written once below the shared folder and read back: cuts lineage
+    and survives lost executors."""
+    path = shared_path(df.sparkSession, "divaug-runs", f"{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _TRACKED: list = []
 
 

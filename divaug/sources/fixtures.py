@@ -131,7 +131,7 @@ def fx_pairs(spark: SparkSession, sf_dir: str, marker_a: str = "Premise: ",
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                        F.col("text").alias("b"))
     j = u.join(a, ["conv_id", "turn"])
-    return j.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"),
+    return j.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sample_id"),
                     F.concat(F.lit(marker_a), F.col("a"), F.lit(" " + marker_b), F.col("b")).alias("text"),
                     (F.col("conv_id") % 3).cast("int").alias("label"))
 
@@ -145,23 +145,6 @@ def fx_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _pick(["A", "B", "C", "D"], F.col("item_id") % 4).alias("answerKey"))
 
 
-def fx_predictions(spark: SparkSession, sf_dir: str, splits: list[str] | None = None,
-                   seeds: list[int] | None = None, noise: float = 3.0) -> DataFrame:
-    """Evaluation logits per (split, seed, sample): last-epoch log-probabilities
-    plus noise salted by seed and split."""
-    splits = splits or ["reduced_800", "dpo_d", "el2n_top_2_3", "entropy_top_2_3",
-                        "variance_top_2_3", "ccs_aum_top_2_3"]
-    seeds = seeds or EVAL_SEEDS
-    d = fx_dynamics(spark, sf_dir).filter(F.col("epoch") == 2)
-    d = (d.withColumn("split", F.explode(F.array(*[F.lit(s) for s in splits])))
-          .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))))
-    logits = F.transform(F.col("logp"), lambda x, i: x + F.lit(noise) * h24(F.concat_ws(
-        ":", F.col("seed").cast("string"), F.col("split"), F.col("sample_id").cast("string"),
-        i.cast("string"))) / F.lit(float(2 ** 24)))
-    return d.select("split", F.col("seed").cast("int").alias("seed"), "sample_id", "label",
-                    logits.alias("logits"))
-
-
 def fx_qa_codah(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QA rows (form 2): question_propmt, candidate_answers, correct_answer_idx."""
     b = table(spark, sf_dir, "benchmark")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from divaug.operators import dynamics as D
+from divaug.sources.commits import ChangedRows
 
 LOG_SCHEMA = T.StructType([
     T.StructField("sample_id", T.LongType()), T.StructField("epoch", T.IntegerType()),
@@ -50,18 +51,16 @@ def running_forgetting(stream: DataFrame) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, stream_df: DataFrame, out_path: str, ckpt: str,
-                 mode: str) -> DataFrame:
-    """Drive a streaming query to completion (availableNow) into a parquet
-    table; complete mode overwrites, update mode appends."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(out_path)
-        else:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
-    q = (stream_df.writeStream.outputMode(mode).foreachBatch(sink)
+                 mode: str = "update") -> DataFrame:
+    """Drive a streaming query to completion (availableNow) into a table of
+    changed rows, and read its last row of each sample.  In update mode a
+    trigger writes the samples that it changed; a trigger that Spark runs again
+    after a failure finds its batch there and writes nothing."""
+    table = ChangedRows(spark, out_path)
+    q = (stream_df.writeStream.outputMode(mode).foreachBatch(lambda batch, batch_id: table.write(batch, batch_id) and None)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    return table.read()
 
 
 def latest_rows(appended: DataFrame) -> DataFrame:

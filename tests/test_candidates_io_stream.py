@@ -39,13 +39,6 @@ def test_augmented_set_counts(spark):
     assert all(lab[("paraphrase", i)] == lab[("seed", i)] for i in range(6))
 
 
-def test_materialize_reuses(spark):
-    p = shared_path(spark, "t-mat")
-    a = IO.materialize(spark.range(5), p)
-    b = IO.materialize(spark.range(100), p)
-    assert a.count() == 5 and b.count() == 5
-
-
 def test_upsert(spark):
     old = spark.createDataFrame([("m", "d", "s1", 1.0), ("m", "d", "s2", 2.0)], "metric string, row_key string, split string, value double")
     new = spark.createDataFrame([("m", "d", "s2", 9.0), ("m", "d", "s3", 3.0)], "metric string, row_key string, split string, value double")
