@@ -20,7 +20,9 @@ def _c(x) -> Column:
 
 def normalized_tokens(text) -> Column:
     """Lower-case, delete . , ? !, split on whitespace runs, drop empties."""
-    t = F.translate(F.lower(_c(text)), STRIP_CHARS, "")
+    t = F.lower(_c(text))
+    for c in STRIP_CHARS:   # byte searches; translate() looks every character up
+        t = F.replace(t, F.lit(c), F.lit(""))
     return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
 
 

@@ -162,7 +162,8 @@ def _distances(metric: str, dims: int):
             size = lambda x: np.maximum(np.sqrt((x * x).sum(1)), V.COS_EPS)
             d = -(own[of] * each).sum(1) / (size(own[of]) * size(each))
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(d, pa.float64()))
-    return run
+    # so that no filter on the result moves below it and makes the candidates again
+    return run.asNondeterministic()
 
 
 def with_distances(df: DataFrame, text_col: str, cands_col: str, name: str = "_d", metric: str = "l2", dims: int = 64) -> DataFrame:
@@ -179,7 +180,7 @@ def with_extremes(df: DataFrame, text_col: str, cands_col: str, metric: str = "l
     """G2/L4/L5, row-local: adds dis_idx, dis_text, sim_idx, sim_text, the most
     dissimilar and the most similar candidate.  Rows without a candidate go.
     No row moves and no text is fetched again."""
-    d = with_distances(df.filter(F.size(cands_col) > 0), text_col, cands_col, "_d", metric)
+    d = with_distances(df, text_col, cands_col, "_d", metric).filter(F.size("_d") > 0)
     at = lambda f: (F.array_position("_d", f("_d")) - 1).cast("int")
     d = d.withColumn(f"dis_idx{suffix}", at(F.array_max)).withColumn(f"sim_idx{suffix}", at(F.array_min))
     return (d.withColumn(f"dis_text{suffix}", F.get(cands_col, f"dis_idx{suffix}"))

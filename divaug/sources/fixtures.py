@@ -106,10 +106,11 @@ def fx_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.filter(F.split(F.col("text"), PIECE_PATTERN), lambda x: x != "")
     p = d.select("doc_id", pieces.alias("_p")).filter(F.size("_p") > 0)
     last = F.floor((F.size("_p") - 1) / GROUP_PIECES).cast("int")
-    g = p.select("doc_id", "_p", F.explode(F.sequence(F.lit(0), last)).alias("_c")).select(
-        (F.col("doc_id") * GROUP_ID_STEP + F.col("_c")).alias("group_id"),
-        F.get("_p", F.col("_c") * GROUP_PIECES).alias("text"),
-        F.slice("_p", F.col("_c") * GROUP_PIECES + 2, F.lit(GROUP_PIECES - 1)).alias("_items"))
+    # groups are cut before they become rows, so that no row carries its document
+    cut = F.transform(F.sequence(F.lit(0), last), lambda c: F.struct(
+        c.alias("c"), F.get("_p", c * GROUP_PIECES).alias("text"), F.slice("_p", c * GROUP_PIECES + 2, F.lit(GROUP_PIECES - 1)).alias("items")))
+    g = p.select("doc_id", F.explode(cut).alias("_g")).select(
+        (F.col("doc_id") * GROUP_ID_STEP + F.col("_g.c")).alias("group_id"), F.col("_g.text").alias("text"), F.col("_g.items").alias("_items"))
     plain = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
     quoted = F.array_join(F.transform("_items", lambda x: F.concat(F.lit("'"), plain(x), F.lit("'"))), ", ")
     key = F.col("group_id").cast("string")
