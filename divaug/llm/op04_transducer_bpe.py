@@ -25,6 +25,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 import uuid
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from divaug.llm.common import materialize, register, table
-from divaug.llm.vectext import code_points, run_hashes, slices
+from divaug.llm.vectext import code_points, mixed_hashes, slices
 
 LEXICON_WORDS = 131072
 LEXICON_BYTES = 24      # longer words are merged
@@ -111,7 +112,7 @@ class Words:
         self.of = np.searchsorted(at, starts, "right") - 1
         if len(at):   # an empty text shares its start with the next one
             self.of = np.searchsorted(np.cumsum(sizes), starts, "right")
-        self.hash = run_hashes(self.buffer, self.start, self.end) if len(starts) else np.zeros(0, np.uint64)
+        self.hash = mixed_hashes(self.buffer, self.start, self.end) if len(starts) else np.zeros(0, np.uint64)
 
     def word(self, i: int) -> bytes:
         return self.buffer[self.start[i]:self.end[i]].tobytes()
@@ -404,28 +405,22 @@ class Encoder:
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon = merges, lexicon
         self.lexicon_ids = lexicon.ids.astype(np.uint32)
+        # the leftmost special string, of those that start there the longest
+        names = sorted(merges.special, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.byte_size = np.fromiter((len(t) for t in merges.tokens), np.int64, len(merges.tokens))
         self.byte_at = np.concatenate(([0], np.cumsum(self.byte_size)))
         self.bytes = np.frombuffer(b"".join(merges.tokens), np.uint8)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        if not any(s in t for s in self.merges.special for t in texts):
+        if self.cut is None or not any(self.cut.search(t) for t in texts):
             return self._plain(texts)
         parts, plan = [], []
-        for t in texts:
-            mine, rest = [], t
-            while True:
-                hits = [(rest.find(s), -len(s), s) for s in self.merges.special if s in rest]
-                if not hits:
-                    break
-                at, _, s = min(hits)
-                mine += [len(parts), -1 - self.merges.special[s]]
-                parts.append(rest[:at])
-                rest = rest[at + len(s):]
-            mine.append(len(parts))
-            parts.append(rest)
-            plan.append(mine)
+        for t in texts:   # special strings stand at the odd places
+            pieces = self.cut.split(t)
+            plan.append([-1 - self.merges.special[x] if k % 2 else len(parts) + k // 2 for k, x in enumerate(pieces)])
+            parts += pieces[::2]
         ids = self._plain(parts)
         return [np.concatenate([ids[p] if p >= 0 else np.array([-1 - p], np.uint32) for p in mine]) for mine in plan]
 
@@ -436,8 +431,7 @@ class Encoder:
         at = self.lexicon.find(w)
         # unseen words of this part, merged once each
         unseen = np.flatnonzero(at < 0)
-        _, first, back = np.unique(w.hash[unseen], return_index=True, return_inverse=True)
-        first = unseen[first]
+        first, back = self._distinct(w, unseen)
         own, own_size = self.merges.encode_ranges(w.buffer, w.start[first], w.end[first] - w.start[first])
         own_at = np.cumsum(own_size) - own_size
         # one pool: the lexicon's ids, then those of the unseen words
@@ -451,6 +445,30 @@ class Encoder:
         ends = np.cumsum(np.bincount(w.of, size, len(texts)).astype(np.int64))
         return np.split(flat, ends[:-1])
 
+    @staticmethod
+    def _distinct(w: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One of each of the words ``of`` and which of them each one is.  The
+        hash only sorts: words are one where their bytes are."""
+        _, first, back = np.unique(w.hash[of], return_index=True, return_inverse=True)
+        one = of[first][back]
+        size, wanted = w.end[of] - w.start[of], w.end[one] - w.start[one]
+        same = size == wanted
+        at = np.flatnonzero(same)
+        unlike = w.buffer[gather(w.start[of[at]], size[at])] != w.buffer[gather(w.start[one[at]], size[at])]
+        wrong = np.add.reduceat(np.append(unlike, False), np.cumsum(size[at]) - size[at]) > 0 if len(at) else np.zeros(0, np.bool_)
+        same[at[wrong]] = False
+        if same.all():
+            return of[first], back
+        names = {w.word(i): k for k, i in enumerate(of[first].tolist())}
+        extra = [of[first]]
+        for k in np.flatnonzero(~same).tolist():
+            word = w.word(int(of[k]))
+            if word not in names:
+                names[word] = len(names)
+                extra.append(of[k:k + 1])
+            back[k] = names[word]
+        return np.concatenate(extra), back
+
     def decode(self, ids: np.ndarray) -> str:
         return self.bytes[gather(self.byte_at[ids], self.byte_size[ids])].tobytes().decode("utf-8", "replace")
 

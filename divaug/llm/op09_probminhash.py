@@ -1,24 +1,28 @@
 """MinHash near-duplicates by ProbMinHash (operator 9).
 
-Signature: every distinct five-word shingle of a text, however often it occurs,
-sends a Poisson process of rate 1 to registers chosen at random; a register
-keeps the earliest arrival and the shingle that sent it.  An element stops as
-soon as its next arrival is later than all registers (early termination).  Two
-registers agree with the probability Jaccard similarity of the weighted sets,
-which for these unit weights is plain Jaccard, the measure that is verified;
-so the bounds below hold for texts that repeat lines or passages, too.
+A text is the weighted set of its five-word shingles: one that occurs ``times``
+times weighs 1 + ln(times) (``weights="unit"``: 1).  The similarity of two texts
+is the probability Jaccard similarity J_P of their sets, which does not depend
+on the sets' scales and for unit weights is plain Jaccard; the signature, its
+bands, the sift and the verification all use this one measure.
+
+Signature: every shingle sends a Poisson process of the rate of its weight to
+registers chosen at random; a register keeps the earliest arrival and the
+shingle that sent it.  An element stops as soon as its next arrival is later
+than all registers (early termination).  Two registers agree with probability J_P.
 
 Banding: 128 registers in 32 bands of 4; a pair at similarity 0.8 misses all
 bands with probability 5e-8.  Texts with the same words are one node before
-banding, so copies never meet as pairs.
+banding, so copies never meet as pairs; a node is named by a cryptographic hash
+of its words themselves.
 
-Verification: the exact Jaccard similarity of the distinct shingles (as
-32-bit hashes) must be 0.8 or more.  Buckets of up to 16 nodes are compared in
+Verification: the exact J_P of the weighted sets (as 32-bit hashes with their
+counts) must be 0.8 or more.  Buckets of up to 16 nodes are compared in
 full.  In a larger bucket the node that sits in the most crowded buckets leads
 and is compared with the others.  Where a large bucket then still holds more
 than one component, the nodes outside its largest component are compared, in
 blocks of bounded size, with that component and with each other: the low bytes
-of the registers sift (a pair at 0.8 fails with probability 1e-6), the shingle
+of the registers sift (a pair at 0.8 fails with probability 1e-6), the weighted
 sets decide, and one link for each node and other component is returned.  So
 no link between components of a bucket is lost, and no bucket emits its pairs.
 
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 
 from divaug.llm.common import HashBitmap, build_bitmap, first_row, materialize, register, table
 from divaug.llm.components import connected_components
-from divaug.llm.vectext import mix64, sequence_keys, shingles, slices, word_hashes
+from divaug.llm.vectext import keyed_words, mix64, shingles, slices
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -53,10 +57,59 @@ SIFT_SIGMAS = 4.75
 FILTER_BITS = 25
 
 
-def distinct_shingles(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, 48-bit shingle)."""
-    key = np.unique((row.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
-    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
+def distinct_shingles(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, 48-bit shingle) and how often each occurs."""
+    key, times = np.unique((row.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)), return_counts=True)
+    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), times
+
+
+def weight_of(times: np.ndarray, weights: str) -> np.ndarray:
+    if weights not in ("log", "unit"):
+        raise ValueError(f"weights are 'log' or 'unit', not {weights!r}")
+    return 1.0 + np.log(times) if weights == "log" else np.ones(len(times))
+
+
+def pack_set(h: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted 32-bit shingles, then the places and counts of those that repeat."""
+    more = np.flatnonzero(times > 1)
+    return np.concatenate([[len(h)], h, more, np.minimum(times[more], (1 << 32) - 1)]).astype(np.uint32).tobytes()
+
+
+def unpack_set(data: bytes, weights: str) -> tuple[np.ndarray, np.ndarray]:
+    a = np.frombuffer(data, np.uint32)
+    n = int(a[0])
+    rest = a[n + 1:]
+    times = np.ones(n)
+    times[rest[:len(rest) // 2]] = rest[len(rest) // 2:]
+    return a[1:n + 1], weight_of(times, weights)
+
+
+def prob_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], least: float = 0.0) -> float:
+    """J_P of two weighted sets: the sum over their common elements i of
+    1 / sum_j max(x_j / x_i, y_j / y_i), by sorting the ratios x_j / y_j.  0 at
+    once where the common share of either set shows that it is below ``least``."""
+    (hx, wx), (hy, wy) = x, y
+    if not len(hx) or not len(hy):
+        return 0.0
+    at = np.minimum(np.searchsorted(hy, hx), len(hy) - 1)
+    both = hy[at] == hx
+    a, b = wx[both], wy[at[both]]
+    size_x, size_y = wx.sum(), wy.sum()
+    if a.sum() < (least - 1e-9) * size_x or b.sum() < (least - 1e-9) * size_y or not len(a):
+        return 0.0
+    ratio = a / b
+    order = np.argsort(ratio, kind="stable")
+    ratio, a, b = ratio[order], a[order], b[order]
+    below = np.searchsorted(ratio, ratio, "left")   # elements of a smaller ratio: y decides there
+    sum_a, sum_b = np.concatenate(([0.0], np.cumsum(a))), np.concatenate(([0.0], np.cumsum(b)))
+    x_part = size_x - sum_a[below]                  # with those that only x has
+    y_part = size_y - sum_b[-1] + sum_b[below]      # with those that only y has
+    return float((1.0 / (x_part / a + y_part / b)).sum())
+
+
+def alike(x: bytes | tuple, y: bytes, least: float, weights: str) -> bool:
+    x = unpack_set(x, weights) if isinstance(x, bytes) else x
+    return prob_jaccard(x, unpack_set(y, weights), least) >= least - 1e-9
 
 
 def prob_min_hash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -91,15 +144,14 @@ def band_keys(sig: np.ndarray, rows_each: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _signer(registers: int, band_rows: int, words_each: int):
+def _signer(registers: int, band_rows: int, words_each: int, weights: str = "log"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                words, counts = word_hashes(batch.column("text").to_pylist())
-                keys = sequence_keys(words, counts)
+                words, counts, keys = keyed_words(batch.column("text").to_pylist())
                 h, at = shingles(words, counts, words_each)
-                row, h = distinct_shingles(h, at)
-                sig = prob_min_hash(row, h, np.ones(len(h)), len(counts), registers)
+                row, h, times = distinct_shingles(h, at)
+                sig = prob_min_hash(row, h, weight_of(times, weights), len(counts), registers)
                 some = np.flatnonzero(counts > 0)
                 bands = band_keys(sig[some], band_rows)
                 lists = np.empty(len(counts), object)
@@ -120,19 +172,18 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _set_maker(wanted: HashBitmap, words_each: int):
-    """Sorted 32-bit shingle sets of the texts whose key may be wanted."""
+    """Sorted 32-bit shingles with counts of the texts whose key may be wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             rk = mix64(whole.column("rk").to_numpy().view(np.uint64))
             whole = whole.filter(pa.array(wanted.contains(rk)))
             for batch in slices(whole, "text"):
-                words, counts = word_hashes(batch.column("text").to_pylist())
-                keys = sequence_keys(words, counts)
+                words, counts, keys = keyed_words(batch.column("text").to_pylist())
                 h, at = shingles(words, counts, words_each)
-                key = np.unique((at.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
+                key, times = np.unique((at.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)), return_counts=True)
                 ends = np.searchsorted(key >> np.uint64(32), np.arange(len(counts)), "right")
-                low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                sets = [low[(ends[i - 1] if i else 0):ends[i]].tobytes() for i in range(len(counts))]
+                low = key & np.uint64(0xFFFFFFFF)
+                sets = [pack_set(low[a:b], times[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())],
                                                  ["node", "shingles"])
     return run
@@ -144,23 +195,23 @@ def _mix64_long(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rk)], ["h"])
 
 
-def _verifier(least: float):
+def _verifier(least: float, weights: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least)
-                    for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
+            keep = [alike(x, y, least, weights) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
     return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-                    registers: int = REGISTERS, band_rows: int = BAND_ROWS, small: int = SMALL_BUCKET) -> DataFrame:
+                    registers: int = REGISTERS, band_rows: int = BAND_ROWS, small: int = SMALL_BUCKET,
+                    weights: str = "log") -> DataFrame:
     """One row for each row of ``docs``: rk (a hash of id and text), doc_id,
     node (key of its words), class_id, links (distinct other texts in its class
     that verification linked it to), class_key (least node of the class)."""
     spark = docs.sparkSession
     base = _row_key(docs, id_col, text_col)
-    signed = materialize(base.mapInArrow(_signer(registers, band_rows, SHINGLE_WORDS),
+    signed = materialize(base.mapInArrow(_signer(registers, band_rows, SHINGLE_WORDS, weights),
                                          "rk long, doc_id long, node binary, bands array<long>, low binary"))
     nodes = signed.filter("node is not null").groupBy("node").agg(
         F.min("rk").alias("rk"), F.min("doc_id").alias("doc_id"), F.min(F.struct("rk", "bands", "low")).alias("x"))
@@ -185,12 +236,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = members.select("node").distinct()
     sets = materialize(sets.join(real, "node").groupBy("node").agg(F.min("shingles").alias("shingles")))
 
-    links = materialize(_verified(pairs, sets, similarity))
+    links = materialize(_verified(pairs, sets, similarity, weights))
     comps = connected_components(links)
     rest = _rest(big, comps)
     if first_row(rest.agg(F.count("*").alias("n")))["n"]:
         low = nodes.select("node", F.col("x.low").alias("low"))
-        links = materialize(links.unionAll(_blocks(rest, sets, low, similarity)).distinct())
+        links = materialize(links.unionAll(_blocks(rest, sets, low, similarity, weights)).distinct())
         comps = connected_components(links)
 
     degree = (links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
@@ -223,7 +274,7 @@ def _rest(big: DataFrame, comps: DataFrame) -> DataFrame:
     return materialize(outside.unionByName(inside))
 
 
-def _blocks(rest: DataFrame, sets: DataFrame, low: DataFrame, similarity: float) -> DataFrame:
+def _blocks(rest: DataFrame, sets: DataFrame, low: DataFrame, similarity: float, weights: str) -> DataFrame:
     """Links of the outside nodes, found in blocks of nodes."""
     rows = materialize(rest.join(sets, "node").join(low, "node"))
     out = F.col("component") != F.col("main")
@@ -241,10 +292,10 @@ def _blocks(rest: DataFrame, sets: DataFrame, low: DataFrame, similarity: float)
     # one key column: rows dealt by `main` alone would satisfy a grouping by the three
     cols = [F.struct("main", "block", "chunk").alias("cell"), "asks", "node", "component", "low", "shingles"]
     return (against.select(*cols).unionByName(asking.select(*cols)).groupBy("cell")
-                   .applyInArrow(_block_links(similarity), "a binary, b binary"))
+                   .applyInArrow(_block_links(similarity, weights), "a binary, b binary"))
 
 
-def _block_links(similarity: float):
+def _block_links(similarity: float, weights: str):
     def run(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False)
         x, y = group.filter(pa.array(asks)), group.filter(pa.array(~asks))
@@ -260,28 +311,19 @@ def _block_links(similarity: float):
                                            low(x), x.column("shingles").to_pylist()):
             same = (theirs == mine).sum(1)
             near = np.flatnonzero((same >= least) & (code != ids.get(comp, -1)))
-            own, done = np.frombuffer(words, np.uint32), set()
+            own, done = unpack_set(words, weights), set()
             for j in near[np.argsort(-same[near], kind="stable")].tolist():
-                if code[j] not in done and alike(own, np.frombuffer(sets[j], np.uint32), similarity):
+                if code[j] not in done and alike(own, sets[j], similarity, weights):
                     done.add(code[j])
                     found.append((min(node, names[j]), max(node, names[j])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
     return run
 
 
-def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of ``least`` or more."""
-    if min(len(x), len(y)) < least * max(len(x), len(y)) or not len(x):
-        return False
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = int((y[at] == x).sum())
-    return both >= least * (len(x) + len(y) - both)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, weights: str) -> DataFrame:
     return (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
                  .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-                 .mapInArrow(_verifier(similarity), "a binary, b binary"))
+                 .mapInArrow(_verifier(similarity, weights), "a binary, b binary"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

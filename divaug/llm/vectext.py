@@ -7,6 +7,7 @@ into bounded groups, so memory follows the group and not the Arrow batch.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,28 +107,76 @@ def _pieces(texts: list[str | None], limit: int) -> Iterator[tuple[list[int], li
 
 
 def run_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs ``cps[starts:ends]`` by prefix sums."""
+    """64-bit hashes of the runs ``cps[starts:ends]`` by prefix sums: for features
+    that may share a place.  A polynomial modulo 2**64 has known collisions;
+    what tells words apart takes ``mixed_hashes``."""
     power, inverse = _powers(len(cps) + 1)
     total = np.zeros(len(cps) + 1, np.uint64)
     np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * power[:len(cps)], out=total[1:])
     return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[str | None], limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text."""
+def _salts(n: int) -> np.ndarray:
+    """A fixed random number for each place in a run."""
+    if len(_TABLES.get("salt", ())) < n:
+        _TABLES["salt"] = mix64(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * np.uint64(BASE))
+    return _TABLES["salt"]
+
+
+def mixed_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the disjoint runs ``cps[starts:ends]``, in order: each
+    unit is mixed with its place before it is added, so no arrangement of units
+    cancels out, as it would in a polynomial modulo a power of two."""
+    size = ends - starts
+    first = np.cumsum(size) - size
+    n = int(size.sum())
+    place = np.arange(n) - np.repeat(first, size)
+    v = cps[place + np.repeat(starts, size)].astype(np.uint64)
+    v ^= _salts(int(size.max(initial=0)))[place]
+    v *= np.uint64(0xBF58476D1CE4E5B9)
+    v ^= v >> np.uint64(29)
+    v *= np.uint64(0x94D049BB133111EB)
+    v ^= v >> np.uint64(32)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(v, out=total[1:])
+    return mix64(total[first + size] - total[first] + size.astype(np.uint64) * np.uint64(BASE))
+
+
+def _words(texts: list[str | None], limit: int, keyed: bool) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
     counts = np.zeros(len(texts), np.int64)
-    parts = []
+    parts: list[np.ndarray] = []
+    digests: dict = {}
     table = alnum_table()
     for rows, pieces in _pieces(texts, limit):
-        cps = code_points("\n".join(pieces))
-        word = np.zeros(len(cps) + 2, np.int8)
-        word[1:-1] = table[cps]
+        cps = code_points("\n".join(pieces) + "\n")
+        word = np.zeros(len(cps) + 1, np.int8)
+        word[1:] = table[cps]
         edge = np.diff(word)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        parts.append(run_hashes(cps, starts, ends))
+        parts.append(mixed_hashes(cps, starts, ends))
         first = np.concatenate(([0], np.cumsum([len(p) + 1 for p in pieces])))
-        np.add.at(counts, rows, np.diff(np.searchsorted(starts, first)))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
+        here = np.diff(np.searchsorted(starts, first))
+        np.add.at(counts, rows, here)
+        if keyed:   # the words of a text, each with a line end, whatever stood between them
+            keep = (word[1:] | word[:-1]).astype(np.bool_)
+            kept = np.where(word[1:][keep], cps[keep], np.uint32(10)).astype("<u4")
+            cut = np.concatenate(([0], np.cumsum(keep)))[first]
+            for i, some, a, b in zip(rows, here.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+                if some:
+                    digests.setdefault(i, hashlib.blake2b(digest_size=16)).update(kept[a:b].tobytes())
+    keys = [digests[i].digest() if i in digests else None for i in range(len(texts))] if keyed else []
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts, keys
+
+
+def word_hashes(texts: list[str | None], limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text."""
+    return _words(texts, limit, False)[:2]
+
+
+def keyed_words(texts: list[str | None], limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """As ``word_hashes``, and a 128-bit cryptographic key of the words of each
+    text themselves (None: no words)."""
+    return _words(texts, limit, True)
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,22 +203,3 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
             extra.append(v)
         h, at = np.concatenate([h, mix64(np.array(extra, np.uint64))]), np.concatenate([at, short])
     return h, at
-
-
-def sequence_keys(words: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
-    """A 128-bit key of each text's whole word sequence (None: no words)."""
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    out: list[bytes | None] = [None] * len(counts)
-    some = np.flatnonzero(counts > 0)
-    if not len(some):
-        return out
-    power, _ = _powers(int(counts.max()) + 1)
-    within = np.arange(len(words)) - np.repeat(starts, counts)
-    a = np.add.reduceat(words * power[within], starts[some])
-    b = np.add.reduceat(mix64(words + power[within]), starts[some])
-    n = counts[some].astype(np.uint64)
-    both = np.stack([mix64(a + n), mix64(b ^ (n << np.uint64(32)))], 1)
-    for i, x in zip(some.tolist(), both):
-        out[i] = x.tobytes()
-    return out

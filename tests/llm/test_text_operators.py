@@ -142,14 +142,14 @@ def repeated_pairs(n, times):
 
 
 def test_signature_holds_for_repeated_passages():
-    """Registers that band and sift agree as often as plain Jaccard says."""
+    """With unit weights, registers that band and sift agree as often as plain Jaccard says."""
     import pyarrow as pa
 
     from divaug.llm.op09_probminhash import BAND_ROWS, REGISTERS, SHINGLE_WORDS, SIFT_SIGMAS, SIMILARITY, _signer
     least = REGISTERS * SIMILARITY - SIFT_SIGMAS * (REGISTERS * SIMILARITY * (1 - SIMILARITY)) ** 0.5
     texts = [t for p in repeated_pairs(12, 50) for t in p]
     batch = pa.RecordBatch.from_arrays([pa.array(range(24)), pa.array(range(24)), pa.array(texts)], ["rk", "doc_id", "text"])
-    low = np.array([np.frombuffer(x, np.uint8) for b in _signer(REGISTERS, BAND_ROWS, SHINGLE_WORDS)([batch]) for x in b.column("low").to_pylist()])
+    low = np.array([np.frombuffer(x, np.uint8) for b in _signer(REGISTERS, BAND_ROWS, SHINGLE_WORDS, "unit")([batch]) for x in b.column("low").to_pylist()])
     for k in range(12):
         assert jaccard(shingle_set(texts[2 * k]), shingle_set(texts[2 * k + 1])) >= 0.8
         assert (low[2 * k] == low[2 * k + 1]).sum() >= least
@@ -161,7 +161,7 @@ def test_repeated_passages_in_large_buckets(spark):
     items = {100 * k + i: t for k, p in enumerate(repeated_pairs(3, 50)) for i, t in enumerate(p)}
     for k in range(3):
         items.update({100 * k + 10 + i: vary(items[100 * k], 9000 + 20 * k + i, 0.004 * i) for i in range(1, 8)})
-    got = near_duplicates(rows(spark, items.items()), small=1).toPandas()
+    got = near_duplicates(rows(spark, items.items()), small=1, weights="unit").toPandas()
     assert dict(zip(got.doc_id, got.class_id)) == brute_classes(items)
 
 
