@@ -10,6 +10,14 @@ variance between sites (method of moments), so sparse sites stay near their
 parent.  A document's posterior combines its path's rate, as prior, with its
 own evidence; documents below one half are rejected.
 
+A document that the sites were summed over is taken out of its own host's and
+path's sums before they become its prior, so its evidence enters once, and a
+site of one document has its parent's rate.  A path that was not seen has its
+host's rate, a host that was not seen the global one.
+
+Texts are read twice: once to fit, which keeps ids, sites and bins, and once to
+judge.
+
 Degenerate input: null texts count as empty; null hosts and paths are sites of
 their own; labels that are null or of unknown documents do not count, and
 without labels every document gets the posterior of one half and stays; rows
@@ -53,15 +61,34 @@ def binned(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class SiteBayes:
-    """Fitted model: log odds for each bin (of fixed size) and a table of site
-    rates, one row for each (host, path)."""
+    """Fitted model: log odds for each bin (of fixed size), tables of the sums
+    and rates of hosts and of (host, path), the global rate and the strengths of
+    shrinkage toward it and toward a host."""
 
-    def __init__(self, odds: dict[str, list[float]], base: float, sites: DataFrame | None):
-        self.odds, self.base, self.sites = odds, base, sites
+    def __init__(self, odds: dict[str, list[float]], base: float):
+        self.odds, self.base = odds, base
+        self.rate, self.to_rate, self.to_host = base, LEAST, LEAST
+        self.sites: DataFrame | None = None
+        self.hosts: DataFrame | None = None
 
     def evidence(self) -> Column:
         return sum(F.element_at(F.array(*[F.lit(x) for x in self.odds[k]]), F.col(f"__{k}") + 1) for k in BINS)
 
+    def own(self, evidence: Column) -> Column:
+        """The document classifier's probability of being good."""
+        return _sigmoid(F.lit(_odds(self.base)) + evidence)
+
+    def prior(self, less: Column, rows: Column) -> Column:
+        """Rate of a path from its sums (a, n) and its host's (host_a, host_n),
+        without ``rows`` documents of probability ``less``; null sums: unseen."""
+        without = lambda a, n: (F.when(F.col(n).isNull(), 0.0).otherwise(F.col(a) - less),
+                                F.when(F.col(n).isNull(), 0.0).otherwise(F.col(n) - rows))
+        host_a, host_n = without("host_a", "host_n")
+        a, n = without("a", "n")
+        host = (host_a + self.to_rate * self.rate) / (host_n + self.to_rate)
+        shrunk = (a + self.to_host * host) / (n + self.to_host)
+        return F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), shrunk))
+
 
 def _odds(x: float) -> float:
     return math.log(x / (1 - x))
@@ -84,10 +111,12 @@ def _strength(rates: DataFrame, parent: Column, rate: float) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         host_col: str = "source", path_col: str = "lang") -> SiteBayes:
-    rows = binned(docs, text_col)
+    # all that the fit needs of a text, so that texts are read once here
+    rows = materialize(binned(docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"), docs[host_col].alias("host"), docs[path_col].alias("path")), "__text")
+                       .drop("__text"))
     marks = labels.select(labels[id_col].alias("__id"), (labels[label_col].cast("int") > 0).cast("int").alias("__y")).dropna()
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__{k}").alias("b")) for k in BINS])).alias("c")
-    counts = (rows.select(F.col(id_col).alias("__id"), *[f"__{k}" for k in BINS]).join(marks, "__id")
+    counts = (rows.select("__id", *[f"__{k}" for k in BINS]).join(marks, "__id")
                   .select("__y", cells).groupBy("c.k", "c.b", "__y").agg(F.count("*").alias("n")).collect())  # one row for each bin and label
     n = {(r["k"], r["b"], r["__y"]): r["n"] for r in counts}
     total = {y: sum(v for (k, _, z), v in n.items() if k == "up" and z == y) for y in (0, 1)}
@@ -96,30 +125,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 - math.log((n.get((k, b, 0), 0) + 0.5) / (total[0] + 0.5 * (len(BINS[k]) + 1)))
                 for b in range(len(BINS[k]) + 1)] for k in BINS}
     base = (total[1] + 1) / (sum(total.values()) + 2)
-    model = SiteBayes(odds, base, None)
-    p = _sigmoid(F.lit(_odds(base)) + model.evidence())
-    paths = materialize(rows.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), p.alias("p"))
-                        .groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("a")))
+    model = SiteBayes(odds, base)
+    # rows of a site with the same bins have the same evidence: counts first
+    cells = rows.groupBy("host", "path", *[f"__{k}" for k in BINS]).agg(F.count("*").alias("n"))
+    paths = materialize(cells.select("host", "path", "n", (F.col("n") * model.own(model.evidence())).alias("a"))
+                        .groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("a").alias("a")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
     whole = first_row(hosts.agg(F.sum("n").alias("n"), F.sum("a").alias("a")))
-    rate = whole["a"] / whole["n"] if whole["n"] else base
-    k1 = _strength(hosts, F.lit(rate), rate)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("a") + k1 * rate) / (F.col("n") + k1)).alias("host_rate"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    k2 = _strength(paths, F.col("host_rate"), rate)
-    shrunk = (F.col("a") + k2 * F.col("host_rate")) / (F.col("n") + k2)
-    model.sites = materialize(paths.select("host", "path", F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), shrunk)).alias("site_rate")))
+    model.rate = whole["a"] / whole["n"] if whole["n"] else base
+    model.to_rate = _strength(hosts, F.lit(model.rate), model.rate)
+    model.hosts = materialize(hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("a").alias("host_a")))
+    paths = paths.join(model.hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    rate = (F.col("host_a") + model.to_rate * model.rate) / (F.col("host_n") + model.to_rate)
+    model.to_host = _strength(paths, rate, model.rate)
+    model.sites = materialize(paths.withColumn("site_rate", model.prior(F.lit(0.0), F.lit(0))))
     return model
 
 
-def judge(docs: DataFrame, model: SiteBayes, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """``docs`` with evidence, site_rate and posterior (of being good)."""
+def judge(docs: DataFrame, model: SiteBayes, text_col: str = "text", host_col: str = "source", path_col: str = "lang",
+          fitted: bool = True) -> DataFrame:
+    """``docs`` with evidence, site_rate and posterior (of being good).
+    ``fitted``: these are the documents that the model was fitted on."""
     cols = [c for c in docs.columns if c not in ("evidence", "site_rate", "posterior")]
-    sites = model.sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("site_rate").alias("__r"))
-    rows = binned(docs, text_col).withColumn("__e", model.evidence())
-    rows = rows.join(sites, F.col(host_col).eqNullSafe(F.col("__h")) & F.col(path_col).eqNullSafe(F.col("__p")))
+    plain = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(cols)], docs[text_col].alias("__text"),
+                        docs[host_col].alias("__host"), docs[path_col].alias("__path"))
+    rows = binned(plain, "__text").withColumn("__e", model.evidence()).drop("__text")
+    sites = model.sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "n", "a")
+    hosts = model.hosts.select(F.col("h").alias("__g"), "host_n", "host_a")
+    rows = rows.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
+    rows = rows.join(hosts, F.col("__host").eqNullSafe(F.col("__g")), "left")
+    r = model.prior(model.own(F.col("__e")), F.lit(1)) if fitted else model.prior(F.lit(0.0), F.lit(0))
+    rows = rows.withColumn("__r", r)
     posterior = _sigmoid(F.log(F.col("__r") / (F.lit(1.0) - F.col("__r"))) + F.col("__e"))
-    return rows.select(*cols, F.col("__e").alias("evidence"), F.col("__r").alias("site_rate"), posterior.alias("posterior"))
+    return rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(cols)], F.col("__e").alias("evidence"),
+                       F.col("__r").alias("site_rate"), posterior.alias("posterior"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,14 +199,16 @@ whole AS (SELECT sum(a) / sum(n) AS r, sum(n) AS n FROM hosts),
 k1 AS (SELECT least({MOST}, greatest({LEAST}, any_value(r) * (1 - any_value(r))
     / greatest(sum(h.n * pow(h.a / h.n - r, 2)) / any_value(w.n) - any_value(r) * (1 - any_value(r)) * count(*) / any_value(w.n), 1e-6) - 1)) AS k
   FROM hosts h, whole w),
-host_rate AS (SELECT source, (a + k * r) / (h.n + k) AS hr FROM hosts h, whole w, k1),
-p2 AS (SELECT p.*, hr FROM paths p JOIN host_rate h ON p.source IS NOT DISTINCT FROM h.source),
+host_rate AS (SELECT source, h.a AS ha, h.n AS hn, (a + k * r) / (h.n + k) AS hr FROM hosts h, whole w, k1),
+p2 AS (SELECT p.*, ha, hn, hr FROM paths p JOIN host_rate h ON p.source IS NOT DISTINCT FROM h.source),
 k2 AS (SELECT least({MOST}, greatest({LEAST}, any_value(r) * (1 - any_value(r))
     / greatest(sum(p.n * pow(p.a / p.n - hr, 2)) / any_value(w.n) - any_value(r) * (1 - any_value(r)) * count(*) / any_value(w.n), 1e-6) - 1)) AS k
   FROM p2 p, whole w),
-site AS (SELECT source, lang, greatest({EDGE}, least(1 - {EDGE}, (a + k * hr) / (n + k))) AS sr FROM p2, k2),
-post AS (SELECT doc_id, ev, sr, 1 / (1 + exp(-(ln(sr / (1 - sr)) + ev))) AS p FROM e
-  JOIN site ON e.source IS NOT DISTINCT FROM site.source AND e.lang IS NOT DISTINCT FROM site.lang)
+own AS (SELECT e.*, 1 / (1 + exp(-(ln(b / (1 - b)) + ev))) AS q FROM e, base),
+site AS (SELECT doc_id, ev, greatest({EDGE}, least(1 - {EDGE},
+    (p.a - q + k2.k * ((ha - q + k1.k * r) / (hn - 1 + k1.k))) / (p.n - 1 + k2.k))) AS sr
+  FROM own o JOIN p2 p ON o.source IS NOT DISTINCT FROM p.source AND o.lang IS NOT DISTINCT FROM p.lang CROSS JOIN k1 CROSS JOIN k2 CROSS JOIN whole),
+post AS (SELECT doc_id, ev, sr, 1 / (1 + exp(-(ln(sr / (1 - sr)) + ev))) AS p FROM site)
 SELECT doc_id, round(ev, 6) AS evidence, round(sr, 6) AS site_rate, round(p, 6) AS posterior, (p >= {THRESHOLD})::INT AS kept FROM post
 """
 

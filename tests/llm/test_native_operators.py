@@ -258,3 +258,42 @@ def test_sites_shrink(spark):
     labels = docs.selectExpr("doc_id", "cast(text like 'Some%' as int) as quality")
     r = {(x.host, x.path): x.site_rate for x in fit(docs, labels).sites.collect()}
     assert r["junk", "en"] < 0.2 < 0.8 < r["big", "en"] and r["big", "fr"] > r["junk", "en"]
+
+
+def test_own_evidence_enters_once(spark):
+    """With one document for each site, a prior knows nothing of its document."""
+    from divaug.llm.op05_site_bayes import fit, judge
+    good, bad = "Some plain words of a text that goes on and on about things. ", "BAD!! WORDS!! $$$ *** "
+    items = [(i, bad if i % 4 == 0 else good, "en", f"h{i}") for i in range(300)]
+    docs = spark.createDataFrame(items, "doc_id long, text string, lang string, source string")
+    labels = docs.selectExpr("doc_id", "cast(text like 'Some%' as int) as quality")
+    rates = {(x.evidence > 0): x.site_rate for x in judge(docs, fit(docs, labels)).collect()}
+    assert abs(rates[True] - rates[False]) < 1e-9
+
+
+def test_documents_of_unseen_sites_are_judged(spark):
+    from divaug.llm.op05_site_bayes import fit, judge
+    good, bad = "Some plain words of a text that goes on and on about things. ", "BAD!! WORDS!! $$$ *** "
+    items = [(i, bad if i % 10 == 0 else good, "en", "big") for i in range(300)] + [(1000 + i, bad, "en", "junk") for i in range(100)]
+    schema = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(items, schema)
+    model = fit(docs, docs.selectExpr("doc_id", "cast(text like 'Some%' as int) as quality"))
+    new = spark.createDataFrame([(1, good, "en", "big"), (2, good, "fr", "big"), (3, good, "fr", "junk"), (4, good, "xx", "new"), (5, bad, None, None)], schema)
+    r = {x.doc_id: x.site_rate for x in judge(new, model, fitted=False).collect()}
+    assert len(r) == 5
+    assert r[1] > r[4] > r[3] and r[2] > r[4]      # path, host, global
+    assert abs(r[4] - model.rate) < 1e-9 and abs(r[5] - model.rate) < 1e-9
+
+
+def test_quality_on_held_out_labels(spark):
+    """Fitted without a third of the labels: good documents stay, bad ones mostly go."""
+    from pyspark.sql import functions as F
+
+    from divaug.llm.op05_site_bayes import fit, judge
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    got = judge(docs, fit(docs, labels.filter(~out))).join(labels.filter(out), "doc_id").select("quality", (F.col("posterior") >= 0.5).alias("kept")).collect()
+    good, bad = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
+    print(len(good), sum(good), len(bad), sum(bad))
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.3 * len(bad)
