@@ -11,11 +11,15 @@ keys keep their prefix, secrets (a label in any case, then a value of 8 or more
 characters up to white space, a quote or an angle bracket) their label; a titled name gets a name of the
 title's gender and of its own script (Latin or Cyrillic) with as many words.
 
-One entity gets one surrogate in the whole corpus (coreference; e-mail
-addresses ignore case).  Collision check: a surrogate claimed by two entities,
-or equal to an entity that occurs, is given to the least claimant only (none,
-if it occurs) and the others draw again, until all are distinct.  Only entities
-that had to draw again are joined back to texts; the rest is computed in place.
+One entity gets one surrogate in the whole corpus (coreference): e-mail
+addresses ignore case, telephone and card numbers are their digits, names their
+title and words; each mention shows the surrogate in its own spelling.
+Collision check: a surrogate claimed by two entities, or equal to an entity that
+occurs, is given to the least claimant only (none, if it occurs) and the others
+draw again, among surrogates that nobody drew before, until all are distinct.
+After some attempts names, local parts and secrets get longer, so their spaces
+never run out.  A round writes the losers' new draws only; only entities that
+had to draw again are joined back to texts, the rest is computed in place.
 
 Degenerate input: null and empty texts stay as they are; texts without an
 entity are unchanged; repeated rows and entities get equal surrogates; an
@@ -24,6 +28,8 @@ empty table gives an empty result; other columns stay as they are.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +65,9 @@ ANY = "(?u)" + "|".join(
     p.replace("([ -]?)", "(?<gap>[ -]?)").replace(r"\1", r"\k<gap>") for p in PATTERNS.values())
 # Cheap test before the pattern: every entity has one of these.
 HINT = r"[@0-9]|(?:Mr|Ms|Herr|Frau|Monsieur|Madame|Señor|Г-)|AKIA|" + LABELS
-GROWS_AFTER = 8   # attempts after which the surrogate of a secret gets longer
+GROWS_AFTER = 4   # attempts after which surrogates of names, local parts and secrets get longer
+# Country codes of one and two digits; the others have three.
+COUNTRY = r"^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def kind_of(value: Column) -> Column:
@@ -73,7 +81,21 @@ def kind_of(value: Column) -> Column:
 
 
 def normal_form(value: Column, kind: Column) -> Column:
-    return F.when(kind == "email", F.lower(value)).otherwise(value)
+    digits = F.regexp_replace(value, r"\D", "")
+    return (F.when(kind == "email", F.lower(value)).when(kind == "phone", F.concat(F.lit("+"), digits)).when(kind == "card", digits)
+             .when(kind == "name", F.regexp_replace(value, r"^(\S+?)\.? ", "$1 ")).otherwise(value))
+
+
+def digest(*parts: Column) -> Column:
+    """60 bits of a cryptographic digest of the parts, each with its length."""
+    whole = F.concat(*[x for p in parts for x in (F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string"))])
+    return F.conv(F.substring(F.sha2(whole, 256), 1, 15), 16, 10).cast("long")
+
+
+def _poured(value: Column, digits: Column) -> Column:
+    """``value`` with its digits replaced, in order, by ``digits``."""
+    before = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), r"\D", ""))
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.between("0", "9"), F.substr(digits, before(i), F.lit(1))).otherwise(c)), "")
 
 
 def _draw(seed: Column, at: Column, below: int) -> Column:
@@ -104,8 +126,7 @@ def _secret(value: Column, seed: Column, attempt: Column) -> Column:
     chars = F.split(_hex_shaped(value, seed), "")
     other = lambda c, i: F.when((c > "\x7f") & c.rlike(r"[\p{L}\p{M}\p{N}]"),
                                 F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (_draw(seed, i, 26) + 1).cast("int"), F.lit(1))).otherwise(c)
-    more = F.when(attempt > GROWS_AFTER, F.substring(F.lower(F.hex(seed)), F.lit(1), attempt - GROWS_AFTER)).otherwise("")
-    return F.concat(F.array_join(F.transform(chars, other), ""), more)
+    return F.concat(F.array_join(F.transform(chars, other), ""), _longer(seed, attempt))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -117,26 +138,30 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(value: Column, seed: Column) -> Column:
-    first = F.substring(value, 1, 1)
-    body = F.concat(first, _shaped(F.substring(value, 2, 1 << 20), seed))
-    bare = F.regexp_replace(body, r"\D", "")
-    base = F.concat(F.substring(bare, 1, 15), F.lit("0"))
+    own = F.regexp_replace(value, r"\D", "")
+    drawn = F.concat(F.substring(own, 1, 1), _shaped(F.substring(own, 2, 1 << 20), seed))
+    base = F.concat(F.substring(drawn, 1, 15), F.lit("0"))
     check = F.pmod(F.lit(10) - luhn_sum(base) % 10, F.lit(10)).cast("string")
-    valid = luhn_sum(F.regexp_replace(value, r"\D", "")) % 10 == 0
-    return F.when(valid, F.concat(body.substr(F.lit(1), F.length(body) - 1), check)).otherwise(body)
+    return _poured(value, F.when(luhn_sum(own) % 10 == 0, F.concat(F.substring(drawn, 1, 15), check)).otherwise(drawn))
 
 
 def _phone(value: Column, seed: Column) -> Column:
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ (-])|^\+\d", 0)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    lead = F.regexp_extract(rest, r"^\D*", 0)
+    own = F.regexp_replace(value, r"\D", "")
+    code = F.regexp_extract(own, COUNTRY, 0)
     area = (_draw(seed, F.lit(-1), 8) + 2).cast("string")   # an area code starts with 2 to 9
-    return F.concat(code, lead, area, _shaped(rest.substr(F.length(lead) + 2, F.length(rest)), seed))
+    return _poured(value, F.concat(code, area, _shaped(F.substr(own, F.length(code) + 2), seed)))
+
+
+def _longer(seed: Column, attempt: Column) -> Column:
+    """Letters and digits that later attempts add; more than are left of one
+    digest come from the next."""
+    n = attempt - GROWS_AFTER
+    return F.when(n > 0, F.substr(F.lower(F.concat(F.hex(seed), F.hex(F.xxhash64(seed)), F.hex(F.xxhash64(seed, seed)))), F.lit(1), n)).otherwise("")
 
 
-def _email(value: Column, seed: Column) -> Column:
+def _email(value: Column, seed: Column, attempt: Column) -> Column:
     local = F.substring_index(value, "@", 1)
-    return F.concat(_shaped(local, seed), F.lit("@m"), (_draw(seed, F.lit(-2), 9000) + 1000).cast("string"),
+    return F.concat(_shaped(local, seed), _longer(seed, attempt), F.lit("@m"), (_draw(seed, F.lit(-2), 9000) + 1000).cast("string"),
                     F.lit("." + RESERVED_HOST))
 
 
@@ -145,15 +170,16 @@ def _ip(seed: Column) -> Column:
     return F.concat_ws(".", octet(-3), octet(-4), octet(-5), octet(-6))
 
 
-def _name(value: Column, seed: Column) -> Column:
+def _name(value: Column, seed: Column, attempt: Column) -> Column:
     title = F.regexp_extract(value, r"^\S+ ", 0)
     words = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
     gender = F.when(value.rlike(FEMALE), "female").otherwise("male")
 
     def made(script: str) -> Column:
         part = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (_draw(seed, i, len(names)) + 1).cast("int"))
-        word = lambda w, i: F.concat(part(ONSETS[script], i * 8), part(MIDDLES[script], i * 8 + 1),
-                                     part(MIDDLES[script], i * 8 + 2), part(MIDDLES[script], i * 8 + 3),
+        middles = F.sequence(F.lit(1), F.lit(3) + F.greatest(F.lit(0), attempt - GROWS_AFTER))
+        word = lambda w, i: F.concat(part(ONSETS[script], i * 64),
+                                     F.array_join(F.transform(middles, lambda k: part(MIDDLES[script], i * 64 + k)), ""),
                                      F.when(gender == "female", ENDS[script]["female"]).otherwise(ENDS[script]["male"]))
         return F.array_join(F.transform(words, word), " ")
     return F.concat(title, F.when(value.rlike(r"[Ѐ-ӿ]\S*$"), made("cyrillic")).otherwise(made("latin")))
@@ -162,13 +188,13 @@ def _name(value: Column, seed: Column) -> Column:
 def surrogate(value: Column, key: str, attempt: Column) -> Column:
     """The surrogate that an entity draws on an attempt."""
     kind = kind_of(value)
-    seed = F.xxhash64(F.lit(key), kind, normal_form(value, kind), attempt)
+    seed = digest(F.lit(key), kind, normal_form(value, kind), attempt)
     label = F.regexp_extract(value, "^" + LABELS + GIVES, 0)
-    own = F.when(kind == "email", _email(F.lower(value), seed))
+    own = F.when(kind == "email", _email(F.lower(value), seed, attempt))
     own = own.when(kind == "access", F.concat(F.lit("AKIA"), _shaped(F.substring(value, 5, 16), seed)))
     own = own.when(kind == "secret", F.concat(label, _secret(F.substring(value, F.length(label) + 1, F.length(value)), seed, attempt)))
     own = own.when(kind == "ip", _ip(seed)).when(kind == "phone", _phone(value, seed))
-    return own.when(kind == "card", _card(value, seed)).otherwise(_name(value, seed))
+    return own.when(kind == "card", _card(value, seed)).otherwise(_name(value, seed, attempt))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -178,53 +204,55 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(value).select(normal_form(F.col("v"), kind_of(F.col("v"))).alias("value")).distinct()
 
 
-def redraws(found: DataFrame, key: str, max_rounds: int = 40) -> DataFrame | None:
-    """(value, surrogate) of the entities whose first draw was not theirs to
-    keep; None when there are none.  ``found`` is written once; each round
-    looks only for surrogates claimed twice or equal to an entity."""
+def redraws(found: DataFrame, key: str, max_rounds: int = 60) -> DataFrame | None:
+    """(value, attempt) of the entities whose first draw was not theirs to
+    keep; None when there are none.  A round draws for the losers of the last
+    one and compares with the entities, with all that was drawn before, and
+    among themselves; what others have is not written again."""
     found = materialize(found)
-    now = materialize(found.select("value", surrogate(F.col("value"), key, F.lit(0)).alias("s"), F.lit(0).alias("attempt")))
-    again = None
+    real = found.select(F.col("value").alias("s"))
+    drawn = [materialize(found.select("value", surrogate(F.col("value"), key, F.lit(0)).alias("s")))]
+    won: list[DataFrame] = []
     for attempt in range(1, max_rounds + 1):
-        real = found.select(F.col("value").alias("s"), F.lit(True).alias("occurs"))
-        # an older claim stands before a newer one
-        owner = now.groupBy("s").agg(F.min(F.struct("attempt", "value")).alias("o"), F.count("*").alias("n"))
-        bad = (owner.join(real, "s", "left").filter((F.col("n") > 1) | F.col("occurs").isNotNull())
-                    .select("s", F.col("o.value").alias("owner"), F.coalesce("occurs", F.lit(False)).alias("occurs")))
-        lost = materialize(now.join(bad, "s").filter(F.col("occurs") | (F.col("value") != F.col("owner"))).select("value"))
+        now = drawn[-1]
+        taken = functools.reduce(DataFrame.unionByName, [real, *[d.select("s") for d in drawn[:-1]]])
+        mine = now.groupBy("s").agg(F.min("value").alias("value"))   # of equal claims the least entity's
+        kept = mine.join(taken.distinct(), "s", "left_anti")
+        lost = materialize(now.join(kept.select("value"), "value", "left_anti").select("value"))
+        if attempt > 1:
+            won.append(now.join(lost, "value", "left_anti").select("value", F.lit(attempt - 1).alias("attempt")))
         if first_row(lost.agg(F.count("*").alias("n")))["n"] == 0:
-            return again
-        fresh = lost.select("value", surrogate(F.col("value"), key, F.lit(attempt)).alias("s"), F.lit(attempt).alias("attempt"))
-        now = materialize(now.join(lost, "value", "left_anti").unionByName(fresh))
-        again = now.filter("attempt > 0").select("value", F.col("s").alias("surrogate"))
+            return functools.reduce(DataFrame.unionByName, won) if won else None
+        drawn.append(materialize(lost.select("value", surrogate(F.col("value"), key, F.lit(attempt)).alias("s"))))
     raise RuntimeError("surrogates stay ambiguous: the format has too few values")
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text_col`` and a column n_entities."""
+    """``docs`` with surrogates in ``text_col`` and a column n_entities (in
+    place of one that ``docs`` has)."""
     again = redraws(entities(docs, text_col), key)
-    text = docs[text_col].cast("string")
-    cols = docs.columns
-    hit = F.coalesce(text.rlike(HINT), F.lit(False))
-    matches = F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    cols = [c for c in docs.columns if c != "n_entities" or c == text_col]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(cols)], docs[text_col].cast("string").alias("__text"))
+    hit = F.coalesce(F.col("__text").rlike(HINT), F.lit(False))
+    rows = rows.withColumn("__m", F.when(hit, F.regexp_extract_all("__text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     n = F.size("__m")
-    rows = docs.withColumn("__m", matches).withColumn("__s", F.transform("__m", lambda v: surrogate(v, key, F.lit(0))))
+    norm = lambda v: normal_form(v, kind_of(v))
+    attempt = lambda v: F.lit(0)
     if again is not None:
         again = materialize(again)
-        norm = lambda v: normal_form(v, kind_of(v))
-        # texts with an entity that drew again, once each; only texts with entities are shuffled
-        hits = rows.filter(n > 0).withColumn("__t", text)
-        parts = hits.select("__t", "__m").distinct().select("__t", F.explode(F.array_distinct(F.transform("__m", norm))).alias("value"))
-        special = parts.join(again, "value").groupBy("__t").agg(
-            F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__again"))
-        drawn = F.zip_with("__m", "__s", lambda v, s: F.coalesce(F.try_element_at("__again", norm(v)), s))
-        fixed = hits.join(special, "__t", "left").withColumn("__s", F.when(F.col("__again").isNull(), F.col("__s")).otherwise(drawn))
-        rows = rows.filter(n == 0).unionByName(fixed.drop("__t", "__again"))
-        text = F.col(text_col).cast("string")
-    pieces = F.split(text, ANY, -1)
-    new = F.when(n == 0, text).otherwise(F.array_join(
+        # texts with an entity that drew again, by a digest and once each; only
+        # texts with entities are shuffled
+        hits = rows.filter(n > 0).withColumn("__t", F.unhex(F.sha2("__text", 256)))
+        parts = hits.select("__t", "__m").dropDuplicates(["__t"]).select("__t", F.explode(F.array_distinct(F.transform("__m", norm))).alias("value"))
+        special = parts.join(again, "value").groupBy("__t").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("__again"))
+        rows = (rows.filter(n == 0).withColumn("__again", F.lit(None).cast("map<string,int>"))
+                    .unionByName(hits.join(special, "__t", "left").drop("__t")))
+        attempt = lambda v: F.coalesce(F.try_element_at("__again", norm(v)), F.lit(0))
+    rows = rows.withColumn("__s", F.transform("__m", lambda v: surrogate(v, key, attempt(v))))
+    pieces = F.split("__text", ANY, -1)
+    new = F.when(n == 0, F.col("__text")).otherwise(F.array_join(
         F.zip_with(pieces, F.concat("__s", F.array(F.lit(""))), lambda p, s: F.concat(p, s)), ""))
-    return rows.select(*[(new if c == text_col else F.col(c)).alias(c) for c in cols], n.alias("n_entities"))
+    return rows.select(*[(new if c == text_col else F.col(f"__c{i}")).alias(c) for i, c in enumerate(cols)], n.alias("n_entities"))
 
 
 @register("op3_surrogates")

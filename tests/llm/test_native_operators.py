@@ -297,3 +297,35 @@ def test_quality_on_held_out_labels(spark):
     good, bad = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
     print(len(good), sum(good), len(bad), sum(bad))
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.3 * len(bad)
+
+
+def test_spellings_of_one_entity_share_a_surrogate(spark):
+    from divaug.llm.op03_surrogates import replace
+    texts = ["+49 151 234 5678 | +49-151-234-5678 | +491512345678", "4111 1111 1111 1111 | 4111-1111-1111-1111 | 4111111111111111",
+             "Mr Smith | Mr. Smith | Mr Jones", "+351 912 345 678 | +1 (988) 555-2485 | +1 988 555 2485"]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_entities int")
+    out = {r.doc_id: (r.text.split(" | "), r.n_entities) for r in replace(docs, "k").collect()}
+    digits = lambda t: re.sub(r"\D", "", t)
+    (a, b, c), n = out[0]
+    assert n == 3 and digits(a) == digits(b) == digits(c) != digits(texts[0].split(" | ")[0])
+    assert re.fullmatch(r"\+49 [2-9]\d\d \d{3} \d{4}", a) and re.fullmatch(r"\+49-\d{3}-\d{3}-\d{4}", b) and re.fullmatch(r"\+49\d{10}", c)
+    (a, b, c), n = out[1]
+    assert n == 3 and digits(a) == digits(b) == c != "4" + "1" * 15 and c[0] == "4" and a.count(" ") == b.count("-") == 3
+    (a, b, c), n = out[2]
+    assert n == 3 and a.split(" ")[1] == b.split(" ")[1] != c.split(" ")[1] and a.startswith("Mr ") and b.startswith("Mr. ")
+    (a, b, c), n = out[3]
+    assert n == 3 and a.startswith("+351 ") and b.startswith("+1 (") and digits(b) == digits(c)
+
+
+def test_more_names_than_first_draws_have(spark, monkeypatch):
+    """The space of short names runs out; longer ones are drawn."""
+    import divaug.llm.op03_surrogates as op
+    for part in (op.ONSETS, op.MIDDLES):
+        monkeypatch.setitem(part, "latin", part["latin"][:3])   # 81 short names for a title
+    names = sorted({f"Mr {a}{b}{c}" for a in ("An", "Be", "Ce", "Di", "Eb", "Fo") for b in ("na", "ta", "po", "lu", "xi", "ra") for c in ("m", "n", "s", "t", "z")})
+    docs = spark.createDataFrame([(i, f"{x} met {names[i - 1]}") for i, x in enumerate(names)] + [(1000, names[7].replace("Mr", "Mr."))], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in op.replace(docs, "k").collect()}
+    new = {x: out[i].split(" met ")[0] for i, x in enumerate(names)}
+    assert len(set(new.values())) == len(names) == 180 and not set(new.values()) & set(names)
+    assert all(out[i] == f"{new[x]} met {new[names[i - 1]]}" for i, x in enumerate(names))
+    assert out[1000] == new[names[7]].replace("Mr ", "Mr. ")
