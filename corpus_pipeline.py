@@ -38,10 +38,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets get surrogates; n_chars follows the text."""
     prepare(spark)
-    out = op03_surrogates.replace(docs, PII_KEY)
+    # a column n_entities of the documents is not the operator's
+    out = op03_surrogates.replace(docs.withColumnRenamed("n_entities", "__own"), PII_KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col("__own").alias(c) if c == "n_entities" else c for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
