@@ -49,17 +49,6 @@ def hashed_bucket(token, dims: int = 64) -> Column:
     return (h24(token) % dims).cast("int")
 
 
-def parse_list_literal(s) -> Column:
-    """L1: a Python list literal of strings -> ARRAY<STRING>; NULL if malformed.
-
-    Handles single/double quotes and backslash escapes of quotes and
-    backslashes natively.
-    """
-    opts = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true",
-            "mode": "PERMISSIVE"}
-    return F.from_json(_c(s), "array<string>", opts)
-
-
 def split_pair(text, markers=NLI_MARKERS) -> Column:
     """G3/G4: 'A: a B: b' -> struct(a, b); NULL fields when a marker is missing."""
     t = _c(text)

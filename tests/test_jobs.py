@@ -72,3 +72,62 @@ def test_augment_follows_the_dataset_schema(spark):
     bad = pairs.withColumn("sample_id", F.col("sample_id") * 2)
     with pytest.raises(Exception, match="no pair markers in text of 2"):
         J.augment(bands(bad), "variance", out + "-bad", dataset="mnli")
+
+
+def _vectors(spark, splits):
+    rows = [(s, k % 2, i * 100 + k, [float(k % 2) + 0.1 * (k % 5), 1.0 - k % 2]) for i, s in enumerate(splits) for k in range(20)]
+    return spark.createDataFrame(rows, "split string, label int, sample_id long, vec array<double>")
+
+
+def test_evaluation_matrix_has_summary_rows_and_fixed_columns(spark):
+    v = _vectors(spark, ["variance_top_2_3", "reduced_800"])
+    cells = J.evaluate(v, v.drop("split"), seeds=[37, 38, 39])
+    m = J.evaluation_matrix(cells)
+    assert m.columns == ["row_key", "reduced_800", "variance_top_2_3"]
+    rows = m.collect()
+    assert [r.row_key for r in rows] == ["37", "38", "39", "avg", "std"]
+    assert all(r.reduced_800 == 1.0 for r in rows[:4]) and rows[4].reduced_800 == 0.0
+
+
+def test_evaluation_checks_its_splits_and_caps_its_test_rows(spark):
+    import pytest
+    v = _vectors(spark, ["reduced_800"])
+    with pytest.raises(ValueError, match="no rows of split dpo_d, sft_d"):
+        J.evaluate(v, v, seeds=[37], used=["sft_d", "reduced_800", "dpo_d"])
+    wrong = v.withColumn("label", F.when(F.col("sample_id") < 5, F.col("label")).otherwise(1 - F.col("label")))
+    first = J.evaluate(v, wrong.drop("split"), seeds=[37], max_test=5).collect()
+    assert [c.value for c in first] == [1.0]
+    assert J.evaluate(v, wrong.drop("split"), seeds=[37]).first().value == 0.25
+
+
+def test_coresets_of_the_reduction_and_of_all_rows(spark):
+    out = shared_path(spark, "reduce-" + uuid.uuid4().hex)
+    texts = FX.fx_text(spark, SF).select("sample_id", "text", "label")
+    log = FX.fx_dynamics(spark, SF, vecs=FX.fx_doc_vec(spark, SF))
+    some = J.select_coresets(log, texts, out, sizes=(60, 40))
+    ids = {r.sample_id for r in some["reduced"].filter("split = 'reduced_60'").select("sample_id").collect()}
+    assert len(ids) == 60 and {r.sample_id for r in some["coresets"].select("sample_id").collect()} <= ids
+    every = J.select_coresets(log, texts, out, sizes=(60, 40), reduce=False)
+    assert some["scores"].count() == 60 and every["scores"].count() == texts.count()
+    names = {r.split for r in every["coresets"].select("split").distinct().collect()}
+    assert names and all(x.startswith("full_coreset_") for x in names)
+
+
+def test_training_run(spark):
+    import pytest
+
+    from divaug.operators import training as TR
+    from divaug.sources.commits import EpochLog
+    v = _vectors(spark, ["a", "b", "c"]).select("sample_id", "label", "vec")
+    odd = spark.createDataFrame([(None, 1, [0.0, 1.0]), (9000, None, [0.0, 1.0]), (9001, 1, None)], v.schema)
+    log = EpochLog(spark, shared_path(spark, "run-" + uuid.uuid4().hex))
+    models = TR.train_log(v.unionByName(odd), log, seed=1, epochs=4, batches=3)
+    assert len(models) == 4 and log.finished() == [0, 1, 2, 3]
+    loss = {r.epoch: r.loss for r in log.read().groupBy("epoch").agg(F.avg(-F.element_at("logp", F.col("label") + 1)).alias("loss")).collect()}
+    assert loss[3] < loss[2] < loss[1] < loss[0] < 0.69
+    assert log.read([0]).count() == 60
+    again = EpochLog(spark, shared_path(spark, "run-" + uuid.uuid4().hex))
+    assert all(abs(a - b).max() < 1e-9 for a, b in zip(models, TR.train_log(v.repartition(5), again, seed=1, epochs=4, batches=3)))
+    for bad, why in ((spark.createDataFrame([(1, 0, [1.0])], v.schema), "has not 2 dimensions"), (spark.createDataFrame([(1, -1, [1.0, 0.0])], v.schema), "is none of")):
+        with pytest.raises(Exception, match=why):
+            TR.train_log(v.unionByName(bad), EpochLog(spark, shared_path(spark, "bad-" + uuid.uuid4().hex)), batches=1)
