@@ -108,11 +108,12 @@ def test_registers_agree_with_probability_jaccard():
 
 # ---- classes -----------------------------------------------------------------------
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_classes_of_texts_that_repeat_passages(spark, small):
+def test_classes_of_texts_that_repeat_passages(spark):
+    """With buckets of one as large ones: leaders, blocks and the sift decide."""
+    small = 1
     r = random.Random(small)
     items = {}
-    for g in range(4):
+    for g in range(3):
         w = text(r, 150)
         items[100 * g] = " ".join(w)
         for k in range(1, 8):
