@@ -1,4 +1,6 @@
 
+from pyspark.sql import functions as F
+
 from divaug.operators import candidates as CD
 from divaug.sources import io as IO
 from divaug.session import shared_path
@@ -102,3 +104,16 @@ def test_streams_equal_batch_on_repeated_steps(spark):
     for r in ST.running_scores(log).collect():
         b = batch[r.sample_id]
         assert r.correctness == b.correctness and abs(r.accumulated_margin - b.accumulated_margin) < 1e-12
+
+
+def test_fan_out_cuts_a_text_once(spark):
+    """No filter below the explode makes the candidates (and the tokens, once for each token) again."""
+    df = spark.range(2).select(F.col("id").alias("sample_id"), F.when(F.col("id") == 0, "a b c d").alias("text"))
+    c = CD.builtin_generator(df)
+    plan = c.select("sample_id", F.md5("cand_text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    rows = sorted((r.sample_id, r.cand_idx, r.cand_text) for r in c.filter("sample_id = 0").collect())
+    assert [r[2] for r in rows] == ["b c d a", "d c b a", "a b d", "b a d c", "a b c a b c d"]
+    assert [r[1] for r in rows] == [0, 1, 2, 3, 4] and c.filter("sample_id = 1").count() == 5
+    lists = CD.Generator(lambda d, text, name: d.withColumn(name, F.when(F.col("sample_id") == 0, F.array(F.lit("x"), F.lit(None).cast("string")))))
+    assert [(r.cand_idx, r.cand_text) for r in lists(df).collect()] == [(0, "x"), (1, None)]
