@@ -115,3 +115,33 @@ def test_encode_keeps_the_separator_and_counts_all_tokens(spark):
     assert len(got[1]) == 8 and got[1][0] == 2 and got[1][-1] == 3 and got[2] == [2, 3, 0, 0, 0, 0, 0, 0]
     assert got[3] == [2, 4, 4, 3, 0, 0, 0, 0]
     assert {r.split: r.token_count for r in TK.split_token_count(df).collect()} == {"a": 23, "b": 3}
+
+
+def test_pair_kernel_reads_arrow_and_takes_each_pair_once():
+    """A block with itself and with another one, over tile borders, with equal rows, against all pairs."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(DV.TILE * 2 + 7, 8))
+    x[3] = x[DV.TILE + 1]
+
+    def want(a, b, same):
+        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+        if same:
+            np.fill_diagonal(d, 0)
+        w = np.where(d > 0, d ** np.log(8), 0)
+        return np.stack([m.sum(1) for m in (d, w, np.where(w > 0, w * np.log(np.where(w > 0, w, 1)), 0), w > 0)])
+
+    def run(blk, lo, hi):
+        n = len(blk)
+        t = pa.table({"split": ["a"] * n, "label": pa.array([None] * n, pa.int32()), "_k": pa.array(range(n), pa.int64()), "vec": list(x[:n]),
+                      "_blk": pa.array(blk, pa.int32()), "_lo": pa.array([lo] * n, pa.int32()), "_hi": pa.array([hi] * n, pa.int32())})
+        r = DV._pair_kernel(t).to_pandas().sort_values("_k")
+        return r[["dist_sum", "w_sum", "wlogw_sum", "nnz"]].to_numpy().T
+
+    near = lambda a, b: np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-6)
+    near(run([4] * len(x), 4, 4)[:3], want(x, x, True)[:3])
+    first = np.arange(len(x)) % 3 == 0
+    got = run(np.where(first, 0, 2), 0, 2)
+    near(got[:3, first], want(x[first], x[~first], False)[:3])
+    near(got[:3, ~first], want(x[~first], x[first], False)[:3])
+    assert (run([0] * 5, 0, 1) == 0).all()
