@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from divaug.functions import vectors as V
 from divaug.functions.hashing import h24
 from divaug.functions.vectors import rnd
+from divaug.session import stored
 
 ROUND_ACC = 6
 ROUND_SUMMARY = 4
@@ -30,8 +37,11 @@ def seed_summary(acc: DataFrame) -> DataFrame:
 
 def performance_matrix(acc: DataFrame, splits: list[str]) -> DataFrame:
     """rows = seeds then 'avg', 'std'; columns = splits in fixed order.
-    Summary rows are computed from seed rows only (never stored with them)."""
+    Summary rows are computed from seed rows only (never stored with them).
+    The accuracies, one row for each split and seed, are read three times: they
+    are written once, so that the fits and the scoring behind them run once."""
     from divaug.sources.catalog import ordered_pivot
+    acc = stored(acc.select("seed", "split", "accuracy"), "accuracy")
     s = seed_summary(acc)
     long = (acc.select(F.col("seed").cast("string").alias("row_key"), "split", F.col("accuracy").alias("value"))
                .unionByName(s.select(F.lit("avg").alias("row_key"), "split", F.col("avg").alias("value")))
@@ -75,18 +85,73 @@ def split_seed_models(train: DataFrame, seeds) -> DataFrame:
     return centers.groupBy("split", "seed").agg(F.sort_array(F.collect_list(F.struct("label", "center"))).alias("centers"))
 
 
+ROWS = 256   # test rows scored at a time
+
+
+def _scorer(models: list[tuple[str, int, list[int], list[list[float]]]], schema: T.StructType):
+    """Every (split, seed, labels, centres) against each test row.  A distance is
+    summed dimension by dimension, as ``V.sq_distance`` does; a vector that is
+    null, has a null or is of another length than the centre has none."""
+    names, seeds = pa.array([m[0] for m in models], pa.string()), pa.array([m[1] for m in models], pa.int32())
+    centers = [c for m in models for c in m[3]]
+    dims = max(map(len, centers))
+    table = np.array([c + [0.0] * (dims - len(c)) for c in centers]).T.copy()
+    lengths = np.array([len(c) for c in centers])
+    starts = np.cumsum([0, *[len(m[3]) for m in models]])
+    classes = [range(max(m[2]) + 1) if max(m[2]) >= 0 else range(0, max(m[2]) - 1, -1) for m in models]
+
+    def logits(vec: pa.ListArray) -> np.ndarray:
+        size = pc.fill_null(pc.list_value_length(vec), -1).to_numpy(zero_copy_only=False).copy()
+        flat = vec.flatten()
+        at, place = np.repeat(np.arange(len(vec)), np.maximum(size, 0)), np.concatenate([np.arange(max(n, 0)) for n in size] or [np.zeros(0, int)])
+        size[at[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+        x = np.zeros((len(vec), dims))
+        inside = place < dims
+        x[at[inside], place[inside].astype(np.int64)] = flat.to_numpy(zero_copy_only=False).astype(np.float64)[inside]
+        total = np.zeros((len(vec), len(lengths)))
+        for d in range(dims):
+            step = x[:, d, None] - table[None, d]
+            total += np.multiply(step, step, out=step)
+        return np.where(size[:, None] == lengths[None], -total, -np.inf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                n, near, values = b.num_rows, logits(b.column("vec")), []
+                for k, (_, _, labels, _) in enumerate(models):
+                    out = np.full((n, len(classes[k])), -np.inf)
+                    for j, label in enumerate(labels):
+                        if label in classes[k]:
+                            out[:, classes[k].index(label)] = near[:, starts[k] + j]
+                    values.append(out.ravel())
+                which, row = np.repeat(np.arange(len(models)), n), np.tile(np.arange(n), len(models))
+                ends = np.cumsum(np.concatenate([[0], np.repeat([len(c) for c in classes], n)])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), seeds.take(pa.array(which)), b.column("sample_id").take(pa.array(row)),
+                                                  b.column("label").take(pa.array(row)), lists], schema.names)
+    return run
+
+
 def split_seed_predictions(train: DataFrame, test: DataFrame, splits, seeds) -> DataFrame:
     """Logits of every split's and seed's nearest-centre classifier for
     the test rows in one scoring pass: split, seed, sample_id, label, logits.
     The logit of class k is the negative squared distance to its centre, and
-    minus infinity where the split has no row of the class."""
-    models = split_seed_models(train.filter(F.col("split").isin(list(splits))), seeds)
-    runs = F.array(*[F.struct(F.lit(s).alias("split"), F.lit(int(k)).alias("seed")) for s in splits for k in seeds])
-    rows = test.select("sample_id", "label", "vec", F.explode(runs).alias("r")).select("sample_id", "label", "vec", "r.split", "r.seed")
-    near = F.map_from_entries(F.transform("centers", lambda c: F.struct(c["label"], -V.sq_distance(F.col("vec"), c["center"]))))
-    scored = rows.join(models, ["split", "seed"]).select("split", "seed", "sample_id", "label", F.array_max("centers.label").alias("_top"), near.alias("_near"))
-    logits = F.transform(F.sequence(F.lit(0), F.col("_top")), lambda k: F.coalesce(F.try_element_at("_near", k), F.lit(float("-inf"))))
-    return scored.select("split", "seed", "sample_id", "label", logits.alias("logits"))
+    minus infinity where the split has no row of the class.
+
+    The centres (splits times seeds times classes times dimensions, whatever the
+    number of rows) go out with the plan; a batch of test rows meets all of them
+    in numpy."""
+    fitted = {(m["split"], m["seed"]): m["centers"]
+              for m in split_seed_models(train.filter(F.col("split").isin(list(splits))), seeds).collect()}
+    if any(c["label"] is None for m in fitted.values() for c in m):
+        raise ValueError("a training row has no label")
+    models = [(s, int(k), [c["label"] for c in m], [c["center"] for c in m]) for s in splits for k in seeds if (m := fitted.get((s, int(k))))]
+    kinds = test.select("sample_id", "label").schema.fields
+    schema = T.StructType([T.StructField("split", T.StringType()), T.StructField("seed", T.IntegerType()), *kinds, T.StructField("logits", T.ArrayType(T.DoubleType()))])
+    if not models:
+        return test.sparkSession.createDataFrame([], schema)
+    return test.select("sample_id", "label", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_scorer(models, schema), schema)
 
 
 def split_seed_accuracy(train: DataFrame, test: DataFrame, splits, seeds) -> DataFrame:
