@@ -57,12 +57,12 @@ tcnt AS (SELECT l.split, coalesce(d.c, 0) + 2 + l.pad AS token_count
 
 def _sketched(spark, sf):
     """Splits and all texts: exact count beside the estimate from the merged
-    sketches of (split, source)."""
-    d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "source")
-    t = FX.fx_text(spark, sf)
-    parts = stored(TK.ngram_sketches(t.join(d, "sample_id")), "sketches")
+    sketches of (split, source).  One pass over the texts makes the sketches, one
+    all exact counts; no text is shuffled."""
+    t = FX.fx_text(spark, sf, keep=("source",))
+    parts = stored(TK.ngram_sketches(t.filter("sample_id IS NOT NULL")), "sketches")
     every = lambda df: df.withColumn("split", F.lit("all"))
-    exact = TK.unique_ngrams(t).unionByName(TK.unique_ngrams(every(t)))
+    exact = TK.unique_ngrams(t, total="all")
     merged = TK.merge_sketches(parts).unionByName(TK.merge_sketches(every(parts)))
     return exact.join(merged, "split").withColumn("error", F.col("estimate") / F.col("unique_3grams") - 1)
 
